@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .media import op3
 from .mixing import OP1_SQL, op1
+from .ngram_join import OP6_SQL, op6
+from .packing import op4
 from .sharding import op2
 
 
 def queries() -> dict:
-    return {"op1_mixing": op1, "op2_sharding": op2, "op3_media": op3}
+    return {"op1_mixing": op1, "op2_sharding": op2, "op3_media": op3, "op4_packing": op4, "op6_ngram_join": op6}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL}
+    return {"op1_mixing": OP1_SQL, "op6_ngram_join": OP6_SQL}
