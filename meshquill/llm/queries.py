@@ -7,12 +7,15 @@ from .media import op3
 from .mixing import OP1_SQL, op1
 from .ngram_join import OP6_SQL, op6
 from .packing import op4
+from .pii import op7
+from .quality import op5
 from .sharding import op2
 from .toxicity import op9
+from .vectors import op10
 
 
 def queries() -> dict:
-    return {"op1_mixing": op1, "op2_sharding": op2, "op3_media": op3, "op4_packing": op4, "op6_ngram_join": op6, "op8_line_dedup": op8, "op9_toxicity": op9}
+    return {"op1_mixing": op1, "op2_sharding": op2, "op3_media": op3, "op4_packing": op4, "op5_quality": op5, "op6_ngram_join": op6, "op7_pii": op7, "op8_line_dedup": op8, "op9_toxicity": op9, "op10_vectors": op10}
 
 
 def oracle_sql() -> dict[str, str]:
