@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,6 +44,12 @@ def release(df: DataFrame | None) -> None:
         hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let the driver drop what it no longer refers to; Spark then deletes the shuffle files behind it on the executors."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a materialized side for broadcast if it has at most so many rows; else Spark shuffles both sides."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

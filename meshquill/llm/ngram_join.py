@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, small, table
+from .common import materialize, release, small, table, tidy
 from .components import components
 
 HEAVY = 200_000
@@ -209,39 +209,43 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     nodes = slim.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("node"))
     nodes = materialize(nodes, "nodes")
     of_nodes = keyed.join(nodes.withColumnRenamed("node", "doc_id"), ["doc_id", "h1", "h2", "n"], "left_semi")
-    exploded = of_nodes.select("doc_id", "n", F.posexplode("lists").alias("pos", "key")).withColumn("kind", F.lit(0))
-    exploded = exploded.unionByName(of_nodes.select("doc_id", "n", F.explode("subsets").alias("key"), F.lit(0).alias("pos"), F.lit(1).alias("kind")))
-    shared = exploded.groupBy("kind", "key").agg(F.count("*").alias("mq_rows")).where("mq_rows > 1").select("kind", "key")
-    members = exploded.join(shared, ["kind", "key"]).select("kind", "key", F.col("doc_id").alias("node"), "n", "pos")
+    exploded = of_nodes.select("doc_id", "n", F.posexplode("lists").alias("pos", "key"))
+    exploded = exploded.unionByName(of_nodes.select("doc_id", "n", F.explode("subsets").alias("key"), F.lit(0).alias("pos")))
+    shared = exploded.groupBy("key").agg(F.count("*").alias("mq_rows")).where("mq_rows > 1").select("key")
+    members = exploded.join(shared, "key").select("key", F.col("doc_id").alias("node"), F.col("n").cast("int").alias("n"), "pos")
     members = materialize(members, "members")
 
-    active = materialize(members.select("node").distinct(), "active")
-    sets = docs.join(small(active.withColumnRenamed("node", "doc_id")), "doc_id", "left_semi")
-    sets = materialize(sets.mapInArrow(partial(_sets, width), "node long, shingles binary"), "sets")
-
-    def fits(na, nb):
-        return F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
-
-    lead = members.groupBy("kind", "key").agg(F.min(F.struct("pos", "node", "n")).alias("lead"))
-    stars = members.join(lead, ["kind", "key"]).where((F.col("node") != F.col("lead.node")) & fits(F.col("n"), F.col("lead.n")))
-    stars = stars.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The pairs that link, by the full sets of the documents in them."""
+        pairs = materialize(pairs, "pairs")
+        asked = materialize(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct(), "asked")
+        sets = docs.join(small(asked), "doc_id", "left_semi").mapInArrow(partial(_sets, width), "node long, shingles binary")
+        sets = materialize(sets, "sets")
+        out = materialize(check(pairs, sets, percent), "checked")
+        release(sets)
+        tidy(spark)
+        return out
+
+    tidy(spark)
+    def room(n, pos, other_n, other_pos):
+        """Whether a link is possible if the key is the first that both have: none before it, all after it in common."""
+        need = F.ceil((n + other_n) * percent / (100 + percent) - 1e-9)
+        return (F.least(n - pos, other_n - other_pos) >= need) & fits(n, other_n)
+
+    lead = members.groupBy("key").agg(F.min(F.struct("pos", "node", "n")).alias("lead"))
+    stars = members.join(lead, "key").where((F.col("node") != F.col("lead.node")) & room(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos")))
+    stars = materialize(stars.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct(), "stars")
     repeated = slim.where("n > 0").join(nodes, ["h1", "h2", "n"]).select("doc_id", "node").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("a", "b")
-    links = materialize(check(stars, sets, percent).unionAll(repeated), "checked")
+    links = materialize(linked(stars).unionAll(repeated), "links")
     of = materialize(components(links), "components")
 
     labelled = members.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = labelled.groupBy("kind", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("kind", "key")
-    rest = materialize(labelled.join(split, ["kind", "key"]), "rest")
+    split = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    rest = materialize(labelled.join(split, "key"), "rest")
     x, y = rest.alias("x"), rest.alias("y")
-    need = F.ceil((F.col("x.n") + F.col("y.n")) * percent / (100 + percent) - 1e-9)
-    room = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-    apart = (F.col("x.component") != F.col("y.component")) & (F.col("x.node") < F.col("y.node")) & fits(F.col("x.n"), F.col("y.n")) & (room >= need)
-    same = (F.col("x.kind") == F.col("y.kind")) & (F.col("x.key") == F.col("y.key"))
-    pairs = x.join(y, same & apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    more = materialize(check(pairs.join(stars, ["a", "b"], "left_anti"), sets, percent), "checked")
-    of = components(links.unionAll(more))
-
-    of = materialize(of, "components")
+    apart = (F.col("x.component") != F.col("y.component")) & (F.col("x.node") < F.col("y.node")) & room(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    of = materialize(components(links.unionAll(linked(pairs.join(stars, ["a", "b"], "left_anti")))), "components")
     named = nodes.join(small(of), "node", "left").select("h1", "h2", "n", F.coalesce("component", "node").alias("mq_component"))
     out = slim.join(named, ["h1", "h2", "n"], "left")
     alone = F.col("doc_id").isNull() | (F.col("n") == 0)
