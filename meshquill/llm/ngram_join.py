@@ -230,7 +230,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     def room(n, pos, other_n, other_pos):
         """Whether a link is possible if the key is the first that both have: none before it, all after it in common."""
         need = F.ceil((n + other_n) * percent / (100 + percent) - 1e-9)
-        return (F.least(n - pos, other_n - other_pos) >= need) & fits(n, other_n)
+        return (F.least(n - pos, other_n - other_pos) >= need) & (F.least(n, other_n) * 100 >= F.greatest(n, other_n) * percent)
 
     lead = members.groupBy("key").agg(F.min(F.struct("pos", "node", "n")).alias("lead"))
     stars = members.join(lead, "key").where((F.col("node") != F.col("lead.node")) & room(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos")))
