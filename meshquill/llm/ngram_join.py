@@ -13,6 +13,9 @@ the histogram of small sizes.
 "Rarest first" is an order by estimated count, then hash. The counts are of shingles that come up often within a block of rows,
 over all rows; the HEAVY largest are broadcast. The estimate sets the cost only: any order that all tasks share finds every link.
 
+A link has at least need - behind keys in common (behind: the shingles that are no keys), and its k-th common key leaves room for
+need - (k - 1) more; so pairs that meet in fewer than WITNESSES keys with such room (or than they must) are no links.
+
 Finding links: per list, every member is checked against the member for which the key is rarest (a star, no pairs of the whole
 list); checked pairs become components. What is left, pairs of a list whose members are still in different components and whose
 places in the lists leave room for a link, is joined and checked exactly. So a group of n near copies costs about n checks, and
@@ -40,6 +43,7 @@ HEAVY = 200_000
 BLOCK = 2_000_000
 OFTEN = 8
 LARGEST_SMALL = 29
+WITNESSES = 3
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -210,7 +214,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     nodes = materialize(nodes, "nodes")
     of_nodes = keyed.join(nodes.withColumnRenamed("node", "doc_id"), ["doc_id", "h1", "h2", "n"], "left_semi")
     exploded = of_nodes.select("doc_id", "n", F.posexplode("lists").alias("pos", "key"))
-    exploded = exploded.unionByName(of_nodes.select("doc_id", "n", F.explode("subsets").alias("key"), F.lit(0).alias("pos")))
+    exploded = exploded.unionByName(of_nodes.select("doc_id", "n", F.explode("subsets").alias("key"), F.lit(-1).alias("pos")))
     shared = exploded.groupBy("key").agg(F.count("*").alias("mq_rows")).where("mq_rows > 1").select("key")
     members = exploded.join(shared, "key").select("key", F.col("doc_id").alias("node"), F.col("n").cast("int").alias("n"), "pos")
     members = materialize(members, "members")
@@ -227,10 +231,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
         return out
 
     tidy(spark)
-    def room(n, pos, other_n, other_pos):
-        """Whether a link is possible if the key is the first that both have: none before it, all after it in common."""
+    def room(n, pos, other_n, other_pos, before=0):
+        """Whether a link is possible if so many keys before this one, and all shingles after it, are in common."""
         need = F.ceil((n + other_n) * percent / (100 + percent) - 1e-9)
-        return (F.least(n - pos, other_n - other_pos) >= need) & (F.least(n, other_n) * 100 >= F.greatest(n, other_n) * percent)
+        return (F.least(n - F.greatest(pos, F.lit(0)), other_n - F.greatest(other_pos, F.lit(0))) >= need - before) & (F.least(n, other_n) * 100 >= F.greatest(n, other_n) * percent)
 
     lead = members.groupBy("key").agg(F.min(F.struct("pos", "node", "n")).alias("lead"))
     stars = members.join(lead, "key").where((F.col("node") != F.col("lead.node")) & room(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos")))
@@ -243,8 +247,13 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     split = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     rest = materialize(labelled.join(split, "key"), "rest")
     x, y = rest.alias("x"), rest.alias("y")
-    apart = (F.col("x.component") != F.col("y.component")) & (F.col("x.node") < F.col("y.node")) & room(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    apart = (F.col("x.component") != F.col("y.component")) & (F.col("x.node") < F.col("y.node"))
+    apart &= room(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), WITNESSES - 1)
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"), (F.col("x.pos") < 0).cast("int").alias("kind"))
+    met = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common"), F.max("kind").alias("kind"))
+    need = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent) - 1e-9)
+    behind = F.greatest(*(F.ceil(F.col(c) * percent / 100) - 1 for c in ("na", "nb")))  # shingles behind the list keys
+    pairs = met.where((F.col("kind") == 1) | (F.col("common") >= F.least(F.lit(WITNESSES), need - behind))).select("a", "b")
     of = materialize(components(links.unionAll(linked(pairs.join(stars, ["a", "b"], "left_anti")))), "components")
     named = nodes.join(small(of), "node", "left").select("h1", "h2", "n", F.coalesce("component", "node").alias("mq_component"))
     out = slim.join(named, ["h1", "h2", "n"], "left")
