@@ -63,6 +63,13 @@ def text_or_empty(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def slices(batches, rows: int = 512):
+    """Smaller batches: bounds what a worker holds as Python objects at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def hex_number(digest: Column, digits: int) -> Column:
     """The first hex digits of a digest as a long."""
     return F.conv(F.substring(digest, 1, digits), 16, 10).cast("long")

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import slices, table
 
 SIDE, FPS = 32, 25
 BLOCKS = (SIDE // 8) ** 2
@@ -171,7 +171,7 @@ def _digest(text: str | None) -> tuple:
 def _digests(batches):
     names = [x.split()[0] for x in DIGEST.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    for batch in batches:
+    for batch in slices(batches):
         rows = [_digest(t) for t in batch.column(1).to_pylist()]
         columns = [batch.column(0).cast(pa.int64()), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds[1:]))]
         yield pa.RecordBatch.from_arrays(columns, names)
@@ -180,7 +180,7 @@ def _digests(batches):
 def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, media (binary AVI) of each row."""
     def work(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([encode(pad(t)[0]) for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "media"])
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(work, "doc_id long, media binary")
 
@@ -188,7 +188,7 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def to_clips(media: DataFrame) -> DataFrame:
     """Timed clip rows of doc_id, media."""
     def work(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = [(i, *c) for i, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if m is not None for c in clips(m)]
             columns = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int32()])], ["doc_id", "clip", "start_s", "end_s", "frames"])

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, release, small, table, tidy
+from .common import materialize, release, slices, small, table, tidy
 from .components import components
 
 HEAVY = 200_000
@@ -118,7 +118,7 @@ def _statistics(width: int, batches):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], ["kind", "key", "n"])
 
     sizes = np.zeros(LARGEST_SMALL + 1, np.int64)
-    for batch in batches:
+    for batch in slices(batches):
         for text in batch.column(0).to_pylist():
             s = shingle_set(text, width)
             if len(s):
@@ -146,7 +146,7 @@ def boundary(sizes: dict[int, int], percent: int, list_rows: float = 4.0) -> int
 def _keys(width: int, percent: int, edge: int, heavy, batches):
     """doc_id, n, h1, h2, the list keys in order and the subset keys."""
     often, counts = heavy.value
-    for batch in batches:
+    for batch in slices(batches):
         ids = batch.column(0)
         n, h1, h2, lists, subsets = [], [], [], [], []
         for text in batch.column(1).to_pylist():
@@ -171,12 +171,12 @@ def _keys(width: int, percent: int, edge: int, heavy, batches):
 
 
 def _sets(width: int, batches):
-    for batch in batches:
+    for batch in slices(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, width).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["node", "shingles"])
 
 
 def _linked(percent: int, batches):
-    for batch in batches:
+    for batch in slices(batches):
         keep = []
         for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)

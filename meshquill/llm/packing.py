@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, slices, table
 
 CAPACITY, END = 2048, 0
 ROUNDS, GRID = 4000, 8
@@ -65,7 +65,7 @@ def pieces(docs: DataFrame, json_path: str | None = None, ranks_path: str | None
 
     def work(batches):
         encode = encoder(json_path, ranks_path)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = [*encode(text or ""), END]

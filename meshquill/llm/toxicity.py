@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, small, table
+from .common import materialize, slices, small, table
 
 MAX_LABELLED = 100_000
 MAX_FITTED = 20_000
@@ -35,6 +35,7 @@ LEXICON = 5_000
 THRESHOLD = 0.7
 CLASSES = 64
 BLOCK = 2_000_000
+CACHED = 100_000
 #: What a look-alike may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "*": "aeiou"}
 SEPARATORS = ".-_*~'’"
@@ -69,7 +70,7 @@ def counted(held: list[np.ndarray]) -> np.ndarray:
 
 def _trigrams(batches):
     total, held, size = np.zeros(CLASSES**3, np.int64), [], 0
-    for batch in batches:
+    for batch in slices(batches):
         for text in batch.column(0).to_pylist():
             if text:
                 held.append(codes(f" {text.lower()} "))
@@ -144,7 +145,7 @@ def restore(model: np.ndarray, token: str, cache: dict) -> str:
             inner = token.rstrip(EDGES.replace("$", "").replace("@", "")).lstrip(EDGES.replace("$", "").replace("@", "").replace("(", ""))
             if HAS_LETTER.search(inner) and 3 <= len(inner) <= LONGEST:
                 got = viterbi(model, inner)
-        if len(cache) > 500_000:
+        if len(cache) > CACHED:
             cache.clear()
         cache[token] = got
     return got
@@ -170,13 +171,20 @@ def features(word: str) -> list[str]:
 
 
 def _feature_counts(told, batches):
-    model, cache = told.value, {}
-    for batch in batches:
-        toxic, other = Counter(), Counter()
+    model, cache, toxic, other = told.value, {}, Counter(), Counter()
+
+    def summed():
+        names = list(toxic.keys() | other.keys())
+        rows = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([toxic[x] for x in names], pa.int64()), pa.array([other[x] for x in names], pa.int64())], ["feature", "toxic", "other"])
+        toxic.clear(), other.clear()
+        return rows
+
+    for batch in slices(batches):
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             (toxic if label else other).update({f for w in words(model, text, cache)[0] for f in features(w)})
-        names = list(toxic.keys() | other.keys())
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([toxic[x] for x in names], pa.int64()), pa.array([other[x] for x in names], pa.int64())], ["feature", "toxic", "other"])
+        if len(toxic) + len(other) > 3 * CACHED:
+            yield summed()
+    yield summed()
 
 
 def numbers(model: np.ndarray, lexicon: dict[str, float], text: str | None, cache: dict, weights: dict) -> list[float]:
@@ -187,7 +195,7 @@ def numbers(model: np.ndarray, lexicon: dict[str, float], text: str | None, cach
         x = weights.get(w)
         if x is None:
             x = max((lexicon.get(f, 0.0) for f in features(w)), default=0.0)
-            if len(weights) > 500_000:
+            if len(weights) > CACHED:
                 weights.clear()
             weights[w] = x
         if x:
@@ -197,7 +205,7 @@ def numbers(model: np.ndarray, lexicon: dict[str, float], text: str | None, cach
 
 def _inputs(told, batches):
     (model, lexicon), cache, weights = told.value, {}, {}
-    for batch in batches:
+    for batch in slices(batches):
         rows = np.array([numbers(model, lexicon, t, cache, weights) for t in batch.column(0).to_pylist()]).reshape(-1, 4)
         yield pa.RecordBatch.from_arrays([*(pa.array(rows[:, k]) for k in range(4)), batch.column(1)], ["x0", "x1", "x2", "x3", "toxic"])
 
@@ -244,7 +252,7 @@ def fit_grouped(x: np.ndarray, toxic: np.ndarray, n: np.ndarray, penalty: float
 
 def _scores(told, columns, batches):
     (model, lexicon, w), cache, weights = told.value, {}, {}
-    for batch in batches:
+    for batch in slices(batches):
         text = batch.column(batch.schema.get_field_index("mq_text")).to_pylist()
         rows = np.array([numbers(model, lexicon, t, cache, weights) for t in text]).reshape(-1, 4)
         score = 1 / (1 + np.exp(-np.clip(rows @ w[:4] + w[4], -30, 30)))
