@@ -34,7 +34,7 @@ MAX_FITTED = 20_000
 LEXICON = 5_000
 THRESHOLD = 0.7
 CLASSES = 64
-BLOCK = 2_000_000
+BLOCK = 500_000
 CACHED = 100_000
 #: What a look-alike may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "*": "aeiou"}
