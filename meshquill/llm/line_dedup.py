@@ -7,8 +7,9 @@ constants; else it is a template of its own (with its variable fields masked). A
 recurs: its lines are dropped, but for the first (smallest id), so that what is said many times is said once.
 
 Lines of fewer than ``least`` tokens are kept: short lines agree by chance. Work on lines is by hashes; tokens are unfolded only
-for one line of each distinct form in leaves that hold several. Texts are shuffled once at most, to meet what is to be dropped;
-only groups by template, all with partial aggregation, can be large.
+for one line of each distinct form in leaves that hold several. Where the other side is too large for a broadcast, lines are
+shuffled once to meet these, and texts once to meet what is to be dropped; only groups by template, all with partial
+aggregation, can be large.
 
 A null text stays null and has no lines; rows with the same id and text are one document, and so are copies of an id with
 another text for the count of documents. Extra columns are kept (names with ``mq_`` are taken).
@@ -16,34 +17,46 @@ another text for the count of documents. Extra columns are kept (names with ``mq
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, small, table
 
 LEAST, LEADING, LIKENESS = 6, 3, 0.8
+SPACE = r"\x20\x09-\x0D"
 
 
-def lines(docs: DataFrame, id_col: str, text_col: str, leading: int, least: int) -> DataFrame:
-    """mq_id, mq_text (hash), line, tokens (masked), n, leaf, form."""
+def raw_lines(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
+    """mq_id, mq_text (hash), line, mq_line of the lines of at least so many tokens."""
     out = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("mq_id"), F.xxhash64(text_col).alias("mq_text"), F.posexplode(F.split(text_col, "\n", -1)).alias("line", "mq_line"))
-    words = F.filter(F.split("mq_line", r"[\x20\x09-\x0D]+", -1), lambda t: t != "")
+    return out.where(F.col("mq_line").rlike(rf"^[{SPACE}]*+(?:[^{SPACE}]++[{SPACE}]++){{{max(least - 1, 0)}}}[^{SPACE}]"))
+
+
+def tokens_of(line: str) -> Column:
+    """The tokens of a line, those with digits masked; most lines have no digit and need no look at each token."""
+    words = F.array_remove(F.split(line, rf"[{SPACE}]+", -1), "")
     masked = F.transform(words, lambda t: F.when(t.rlike("[0-9]"), F.lit("<*>")).otherwise(t))
-    out = out.select("mq_id", "mq_text", "line", masked.alias("tokens")).withColumn("n", F.size("tokens")).where(F.col("n") >= least)
+    return F.when(F.col(line).rlike("[0-9]"), masked).otherwise(words)
+
+
+def lines(docs: DataFrame, id_col: str, text_col: str, leading: int, least: int) -> DataFrame:
+    """mq_id, mq_text, line, n (tokens), leaf, form."""
+    out = raw_lines(docs, id_col, text_col, least).withColumn("tokens", tokens_of("mq_line")).withColumn("n", F.size("tokens"))
     leaf = F.xxhash64("n", F.slice("tokens", 1, leading))
-    return out.select("mq_id", "mq_text", "line", "tokens", "n", leaf.alias("leaf"), F.xxhash64("n", "tokens").alias("form"))
+    return out.select("mq_id", "mq_text", "line", "n", leaf.alias("leaf"), F.xxhash64("n", "tokens").alias("form"))
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, leading: int = LEADING, likeness: float = LIKENESS) -> DataFrame:
     """mq_id, mq_text, mq_drop: the numbers (from 0) of the lines to drop of each document that has any."""
-    unfolded = lines(docs, id_col, text_col, leading, least)
-    slim = materialize(unfolded.drop("tokens"), "lines")
+    slim = materialize(lines(docs, id_col, text_col, leading, least), "lines")
     first = F.min(F.struct("mq_id", "mq_text", "line")).alias("first")
     forms = slim.groupBy("leaf", "form", "n").agg(first, F.min("mq_id").alias("lo"), F.max("mq_id").alias("hi"))
     forms = materialize(forms, "forms")
     busy = forms.groupBy("leaf").agg(F.count("*").alias("leaf_forms")).where("leaf_forms > 1")
     sample = materialize(forms.join(busy, "leaf").select("leaf", "form", "n", "leaf_forms", "first.*"), "sample")
-    tokens = unfolded.join(small(sample.select("mq_id", "mq_text", "line")), ["mq_id", "mq_text", "line"], "left_semi").select("leaf", "form", "tokens").dropDuplicates(["leaf", "form"])
+    chosen = small(sample.select("mq_id", "mq_text", "line", "leaf", "form"))
+    met = raw_lines(docs, id_col, text_col, least).join(chosen, ["mq_id", "mq_text", "line"])  # tokens are made for these lines only
+    tokens = met.select("leaf", "form", tokens_of("mq_line").alias("tokens")).dropDuplicates(["leaf", "form"])
     places = materialize(tokens.select("leaf", "form", F.posexplode("tokens").alias("place", "token")), "places")
     told = places.groupBy("leaf", "place", "token").agg(F.count("*").alias("have"))
     most = told.groupBy("leaf", "place").agg(F.max(F.struct("have", "token")).alias("most"))
