@@ -122,3 +122,12 @@ def factors(n: int) -> list[int]:
             n //= p
         p += 1
     return out + [n] * (n > 1)
+
+
+def sink_scales(length: Column, level: Column, cells: Column, cs: Column) -> dict[str, Column]:
+    """Effective resolution, cell size, sink and outflow radius, and the Jeans density at the sink radius."""
+    n = cells * F.pow(F.lit(2.0), level - 1)
+    dx = length / n
+    r = 2.5 * dx
+    dens = math.pi * cs * cs / (4 * G * r * r)
+    return {"n_eff": n, "dx": dx, "r_sink": r, "r_outflow": 16 * dx, "sink_dens": dens, "sink_mass": dens * 4 / 3 * math.pi * F.pow(r, F.lit(3.0))}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 AXES = ("x", "y", "z")
@@ -115,3 +115,111 @@ def smooth(pixels: DataFrame, fwhm: float, shape: tuple[int, int], reach: int |
     rows = rows.select((F.col("ix") + F.col("ox")).alias("ix"), (F.col("iy") + F.col("oy")).alias("iy"), k.alias("k"), (F.col("value") * k).alias("v"))
     rows = rows.where(F.col("ix").between(0, shape[0] - 1) & F.col("iy").between(0, shape[1] - 1))
     return rows.groupBy("ix", "iy").agg((F.sum("v") / F.sum("k")).alias("value"))
+
+
+def box_blur(pixels: DataFrame, along: str, across: str, reach: int) -> DataFrame:
+    """Running means of 2 * reach + 1 pixels of a full map; beyond an edge the edge's pixel is repeated."""
+    line = Window.partitionBy(across).orderBy(along)
+    whole = Window.partitionBy(across)
+    first, last = F.min(F.struct(along, "value")).over(whole), F.max(F.struct(along, "value")).over(whole)
+    before = F.greatest(F.lit(0), first[along] - F.col(along) + reach)
+    after = F.greatest(F.lit(0), F.col(along) + reach - last[along])
+    total = F.sum("value").over(line.rowsBetween(-reach, reach)) + before * first["value"] + after * last["value"]
+    return pixels.select(along, across, (total / (2 * reach + 1)).alias("value"))
+
+
+def rolled(pixels: DataFrame, steps: tuple[int, int], shape: tuple[int, int]) -> DataFrame:
+    """A map moved periodically."""
+    return pixels.withColumns({c: F.pmod(F.col(c) + s, F.lit(n)) for c, s, n in zip(("ix", "iy"), steps, shape)})
+
+
+def resampled(pixels: DataFrame, shape: tuple[int, int], new: tuple[int, int]) -> DataFrame:
+    """A map on another number of pixels, bilinear between pixel centres; missing pixels are left out of the mean."""
+    out = pixels.sparkSession.range(new[0] * new[1]).select((F.col("id") % new[0]).alias("ix"), F.floor(F.col("id") / new[0]).alias("iy"))
+    for c, n, m in zip(("ix", "iy"), shape, new):
+        at = F.least(F.greatest((F.col(c) + 0.5) * n / m - 0.5, F.lit(0.0)), F.lit(n - 1.0))
+        low = F.floor(at)
+        ends = F.array(F.struct(low.alias("at"), (1 - (at - low)).alias("w")), F.struct((low + 1).alias("at"), (at - low).alias("w")))
+        out = out.withColumn(f"s{c}", F.explode(F.filter(ends, lambda e: e["w"] > 0)))
+    near = out.select("ix", "iy", F.col("six.at").alias("sx"), F.col("siy.at").alias("sy"), (F.col("six.w") * F.col("siy.w")).alias("w"))
+    met = near.join(pixels.select(F.col("ix").alias("sx"), F.col("iy").alias("sy"), "value"), ["sx", "sy"])
+    return met.groupBy("ix", "iy").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("value"))
+
+
+def rotation_sequence(points: DataFrame, n: int, centre: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """Points (x, y, z) turned about the z axis in n equal steps of a full turn, with the number of the image."""
+    out = points.withColumn("image", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    angle = F.col("image") * (2 * math.pi / n)
+    x, y = F.col("x") - centre[0], F.col("y") - centre[1]
+    return out.withColumns({"x": x * F.cos(angle) - y * F.sin(angle) + centre[0], "y": x * F.sin(angle) + y * F.cos(angle) + centre[1]})
+
+
+def extract(cells: DataFrame, value: Column, low: tuple[float, float, float], size: float, shape: tuple[int, int, int], weight: Column | None = None, lengths: tuple[float, float, float] | None = None) -> DataFrame:
+    """ix, iy, iz, value: a uniform cube from cells (x, y, z, dx, dy, dz), weighted by overlap (and weight).
+
+    With lengths the domain repeats: a cell comes up in each image that reaches the cube, and in no other.
+    """
+    rows = cells.withColumns({"q": value, "w": weight if weight is not None else F.lit(1.0)})
+    for a, lo, m, k in zip(AXES, low, shape, range(3)):
+        x, dx, high = F.col(a), F.col(f"d{a}"), lo + m * size
+        if lengths:
+            first, last = F.ceil((lo - x - dx / 2) / lengths[k] + 1e-9), F.floor((high - x + dx / 2) / lengths[k] - 1e-9)
+            images = F.when(first <= last, F.sequence(first.cast("long"), last.cast("long"))).otherwise(F.array().cast("array<bigint>"))
+            rows = rows.withColumn("image", F.explode(images)).withColumn(a, x + F.col("image") * lengths[k]).drop("image")
+        rows = rows.where((x + dx / 2 > lo) & (x - dx / 2 < high)).withColumn(f"i{a}", F.explode(pixels_of(x, dx, lo, size))).where(F.col(f"i{a}").between(0, m - 1))
+        rows = rows.withColumn("w", F.col("w") * overlap(x, dx, F.col(f"i{a}"), lo, size))
+    return rows.groupBy("ix", "iy", "iz").agg((F.sum(F.col("q") * F.col("w")) / F.sum("w")).alias("value"), F.sum("w").alias("weight"))
+
+
+def halo(cells: DataFrame, blocks: DataFrame, values: list[str], cells_per_block: int, guard: int, low: tuple[float, float, float], lengths: tuple[float, float, float], coarsest: float) -> DataFrame:
+    """block, i, j, k (beyond 0 to cells_per_block - 1) and the values of each block's guard cells on a periodic refined mesh.
+
+    cells: x, y, z, dx; blocks: block, lo_ and hi_ bounds. Cells of all levels are nested in cubes of the coarsest cell size, so a
+    guard cell meets just the cells of its own cube: one equi-join and a grouped mean, weighted by overlap.
+    """
+    n, reach = cells_per_block, F.sequence(F.lit(-guard), F.lit(cells_per_block + guard - 1))
+    want = blocks.withColumn("size", (F.col("hi_x") - F.col("lo_x")) / n)
+    for c in "ijk":
+        want = want.withColumn(c, F.explode(reach))
+    want = want.where(~(F.col("i").between(0, n - 1) & F.col("j").between(0, n - 1) & F.col("k").between(0, n - 1)))
+    have = cells.select(*AXES, "dx", *values)
+    for a, c, lo, length in zip(AXES, "ijk", low, lengths):
+        inside = F.pmod(F.col(f"lo_{a}") + (F.col(c) + 0.5) * F.col("size") - lo, F.lit(float(length)))
+        want = want.withColumn(f"t_{a}", inside).withColumn(f"q{a}", F.floor(F.col(f"t_{a}") / coarsest).cast("long"))
+        have = have.withColumn(a, F.col(a) - lo).withColumn(f"q{a}", F.floor(F.col(a) / coarsest).cast("long"))
+    met = want.select("block", "i", "j", "k", "size", *(f"t_{a}" for a in AXES), *(f"q{a}" for a in AXES)).join(have, [f"q{a}" for a in AXES])
+    w = F.lit(1.0)
+    for a in AXES:
+        t, s, x, d = F.col(f"t_{a}"), F.col("size") / 2, F.col(a), F.col("dx") / 2
+        w = w * F.greatest(F.lit(0.0), F.least(t + s, x + d) - F.greatest(t - s, x - d))
+    met = met.withColumn("w", w).where("w > 0")
+    return met.groupBy("block", "i", "j", "k").agg(*((F.sum(F.col(v) * F.col("w")) / F.sum("w")).alias(v) for v in values))
+
+
+def starlight(stars: DataFrame, cells: DataFrame, opacity_: float, pixel: float) -> DataFrame:
+    """tag, tau, light: a star's luminosity times exp(-tau), tau from the gas between it and an eye at large z.
+
+    cells: x, y, z, dx, dy, dz, dens. Cells are laid on columns of the pixel size and meet the stars of their columns; a column with
+    many cells is summed by star with partial aggregation.
+    """
+    at = stars.select("tag", F.col("luminosity"), *(F.col(a).alias(f"s_{a}") for a in AXES), F.floor(F.col("x") / pixel).cast("long").alias("px"), F.floor(F.col("y") / pixel).cast("long").alias("py"))
+    gas = cells.withColumn("px", F.explode(pixels_of(F.col("x"), F.col("dx"), 0.0, pixel))).withColumn("py", F.explode(pixels_of(F.col("y"), F.col("dy"), 0.0, pixel)))
+    hit = F.lit(True)
+    for a in ("x", "y"):
+        hit = hit & (F.col(f"s_{a}") >= F.col(a) - F.col(f"d{a}") / 2) & (F.col(f"s_{a}") < F.col(a) + F.col(f"d{a}") / 2)
+    front = F.greatest(F.lit(0.0), F.least(F.col("dz"), F.col("z") + F.col("dz") / 2 - F.col("s_z")))
+    depth = at.join(gas.select("px", "py", *AXES, "dx", "dy", "dz", "dens"), ["px", "py"]).where(hit).groupBy("tag").agg(F.sum(opacity_ * F.col("dens") * front).alias("tau"))
+    out = stars.join(depth, "tag", "left").withColumn("tau", F.coalesce("tau", F.lit(0.0)))
+    return out.withColumn("light", F.col("luminosity") * F.exp(-F.col("tau")))
+
+
+def starfield(lights: DataFrame, radius: float, low: tuple[float, float], size: float, shape: tuple[int, int]) -> DataFrame:
+    """ix, iy, value: each star's light spread over a disc, by the height of a hemisphere; a star's shares add up to its light."""
+    rows = lights.select("tag", "x", "y", "light")
+    for a, lo in zip(("x", "y"), low):
+        rows = rows.withColumn(f"i{a}", F.explode(F.sequence(F.floor((F.col(a) - radius - lo) / size).cast("long"), F.floor((F.col(a) + radius - lo) / size).cast("long"))))
+    gap = [(F.col(f"i{a}") + 0.5) * size + lo - F.col(a) for a, lo in zip(("x", "y"), low)]
+    height = F.sqrt(F.greatest(F.lit(0.0), radius * radius - gap[0] * gap[0] - gap[1] * gap[1]))
+    rows = rows.withColumn("h", height).withColumn("share", F.col("h") / F.sum("h").over(Window.partitionBy("tag"))).where("h > 0")
+    inside = F.col("ix").between(0, shape[0] - 1) & F.col("iy").between(0, shape[1] - 1)
+    return rows.where(inside).groupBy("ix", "iy").agg(F.sum(F.col("light") * F.col("share")).alias("value"))

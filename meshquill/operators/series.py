@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,3 +53,56 @@ def ensemble(tables: DataFrame, bin_: str, value: str, log: bool = False) -> Dat
     """Mean and deviation over files by bin, of values or of their log10."""
     v = F.log10(value) if log else F.col(value)
     return tables.groupBy(bin_).agg(F.count("*").alias("files"), F.avg(v).alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.avg(v * v) - F.avg(v) * F.avg(v))).alias("sigma"))
+
+
+def carried(rows: DataFrame, key: list[str], order: str, names: list[str], default: int = 1) -> DataFrame:
+    """Columns with the value last seen in a run; the default before any."""
+    so_far = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(so_far), F.lit(default)) for c in names})
+
+
+def curvatures(t: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Second derivatives of the cubic spline whose first two and last two pieces are each one cubic (ascending t)."""
+    h, n = np.diff(t), len(t)
+    if n < 3:
+        return np.zeros(n)
+    rise = np.diff(np.diff(x) / h)
+    if n == 3:
+        return np.full(3, 2 * rise[0] / (h[0] + h[1]))
+    low, mid, up = h[:-1].copy(), 2 * (h[:-1] + h[1:]), h[1:].copy()
+    first, last = h[0] / h[1], h[-1] / h[-2]
+    mid[0], up[0] = mid[0] + h[0] * (1 + first), up[0] - h[0] * first
+    mid[-1], low[-1] = mid[-1] + h[-1] * (1 + last), low[-1] - h[-1] * last
+    right = 6 * rise
+    for i in range(1, n - 2):
+        share = low[i] / mid[i - 1]
+        mid[i] -= share * up[i - 1]
+        right[i] -= share * right[i - 1]
+    inner = np.zeros(n - 2)
+    inner[-1] = right[-1] / mid[-1]
+    for i in range(n - 4, -1, -1):
+        inner[i] = (right[i] - up[i] * inner[i + 1]) / mid[i]
+    return np.concatenate([[inner[0] * (1 + first) - inner[1] * first], inner, [inner[-1] * (1 + last) - inner[-2] * last]])
+
+
+def spline(series: DataFrame, key: list[str], t: str, x: str, points: int | None = None) -> DataFrame:
+    """Each series by its cubic spline at so many evenly spaced times (as many as it has, if not given).
+
+    Times must differ within a series; null rows are ignored. A spline couples all rows of a series, so a task holds one series.
+    """
+    clean = series.where(F.col(t).isNotNull() & F.col(x).isNotNull()).select(*key, F.col(t).cast("double").alias("t"), F.col(x).cast("double").alias("x"))
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t")
+        a, b = pdf["t"].to_numpy(), pdf["x"].to_numpy()
+        m = curvatures(a, b)
+        at = np.linspace(a[0], a[-1], points or len(a))
+        if len(a) == 1:
+            value = np.full(len(at), b[0])
+        else:
+            i = np.clip(np.searchsorted(a, at, side="right") - 1, 0, len(a) - 2)
+            h, u, v = a[i + 1] - a[i], a[i + 1] - at, at - a[i]
+            value = (m[i] * u**3 + m[i + 1] * v**3) / (6 * h) + (b[i] / h - m[i] * h / 6) * u + (b[i + 1] / h - m[i + 1] * h / 6) * v
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(at) for k in key}, "t": at, "x": value})
+
+    return clean.groupBy(*key).applyInPandas(work, clean.schema)

@@ -52,3 +52,69 @@ def helmholtz(modes: list[DataFrame], n: int) -> DataFrame:
     total = sum((F.col(f"{p}_{c}") * F.col(f"{p}_{c}") for p in ("re", "im") for c in "xyz"), F.lit(0.0))
     long = F.when(k2 > 0, (along[0] * along[0] + along[1] * along[1]) / k2).otherwise(0.0)
     return out.select("kx", "ky", "kz", total.alias("total"), long.alias("long"), (total - long).alias("trans"))
+
+
+def inverse(modes: DataFrame, n: int, name: str) -> DataFrame:
+    """i, j, k and the real field of modes as from transform(): pencils in z first, then planes."""
+    def pencil(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["ky", "kz"])
+        f = np.fft.ifft((pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()).reshape(-1, n), axis=1).ravel() * n
+        return pd.DataFrame({"kx": pdf["kx"].to_numpy(), "ky": pdf["ky"].to_numpy(), "k": pdf["kz"].to_numpy(), "re": f.real, "im": f.imag})
+
+    def plane(pdf: pd.DataFrame) -> pd.DataFrame:
+        a = np.zeros((n, n), complex)
+        a[pdf["kx"], pdf["ky"]] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
+        f = np.fft.ifft2(a).real * n * n
+        x, y = np.meshgrid(np.arange(n), np.arange(n), indexing="ij")
+        return pd.DataFrame({"i": x.ravel(), "j": y.ravel(), "k": int(pdf["k"].iloc[0]), name: f.ravel()})
+
+    pencils = modes.select("kx", "ky", "kz", "re", "im").groupBy("kx").applyInPandas(pencil, "kx long, ky long, k long, re double, im double")
+    return pencils.groupBy("k").applyInPandas(plane, f"i long, j long, k long, {name} double")
+
+
+def wave_squared(n: int):
+    return sum((wave(c, n) * wave(c, n) for c in ("kx", "ky", "kz")), F.lit(0.0))
+
+
+def top_hat(n: int, low: float = 0.0, high: float = float("inf")):
+    """1 for wave numbers strictly between the two (the mean mode passes if low is 0), else 0."""
+    k = F.sqrt(wave_squared(n))
+    return F.when((k < high) & ((k > low) if low > 0 else F.lit(True)), 1.0).otherwise(0.0)
+
+
+def log_gaussian(n: int, centre: float, fwhm: float):
+    """A Gaussian in the logarithm of the wave number; the mean mode is dropped."""
+    sigma = fwhm / 2.355
+    x = F.log(F.sqrt(wave_squared(n)) / centre)
+    return F.when(wave_squared(n) > 0, F.exp(-x * x / (2 * sigma * sigma))).otherwise(0.0)
+
+
+def filtered(modes: DataFrame, weight) -> DataFrame:
+    return modes.withColumns({c: F.col(c) * weight for c in ("re", "im")})
+
+
+def vector_potential(modes: list[DataFrame], n: int) -> DataFrame:
+    """kx, ky, kz and re_, im_ of the x, y, z parts of A with curl A = B and div A = 0: i k x B / (2 pi k**2)."""
+    both = None
+    for c, m in zip("xyz", modes):
+        m = m.select("kx", "ky", "kz", F.col("re").alias(f"re_{c}"), F.col("im").alias(f"im_{c}"))
+        both = m if both is None else both.join(m, ["kx", "ky", "kz"])
+    k = [wave(f"k{c}", n) for c in "xyz"]
+    out = []
+    for a, c in enumerate("xyz"):
+        p, q = (a + 1) % 3, (a + 2) % 3
+        turn = {r: k[p] * F.col(f"{r}_{'xyz'[q]}") - k[q] * F.col(f"{r}_{'xyz'[p]}") for r in ("re", "im")}
+        scale = F.when(wave_squared(n) > 0, 1 / (2 * np.pi * wave_squared(n))).otherwise(0.0)
+        out += [(-turn["im"] * scale).alias(f"re_{c}"), (turn["re"] * scale).alias(f"im_{c}")]
+    return both.select("kx", "ky", "kz", *out)
+
+
+def compensated(shells_: DataFrame) -> DataFrame:
+    """A spectrum times k**2 and times k**(5/3)."""
+    k = F.col("shell").cast("double")
+    return shells_.withColumns({"k2_spectrum": F.col("spectrum") * k * k, "k53_spectrum": F.col("spectrum") * F.pow(k, F.lit(5 / 3))})
+
+
+def hann(r, radius: float):
+    """A radial window: 1 in the centre, 0 from the radius on."""
+    return F.when(r < radius, 0.5 * (1 + F.cos(np.pi * r / radius))).otherwise(0.0)

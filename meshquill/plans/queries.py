@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import derived, models
-from ..operators import geometry, pairs, series, spectral, stats, stencil
+from ..operators import geometry, pairs, series, sinks, spectral, stats, stencil
 from ..sources import text
 from ..streaming import events as streaming
 
@@ -442,6 +442,111 @@ def event_windows(spark, sf):
     return rounded(streaming.windowed(spark.read.parquet(f"{sf}/events.parquet")), mean=6)
 
 
+# ---------------------------------------------------------------- sinks
+def _phase(base: int) -> str:
+    parts = ", ".join(f"CAST(embedding[{base + i}] AS DOUBLE) AS {c}" for i, c in enumerate(("x", "y", "z", "vx", "vy", "vz")))
+    return f"SELECT vec_id AS tag, label % 2 + 1 AS type, 1e0 + label AS mass, {parts} FROM embeddings"
+
+
+PHASE = _phase(1)
+_d2 = "pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)"
+
+
+def phase(spark, sf):
+    return view(spark, sf, "embeddings", _phase(0))
+
+
+@query(f"""WITH p AS ({PHASE}), s AS (SELECT * FROM p WHERE type = 2), g AS (SELECT * FROM p WHERE type = 1),
+n AS (SELECT a.tag AS gas, b.tag AS sink, row_number() OVER (PARTITION BY a.tag ORDER BY 5e-1 * (pow(a.vx - b.vx, 2) + pow(a.vy - b.vy, 2) + pow(a.vz - b.vz, 2)) - b.mass / greatest(sqrt({_d2}), 1e-3), b.tag) AS o FROM g a JOIN s b ON {_d2} <= 2.5e-3),
+t AS (SELECT sink, sum(mass) AS m, sum(mass * x) AS mx, sum(mass * vx) AS px, sum(mass * (x * vy - y * vx)) AS l, sum(mass * y) AS my, sum(mass * vy) AS py FROM n JOIN g ON gas = tag WHERE o = 1 GROUP BY 1),
+q AS (SELECT s.*, coalesce(m, 0e0) AS m, coalesce(mx, 0e0) AS mx, coalesce(my, 0e0) AS my, coalesce(px, 0e0) AS px, coalesce(py, 0e0) AS py, coalesce(l, 0e0) AS l FROM s LEFT JOIN t ON sink = tag)
+SELECT tag, round(mass + m, 6) AS mass, round((mass * x + mx) / (mass + m), 7) AS x, round((mass * vx + px) / (mass + m), 7) AS vx,
+ round(mass * (x * vy - y * vx) + l - ((mass * x + mx) * (mass * vy + py) - (mass * y + my) * (mass * vx + px)) / (mass + m), 6) + 0e0 AS lz FROM q""")
+def sink_accretion(spark, sf):
+    p = phase(spark, sf)
+    gas, held = p.where("type = 1"), p.where("type = 2").withColumns({c: F.lit(0.0) for c in ("lx", "ly", "lz")})
+    v = [F.col(f"a_{c}") - F.col(f"b_{c}") for c in sinks.VELOCITY]
+    met = pairs.within(gas.select("tag", "x", "y", "z", "vx", "vy", "vz"), held.select("tag", "x", "y", "z", "vx", "vy", "vz", "mass"), 0.05)
+    goes = pairs.most_bound(met, 0.5 * sinks.dot(v, v) - F.col("b_mass") / F.greatest("r", F.lit(1e-3))).select(F.col("a_tag").alias("tag"), F.col("b_tag").alias("sink"))
+    out = sinks.accreted(gas.join(goes, "tag"), held).select("tag", "mass", "x", "vx", "lz")
+    return rounded(out, mass=6, x=7, vx=7, lz=6).withColumn("lz", F.col("lz") + F.lit(0.0))
+
+
+@query(f"""WITH p AS ({PHASE}), c AS (SELECT a.tag AS a_tag, b.tag AS b_tag, b.mass AS m FROM p a JOIN p b ON {_d2} <= 1e-2 AND (a.mass < b.mass OR (a.mass = b.mass AND a.tag > b.tag))
+ AND (a.x - b.x) * (a.vx - b.vx) + (a.y - b.y) * (a.vy - b.vy) + (a.z - b.z) * (a.vz - b.vz) < 0
+ AND 5e-1 * (pow(a.vx - b.vx, 2) + pow(a.vy - b.vy, 2) + pow(a.vz - b.vz, 2)) * sqrt({_d2}) < 1e-3 * (a.mass + b.mass)),
+f AS (SELECT a_tag, b_tag FROM (SELECT *, row_number() OVER (PARTITION BY a_tag ORDER BY m DESC, b_tag) AS o FROM c) WHERE o = 1),
+g AS (SELECT * FROM f WHERE b_tag NOT IN (SELECT a_tag FROM f)), q AS (SELECT p.*, coalesce(b_tag, tag) AS root FROM p LEFT JOIN g ON a_tag = tag)
+SELECT root AS tag, count(*) AS parts, round(sum(mass), 6) AS mass, round(sum(mass * x) / sum(mass), 7) AS x, round(sum(mass * vz) / sum(mass), 7) AS vz FROM q GROUP BY 1""")
+def sink_merging(spark, sf):
+    return rounded(sinks.merged(phase(spark, sf), 0.1, 1e-3).select("tag", "parts", "mass", "x", "vz"), mass=6, x=7, vz=7)
+
+
+@query(f"""WITH RECURSIVE p AS ({PHASE}), l AS (SELECT a.tag AS a, b.tag AS b FROM p a JOIN p b ON {_d2} <= 1.6e-3), r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT a AS tag, min(b) AS cluster FROM r GROUP BY 1""")
+def sink_clusters(spark, sf):
+    return sinks.clusters(phase(spark, sf), 0.04)
+
+
+_far = f"greatest(sqrt({_d2}), 5e-2)"
+
+
+@query(f"""WITH p AS ({PHASE}) SELECT a.tag, round(sum(b.mass * (b.x - a.x) / pow({_far}, 3)), 3) AS ax, round(sum(-b.mass / {_far}), 4) AS phi FROM p a, p b WHERE a.type = 1 AND b.type = 2 GROUP BY 1""")
+def sink_gravity(spark, sf):
+    p = phase(spark, sf)
+    return rounded(sinks.gravity(p.where("type = 1").select("tag", "x", "y", "z"), p.where("type = 2"), 0.05).select("tag", "ax", "phi"), ax=3, phi=4)
+
+
+# ---------------------------------------------------------------- regridding, light, filters, series
+@query(f"""WITH c AS ({CELLS}), m AS (SELECT j AS iy, i AS ix, avg(pres) AS v FROM c GROUP BY 1, 2), o AS (SELECT unnest([-2, -1, 0, 1, 2]) AS o),
+e AS (SELECT iy, min(ix) AS lo, max(ix) AS hi FROM m GROUP BY 1)
+SELECT a.ix, a.iy, round(sum(b.v) / 5e0, 4) AS value FROM m a JOIN e USING (iy), o JOIN m b ON b.iy = a.iy AND b.ix = least(greatest(a.ix + o, lo), hi) GROUP BY 1, 2""")
+def blurred_map(spark, sf):
+    m = cells(spark, sf).groupBy(F.col("i").alias("ix"), F.col("j").alias("iy")).agg(F.avg("pres").alias("value"))
+    return rounded(geometry.box_blur(m, "ix", "iy", 2), value=4)
+
+
+_halved = "SELECT CAST(iy AS BIGINT) AS iy, CAST(ix AS BIGINT) AS ix, v FROM (SELECT (j + 3) % 16 AS iy, (i + 5) % 16 AS ix, avg(pres) AS v FROM c GROUP BY 1, 2)"
+
+
+@query(f"WITH c AS ({CELLS}), m AS ({_halved}) SELECT ix // 2 AS ix, iy // 2 AS iy, round(avg(v), 4) AS value FROM m GROUP BY 1, 2")
+def rolled_resampled_map(spark, sf):
+    m = cells(spark, sf).groupBy(F.col("i").cast("long").alias("ix"), F.col("j").cast("long").alias("iy")).agg(F.avg("pres").alias("value"))
+    return rounded(geometry.resampled(geometry.rolled(m, (5, 3), (16, 16)), (16, 16), (8, 8)), value=4)
+
+
+@query("WITH " + dense_sql(_n) + f""", s AS (SELECT (i + 1) % {_n} AS i, (j + 2) % {_n} AS j, k, velx FROM mesh)
+SELECT i // 2 AS ix, j // 2 AS iy, k // 2 AS iz, round(avg(velx), 8) + 0e0 AS value FROM s GROUP BY 1, 2, 3""")
+def periodic_extraction(spark, sf):
+    d = dense(spark, _n).select(*((F.col(c) + 0.5).alias(a) for c, a in zip("ijk", "xyz")), *(F.lit(1.0).alias(f"d{a}") for a in "xyz"), "velx")
+    out = geometry.extract(d, F.col("velx"), (-1.0, -2.0, 0.0), 2.0, (_n // 2,) * 3, lengths=(float(_n),) * 3).select("ix", "iy", "iz", "value")
+    return rounded(out, value=8).withColumn("value", F.col("value") + F.lit(0.0))
+
+
+@query("WITH " + dense_sql(_n) + " SELECT i, j, k, round(velx, 8) + 0e0 AS value FROM mesh")
+def low_pass_filter(spark, sf):
+    d = dense(spark, _n).select("i", "j", "k", (F.col("velx") + F.col("vely")).alias("f"))
+    low = spectral.filtered(spectral.transform(d, "f", _n), spectral.top_hat(_n, 0.0, 2.0))
+    return rounded(spectral.inverse(low, _n, "value"), value=8).withColumn("value", F.col("value") + F.lit(0.0))
+
+
+@query(f"""WITH p AS ({PHASE}), g AS (SELECT * FROM p WHERE type = 1), s AS (SELECT * FROM p WHERE type = 2), t AS (SELECT s.tag, sum(mass_g * greatest(0e0, least(1e-1, gz + 5e-2 - s.z))) AS tau FROM s
+ JOIN (SELECT x AS gx, y AS gy, z AS gz, mass AS mass_g FROM g) ON s.x >= gx - 1e-1 / 2 AND s.x < gx + 1e-1 / 2 AND s.y >= gy - 1e-1 / 2 AND s.y < gy + 1e-1 / 2 GROUP BY 1)
+SELECT tag, round(coalesce(tau, 0e0), 6) AS tau, round(mass * exp(-coalesce(tau, 0e0)), 6) AS light FROM s LEFT JOIN t USING (tag)""")
+def starlight(spark, sf):
+    p = phase(spark, sf)
+    gas = p.where("type = 1").select("x", "y", "z", *(F.lit(0.1).alias(f"d{a}") for a in "xyz"), F.col("mass").alias("dens"))
+    stars = p.where("type = 2").select("tag", "x", "y", "z", F.col("mass").alias("luminosity"))
+    return rounded(geometry.starlight(stars, gas, 1.0, 0.1).select("tag", "tau", "light"), tau=6, light=6)
+
+
+def series_spline(spark, sf):
+    return rounded(series.spline(evs(spark, sf).groupBy("user_id", "t").agg(F.avg("value").alias("value")), ["user_id"], "t", "value"), t=3, x=6)
+
+
+_queries["series_spline"] = series_spline
+
+
 def queries() -> dict[str, Callable]:
     return dict(_queries)
 

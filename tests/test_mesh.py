@@ -1,11 +1,14 @@
 """Mesh queries against their SQL in DuckDB, and invariants of the operators."""
 
+import math
+
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from meshquill.functions import models
-from meshquill.operators import geometry, series, spectral, stats, stencil
+from meshquill.operators import geometry, series, sinks, spectral, stats, stencil
 from meshquill.plans import queries as mesh
 from meshquill.sources import text
 
@@ -34,7 +37,7 @@ def test_oracle(spark, con, name):
 
 
 def test_every_query_has_sql_or_a_test(spark):
-    assert set(mesh.queries()) - set(mesh.oracle_sql()) == {"helmholtz_spectrum"}
+    assert set(mesh.queries()) - set(mesh.oracle_sql()) == {"helmholtz_spectrum", "series_spline"}
 
 
 def test_parseval_and_mode_count(spark):
@@ -109,3 +112,72 @@ def test_stream_of_events(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("windows").agg(F.sum("n")).first()[0] == src.count()
+
+
+def test_vector_potential_and_filters(spark):
+    n = 8
+    modes = [spectral.transform(mesh.dense(spark, n), v, n) for v in ("velx", "vely", "velz")]
+    a, h = spectral.vector_potential(modes, n), spectral.helmholtz(modes, n)
+    size = sum((F.col(f"{p}_{c}") ** 2 for p in ("re", "im") for c in "xyz"), F.lit(0.0)) * spectral.wave_squared(n) * (2 * math.pi) ** 2
+    worst = a.select("kx", "ky", "kz", size.alias("curl")).join(h, ["kx", "ky", "kz"]).where("kx + ky + kz > 0").agg(F.max(F.abs(F.col("curl") - F.col("trans")))).first()[0]
+    assert worst < 1e-12
+    g = spark.range(1).select(F.lit(2).alias("kx"), F.lit(0).alias("ky"), F.lit(0).alias("kz"))
+    assert abs(g.select(spectral.log_gaussian(n, 2.0, 0.5)).first()[0] - 1) < 1e-12 and g.select(spectral.top_hat(n, 2.0, 3.0)).first()[0] == 0.0
+    assert abs(spark.range(1).select(spectral.hann(F.lit(0.5), 1.0)).first()[0] - 0.5) < 1e-12
+
+
+def test_spline_is_exact_for_cubics(spark):
+    rows = [(k, float(t), float(t**3 - 2 * t) if k == "c" else float(t)) for k, ts in (("c", (0, 1, 3, 4, 7)), ("line", (0, 2)), ("one", (5,)), ("three", (0, 1, 2))) for t in ts]
+    got = series.spline(spark.createDataFrame(rows, "k string, t double, x double"), ["k"], "t", "x", 5).collect()
+    assert len(got) == 20
+    assert all(abs(r["x"] - (r["t"] ** 3 - 2 * r["t"] if r["k"] == "c" else r["t"])) < 1e-9 for r in got)
+    assert len(series.curvatures(np.arange(4.0), np.arange(4.0) ** 3)) == 4
+
+
+def test_halo_across_levels(spark):
+    def cube(block, lo, n, size):
+        return [(block, lo[0] + (i + 0.5) * size, lo[1] + (j + 0.5) * size, lo[2] + (k + 0.5) * size, size) for i in range(n) for j in range(n) for k in range(n)]
+
+    # a periodic box of 4 x 2 x 2 with a coarse block and eight fine ones
+    boxes = [(0, (0.0, 0.0, 0.0), 1.0)] + [(1 + n, (2.0 + (n & 1), float(n >> 1 & 1), float(n >> 2)), 0.5) for n in range(8)]
+    cells = spark.createDataFrame([c for b, lo, s in boxes for c in cube(b, lo, 2, s)], "block int, x double, y double, z double, dx double").withColumn("v", F.col("x"))
+    blocks = spark.createDataFrame([(b, *lo, *(x + 2 * s for x in lo)) for b, lo, s in boxes], "block int, lo_x double, lo_y double, lo_z double, hi_x double, hi_y double, hi_z double")
+    got = geometry.halo(cells, blocks, ["v"], 2, 1, (0.0, 0.0, 0.0), (4.0, 2.0, 2.0), 1.0)
+    assert got.groupBy("block").count().where("count <> 56").count() == 0 and got.count() == 9 * 56
+    at = {(r["i"], r["j"], r["k"]): r["v"] for r in got.where("block = 0").collect()}
+    assert at[2, 0, 0] == 2.5 and at[-1, 0, 1] == 3.5  # the mean of eight fine cells; across the boundary
+    assert {(r["i"], r["v"]) for r in got.where("block = 1 and j = 0 and k = 0").collect()} >= {(-1, 1.5), (2, 3.25)}
+
+
+def test_creation_accretion_and_steps(spark):
+    cells = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 9.0, -2.0, -1.0), (2, 0.5, 0.0, 0.0, 9.0, -3.0, -1.0), (3, 9.0, 0.0, 0.0, 9.0, -1.0, 1.0), (4, 5.0, 0.0, 0.0, 9.0, -9.0, -1.0), (5, 20.0, 0.0, 0.0, 1.0, -9.0, -1.0)],
+                                  "tag long, x double, y double, z double, dens double, gpot double, div double")
+    held = spark.createDataFrame([(7, 2.0, 5.5, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0), (8, 1.0, 50.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)], "tag long, mass double, x double, y double, z double, vx double, vy double, vz double, lx double, ly double, lz double")
+    assert [r["tag"] for r in sinks.creation_candidates(cells, held, 5.0, 1.0).collect()] == [2]
+    gas = spark.createDataFrame([(7, 1.0, 7.0, 0.0, 0.0, 0.0, -3.0, 0.0)], "sink long, mass double, x double, y double, z double, vx double, vy double, vz double")
+    a, b = sinks.accreted(gas, held).orderBy("tag").collect()
+    assert (a["mass"], a["x"], a["taken"]) == (3.0, 6.0, 1.0) and abs(a["vy"] + 1 / 3) < 1e-12 and b["mass"] == 1.0 and b["taken"] == 0.0
+    assert abs(a["lz"] + 3.0 * (6.0 * a["vy"]) - (2.0 * 5.5 * 1.0 - 7.0 * 3.0)) < 1e-9  # total angular momentum stays
+    assert sinks.time_step(held, 1.0).first()["dt"] == 0.5 and sinks.time_step(held.where("tag = 8"), 1.0).first()["dt"] is None
+    blocks = spark.createDataFrame([(n, float(n), n + 1.0, 0.0, 1.0, 0.0, 1.0) for n in range(10)], "block int, lo_x double, hi_x double, lo_y double, hi_y double, lo_z double, hi_z double")
+    assert {(r["block"], r["sinks"]) for r in sinks.refine_marks(blocks, held, 1.0).collect()} == {(4, 1), (5, 1), (6, 1)}
+
+
+def test_gravity_of_many_packs_is_that_of_one(spark, monkeypatch):
+    p = mesh.phase(spark, SF)
+    points, held = p.where("type = 1").select("tag", "x", "y", "z"), p.where("type = 2")
+    one = {r["tag"]: r["phi"] for r in sinks.gravity(points, held, 0.05).collect()}
+    monkeypatch.setattr(sinks, "PACK", 20)
+    many = {r["tag"]: r["phi"] for r in sinks.gravity(points, held, 0.05).collect()}
+    assert set(one) == set(many) and all(abs(one[t] - many[t]) < 1e-6 for t in one)
+
+
+def test_starfield_keeps_light_and_small_maps(spark):
+    stars = spark.createDataFrame([(1, 5.0, 5.0, 3.0), (2, 2.3, 7.1, 1.0)], "tag long, x double, y double, light double")
+    assert abs(geometry.starfield(stars, 1.5, (0.0, 0.0), 0.25, (40, 40)).agg(F.sum("value")).first()[0] - 4.0) < 1e-9
+    turned = geometry.rotation_sequence(spark.createDataFrame([(1.0, 0.0, 0.0)], "x double, y double, z double"), 4).orderBy("image").collect()
+    assert [(round(r["x"]), round(r["y"])) for r in turned] == [(1, 0), (0, 1), (-1, 0), (0, -1)]
+    seen = spark.createDataFrame([(1, 1, None), (1, 2, 5), (1, 3, None)], "run int, n int, leaf int")
+    assert [r["leaf"] for r in series.carried(seen, ["run"], "n", ["leaf"]).orderBy("n").collect()] == [1, 5, 5]
+    scales = spark.range(1).select(*(c.alias(n) for n, c in models.sink_scales(F.lit(1.0), F.lit(3.0), F.lit(8.0), F.lit(1.0)).items())).first()
+    assert scales["n_eff"] == 32.0 and scales["r_sink"] == 2.5 / 32
