@@ -1,7 +1,7 @@
 """Connected components of a table of links, by alternating large and small stars.
 
 Each round is joins and grouped minima over the links (partial aggregation takes the heat off hubs, and the joins are plain
-equi-joins that Spark may split), written to the shared folder. Nothing but two counts reaches the driver. The number of
+equi-joins that Spark may split), written to the shared folder. Nothing but two counts a round reaches the driver. The number of
 rounds grows with the logarithm of the longest path.
 """
 
@@ -28,7 +28,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         release(stars)
         stars = new
         inner = stars.join(stars.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi")
-        if inner.limit(1).count() == 0:  # no parent has a parent: each component is a star
+        torn = stars.groupBy("child").agg(F.count("*").alias("parents")).where("parents > 1")
+        if inner.limit(1).count() == 0 and torn.limit(1).count() == 0:  # no parent has a parent, each child has one: stars
             break
     else:
         raise RuntimeError("components did not settle")

@@ -230,6 +230,12 @@ def test_components(spark):
     assert got == {n: find(n) for n in parent}
 
 
+@pytest.mark.parametrize("path", [(1, 4, 3, 5, 2), (2, 3, 4, 5, 1), (5, 2, 6, 4, 3, 1), (4, 3, 1, 5, 6, 7, 2), (3, 8, 1, 7, 5, 4, 2, 6)])
+def test_components_of_one_path(spark, path):
+    df = spark.createDataFrame(list(zip(path, path[1:])), "a long, b long")
+    assert sorted((r["node"], r["component"]) for r in components.components(df).collect()) == [(n, 1) for n in sorted(path)]
+
+
 # ---- PII
 def luhn(d):
     values = [int(c) * (1 + k % 2) for k, c in enumerate(reversed(d))]
