@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshquill.llm.common import materialize, table
-from meshquill.llm.line_dedup import without_lines
+from meshquill.llm.line_dedup import SPACE, without_lines
 from meshquill.llm.mixing import mixed
 from meshquill.llm.ngram_join import near_duplicates_removed
 from meshquill.llm.packing import packed
@@ -20,7 +20,7 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without recurring lines; documents of which nothing is left go, n_chars follows the text."""
-    left = without_lines(docs).where("mq_dropped = 0 or trim(text) <> ''")
+    left = without_lines(docs).where((F.col("mq_dropped") == 0) | F.col("text").rlike(rf"[^{SPACE}]"))
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.when(F.col("mq_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return left.select(*docs.columns)

@@ -3,13 +3,16 @@
 The tree has a fixed depth: a line goes by its token count and its leading tokens to a leaf. Tokens with digits are variable
 fields. In a leaf the token that most of its distinct lines have at a place, if at least two and half of them do, is the place's
 constant; the other places are variable. A line belongs to the leaf's template if at least ``likeness`` of its tokens are
-constants; else it is a template of its own (with its variable fields masked). A template that comes up in two or more documents
+constants. Each other line of a leaf is compared with the leaf's lines: two are alike if at least ``likeness`` of their tokens
+agree, and what is linked by likeness has one template, whatever else is in the leaf. Lines that differ in at most d tokens
+agree in one of d + 1 blocks, so only lines that share a block are compared. A template that comes up in two or more documents
 recurs: its lines are dropped, but for the first (smallest id), so that what is said many times is said once.
 
-Lines of fewer than ``least`` tokens are kept: short lines agree by chance. Work on lines is by hashes; tokens are unfolded only
+Every line that is not blank counts. Lines of fewer than ``least`` tokens recur only token by token (digits too): they are too
+short to tell fields from content. Work on lines is by hashes; tokens are unfolded only
 for one line of each distinct form in leaves that hold several. Where the other side is too large for a broadcast, lines are
-shuffled once to meet these, and texts once to meet what is to be dropped; only groups by template, all with partial
-aggregation, can be large.
+shuffled once to meet these, and texts once to meet what is to be dropped; groups by template, with partial aggregation, can
+be large, and so can the pairs of lines that share a block but are not like their leaf's template.
 
 A null text stays null and has no lines; rows with the same id and text are one document, and so are copies of an id with
 another text for the count of documents. Extra columns are kept (names with ``mq_`` are taken).
@@ -21,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, small, table
+from .components import components
 
 LEAST, LEADING, LIKENESS = 6, 3, 0.8
 SPACE = r"\x20\x09-\x0D"
@@ -40,10 +44,27 @@ def tokens_of(line: str) -> Column:
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str, leading: int, least: int) -> DataFrame:
-    """mq_id, mq_text, line, n (tokens), leaf, form."""
-    out = raw_lines(docs, id_col, text_col, least).withColumn("tokens", tokens_of("mq_line")).withColumn("n", F.size("tokens"))
-    leaf = F.xxhash64("n", F.slice("tokens", 1, leading))
-    return out.select("mq_id", "mq_text", "line", "n", leaf.alias("leaf"), F.xxhash64("n", "tokens").alias("form"))
+    """mq_id, mq_text, line, n (tokens), leaf, form of every line that is not blank; a short line is a leaf of its own."""
+    words = F.array_remove(F.split("mq_line", rf"[{SPACE}]+", -1), "")
+    out = raw_lines(docs, id_col, text_col, 1).withColumn("words", words).withColumn("n", F.size("words"))
+    out = out.withColumn("tokens", F.when(F.col("n") < least, F.col("words")).otherwise(tokens_of("mq_line")))
+    form = F.xxhash64("n", "tokens")
+    leaf = F.when(F.col("n") < least, form).otherwise(F.xxhash64("n", F.slice("tokens", 1, leading)))
+    return out.select("mq_id", "mq_text", "line", "n", leaf.alias("leaf"), form.alias("form"))
+
+
+def alike(forms: DataFrame, leading: int, likeness: float) -> DataFrame:
+    """a, b: the nodes of pairs of forms (leaf, form, n, node, like, tokens) that agree in enough tokens and are not both like the leaf's."""
+    room, rest = F.floor(F.col("n") * (1 - likeness) + 1e-9).cast("int"), F.greatest(F.col("n") - leading, F.lit(0))
+    at = lambda k: F.floor(k * rest / (room + 1)).cast("int")
+    blocks = forms.withColumn("k", F.explode(F.sequence(F.lit(0), room)))
+    block = F.slice("tokens", at(F.col("k")) + leading + 1, at(F.col("k") + 1) - at(F.col("k")))
+    keys = materialize(blocks.select(F.xxhash64("leaf", "k", block).alias("key"), "form", "like"), "blocks")
+    a, b = keys.where("not like").select("key", F.col("form").alias("a")), keys.select("key", F.col("form").alias("b"), "like")
+    pairs = a.join(b, "key").where("a < b or (like and a <> b)").select("a", "b").distinct()
+    one, other = (forms.select(F.col("form").alias(x), F.col("node").alias(f"{x}_node"), F.col("n").alias(f"{x}_n"), F.col("tokens").alias(f"{x}_tokens")) for x in "ab")
+    same = F.size(F.filter(F.zip_with("a_tokens", "b_tokens", lambda x, y: x == y), lambda x: x))
+    return pairs.join(one, "a").join(other, "b").where(same >= F.col("a_n") * likeness - 1e-9).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, leading: int = LEADING, likeness: float = LIKENESS) -> DataFrame:
@@ -56,16 +77,20 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sample = materialize(forms.join(busy, "leaf").select("leaf", "form", "n", "leaf_forms", "first.*"), "sample")
     chosen = small(sample.select("mq_id", "mq_text", "line", "leaf", "form"))
     met = raw_lines(docs, id_col, text_col, least).join(chosen, ["mq_id", "mq_text", "line"])  # tokens are made for these lines only
-    tokens = met.select("leaf", "form", tokens_of("mq_line").alias("tokens")).dropDuplicates(["leaf", "form"])
-    places = materialize(tokens.select("leaf", "form", F.posexplode("tokens").alias("place", "token")), "places")
+    hashed = F.transform(tokens_of("mq_line"), lambda t: F.xxhash64(t))
+    tokens = materialize(met.select("leaf", "form", hashed.alias("tokens")).dropDuplicates(["leaf", "form"]), "tokens")
+    places = tokens.select("leaf", "form", F.posexplode("tokens").alias("place", "token"))
     told = places.groupBy("leaf", "place", "token").agg(F.count("*").alias("have"))
     most = told.groupBy("leaf", "place").agg(F.max(F.struct("have", "token")).alias("most"))
     constant = most.join(busy, "leaf").where("most.have >= 2 and most.have * 2 >= leaf_forms").select("leaf", "place", F.col("most.token").alias("token"))
     agree = places.join(constant, ["leaf", "place", "token"]).groupBy("leaf", "form").agg(F.count("*").alias("agree"))
     like = forms.join(agree, ["leaf", "form"], "left").withColumn("like", F.coalesce(F.col("agree") >= F.col("n") * likeness, F.lit(False)))
-    like = materialize(like.withColumn("template", F.when(F.col("like"), F.col("leaf")).otherwise(F.col("form"))), "templates")
-    templates = like.groupBy("template", "like").agg(F.min("first").alias("kept"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("template", "like", "kept")
-    recurring = like.select("leaf", "form", "template", "like").join(templates, ["template", "like"]).select("leaf", "form", "kept")
+    like = materialize(like.withColumn("node", F.when(F.col("like"), F.col("leaf")).otherwise(F.col("form"))), "like")
+    of = components(alike(like.select("leaf", "form", "n", "node", "like").join(tokens, ["leaf", "form"]), leading, likeness))
+    like = like.join(of, "node", "left").withColumn("template", F.coalesce("component", "node"))
+    like = materialize(like.select("leaf", "form", "template", "first", "lo", "hi"), "templates")
+    templates = like.groupBy("template").agg(F.min("first").alias("kept"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("template", "kept")
+    recurring = like.select("leaf", "form", "template").join(templates, "template").select("leaf", "form", "kept")
     out = slim.join(small(materialize(recurring, "recurring")), ["leaf", "form"]).where(F.struct("mq_id", "mq_text", "line") != F.col("kept"))
     return out.groupBy("mq_id", "mq_text").agg(F.collect_list("line").alias("mq_drop"))
 

@@ -271,6 +271,17 @@ def test_lines(spark):
     assert all(r["mq_dropped"] == 0 for r in line_dedup.without_lines(twice.unionAll(twice)).collect())
 
 
+def test_lines_short_and_mixed_leaves(spark):
+    shared = ["the old server {} the main worker process without any problem now", "the old server {} seven green bottles hanging on some garden wall", "the old server {} nothing of what other people had asked before"]
+    texts = [line.format(word) for word in ("restarted", "stopped") for line in shared]  # one leaf, no token in half of it
+    texts += ["All rights reserved.\n\nversion 3", "All  rights reserved.\n\nversion 4", "All rights reserved.\n\nversion 3"]
+    texts += ["we have a plan to move one two", "we have a plan to move six two", "we have a plan of some other kind", "we have a talk to hold on Monday"]
+    got = {r["doc_id"]: r["mq_dropped"] for r in line_dedup.without_lines(docs(spark, texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == [0, 0, 0, 1, 1, 1, 0, 1, 2, 0, 1, 0, 0]
+    left = corpus_pipeline.line_dedup(spark, docs(spark, texts), SF)
+    assert {r["doc_id"] for r in left.collect()} == set(range(len(texts))) - {3, 4, 5, 8, 10}
+
+
 # ---- toxicity
 def test_deobfuscation():
     text = "the idiot is stupid and pathetic moron loser worthless scum trash clown " * 40 + "the of and to in is that with for on " * 200
