@@ -4,7 +4,8 @@
    and make a character language model.
 2. A token that mixes letters with look-alikes (``1d10t``), separators (``i.d.i.o.t``) or long repeats (``idiooot``), and a run of
    single letters (``i d i o t``), is a lattice of characters: each look-alike may stand for its letters, a repeat for one or two,
-   a separator for nothing. Viterbi decoding takes the path of the highest model probability less the channel's costs.
+   a separator for nothing. Viterbi decoding takes the path of the highest model probability less the channel's costs. A run of
+   three or more is read as one word and with word boundaries in the lattice, and its substrings are held against the lexicon.
 3. The features of a restored text are its words and their first 4 to 6 letters (stems inflect). For each feature the toxic and
    other documents that have it are counted over the labelled rows one may learn from; features that a G test finds
    toxic beyond chance make the lexicon, the LEXICON strongest of them.
@@ -40,7 +41,6 @@ CACHED = 100_000
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "*": "aeiou"}
 SEPARATORS = ".-_*~'’"
 EDGES = ".,;:!?\"'()[]{}<>*%&$#@|…“”„«»-_=~^`/\\+"
-LONGEST = 32
 SWAP_COST, REPEAT_COST, SEPARATOR_COST, LETTER_GAIN = 1.0, 0.3, 0.1, 2.5
 HAS_LETTER = re.compile(r"[^\W\d_]")
 REPEATS = re.compile(r"(.)\1\1")
@@ -118,22 +118,40 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def viterbi(model: np.ndarray, token: str) -> str:
+def spaced(options: list[list[tuple[str, float]]]) -> list[list[tuple[str, float]]]:
+    """The lattice with a word boundary before any letter."""
+    out = []
+    for stretch in options:
+        split = [(" ".join(p), cost) for p, cost in stretch if len(p) > 1]
+        out.append([*stretch, *split, *((" " + p, cost) for p, cost in [*stretch, *split] if p)])
+    return out
+
+
+def viterbi(model: np.ndarray, token: str, boundaries: bool = False) -> str:
     """The best reading of a token; the token itself if it has none."""
-    states = {(0, 0): (0.0, "")}
+    states = {(0, 0): (0.0, None)}
     stages = lattice(token)
+    if boundaries:
+        stages = spaced(stages)
     for options in [*stages, [("\n", 0.0)]] if stages else []:
+        options = [(piece, cost - LETTER_GAIN * (len(piece) - piece.count(" ")), codes(piece).tolist() if piece else ()) for piece, cost in options]
         new: dict = {}
-        for (a, b), (score, text) in states.items():
-            for piece, cost in options:
-                s, x, y = score - cost + LETTER_GAIN * len(piece), a, b
-                for k in codes(piece) if piece else ():
+        for (a, b), (score, path) in states.items():
+            for piece, cost, classes in options:
+                s, x, y = score - cost, a, b
+                for k in classes:
                     s += float(model[x, y, k])
-                    x, y = y, int(k)
+                    x, y = y, k
                 if (x, y) not in new or new[x, y][0] < s:
-                    new[x, y] = (s, text + piece)
+                    new[x, y] = (s, (path, piece))
         states = new
-    return max(states.values())[1].strip() if stages else token
+    if not stages:
+        return token
+    path, pieces = max(states.values(), key=lambda v: v[0])[1], []
+    while path:  # back pointers: a long token costs no copies of its reading
+        path, piece = path
+        pieces.append(piece)
+    return "".join(reversed(pieces)).strip()
 
 
 def restore(model: np.ndarray, token: str, cache: dict) -> str:
@@ -143,7 +161,7 @@ def restore(model: np.ndarray, token: str, cache: dict) -> str:
         got = token.strip(EDGES)
         if not got.isalpha() or REPEATS.search(got) or token[0] in "$@":
             inner = token.rstrip(EDGES.replace("$", "").replace("@", "")).lstrip(EDGES.replace("$", "").replace("@", "").replace("(", ""))
-            if HAS_LETTER.search(inner) and 3 <= len(inner) <= LONGEST:
+            if HAS_LETTER.search(inner) and len(inner) >= 3:
                 got = viterbi(model, inner)
         if len(cache) > CACHED:
             cache.clear()
@@ -151,19 +169,52 @@ def restore(model: np.ndarray, token: str, cache: dict) -> str:
     return got
 
 
-def words(model: np.ndarray, text: str | None, cache: dict) -> tuple[set[str], int]:
-    """The restored words of a text and how many tokens it has; runs of four or more single characters are one token."""
+def single_runs(tokens: list[str]) -> list[str]:
+    """Runs of three or more single characters that can be read, joined."""
+    out, run = [], []
+    for t in [*tokens, ""]:
+        if len(t) == 1 and (HAS_LETTER.match(t) or t in LOOKALIKES or t in SEPARATORS):
+            run.append(t)
+        else:
+            if len(run) >= 3:
+                out.append("".join(run))
+            run = []
+    return [r for r in out if HAS_LETTER.search(r)]
+
+
+def words(model: np.ndarray, text: str | None, cache: dict) -> tuple[set[str], int, set[str]]:
+    """The restored words of a text, how many tokens it has, and the readings of runs of single characters, without spaces."""
     tokens = (text or "").lower().split()
     found = {restore(model, t, cache) for t in set(tokens)}
-    single = [i for i, t in enumerate(tokens) if len(t) == 1]
-    start = 0
-    for k in range(1, len(single) + 1):
-        if k == len(single) or single[k] != single[k - 1] + 1:
-            if k - start >= 4:
-                found.add(restore(model, "".join(tokens[i] for i in single[start:k]), cache))
-            start = k
+    runs = set()
+    for run in set(single_runs(tokens)):
+        split = viterbi(model, run, True).split()
+        whole = restore(model, run, cache)
+        found.update(split, [whole])
+        runs |= {"".join(split), whole}
     found.discard("")
-    return found, len(tokens)
+    return found, len(tokens), runs
+
+
+def run_hits(lexicon: dict[str, float], lengths: list[int], run: str) -> dict[str, float]:
+    """Entries of the lexicon in a run: those that do not overlap and weigh most in all."""
+    best: list[tuple[float, int, str]] = [(0.0, 0, "")]
+    for end in range(1, len(run) + 1):
+        top = (best[end - 1][0], end - 1, "")
+        for n in lengths:
+            if n <= end:
+                word = run[end - n : end]
+                weight = max(lexicon.get(word, 0.0), lexicon.get(word + "~", 0.0) if end < len(run) else 0.0)
+                if weight and best[end - n][0] + weight > top[0]:
+                    top = (best[end - n][0] + weight, end - n, word)
+        best.append(top)
+    out, end = {}, len(run)
+    while end:
+        total, before, word = best[end]
+        if word:
+            out[word] = total - best[before][0]
+        end = before
+    return out
 
 
 def features(word: str) -> list[str]:
@@ -189,7 +240,7 @@ def _feature_counts(told, batches):
 
 def numbers(model: np.ndarray, lexicon: dict[str, float], text: str | None, cache: dict, weights: dict) -> list[float]:
     """The four inputs of the logistic model."""
-    found, n = words(model, text, cache)
+    found, n, runs = words(model, text, cache)
     hits = []
     for w in found:
         x = weights.get(w)
@@ -200,6 +251,11 @@ def numbers(model: np.ndarray, lexicon: dict[str, float], text: str | None, cach
             weights[w] = x
         if x:
             hits.append(x)
+    if runs:
+        lengths = sorted({len(f.rstrip("~")) for f in lexicon})
+        more = {w: x for run in runs for w, x in run_hits(lexicon, lengths, run).items()}
+        known = {f.rstrip("~") for w in found for f in features(w)}
+        hits += [x for w, x in more.items() if w not in known]
     return [max(hits, default=0.0), math.log1p(sum(hits)), math.log1p(len(hits)), min(1.0, 10 * len(hits) / max(n, 1))]
 
 

@@ -293,6 +293,19 @@ def test_deobfuscation():
     assert "idiot" in toxicity.words(model, "you i d i o t there", {})[0]
 
 
+def test_runs_of_single_characters():
+    text = "you are a idiot and the ass is here to see it all " * 200
+    codes = np.concatenate([[0, 0], toxicity.codes(f" {text} ")])
+    n = np.bincount((codes[:-2] * 64 + codes[1:-1]) * 64 + codes[2:], minlength=64**3).reshape(64, 64, 64) + 1e-3
+    model, lexicon = np.log(n / n.sum(axis=2, keepdims=True)), {"idiot": 5.0, "idio~": 4.0, "ass": 3.0}
+    for said in ("you are a i d i o t", "y o u i d i o t", "you are a 1 d 1 0 t", "& i d i o t", "id" + "i" * 60 + "ot", "y o u a r e t h e i d i o t a n d h e r e t o s e e i t a l l"):
+        assert toxicity.numbers(model, lexicon, said, {}, {})[0] == 5.0, said
+    assert toxicity.numbers(model, lexicon, "a s s", {}, {})[0] == 3.0
+    assert toxicity.run_hits(lexicon, [3, 4, 5], "youidiotsass") == {"idiot": 5.0, "ass": 3.0}
+    assert toxicity.numbers(model, lexicon, "y o u a r e", {}, {})[0] == 0.0
+    assert len(toxicity.viterbi(model, "ab1" * 5000)) > 0
+
+
 def test_toxicity_edges(spark, odd):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     rows = toxicity.toxicity(odd, labels).collect()
