@@ -12,19 +12,19 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows that a broadcast side may have; larger sides are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes (as Parquet) that a broadcast side may have; larger sides are joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named in spark.checkpoint.dir. Only a local session, which has one machine, may go without."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="meshquill-"))
-    return sc.getCheckpointDir()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="meshquill-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -36,12 +36,33 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def release(df: DataFrame | None) -> None:
+def _folder(df: DataFrame):
+    """The file system and the path of what materialize() wrote."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._meshquill_path)
+    return path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()), path
+
+
+def release(*frames: DataFrame | None) -> None:
     """Delete what materialize() wrote, once nothing reads it any more."""
-    path = getattr(df, "_meshquill_path", None)
-    if path:
-        hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
+    for df in frames:
+        if hasattr(df, "_meshquill_path"):
+            files, path = _folder(df)
+            files.delete(path, True)
+
+
+class Scratch:
+    """materialize() that remembers what it wrote; release() deletes all of it but what is named."""
+
+    def __init__(self) -> None:
+        self.frames: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        self.frames.append(materialize(df, name))
+        return self.frames[-1]
+
+    def release(self, *keep: DataFrame) -> None:
+        release(*(x for x in self.frames if not any(x is k for k in keep)))
+        self.frames = list(keep)
 
 
 def tidy(spark: SparkSession) -> None:
@@ -50,8 +71,15 @@ def tidy(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a materialized side for broadcast if it has at most so many rows; else Spark shuffles both sides."""
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a materialized side for broadcast if it has at most so many rows and bytes; else Spark shuffles both sides.
+
+    A side that materialize() did not write itself must have rows of a fixed width.
+    """
+    if hasattr(df, "_meshquill_path"):
+        files, path = _folder(df)
+        if files.getContentSummary(path).getLength() > size:
+            return df
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 

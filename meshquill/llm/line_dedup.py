@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, small, table
+from .common import Scratch, materialize, small, table
 from .components import components
 
 LEAST, LEADING, LIKENESS = 6, 3, 0.8
@@ -53,13 +53,13 @@ def lines(docs: DataFrame, id_col: str, text_col: str, leading: int, least: int)
     return out.select("mq_id", "mq_text", "line", "n", leaf.alias("leaf"), form.alias("form"))
 
 
-def alike(forms: DataFrame, leading: int, likeness: float) -> DataFrame:
+def alike(forms: DataFrame, leading: int, likeness: float, scratch: Scratch) -> DataFrame:
     """a, b: the nodes of pairs of forms (leaf, form, n, node, like, tokens) that agree in enough tokens and are not both like the leaf's."""
     room, rest = F.floor(F.col("n") * (1 - likeness) + 1e-9).cast("int"), F.greatest(F.col("n") - leading, F.lit(0))
     at = lambda k: F.floor(k * rest / (room + 1)).cast("int")
     blocks = forms.withColumn("k", F.explode(F.sequence(F.lit(0), room)))
     block = F.slice("tokens", at(F.col("k")) + leading + 1, at(F.col("k") + 1) - at(F.col("k")))
-    keys = materialize(blocks.select(F.xxhash64("leaf", "k", block).alias("key"), "form", "like"), "blocks")
+    keys = scratch(blocks.select(F.xxhash64("leaf", "k", block).alias("key"), "form", "like"), "blocks")
     a, b = keys.where("not like").select("key", F.col("form").alias("a")), keys.select("key", F.col("form").alias("b"), "like")
     pairs = a.join(b, "key").where("a < b or (like and a <> b)").select("a", "b").distinct()
     one, other = (forms.select(F.col("form").alias(x), F.col("node").alias(f"{x}_node"), F.col("n").alias(f"{x}_n"), F.col("tokens").alias(f"{x}_tokens")) for x in "ab")
@@ -68,41 +68,44 @@ def alike(forms: DataFrame, leading: int, likeness: float) -> DataFrame:
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, leading: int = LEADING, likeness: float = LIKENESS) -> DataFrame:
-    """mq_id, mq_text, mq_drop: the numbers (from 0) of the lines to drop of each document that has any."""
-    slim = materialize(lines(docs, id_col, text_col, leading, least), "lines")
+    """mq_id, mq_text, mq_drop: the numbers (from 0) of the lines to drop of each document that has any; written to the shared folder."""
+    scratch = Scratch()
+    slim = scratch(lines(docs, id_col, text_col, leading, least), "lines")
     first = F.min(F.struct("mq_id", "mq_text", "line")).alias("first")
     forms = slim.groupBy("leaf", "form", "n").agg(first, F.min("mq_id").alias("lo"), F.max("mq_id").alias("hi"))
-    forms = materialize(forms, "forms")
+    forms = scratch(forms, "forms")
     busy = forms.groupBy("leaf").agg(F.count("*").alias("leaf_forms")).where("leaf_forms > 1")
-    sample = materialize(forms.join(busy, "leaf").select("leaf", "form", "n", "leaf_forms", "first.*"), "sample")
+    sample = scratch(forms.join(busy, "leaf").select("leaf", "form", "n", "leaf_forms", "first.*"), "sample")
     chosen = small(sample.select("mq_id", "mq_text", "line", "leaf", "form"))
     met = raw_lines(docs, id_col, text_col, least).join(chosen, ["mq_id", "mq_text", "line"])  # tokens are made for these lines only
     hashed = F.transform(tokens_of("mq_line"), lambda t: F.xxhash64(t))
-    tokens = materialize(met.select("leaf", "form", hashed.alias("tokens")).dropDuplicates(["leaf", "form"]), "tokens")
+    tokens = scratch(met.select("leaf", "form", hashed.alias("tokens")).dropDuplicates(["leaf", "form"]), "tokens")
     places = tokens.select("leaf", "form", F.posexplode("tokens").alias("place", "token"))
     told = places.groupBy("leaf", "place", "token").agg(F.count("*").alias("have"))
     most = told.groupBy("leaf", "place").agg(F.max(F.struct("have", "token")).alias("most"))
     constant = most.join(busy, "leaf").where("most.have >= 2 and most.have * 2 >= leaf_forms").select("leaf", "place", F.col("most.token").alias("token"))
     agree = places.join(constant, ["leaf", "place", "token"]).groupBy("leaf", "form").agg(F.count("*").alias("agree"))
     like = forms.join(agree, ["leaf", "form"], "left").withColumn("like", F.coalesce(F.col("agree") >= F.col("n") * likeness, F.lit(False)))
-    like = materialize(like.withColumn("node", F.when(F.col("like"), F.col("leaf")).otherwise(F.col("form"))), "like")
-    of = components(alike(like.select("leaf", "form", "n", "node", "like").join(tokens, ["leaf", "form"]), leading, likeness))
+    like = scratch(like.withColumn("node", F.when(F.col("like"), F.col("leaf")).otherwise(F.col("form"))), "like")
+    of = components(alike(like.select("leaf", "form", "n", "node", "like").join(tokens, ["leaf", "form"]), leading, likeness, scratch))
     like = like.join(of, "node", "left").withColumn("template", F.coalesce("component", "node"))
-    like = materialize(like.select("leaf", "form", "template", "first", "lo", "hi"), "templates")
+    like = scratch(like.select("leaf", "form", "template", "first", "lo", "hi"), "templates")
     templates = like.groupBy("template").agg(F.min("first").alias("kept"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("template", "kept")
     recurring = like.select("leaf", "form", "template").join(templates, "template").select("leaf", "form", "kept")
-    out = slim.join(small(materialize(recurring, "recurring")), ["leaf", "form"]).where(F.struct("mq_id", "mq_text", "line") != F.col("kept"))
-    return out.groupBy("mq_id", "mq_text").agg(F.collect_list("line").alias("mq_drop"))
+    out = slim.join(small(scratch(recurring, "recurring")), ["leaf", "form"]).where(F.struct("mq_id", "mq_text", "line") != F.col("kept"))
+    out = materialize(out.groupBy("mq_id", "mq_text").agg(F.collect_list("line").alias("mq_drop")), "dropped")
+    scratch.release()
+    return out
 
 
 def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with mq_dropped (lines dropped) and the text less these lines."""
-    gone = materialize(dropped_lines(docs, id_col, text_col, **options), "dropped")
+    gone = dropped_lines(docs, id_col, text_col, **options)
     keyed = docs.withColumn("mq_hash", F.xxhash64(text_col))
     joined = keyed.join(small(gone), (keyed[id_col] == gone["mq_id"]) & (keyed["mq_hash"] == gone["mq_text"]), "left")
     parts = F.split(F.col(text_col), "\n", -1)
-    numbered = F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
-    kept = F.transform(F.filter(numbered, lambda p: ~F.array_contains("mq_drop", p["i"])), lambda p: p["x"])
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("mq_drop"))  # by hash: linear in lines
+    kept = F.transform(left, lambda i: F.get(parts, i))
     text = F.when(F.col("mq_drop").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     return joined.withColumn(text_col, text).withColumn("mq_dropped", F.coalesce(F.size("mq_drop"), F.lit(0))).drop("mq_hash", "mq_id", "mq_text", "mq_drop")
 

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, release, slices, small, table, tidy
+from .common import Scratch, materialize, release, slices, small, table, tidy
 from .components import components
 
 HEAVY = 200_000
@@ -196,10 +196,10 @@ def check(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, a row for each row of docs."""
-    spark = docs.sparkSession
+    spark, scratch = docs.sparkSession, Scratch()
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     counted = docs.select("text").mapInArrow(partial(_statistics, width), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    counted = materialize(counted, "counts")
+    counted = scratch(counted, "counts")
     sizes = {r["key"]: r["n"] for r in counted.where("kind = 1").collect()}  # LARGEST_SMALL rows
     heavy = counted.where("kind = 0").orderBy(F.desc("n"), "key").limit(HEAVY).select(F.col("key").cast("long"), "n").toPandas()
     often = heavy["key"].to_numpy(np.int64).view(np.uint64)
@@ -208,7 +208,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     edge = boundary(sizes, percent)
 
     keyed = docs.mapInArrow(partial(_keys, width, percent, edge, told), "doc_id long, n long, h1 long, h2 long, lists array<long>, subsets array<long>")
-    keyed = materialize(keyed, "keys")
+    keyed = scratch(keyed, "keys")
     slim = keyed.select("doc_id", "n", "h1", "h2")
     nodes = slim.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("node"))
     nodes = materialize(nodes, "nodes")
@@ -217,15 +217,15 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     exploded = exploded.unionByName(of_nodes.select("doc_id", "n", F.explode("subsets").alias("key"), F.lit(-1).alias("pos")))
     shared = exploded.groupBy("key").agg(F.count("*").alias("mq_rows")).where("mq_rows > 1").select("key")
     members = exploded.join(shared, "key").select("key", F.col("doc_id").alias("node"), F.col("n").cast("int").alias("n"), "pos")
-    members = materialize(members, "members")
+    members = scratch(members, "members")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs that link, by the full sets of the documents in them."""
-        pairs = materialize(pairs, "pairs")
-        asked = materialize(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct(), "asked")
+        pairs = scratch(pairs, "pairs")
+        asked = scratch(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct(), "asked")
         sets = docs.join(small(asked), "doc_id", "left_semi").mapInArrow(partial(_sets, width), "node long, shingles binary")
         sets = materialize(sets, "sets")
-        out = materialize(check(pairs, sets, percent), "checked")
+        out = scratch(check(pairs, sets, percent), "checked")
         release(sets)
         tidy(spark)
         return out
@@ -238,14 +238,14 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
 
     lead = members.groupBy("key").agg(F.min(F.struct("pos", "node", "n")).alias("lead"))
     stars = members.join(lead, "key").where((F.col("node") != F.col("lead.node")) & room(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos")))
-    stars = materialize(stars.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct(), "stars")
+    stars = scratch(stars.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct(), "stars")
     repeated = slim.where("n > 0").join(nodes, ["h1", "h2", "n"]).select("doc_id", "node").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("a", "b")
-    links = materialize(linked(stars).unionAll(repeated), "links")
-    of = materialize(components(links), "components")
+    links = scratch(linked(stars).unionAll(repeated), "links")
+    of = scratch(components(links), "components")
 
     labelled = members.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rest = materialize(labelled.join(split, "key"), "rest")
+    rest = scratch(labelled.join(split, "key"), "rest")
     x, y = rest.alias("x"), rest.alias("y")
     apart = (F.col("x.component") != F.col("y.component")) & (F.col("x.node") < F.col("y.node"))
     apart &= room(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), WITNESSES - 1)
@@ -256,6 +256,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     pairs = met.where((F.col("kind") == 1) | (F.col("common") >= F.least(F.lit(WITNESSES), need - behind))).select("a", "b")
     of = materialize(components(links.unionAll(linked(pairs.join(stars, ["a", "b"], "left_anti")))), "components")
     named = nodes.join(small(of), "node", "left").select("h1", "h2", "n", F.coalesce("component", "node").alias("mq_component"))
+    scratch.release(keyed)  # the result reads the keys, the nodes and their components
     out = slim.join(named, ["h1", "h2", "n"], "left")
     alone = F.col("doc_id").isNull() | (F.col("n") == 0)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("mq_component")).alias("component_id"))
