@@ -18,10 +18,13 @@ PACK = 1024
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A checkpoint in the session's folder; a temporary folder only where the session names none."""
+    """A checkpoint in the session's folder; only a local session, which has one machine, may go without one."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="meshquill-"))
+    if spark.sparkContext.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="meshquill-"))
     return df.checkpoint()
 
 
