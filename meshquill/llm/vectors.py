@@ -3,16 +3,20 @@
 1. Each vector is rotated by three rounds of random signs and a Hadamard transform, HASHES * TABLES times; a hash is the axis
    (and its sign) nearest to the rotated vector. A table's bucket joins HASHES hashes; the second bucket of a vector exchanges the
    hash of the smallest margin for its runner-up (multiprobe).
-2. Vectors that are equal, component by component, count as one with a weight, so exact copies cost nothing more.
-3. Bucket entries are ids only. Buckets of one entry, or without a main entry, fall away; vectors travel only for the rest. A
-   bucket of more than BLOCK entries is split by a hash of the id into blocks, and each pair of blocks is one group.
-4. A group compares its rows in one matrix product in double precision. Of the pairs at or above the threshold it adds up
+2. Vectors that are equal once scaled to length 1, component by component, are one form with a weight, so exact copies cost
+   nothing more. Forms get a number when their table is written.
+3. Bucket entries are numbers only. Buckets of one entry, or without a main entry, fall away; vectors travel only for the rest. A
+   bucket of more than ``block`` entries is split by a hash into blocks, and each pair of blocks is one group: n different
+   vectors of one bucket are copied n / block times, and the n**2 products, which exact counts of links take, are shared by the groups.
+4. A group compares its rows by matrix products of TILE rows in double precision. Of the pairs at or above the threshold it adds up
    links per vector, without a row for each pair, and sends on a spanning forest. A pair that meets in several buckets counts in the
    first only: rows carry their bucket codes of all tables.
-5. Links are summed by vector; forests go to connected components.
+5. Links are summed by vector; forests go to connected components, which take the smallest id of their vectors.
 
-Null, zero, or non-finite vectors link with nothing; so do vectors of different lengths. Equal ids are one vector_id: each row
-gets its own row out. Empty tables give empty results; extra columns are ignored.
+Links have a cosine at or above the threshold by an exact product; hashing may miss some. Measured recall is in the README and held
+by a test. Null, zero, or non-finite vectors link with nothing; so do vectors of different lengths. Each row is a vector of its own and
+gets its own row out, also where ids repeat, with equal vectors or others; a null id counts for others' links and never names a component
+that has an id. Empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import Scratch, materialize, slices, table
 from .components import components
 
 TABLES, HASHES, SEED = 12, 3, 41
-BLOCK = 1024
+BLOCK, TILE = 4096, 1024
 THRESHOLD = 0.95
 
 
@@ -71,60 +75,74 @@ def buckets(x: np.ndarray, tables: int = TABLES, hashes: int = HASHES, seed: int
 
 
 def _codes(tables: int, hashes: int, batches):
-    """rep, raw bytes, length and codes of valid vectors, one row each."""
-    for batch in batches:
-        ids, raw, dims, mains, probes = [], [], [], [], []
+    """vec_id, raw bytes, length and codes of each row; nulls for vectors that link with nothing."""
+    for batch in slices(batches, 1024):
+        n = batch.num_rows
+        raw, dims, mains, probes = [None] * n, [None] * n, [None] * n, [None] * n
         by_dim: dict[int, list] = {}
-        for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for i, v in enumerate(batch.column(1).to_pylist()):
             if v and None not in v:
                 by_dim.setdefault(len(v), []).append((i, v))
         for dim, rows in by_dim.items():
             x = np.array([v for _, v in rows], np.float64)
-            norm = np.sqrt((x * x).sum(axis=1))
-            good = np.isfinite(x).all(axis=1) & np.isfinite(norm) & (norm > 0)
+            with np.errstate(all="ignore"):
+                x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])  # an exact scale keeps squares in range
+                norm = np.sqrt((x * x).sum(axis=1))
+                good = np.isfinite(norm) & (norm > 0)
             if not good.any():
                 continue
-            x = x[good] / norm[good, None]
+            x = x[good] / norm[good, None] + 0.0
             main, probe = buckets(x, tables, hashes)
-            ids += [i for (i, _), g in zip(rows, good) if g]
-            raw += [r.tobytes() for r in x]
-            dims += [dim] * len(x)
-            mains += list(main)
-            probes += list(probe)
+            for k, i in enumerate(np.array([i for i, _ in rows])[good]):
+                raw[i], dims[i], mains[i], probes[i] = x[k].tobytes(), dim, main[k], probe[k]
         longs = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raw, pa.binary()), pa.array(dims, pa.int32()), pa.array(mains, longs), pa.array(probes, longs)], ["vec_id", "unit", "dim", "main", "probe"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary()), pa.array(dims, pa.int32()), pa.array(mains, longs), pa.array(probes, longs)], ["vec_id", "unit", "dim", "main", "probe"])
 
 
 def _group(threshold, t, cross, rep, weight, side, main_here, x, main, probe):
-    """(vector, links) and forest edges of one group of rows."""
-    near = (x @ x.T >= threshold) & (main_here[:, None] | main_here[None, :])
-    np.fill_diagonal(near, False)
-    if cross:
-        near &= side[:, None] != side[None, :]
-    a, b = np.nonzero(np.triu(near))
-    if not len(a):
-        return [], []
-    edges, seen = [], np.zeros(len(rep), bool)
-    for s in np.unique(a):
-        if seen[s]:
-            continue
-        seen[s] = True
-        front = np.array([s])
-        while len(front):
-            new = near[front].any(axis=0) & ~seen
-            seen |= new
-            front = np.flatnonzero(new)
-            edges += [(int(rep[s]), int(rep[v])) for v in front]
-    fresh = np.ones(len(a), bool)
-    for e in range(t):
-        fresh &= ~((main[a, e] == main[b, e]) | (main[a, e] == probe[b, e]) | (probe[a, e] == main[b, e]))
-    one, two = main[a, t] == probe[b, t], main[b, t] == probe[a, t]  # a pair with two buckets in this table counts in the lower
-    here = np.where(main_here[a], main[a, t], main[b, t])
-    fresh &= ~(one & two & (main[a, t] != main[b, t]) & (here != np.minimum(main[a, t], main[b, t])))
-    a, b = a[fresh], b[fresh]
-    links = np.bincount(a, weight[b], len(rep)) + np.bincount(b, weight[a], len(rep))
+    """(vector, links) and forest edges of one group of rows, tile by tile."""
+    n, links = len(rep), np.zeros(len(rep), np.int64)
+    parent = np.arange(n)
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    edges = []
+    for p in range(0, n, TILE):
+        for q in range(p, n, TILE):
+            left, right = slice(p, p + TILE), slice(q, q + TILE)
+            near = (x[left] @ x[right].T >= threshold) & (main_here[left, None] | main_here[None, right])
+            if cross:
+                near &= side[left, None] != side[None, right]
+            if p == q:
+                near = np.triu(near, 1)
+            a, b = np.nonzero(near)
+            if not len(a):
+                continue
+            a, b = a + p, b + q
+            c, d = a, b
+            while len(c):  # each round joins every row to a first partner; pairs within a tree then fall away
+                for i in {*np.unique(c, return_index=True)[1].tolist(), *np.unique(d, return_index=True)[1].tolist()}:
+                    r, o = root(c[i]), root(d[i])
+                    if r != o:
+                        parent[max(r, o)] = min(r, o)
+                        edges.append((int(rep[c[i]]), int(rep[d[i]])))
+                while (parent != parent[parent]).any():
+                    parent = parent[parent]
+                apart = parent[c] != parent[d]
+                c, d = c[apart], d[apart]
+            fresh = np.ones(len(a), bool)
+            for e in range(t):
+                fresh &= ~((main[a, e] == main[b, e]) | (main[a, e] == probe[b, e]) | (probe[a, e] == main[b, e]))
+            one, two = main[a, t] == probe[b, t], main[b, t] == probe[a, t]  # a pair with two buckets in this table counts in the lower
+            here = np.where(main_here[a], main[a, t], main[b, t])
+            fresh &= ~(one & two & (main[a, t] != main[b, t]) & (here != np.minimum(main[a, t], main[b, t])))
+            a, b = a[fresh], b[fresh]
+            links += np.bincount(a, weight[b], n).astype(np.int64) + np.bincount(b, weight[a], n).astype(np.int64)
     at = np.flatnonzero(links)
-    return list(zip(rep[at].tolist(), links[at].astype(np.int64).tolist())), edges
+    return list(zip(rep[at].tolist(), links[at].tolist())), edges
 
 
 def _compare(threshold: float, batches):
@@ -168,32 +186,38 @@ def _compare(threshold: float, batches):
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, tables: int = TABLES, hashes: int = HASHES, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
+    scratch = Scratch()
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    coded = materialize(rows.where("vec_id is not null").mapInArrow(partial(_codes, tables, hashes), "vec_id long, unit binary, dim int, main array<long>, probe array<long>"), "codes")
-    named = coded.select("vec_id", F.sha2("unit", 256).alias("form"))
-    forms = materialize(named.groupBy("form").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "forms")
-    singles = coded.withColumn("form", F.sha2("unit", 256)).join(forms, "form").where("vec_id = rep").dropDuplicates(["form"])
-    singles = materialize(singles.select("rep", "form", "weight", "unit", "dim", "main", "probe"), "vectors")
+    coded = rows.mapInArrow(partial(_codes, tables, hashes), "vec_id long, unit binary, dim int, main array<long>, probe array<long>")
+    coded = scratch(coded.withColumn("form", F.sha2("unit", 256)), "codes")
+    some = F.struct("unit", "dim", "main", "probe")
+    forms = coded.where("form is not null").groupBy("form").agg(F.min("vec_id").alias("low"), F.count("*").alias("weight"), F.first(some).alias("some"))
+    forms = scratch(forms.select(F.monotonically_increasing_id().alias("rep"), "form", "low", "weight", "some.*"), "forms")
     mains = F.transform("main", lambda x, i: F.struct(i.alias("t"), x.alias("code"), F.lit(1).alias("here")))
     probes = F.transform("probe", lambda x, i: F.struct(i.alias("t"), x.alias("code"), F.lit(0).alias("here")))
-    entries = singles.select("form", "dim", F.explode(F.concat(mains, probes)).alias("e")).select("form", "dim", "e.*")
+    entries = forms.select("rep", "dim", F.explode(F.concat(mains, probes)).alias("e")).select("rep", "dim", "e.*")
     key = ["t", "code", "dim"]
     full = entries.groupBy(*key).agg(F.count("*").alias("rows"), F.sum("here").alias("mains")).where("rows > 1 and mains > 0").select(*key, "rows")
     busy = entries.join(full, key).withColumn("blocks", F.ceil(F.col("rows") / block).cast("int"))
-    side = F.pmod(F.xxhash64("form"), F.col("blocks")).cast("int")
+    side = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     busy = busy.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    busy = busy.select("form", *key, "here", "side", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"))
-    moved = busy.join(singles.drop("dim"), "form").select(*key, "lo", "hi", "side", "here", "rep", "weight", "unit", "main", "probe")
+    busy = busy.select("rep", *key, "here", "side", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"))
+    moved = busy.join(forms.drop("dim", "form", "low"), "rep").select(*key, "lo", "hi", "side", "here", "rep", "weight", "unit", "main", "probe")
     group = [*key, "lo", "hi"]
     compared = moved.repartition(*group).sortWithinPartitions(*group).mapInArrow(partial(_compare, threshold), "a long, b long, n long")
-    compared = materialize(compared, "compared")
+    compared = scratch(compared, "compared")
     counts = compared.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("more"))
     of = components(compared.where("b is not null").select("a", "b"))
-    per_form = forms.join(counts, "rep", "left").join(of.withColumnRenamed("node", "rep"), "rep", "left")
-    per_form = per_form.select("form", (F.col("weight") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    found = named.join(per_form, "form").select("vec_id", "n_links", "component_id").dropDuplicates(["vec_id"])
-    out = rows.select("vec_id").join(found, "vec_id", "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    met = forms.select("rep", "form", "low", "weight").join(counts, "rep", "left").join(of.withColumnRenamed("node", "rep"), "rep", "left")
+    met = scratch(met.select("form", "low", "weight", "more", F.coalesce("component", "rep").alias("component")), "forms")
+    lowest = met.groupBy("component").agg(F.min("low").alias("component_id"))
+    per_form = met.join(lowest, "component").select("form", (F.col("weight") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), "component_id")
+    per_form = materialize(per_form, "links")
+    ids = materialize(coded.select("vec_id", "form"), "ids")
+    scratch.release()
+    out = ids.join(per_form, "form", "left")
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id")).alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
