@@ -1,15 +1,19 @@
 """Toxicity: noisy-channel deobfuscation, then a score of the restored text.
 
 1. Letter trigrams are counted over every document (the counts grow with the corpus, their number is bounded by CLASSES**3)
-   and make a character language model.
-2. A token that mixes letters with look-alikes (``1d10t``), separators (``i.d.i.o.t``) or long repeats (``idiooot``), and a run of
-   single letters (``i d i o t``), is a lattice of characters: each look-alike may stand for its letters, a repeat for one or two,
-   a separator for nothing. Viterbi decoding takes the path of the highest model probability less the channel's costs. A run of
-   three or more is read as one word and with word boundaries in the lattice, and its substrings are held against the lexicon.
-3. The features of a restored text are its words and their first 4 to 6 letters (stems inflect). For each feature the toxic and
+   and make a character language model. Letters of other scripts share classes by a hash.
+2. Text is lower-cased and folded (compatibility forms, invisible characters and stray combining marks). A token is then a lattice of
+   characters: a look-alike (``1d10t``, Cyrillic or Greek letters, accents) may stand for its letters, a repeat (``idiooot``) for one or
+   two, any other sign (``i.d.i.o.t``, ``i/d/i/o/t``) for nothing or a word boundary. Viterbi decoding takes the path of the highest model
+   probability less the channel's costs. A run of three or more single characters (``i d i o t``) is read as one word and with word
+   boundaries in the lattice, and its substrings are held against the lexicon.
+3. A token of letters alone is decoded only if its skeleton (no accents, no repeats, look-alikes replaced) is that of an entry of the
+   lexicon, for no other reading could change the score. Neighbouring tokens that make an entry together (``tra sh``) are one word
+   if the model finds that likelier than the space.
+4. The features of a restored text are its words and their first 4 to 6 letters (stems inflect). For each feature the toxic and
    other documents that have it are counted over the labelled rows one may learn from; features that a G test finds
    toxic beyond chance make the lexicon, the LEXICON strongest of them.
-4. A logistic model of four numbers (strongest weight, log of the sum, log of the count, share of words) gives the score.
+5. A logistic model of four numbers (strongest weight, log of the sum, log of the count, share of words) gives the score.
 
 Labels are learnt from at most MAX_LABELLED rows (the smallest hashes of the id), never from rows whose crc32(id) mod 3 is 1.
 Labels, language, source and id are no inputs of a score. Null and empty texts have no features and get the score of such texts;
@@ -20,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from functools import partial
 
@@ -34,21 +39,30 @@ MAX_LABELLED = 100_000
 MAX_FITTED = 20_000
 LEXICON = 5_000
 THRESHOLD = 0.7
-CLASSES = 64
-BLOCK = 500_000
-CACHED = 100_000
+CLASSES = 128
+BLOCK = 4_000_000
+CACHED = 150_000
 #: What a look-alike may stand for.
-LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "*": "aeiou"}
-SEPARATORS = ".-_*~'’"
+LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "*": "aeiou",
+              "а": "a", "в": "b", "с": "c", "е": "e", "ё": "e", "н": "h", "і": "i", "ї": "i", "ј": "j", "к": "k", "м": "m", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x", "ԁ": "d", "һ": "h", "ӏ": "l", "г": "r",
+              "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "μ": "u", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "ı": "i", "ł": "l", "ø": "o", "ɑ": "a", "ɡ": "g"}
 EDGES = ".,;:!?\"'()[]{}<>*%&$#@|…“”„«»-_=~^`/\\+"
-SWAP_COST, REPEAT_COST, SEPARATOR_COST, LETTER_GAIN = 1.0, 0.3, 0.1, 2.5
+SWAP_COST, REPEAT_COST, SEPARATOR_COST, BOUNDARY_COST, GAP_COST, LETTER_GAIN = 1.0, 0.3, 0.1, 1.5, 1.0, 2.5
 HAS_LETTER = re.compile(r"[^\W\d_]")
 REPEATS = re.compile(r"(.)\1\1")
+TWICE = re.compile(r"(.)\1+")
+_EDGE = f"[{re.escape(EDGES)}]"
+_SINGLE = rf"(?:{_EDGE}(?!\S)|{_EDGE}*+[^\s{re.escape(EDGES)}]{_EDGE}*+(?!\S))"
+SINGLES = re.compile(rf"(?<!\S){_SINGLE}(?:\s++{_SINGLE}){{2,}}+")
+UNSEEN = re.compile("[\u00ad\u0300-\u036f\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u20d0-\u20ff\ufe00-\ufe0f\ufeff]")
 
 
 def letter_classes() -> np.ndarray:
-    """Class of each latin-1 byte: 0 other, 1-26 a-z, then the accented letters."""
-    out = np.zeros(256, np.int64)
+    """Class of each code point below 0x30000: 0 other, 1-26 a-z, then the accented letters of Latin-1, then hashes of other letters."""
+    out = np.zeros(0x30000, np.uint8)
+    for c in range(0x100, 0x30000):
+        if not 0xD800 <= c < 0xE000 and chr(c).isalpha():
+            out[c] = 60 + c % 68
     for i, c in enumerate("abcdefghijklmnopqrstuvwxyz"):
         out[ord(c)] = i + 1
     for i, c in enumerate(range(0xDF, 0x100)):
@@ -60,7 +74,17 @@ CLASS = letter_classes()
 
 
 def codes(text: str) -> np.ndarray:
-    return CLASS[np.frombuffer(text.encode("latin-1", "replace"), np.uint8)]
+    return CLASS[np.minimum(np.frombuffer(text.encode("utf-32-le"), "<u4"), len(CLASS) - 1)].astype(np.int64)
+
+
+def folded(text: str) -> str:
+    """Lower case, compatibility forms, nothing invisible."""
+    text = text.lower()
+    if text.isascii():
+        return text
+    if not unicodedata.is_normalized("NFKC", text):
+        text = unicodedata.normalize("NFKC", text).lower()
+    return UNSEEN.sub("", text)
 
 
 def counted(held: list[np.ndarray]) -> np.ndarray:
@@ -73,7 +97,7 @@ def _trigrams(batches):
     for batch in slices(batches):
         for text in batch.column(0).to_pylist():
             if text:
-                held.append(codes(f" {text.lower()} "))
+                held.append(codes(f" {folded(text)} "))
                 size += len(held[-1])
             if size > BLOCK:
                 total += counted(held)
@@ -95,6 +119,11 @@ def language_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return np.log((three + 5 * p2) / (three.sum(axis=2, keepdims=True) + 5)).astype(np.float32)
 
 
+def base_letter(c: str) -> str:
+    """The letter below an accent; '' if there is none."""
+    return (unicodedata.normalize("NFD", c)[0] if not c.isascii() and unicodedata.decomposition(c) else "").lower()
+
+
 def lattice(token: str) -> list[list[tuple[str, float]]]:
     """For each stretch of the token, what it may stand for and the channel's cost."""
     out: list[list[tuple[str, float]]] = []
@@ -104,14 +133,16 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
         while j < len(token) and token[j] == c:
             j += 1
         run, i = j - i, j
-        letters = [(c, 0.0)] if HAS_LETTER.match(c) else [(x, SWAP_COST) for x in LOOKALIKES.get(c, "")]
+        letters = [(x, SWAP_COST) for x in LOOKALIKES.get(c, "") + base_letter(c)]
+        if HAS_LETTER.match(c):
+            letters.append((c, 0.0))
         options = []
         for x, cost in letters:
             options.append((x, cost + REPEAT_COST * (run > 1)))
             if run > 1:
                 options.append((x + x, cost + (REPEAT_COST if run > 2 else 0.0)))
-        if c in SEPARATORS:
-            options.append(("", SEPARATOR_COST))
+        if not c.isalnum():
+            options += [("", SEPARATOR_COST), (" ", BOUNDARY_COST)]
         if not options:
             return []
         out.append(options)
@@ -123,7 +154,7 @@ def spaced(options: list[list[tuple[str, float]]]) -> list[list[tuple[str, float
     out = []
     for stretch in options:
         split = [(" ".join(p), cost) for p, cost in stretch if len(p) > 1]
-        out.append([*stretch, *split, *((" " + p, cost) for p, cost in [*stretch, *split] if p)])
+        out.append([*stretch, *split, *((" " + p, cost) for p, cost in [*stretch, *split] if p.strip())])
     return out
 
 
@@ -154,12 +185,17 @@ def viterbi(model: np.ndarray, token: str, boundaries: bool = False) -> str:
     return "".join(reversed(pieces)).strip()
 
 
+def looks_like(token: str) -> bool:
+    """Whether a token has letters of other scripts that may stand for Latin ones, among these or all alike."""
+    return not token.isascii() and any(c in LOOKALIKES for c in token) and (any("a" <= c <= "z" for c in token) or all(c in LOOKALIKES for c in token))
+
+
 def restore(model: np.ndarray, token: str, cache: dict) -> str:
-    """The word behind a token in lower case."""
+    """The word behind a token of a folded text; with spaces where it holds several."""
     got = cache.get(token)
     if got is None:
         got = token.strip(EDGES)
-        if not got.isalpha() or REPEATS.search(got) or token[0] in "$@":
+        if not got.isalpha() or REPEATS.search(got) or token[0] in "$@" or looks_like(got):
             inner = token.rstrip(EDGES.replace("$", "").replace("@", "")).lstrip(EDGES.replace("$", "").replace("@", "").replace("(", ""))
             if HAS_LETTER.search(inner) and len(inner) >= 3:
                 got = viterbi(model, inner)
@@ -169,34 +205,91 @@ def restore(model: np.ndarray, token: str, cache: dict) -> str:
     return got
 
 
-def single_runs(tokens: list[str]) -> list[str]:
-    """Runs of three or more single characters that can be read, joined."""
-    out, run = [], []
-    for t in [*tokens, ""]:
-        if len(t) == 1 and (HAS_LETTER.match(t) or t in LOOKALIKES or t in SEPARATORS):
-            run.append(t)
-        else:
-            if len(run) >= 3:
-                out.append("".join(run))
-            run = []
+PLAIN = {c: base_letter(chr(c)) for c in range(0xC0, 0x250) if base_letter(chr(c))} | {ord(c): x[0] for c, x in LOOKALIKES.items()}
+
+
+def skeleton(word: str) -> str:
+    """A word without accents and repeats, look-alikes replaced by the first letter they stand for."""
+    return TWICE.sub(r"\1", word if word.isascii() else word.translate(PLAIN))
+
+
+def single_runs(text: str) -> list[str]:
+    """Runs of three or more single characters that can be read, joined; edges around each do not count."""
+    out = ["".join(t if len(t) < 2 else t.strip(EDGES) for t in m[0].split()) for m in SINGLES.finditer(text)]
     return [r for r in out if HAS_LETTER.search(r)]
 
 
-def words(model: np.ndarray, text: str | None, cache: dict) -> tuple[set[str], int, set[str]]:
-    """The restored words of a text, how many tokens it has, and the readings of runs of single characters, without spaces."""
-    tokens = (text or "").lower().split()
-    found = {restore(model, t, cache) for t in set(tokens)}
+def words(model: np.ndarray, text: str | None, cache: dict) -> tuple[set[str], list[str], set[str], dict[str, str]]:
+    """The restored words of a text, its tokens, the readings of runs of single characters (without spaces), and of each token."""
+    text = folded(text or "")
+    tokens = text.split()
+    read = {t: cache.get(t) or restore(model, t, cache) for t in set(tokens)}
+    found = set(read.values())
+    for r in [r for r in found if " " in r]:
+        found.remove(r)
+        found.update(r.split(), [r.replace(" ", "")])
     runs = set()
-    for run in set(single_runs(tokens)):
+    for run in set(single_runs(text)):
         split = viterbi(model, run, True).split()
-        whole = restore(model, run, cache)
+        whole = restore(model, run, cache).replace(" ", "")
         found.update(split, [whole])
         runs |= {"".join(split), whole}
     found.discard("")
-    return found, len(tokens), runs
+    return found, tokens, runs, read
+
+
+class Lexicon:
+    """Weights of features, and what tells which tokens could be read as one of them."""
+
+    def __init__(self, weights: dict[str, float]) -> None:
+        self.weights = weights
+        self.words = {f for f in weights if not f.endswith("~")}
+        self.heads = {f[:k] for f in self.words for k in range(1, len(f))}
+        self.tails = {f[k:] for f in self.words for k in range(1, len(f))}
+        self.skeletons = {skeleton(f) for f in weights}
+        self.stems = sorted({len(x) - 1 for x in self.skeletons if x.endswith("~")})
+        self.lengths = sorted({len(f.rstrip("~")) for f in weights})
+
+    def weight(self, word: str) -> float:
+        return max((self.weights.get(f, 0.0) for f in features(word)), default=0.0)
+
+    def resembles(self, word: str) -> bool:
+        """Whether a word that is no entry has the skeleton of one."""
+        if word.isascii() and not TWICE.search(word):
+            return False
+        plain = skeleton(word)
+        if plain in self.skeletons:
+            return True
+        for k in self.stems:
+            if plain[:k] + "~" in self.skeletons:
+                return True
+        return False
+
+
+def log_likelihood(model: np.ndarray, text: str) -> float:
+    c = np.concatenate([[0, 0], codes(f"{text} ")])
+    return float(model[c[:-2], c[1:-1], c[2:]].sum())
+
+
+def joined_words(model: np.ndarray, lexicon: Lexicon, found: set[str], tokens: list[str], read: dict[str, str]) -> set[str]:
+    """Entries of the lexicon that neighbouring tokens make together, if the model takes the word to be likelier than the parts."""
+    out: set[str] = set()
+    heads = lexicon.heads & found
+    if not heads or lexicon.tails.isdisjoint(found):
+        return out
+    readings = [read[t] for t in tokens]
+    for i in [i for i, r in enumerate(readings) if r in heads]:
+        word = readings[i]
+        for j in range(i + 1, len(readings)):
+            word += readings[j]
+            if word in lexicon.words and log_likelihood(model, word) - GAP_COST * (j - i) >= log_likelihood(model, " ".join(readings[i : j + 1])):
+                out.add(word)
+            if not readings[j] or word not in lexicon.heads:
+                break
+    return out
 
 
-def run_hits(lexicon: dict[str, float], lengths: list[int], run: str) -> dict[str, float]:
+def run_hits(weights: dict[str, float], lengths: list[int], run: str) -> dict[str, float]:
     """Entries of the lexicon in a run: those that do not overlap and weigh most in all."""
     best: list[tuple[float, int, str]] = [(0.0, 0, "")]
     for end in range(1, len(run) + 1):
@@ -204,7 +297,7 @@ def run_hits(lexicon: dict[str, float], lengths: list[int], run: str) -> dict[st
         for n in lengths:
             if n <= end:
                 word = run[end - n : end]
-                weight = max(lexicon.get(word, 0.0), lexicon.get(word + "~", 0.0) if end < len(run) else 0.0)
+                weight = max(weights.get(word, 0.0), weights.get(word + "~", 0.0) if end < len(run) else 0.0)
                 if weight and best[end - n][0] + weight > top[0]:
                     top = (best[end - n][0] + weight, end - n, word)
         best.append(top)
@@ -238,25 +331,27 @@ def _feature_counts(told, batches):
     yield summed()
 
 
-def numbers(model: np.ndarray, lexicon: dict[str, float], text: str | None, cache: dict, weights: dict) -> list[float]:
+def numbers(model: np.ndarray, lexicon: Lexicon, text: str | None, cache: dict, weights: dict) -> list[float]:
     """The four inputs of the logistic model."""
-    found, n, runs = words(model, text, cache)
+    found, tokens, runs, read = words(model, text, cache)
+    found |= joined_words(model, lexicon, found, tokens, read)
     hits = []
     for w in found:
         x = weights.get(w)
         if x is None:
-            x = max((lexicon.get(f, 0.0) for f in features(w)), default=0.0)
+            x = lexicon.weight(w)
+            if not x and lexicon.resembles(w):
+                x = max(map(lexicon.weight, viterbi(model, w).split()), default=0.0)
             if len(weights) > CACHED:
                 weights.clear()
             weights[w] = x
         if x:
             hits.append(x)
     if runs:
-        lengths = sorted({len(f.rstrip("~")) for f in lexicon})
-        more = {w: x for run in runs for w, x in run_hits(lexicon, lengths, run).items()}
+        more = {w: x for run in runs for w, x in run_hits(lexicon.weights, lexicon.lengths, run).items()}
         known = {f.rstrip("~") for w in found for f in features(w)}
         hits += [x for w, x in more.items() if w not in known]
-    return [max(hits, default=0.0), math.log1p(sum(hits)), math.log1p(len(hits)), min(1.0, 10 * len(hits) / max(n, 1))]
+    return [max(hits, default=0.0), math.log1p(sum(hits)), math.log1p(len(hits)), min(1.0, 10 * len(hits) / max(len(tokens), 1))]
 
 
 def _inputs(told, batches):
@@ -266,7 +361,7 @@ def _inputs(told, batches):
         yield pa.RecordBatch.from_arrays([*(pa.array(rows[:, k]) for k in range(4)), batch.column(1)], ["x0", "x1", "x2", "x3", "toxic"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, dict[str, float], np.ndarray]:
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, Lexicon, np.ndarray]:
     """The language model, the lexicon and the coefficients."""
     spark = docs.sparkSession
     model = language_model(docs, text_col)
@@ -283,7 +378,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     g = 2 * (F.when(a > 0, a * F.ln(a / (n * share))).otherwise(0.0) + F.when(n > a, (n - a) * F.ln((n - a) / (n * (1 - share)))).otherwise(0.0))
     weight = F.ln((a + 0.5) / (yes + 1.0)) - F.ln((n - a + 0.5) / (no + 1.0))
     strong = counts.select("feature", weight.alias("weight"), g.alias("g")).where("weight >= 2 and g >= 25").orderBy(F.desc("g"), "feature").limit(LEXICON)
-    lexicon = {r["feature"]: r["weight"] for r in strong.collect()}
+    lexicon = Lexicon({r["feature"]: r["weight"] for r in strong.collect()})
     told = spark.sparkContext.broadcast((model, lexicon))
     sample = texts.mapInArrow(partial(_inputs, told), "x0 double, x1 double, x2 double, x3 double, toxic int")
     grouped = sample.groupBy(*(F.round(f"x{k}", 1).alias(f"x{k}") for k in range(4))).agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n")).orderBy(F.desc("n"), "x0", "x1", "x2", "x3").limit(MAX_FITTED).toPandas()

@@ -428,34 +428,83 @@ def test_lines_short_and_mixed_leaves(spark):
 
 
 # ---- toxicity
+def model_of(text):
+    n, size = toxicity.counted([toxicity.codes(f" {text} ")]) + 1e-3, toxicity.CLASSES
+    n = n.reshape(size, size, size)
+    return np.log(n / n.sum(axis=2, keepdims=True))
+
+
 def test_deobfuscation():
-    text = "the idiot is stupid and pathetic moron loser worthless scum trash clown " * 40 + "the of and to in is that with for on " * 200
-    codes = np.concatenate([[0, 0], toxicity.codes(f" {text} ")])
-    n = np.bincount((codes[:-2] * 64 + codes[1:-1]) * 64 + codes[2:], minlength=64**3).reshape(64, 64, 64) + 1e-3
-    model = np.log(n / n.sum(axis=2, keepdims=True))
-    for token, word in {"1d10t": "idiot", "i.d.i.o.t": "idiot", "idiooot": "idiot", "m0r0n": "moron", "$cum": "scum", "p@thetic!!": "pathetic", "plain,": "plain", "%%%": ""}.items():
-        assert toxicity.restore(model, token, {}) == word
+    model = model_of("the idiot is stupid and pathetic moron loser worthless scum trash clown " * 40 + "the of and to in is that with for on " * 200)
+    said = {"1d10t": "idiot", "i.d.i.o.t": "idiot", "i/d/i/o/t": "idiot", "idiooot": "idiot", "m0r0n": "moron", "$cum": "scum", "p@thetic!!": "pathetic", "plain,": "plain", "%%%": "", "іdіоt": "idiot", "trash/and": "trash and"}
+    for token, word in said.items():
+        assert toxicity.restore(model, token, {}) == word, token
+    assert toxicity.folded("ID\u200bI\u00adO\u0336T ｉｄｉｏｔ") == "idiot idiot"
     assert "idiot" in toxicity.words(model, "you i d i o t there", {})[0]
+    lexicon = toxicity.Lexicon({"idiot": 5.0, "trash": 4.0})
+    for text in ("tra sh", "the tr ash is", "tr a sh", "ídïot", "idioot", "you IDIÓT!", "t-r-a-s-h", "i. d. i. o. t."):
+        assert toxicity.numbers(model, lexicon, text, {}, {})[0] >= 4.0, text
+    for text in ("the id of it", "is that the trash-free", "tra and sh", "", "i d"):
+        assert toxicity.numbers(model, lexicon, text, {}, {})[0] == (4.0 if "trash" in text else 0.0), text
 
 
 def test_runs_of_single_characters():
-    text = "you are a idiot and the ass is here to see it all " * 200
-    codes = np.concatenate([[0, 0], toxicity.codes(f" {text} ")])
-    n = np.bincount((codes[:-2] * 64 + codes[1:-1]) * 64 + codes[2:], minlength=64**3).reshape(64, 64, 64) + 1e-3
-    model, lexicon = np.log(n / n.sum(axis=2, keepdims=True)), {"idiot": 5.0, "idio~": 4.0, "ass": 3.0}
+    model, lexicon = model_of("you are a idiot and the ass is here to see it all " * 200), toxicity.Lexicon({"idiot": 5.0, "idio~": 4.0, "ass": 3.0})
     for said in ("you are a i d i o t", "y o u i d i o t", "you are a 1 d 1 0 t", "& i d i o t", "id" + "i" * 60 + "ot", "y o u a r e t h e i d i o t a n d h e r e t o s e e i t a l l"):
         assert toxicity.numbers(model, lexicon, said, {}, {})[0] == 5.0, said
     assert toxicity.numbers(model, lexicon, "a s s", {}, {})[0] == 3.0
-    assert toxicity.run_hits(lexicon, [3, 4, 5], "youidiotsass") == {"idiot": 5.0, "ass": 3.0}
+    assert toxicity.run_hits(lexicon.weights, lexicon.lengths, "youidiotsass") == {"idiot": 5.0, "ass": 3.0}
     assert toxicity.numbers(model, lexicon, "y o u a r e", {}, {})[0] == 0.0
     assert len(toxicity.viterbi(model, "ab1" * 5000)) > 0
 
 
+HIDDEN = {"leet": lambda w: w.translate(str.maketrans("aeiost", "431057")), "slash": "/".join, "spaced": " ".join, "split": lambda w: f"{w[: len(w) // 2]} {w[len(w) // 2 :]}", "zero width": "\u200b".join,
+          "look-alike": lambda w: w.translate(str.maketrans("aceopxyi", "асеорхуі")), "repeats": lambda w: "".join(c * (40 if i == 1 else 1) for i, c in enumerate(w)), "wide": lambda w: "".join(chr(ord(c) + 0xFEE0) for c in w)}
+
+
+def test_decoding_decides(spark, monkeypatch):
+    """Hidden words of the learnt lexicon score as the plain words do, and without decoding most are missed; held-out rows are caught."""
+    sf = "/root/testdata/sf0.01"
+    table, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model, lexicon, w = toxicity.learn(table, labels)
+    held = table.join(labels, "doc_id").where("pmod(crc32(cast(cast(doc_id as string) as binary)), 3) = 1").orderBy("doc_id").collect()
+
+    def toxic(text):
+        return 1 / (1 + np.exp(-(np.array(toxicity.numbers(model, lexicon, text, {}, {})) @ w[:4] + w[4]))) >= toxicity.THRESHOLD
+
+    called = [(r["toxic"], toxic(r["text"])) for r in held]
+    assert sum(c for t, c in called if t) >= 0.7 * sum(t for t, _ in called) and sum(c for t, c in called if not t) <= 0.02 * len(called)
+    clean = [r["text"] for r, (t, c) in zip(held, called) if not t and not c and len(r["text"]) > 300][:25]
+    plain = sorted(x for x in lexicon.words if len(x) > 3 and x.isascii())
+
+    def caught(hide):
+        out = 0
+        for k, text in enumerate(clean):
+            tokens = text.split(" ")
+            for n in (k, k + 3):
+                tokens.insert(1 + (7 * n) % len(tokens), hide(plain[n % len(plain)]))
+            out += toxic(" ".join(tokens))
+        return out
+
+    most = caught(str)
+    assert most >= 0.95 * len(clean)
+    with_decoding = {name: caught(hide) for name, hide in HIDDEN.items()}
+    assert min(with_decoding.values()) >= 0.9 * most, with_decoding
+    monkeypatch.setattr(toxicity, "viterbi", lambda model, token, boundaries=False: token)
+    monkeypatch.setattr(toxicity, "joined_words", lambda *a: set())
+    without = {name: caught(hide) for name, hide in HIDDEN.items() if name not in ("zero width", "wide", "spaced")}  # folding and substrings find those
+    assert max(without.values()) <= 0.2 * most, without
+
+
 def test_toxicity_edges(spark, odd):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     rows = toxicity.toxicity(odd, labels).collect()
     assert len(rows) == odd.count() and all(0 <= r["mq_score"] <= 1 for r in rows)
+    assert len({r["mq_score"] for r in rows if r["doc_id"] in (0, 1, 2)}) == 1 and set(odd.columns) < set(rows[0].asDict())
     assert toxicity.toxicity(empty(odd), labels.where("false")).count() == 0
+    assert {round(r["mq_score"], 6) for r in toxicity.toxicity(odd, labels.where("false")).collect()} == {0.05}
+    filtered = corpus_pipeline.toxicity_filter(spark, odd, SF)
+    assert filtered.columns == odd.columns and filtered.count() == odd.count()
 
 
 # ---- vectors
