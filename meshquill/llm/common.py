@@ -91,6 +91,11 @@ def text_or_empty(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value worked out once, also where a lambda function uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def slices(batches, rows: int = 512):
     """Smaller batches: bounds what a worker holds as Python objects at a time."""
     for batch in batches:

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, materialize, small, table
+from .common import Scratch, let, materialize, small, table
 from .components import components
 
 LEAST, LEADING, LIKENESS = 6, 3, 0.8
@@ -105,7 +105,7 @@ def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     joined = keyed.join(small(gone), (keyed[id_col] == gone["mq_id"]) & (keyed["mq_hash"] == gone["mq_text"]), "left")
     parts = F.split(F.col(text_col), "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("mq_drop"))  # by hash: linear in lines
-    kept = F.transform(left, lambda i: F.get(parts, i))
+    kept = let(parts, lambda p: F.transform(left, lambda i: F.get(p, i)))
     text = F.when(F.col("mq_drop").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     return joined.withColumn(text_col, text).withColumn("mq_dropped", F.coalesce(F.size("mq_drop"), F.lit(0))).drop("mq_hash", "mq_id", "mq_text", "mq_drop")
 

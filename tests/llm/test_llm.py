@@ -402,6 +402,59 @@ def test_pii_base_spans(spark):
     assert pii.pii(docs(spark, texts).where("false")).count() == 0
 
 
+def test_pii_spans_of_many_matches(spark):
+    """Positions come in pieces, so a text with many matches costs little; each is found."""
+    import time
+
+    text = "a@b.co 10.0.0.1 +1 (229) 555-4838 " * 6000
+    table = docs(spark, [text, "x"]).repartition(1).cache()
+    columns = [F.size(c) for c in pii.base_spans(F.col("text")).values()]
+    table.where("doc_id = 1").select(*columns).collect()
+    began = time.time()
+    row = table.where("doc_id = 0").select(*columns).first()
+    assert [row[0], row[1], row[3]] == [6000] * 3 and time.time() - began < 20
+    got = pii.pii(table).select("doc_id", pii.joined(F.col("base")).alias("b")).where("doc_id = 0").first()["b"]
+    assert got == base_spans(text)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 17, 100])
+def test_running(spark, n):
+    values = [(7 * k) % 11 for k in range(n)]
+    df = spark.createDataFrame([(values,)], "v array<int>")
+    row = df.select(pii.running(F.col("v"), lambda a, b: a + b, F.lit(0)).alias("s"), pii.running(F.col("v"), lambda a, b: F.greatest(a, b), F.lit(3)).alias("m")).first()
+    assert row["s"] == np.cumsum(values).tolist() and row["m"] == [max([3, *values[: k + 1]]) for k in range(n)]
+
+
+def test_pii_thresholds():
+    rng = np.random.default_rng(3)
+    rows = [(g, int(c), float(y), int(n)) for g in (0, 1) for c in range(0, 101, 7) for n in [rng.integers(1, 30)] for y in [rng.binomial(n, c / 100)]]
+    want = {}
+    for g in (0, 1):
+        good = [c for _, c, _, _ in rows if (s := [(y, n) for h, d, y, n in rows if h == g and d >= c]) and sum(y for y, _ in s) >= 0.9 * sum(n for _, n in s)]
+        if good:
+            want[g] = max(min(good) / 100, 0.5)
+    assert pii.lowest_thresholds(rows, 0.9) == want and pii.lowest_thresholds([]) == {}
+
+
+def test_trees_add_what_patterns_miss(spark):
+    """Hidden addresses, telephones without a plus and a password are added; numbers and words that no label speaks for are not."""
+    rng = np.random.default_rng(4)
+    texts = []
+    for k in range(400):
+        d = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+        w = lambda: "".join(rng.choice(list("abcdefgh"), rng.integers(2, 4)))
+        said = [f"ann.{d(2)}@mail{d(1)}.example.com", f"+1 ({d(3)}) 555-{d(4)}", d(9), f"20{d(2)}-{d(2)}-{d(2)}", f"token = \"{hashlib.sha1(d(5).encode()).hexdigest()}\"", f"abc{d(12)}"]
+        texts.append(" ".join(f"{w()} {x}" for x in rng.permutation(said)))
+    hidden = {1000: ("call (614) 555-8001 now", "phone", "(614) 555-8001"), 1001: ("to ann.42 (at) mail8.example (dot) com now", "email", "ann.42 (at) mail8.example (dot) com"), 1002: ("to ann.42 at mail8 dot example dot com", "email", "ann.42 at mail8 dot example dot com"),
+              1003: ("her token = \"Zq8Kx2Lw9Pv4Rt6Yu1Bn3Mc5\" is", "secret", "Zq8Kx2Lw9Pv4Rt6Yu1Bn3Mc5")}
+    rows = [(k, t, 0) for k, t in enumerate(texts)] + [(k, t, 0) for k, (t, _, _) in hidden.items()] + [(2000, "order 123456789 of 2024-01-02", 0), (2001, None, 0), (2002, "look at home", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, base int")
+    found = pii.redact(df.unionAll(df.where("doc_id = 1000"))).where("doc_id >= 1000").collect()
+    got = collections.Counter((r["doc_id"], r["kind"], r["s"], r["e"]) for r in found)
+    want = {(k, kind, t.index(m), t.index(m) + len(m)): 2 if k == 1000 else 1 for k, (t, kind, m) in hidden.items()}
+    assert got == want
+
+
 # ---- line dedup
 def test_lines(spark):
     a = "the quick brown fox jumps over the lazy dog today"
