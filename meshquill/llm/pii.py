@@ -9,8 +9,8 @@
    feature holds what the validators ask (the plus, the @, check sums, a key's prefix), so trees learn what else personal data have in
    common, and give the same to what the validators miss. A quarter of the candidates (by hash) gives the words' shares, two quarters
    fit gradient-boosted trees, on at most MAX_FITTED candidates (smallest hashes), turned into one SQL expression.
-4. *Calibrated thresholds*: for each generator and kind the lowest score (in hundredths, 0.5 at least) from which on the last quarter's
-   candidates reach PRECISION. Candidates from there on that overlap no base span are added.
+4. *Calibrated thresholds*: for each generator and kind the lowest score (0.5 at least) from which on the last quarter's candidates
+   reach PRECISION, one right and one wrong candidate added, so that few candidates give no threshold. Candidates from there on that overlap no base span are added.
 
 Positions are code points, ends exclusive. Patterns are possessive with a look-behind for what precedes, which finds the same
 matches as the plain ones and stays linear on long runs. Positions and overlaps of a text's matches are running sums and maxima in
@@ -180,13 +180,18 @@ def tree_expression(lines: list[str], f) -> Column:
 
 
 def lowest_thresholds(rows: list[tuple], precision: float = PRECISION) -> dict:
-    """group -> the lowest score, 0.5 at least, from which on candidates reach the precision. rows: group, hundredths, personal, all."""
+    """group -> the score, 0.5 at least, from which on candidates reach the precision, counted as (personal + 1) / (all + 2).
+
+    It is half way between the lowest hundredth that does and the next one that has candidates. rows: group, hundredths, personal, all.
+    """
     out: dict = {}
-    yes, n = {}, {}
-    for g, cent, personal, every in sorted(rows, key=lambda r: -r[1]):
-        yes[g], n[g] = yes.get(g, 0) + personal, n.get(g, 0) + every
-        if yes[g] >= precision * n[g]:
-            out[g] = max(cent / 100, 0.5)
+    for group in {r[0] for r in rows}:
+        yes = n = 0
+        ordered = sorted((r[1:] for r in rows if r[0] == group), reverse=True)
+        for (cent, personal, every), (below, *_) in zip(ordered, [*ordered[1:], (0,)]):
+            yes, n = yes + personal, n + every
+            if yes + 1 >= precision * (n + 2):
+                out[group] = max((cent + below) / 200, 0.5)
     return out
 
 
