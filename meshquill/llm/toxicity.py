@@ -54,6 +54,7 @@ TWICE = re.compile(r"(.)\1+")
 _EDGE = f"[{re.escape(EDGES)}]"
 _SINGLE = rf"(?:{_EDGE}(?!\S)|{_EDGE}*+[^\s{re.escape(EDGES)}]{_EDGE}*+(?!\S))"
 SINGLES = re.compile(rf"(?<!\S){_SINGLE}(?:\s++{_SINGLE}){{2,}}+")
+ODD = re.compile(r"(?<!\S)[a-zß-öù-ÿ]*+[^a-zß-öù-ÿ\s]\S*+")
 UNSEEN = re.compile("[\u00ad\u0300-\u036f\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u20d0-\u20ff\ufe00-\ufe0f\ufeff]")
 
 
@@ -220,14 +221,22 @@ def single_runs(text: str) -> list[str]:
 
 
 def words(model: np.ndarray, text: str | None, cache: dict) -> tuple[set[str], list[str], set[str], dict[str, str]]:
-    """The restored words of a text, its tokens, the readings of runs of single characters (without spaces), and of each token."""
+    """The restored words of a text, its tokens, the readings of runs of single characters (without spaces), and of each token that is
+    not read as it stands."""
     text = folded(text or "")
     tokens = text.split()
-    read = {t: cache.get(t) or restore(model, t, cache) for t in set(tokens)}
-    found = set(read.values())
-    for r in [r for r in found if " " in r]:
-        found.remove(r)
-        found.update(r.split(), [r.replace(" ", "")])
+    found = set(tokens)
+    together = " ".join(found)
+    odd = ODD.findall(together)  # what has more than plain and accented letters; most tokens have not
+    if REPEATS.search(together):
+        odd += [t for t in found if REPEATS.search(t)]
+    read = {t: cache.get(t) or restore(model, t, cache) for t in odd}
+    found.difference_update(odd)
+    for r in set(read.values()):
+        if " " in r:
+            found.update(r.split(), [r.replace(" ", "")])
+        else:
+            found.add(r)
     runs = set()
     for run in set(single_runs(text)):
         split = viterbi(model, run, True).split()
@@ -249,6 +258,12 @@ class Lexicon:
         self.skeletons = {skeleton(f) for f in weights}
         self.stems = sorted({len(x) - 1 for x in self.skeletons if x.endswith("~")})
         self.lengths = sorted({len(f.rstrip("~")) for f in weights})
+        self.starts = {x[:2] for x in self.skeletons | set(weights)} | {x[0] * 2 for x in self.skeletons}
+
+    def candidates(self, found: set[str]) -> list[str]:
+        """Words that begin like an entry, and those with letters beyond a to z; no other word can have a weight."""
+        starts = self.starts
+        return [w for w in found if w[:2] in starts or not w.isascii()]
 
     def weight(self, word: str) -> float:
         return max((self.weights.get(f, 0.0) for f in features(word)), default=0.0)
@@ -277,7 +292,7 @@ def joined_words(model: np.ndarray, lexicon: Lexicon, found: set[str], tokens: l
     heads = lexicon.heads & found
     if not heads or lexicon.tails.isdisjoint(found):
         return out
-    readings = [read[t] for t in tokens]
+    readings = [read.get(t, t) for t in tokens]
     for i in [i for i, r in enumerate(readings) if r in heads]:
         word = readings[i]
         for j in range(i + 1, len(readings)):
@@ -336,7 +351,7 @@ def numbers(model: np.ndarray, lexicon: Lexicon, text: str | None, cache: dict,
     found, tokens, runs, read = words(model, text, cache)
     found |= joined_words(model, lexicon, found, tokens, read)
     hits = []
-    for w in found:
+    for w in lexicon.candidates(found):
         x = weights.get(w)
         if x is None:
             x = lexicon.weight(w)
