@@ -61,7 +61,6 @@ def variable(name: str, gamma: float = 5 / 3, mu: float = MU, have: list[str] |
         "adotv": lambda: dot(A, V),
         "mach": lambda: F.sqrt(vel2 / (gamma * _c("pres") / _c("dens"))),
         "sqrtrho": lambda: F.sqrt("dens"),
-        "lnrho": lambda: F.ln("dens"),
     }
     if name in simple:
         return simple[name]()

@@ -22,6 +22,12 @@ def normal_pdf(s: Column, sigma: float, s0: float | None = None) -> Column:
     return F.exp(-(s - s0) * (s - s0) / (2 * sigma**2)) / math.sqrt(2 * math.pi * sigma**2)
 
 
+def cauchy_pdf(s: Column, s0: float = 0.0, sigma: float = 1.0, gamma: float = 1.0) -> Column:
+    """The product of a Cauchy and a normal density about s0, scaled to area 1."""
+    norm = math.exp(-(gamma**2) / (2 * sigma**2)) * math.sqrt(2 * math.pi) * sigma / math.erfc(gamma / math.sqrt(2) / sigma)
+    return norm / (math.pi * gamma * (1 + (s - s0) * (s - s0) / gamma**2)) * normal_pdf(s, sigma, s0)
+
+
 def quartic_log_pdf(s: Column, c: tuple[float, ...]) -> Column:
     """The sum of c[n] * s**n, n up to 4."""
     out = F.lit(float(c[0]))
@@ -36,10 +42,8 @@ def bessel_i1_scaled(x: np.ndarray) -> np.ndarray:
     return (np.exp(x[:, None] * (np.cos(angle)[None, :] - 1)) * np.cos(angle)[None, :]).mean(axis=1)
 
 
-def hopkins_pdf(sigma: float, theta: float):
-    """A pandas UDF of s: the intermittent density PDF (volume weighted)."""
-    lam = sigma**2 / (2 * theta**2) * (1 + theta)
-
+def _jumps_pdf(lam: float, theta: float):
+    """The density of s where ln(density) falls by exponential steps of mean theta, lam of them in the mean."""
     @F.pandas_udf("double")
     def pdf(s: pd.Series) -> pd.Series:
         u = np.maximum(lam / (1 + theta) - s.to_numpy(float) / theta, 0.0)
@@ -50,23 +54,43 @@ def hopkins_pdf(sigma: float, theta: float):
     return pdf
 
 
-#: Unit ladders, smallest first.
-LENGTHS = [("cm", 1.0), ("km", 1e5), ("AU", 1.495978707e13), ("pc", 3.085677581e18), ("kpc", 3.085677581e21), ("Mpc", 3.085677581e24)]
-TIMES = [("ns", 1e-9), ("us", 1e-6), ("ms", 1e-3), ("s", 1.0), ("min", 60.0), ("h", 3600.0), ("d", 86400.0), ("yr", 3.15576e7), ("kyr", 3.15576e10), ("Myr", 3.15576e13)]
+def hopkins_pdf(sigma: float, theta: float):
+    """A pandas UDF of s: the intermittent density PDF (volume weighted) of variance sigma**2."""
+    return _jumps_pdf(sigma**2 / (2 * theta**2), theta)
+
+
+def squire_pdf(kappa: float, xi: float, scales: float):
+    """A pandas UDF of s: the PDF of jumps of mean kappa over a range of so many scales (outer over inner length)."""
+    return _jumps_pdf(xi * (1 + 1 / kappa) * math.log(scales), kappa)
+
+
+#: The Julian year, the solar radius, the astronomical unit and the parsec in cgs units.
+YEAR, R_SOL, AU, PC = 3.15576e7, 6.957e10, 1.495978707e13, 3.085677581e18
+#: Unit, its size, and from where on it is used; times are taken above their limit, lengths from it on.
+LENGTHS = [("cm", 1.0, 0.0), ("m", 1e2, 1e2), ("km", 1e5, 1e5), ("rsol", R_SOL, R_SOL), ("AU", AU, AU), ("pc", PC, 1e4 * AU), ("kpc", 1e3 * PC, 1e3 * PC), ("Mpc", 1e6 * PC, 1e6 * PC)]
+TIMES = [("ns", 1e-9, 1e-10), ("s", 1.0, 1e-6), ("yr", YEAR, 1e7), ("Myr", 1e6 * YEAR, 1e11)]
+
+
+def length_in_units(x: Column) -> tuple[Column, Column]:
+    """(value, unit) of a length in cm."""
+    value, unit = x / LENGTHS[0][1], F.lit(LENGTHS[0][0])
+    for name, size, low in LENGTHS[1:]:
+        value, unit = F.when(x >= low, x / size).otherwise(value), F.when(x >= low, name).otherwise(unit)
+    return value, unit
 
 
-def in_units(x: Column, ladder: list[tuple[str, float]]) -> tuple[Column, Column]:
-    """(value, unit): the largest unit that is not above the value, the smallest at least."""
-    value, unit = x / ladder[0][1], F.lit(ladder[0][0])
-    for name, size in ladder[1:]:
-        value, unit = F.when(x >= size, x / size).otherwise(value), F.when(x >= size, name).otherwise(unit)
+def time_in_units(t: Column) -> tuple[Column, Column]:
+    """(value, unit) of a time in seconds, with its sign; next to nothing is 0 without a unit."""
+    value, unit = F.lit(0.0), F.lit("")
+    for name, size, low in TIMES:
+        value, unit = F.when(F.abs(t) > low, t / size).otherwise(value), F.when(F.abs(t) > low, name).otherwise(unit)
     return value, unit
 
 
 def proper(name: str, x: Column, z: Column) -> Column:
     """A comoving quantity in proper units."""
     a = 1 / (1 + z)
-    power = {"dens": 3, "pres": 1, "eint": -2, "temp": -2}
+    power = {"dens": 3, "pres": 1, "eint": -2, "temp": -2}  # ener follows from eint and the velocity: proper_energy()
     return x * a if name == "length" else x * F.pow(1 + z, F.lit(float(power[name])))
 
 
@@ -76,6 +100,11 @@ def proper_velocity(x: Column, v: Column, z: Column, hubble0: float, omega_m: fl
     return hubble * a * x + a * v
 
 
+def proper_energy(eint: Column, v: tuple[Column, Column, Column], z: Column) -> Column:
+    """Energy per mass in proper units: that of heat and half the square of the proper velocity."""
+    return proper("eint", eint, z) + 0.5 * (v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
+
+
 def polytropic_pressure(dens: Column, edges: list[float], exponents: list[float], k0: float) -> Column:
     """Piecewise K * dens**gamma, continuous at the edges (ascending; the first exponent holds below the first edge)."""
     k, out = k0, None
@@ -93,11 +122,17 @@ def free_fall_time(dens: Column) -> Column:
     return F.sqrt(3 * math.pi / (32 * G * dens))
 
 
-def sphere_conditions(mass: Column, radius: Column, sigma: Column, cs: Column) -> dict[str, Column]:
-    """Mean density, free-fall time, Mach number, energies and virial parameter of a sphere."""
-    dens = mass / (4 / 3 * math.pi * F.pow(radius, F.lit(3.0)))
+def cloud_conditions(dens: Column, size: Column, sigma: Column, omega: Column, field: Column, cs: float = 2e4, box: bool = False) -> dict[str, Column]:
+    """Mass, times, energies and ratios of a cloud: a box of the size, or a sphere of this diameter (a box counts as a sphere of its volume)."""
+    volume = F.pow(size, F.lit(3.0)) if box else math.pi / 6 * F.pow(size, F.lit(3.0))
+    radius = F.pow(volume / (4 * math.pi / 3), F.lit(1 / 3)) if box else size / 2
+    mass, valf = dens * volume, field / F.sqrt(4 * math.pi * dens)
     grav, turb = 0.6 * G * mass * mass / radius, 0.5 * mass * sigma * sigma
-    return {"dens": dens, "t_ff": free_fall_time(dens), "mach": sigma / cs, "e_grav": grav, "e_turb": turb, "virial": 2 * turb / grav}
+    has_field = lambda c: F.when(field > 0, c).otherwise(float("inf"))
+    flux = mass / F.nullif(field * math.pi * radius * radius, F.lit(0.0)) / (0.53 / (3 * math.pi) * math.sqrt(5 / G))
+    return {"mass": mass, "virial": 5 * sigma * sigma * size / (6 * G * mass), "t_ff": free_fall_time(dens), "mach": sigma / cs, "e_grav": grav, "e_turb": turb,
+            "e_rot": 0.2 * mass * omega * omega * radius * radius, "e_mag": field * field * volume / (8 * math.pi), "v_alf": valf,
+            "mach_alf": has_field(sigma / F.nullif(valf, F.lit(0.0))), "beta": has_field(2 * cs * cs / F.nullif(valf * valf, F.lit(0.0))), "mass_to_flux": has_field(flux)}
 
 
 def ease(t: Column, kind: str) -> Column:
@@ -113,6 +148,38 @@ def ease(t: Column, kind: str) -> Column:
     return F.when(t < 0.5, u * u * ((s + 1) * u - s) / 2).otherwise((v * v * ((s + 1) * v + s) + 2) / 2)
 
 
+def eased_frames(spark, frames: int, kind: str, begin: dict[str, float], end: dict[str, float], every: int = 1):
+    """frame and each value on its way from begin to end; the first frame has begin, the last one end."""
+    share = ease(F.col("frame") / float(max(frames - 1, 1)), kind)
+    return spark.range(0, frames, every).withColumnRenamed("id", "frame").select("frame", *((begin[c] + (end[c] - begin[c]) * share).alias(c) for c in begin))
+
+
+def outflow_mass_shape(r: Column, theta: Column, radius: float, opening: float, model: int = 1) -> Column:
+    """The share of an outflow's mass by distance and angle from its axis."""
+    if model == 0:
+        return F.lit(0.0)
+    if model == 1:
+        return F.sin(r / radius * math.pi) * F.cos(theta / opening * (math.pi / 2))
+    return F.cos(r / radius * (math.pi / 2)) if model == 2 else F.lit(1.0)
+
+
+def outflow_velocity_shape(theta: Column, opening: float) -> Column:
+    """A wide and a narrow jet, a quarter and three quarters."""
+    cone = lambda width: F.when(F.abs(theta) <= width, F.cos(theta / width * (math.pi / 2))).otherwise(0.0)
+    return 0.25 * cone(opening) + 0.75 * cone(opening / 6)
+
+
+def ramp(age: Column, time: float) -> Column:
+    """Outflow and heating set in linearly over a time."""
+    return F.when(age < time, age / time).otherwise(1.0)
+
+
+def cluster_luminosity(mass: Column, sun: float = 1.989e33, light: float = 3.828e33) -> tuple[Column, Column]:
+    """Far ultraviolet light (erg/s) and ionising photons (1/s) of a star cluster by its mass in g."""
+    chi6 = F.pow(F.log10(mass / sun), F.lit(6.0))
+    return F.pow(F.lit(10.0), 2.98 * chi6 / (29.0 + chi6)) * (mass / sun) * light, F.pow(F.lit(10.0), 46.7 * chi6 / (7.28 + chi6)) * (mass / sun)
+
+
 def factors(n: int) -> list[int]:
     """Prime factors, smallest first."""
     out, p = [], 2

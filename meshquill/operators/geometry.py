@@ -50,9 +50,14 @@ def rotated(x: Column, y: Column, z: Column, axis: tuple[float, float, float], d
     return tuple(p[i] * c + cross[i] * s + k[i] * (1 - c) * along + centre[i] for i in range(3))
 
 
-def perspective(x: Column, z: Column, eye: float) -> Column:
-    """A coordinate scaled by the distance of its plane from the eye."""
-    return x * eye / (eye - z)
+def perspective_scale(z: Column, focal: float, centre: float = 0.0) -> Column:
+    """How large things look at a depth z, for an eye a focal length before the centre's plane."""
+    return focal / (focal + z - centre)
+
+
+def perspective(x: Column, z: Column, focal: float, centre: float = 0.0, depth: float = 0.0) -> Column:
+    """A coordinate scaled about the centre; depth: the centre's place along the line of sight."""
+    return (x - centre) * perspective_scale(z, focal, depth) + centre
 
 
 def taper(r: Column, rmax: float, rchr: float) -> Column:
@@ -71,9 +76,12 @@ def replicas(df: DataFrame, lengths: tuple[float, float, float]) -> DataFrame:
     return out.withColumns({a: F.col(a) + F.col(f"s{a}") * lengths[i] for i, a in enumerate(AXES)})
 
 
-def pixels_of(x: Column, dx: Column, low: float, size: float) -> Column:
-    """The pixels that a cell reaches, to explode."""
-    return F.sequence(F.floor((x - dx / 2 - low) / size + 1e-9).cast("long"), F.ceil((x + dx / 2 - low) / size - 1e-9).cast("long") - 1)
+def pixels_of(x: Column, dx: Column, low: float, size: float, count: int | None = None) -> Column:
+    """The pixels that a cell reaches, to explode; with a count only those of a map of so many."""
+    first, last = F.floor((x - dx / 2 - low) / size + 1e-9).cast("long"), F.ceil((x + dx / 2 - low) / size - 1e-9).cast("long") - 1
+    if count is not None:
+        first, last = F.greatest(first, F.lit(0).cast("long")), F.least(last, F.lit(count - 1).cast("long"))
+    return F.when(first <= last, F.sequence(first, last))
 
 
 def overlap(x: Column, dx: Column, pixel: Column, low: float, size: float) -> Column:
@@ -83,8 +91,8 @@ def overlap(x: Column, dx: Column, pixel: Column, low: float, size: float) -> Co
 def project(cells: DataFrame, value: Column, low: tuple[float, float], size: float, shape: tuple[int, int], weight: Column | None = None) -> DataFrame:
     """ix, iy, value: the mean along z of cells (x, y, z, dx, dy, dz), weighted by overlap (and weight); missing pixels have no row."""
     rows = cells.withColumns({"q": value, "w0": weight if weight is not None else F.lit(1.0)})
-    rows = rows.withColumn("ix", F.explode(pixels_of(F.col("x"), F.col("dx"), low[0], size))).where(F.col("ix").between(0, shape[0] - 1))
-    rows = rows.withColumn("iy", F.explode(pixels_of(F.col("y"), F.col("dy"), low[1], size))).where(F.col("iy").between(0, shape[1] - 1))
+    rows = rows.withColumn("ix", F.explode(pixels_of(F.col("x"), F.col("dx"), low[0], size, shape[0])))
+    rows = rows.withColumn("iy", F.explode(pixels_of(F.col("y"), F.col("dy"), low[1], size, shape[1])))
     w = overlap(F.col("x"), F.col("dx"), F.col("ix"), low[0], size) * overlap(F.col("y"), F.col("dy"), F.col("iy"), low[1], size) * F.col("dz") * F.col("w0")
     return rows.groupBy("ix", "iy").agg((F.sum(F.col("q") * w) / F.sum(w)).alias("value"), F.sum(w).alias("weight"))
 
@@ -106,15 +114,16 @@ def split_cells(cells: DataFrame, finest: int) -> DataFrame:
 
 
 def smooth(pixels: DataFrame, fwhm: float, shape: tuple[int, int], reach: int | None = None) -> DataFrame:
-    """Gaussian smoothing of a map (ix, iy, value): kernel offsets are exploded, then summed by pixel and normalised."""
+    """Gaussian smoothing of a map (ix, iy, value), divided by the weight of the pixels there are: one pass along each axis."""
     sigma = fwhm / 2.35482
     reach = reach or max(1, math.ceil(3 * sigma))
-    steps = F.sequence(F.lit(-reach), F.lit(reach))
-    rows = pixels.withColumn("ox", F.explode(steps)).withColumn("oy", F.explode(steps))
-    k = F.exp(-(F.col("ox") * F.col("ox") + F.col("oy") * F.col("oy")) / (2 * sigma * sigma))
-    rows = rows.select((F.col("ix") + F.col("ox")).alias("ix"), (F.col("iy") + F.col("oy")).alias("iy"), k.alias("k"), (F.col("value") * k).alias("v"))
-    rows = rows.where(F.col("ix").between(0, shape[0] - 1) & F.col("iy").between(0, shape[1] - 1))
-    return rows.groupBy("ix", "iy").agg((F.sum("v") / F.sum("k")).alias("value"))
+    rows = pixels.select("ix", "iy", F.col("value").alias("v"), F.lit(1.0).alias("w"))
+    for c, n in zip(("ix", "iy"), shape):
+        other = "iy" if c == "ix" else "ix"
+        rows = rows.withColumn("o", F.explode(F.sequence(F.greatest(F.lit(-reach), -F.col(c)), F.least(F.lit(reach), n - 1 - F.col(c)))))
+        k = F.exp(-F.col("o") * F.col("o") / (2 * sigma * sigma))
+        rows = rows.groupBy((F.col(c) + F.col("o")).alias(c), other).agg(F.sum(F.col("v") * k).alias("v"), F.sum(F.col("w") * k).alias("w"))
+    return rows.select("ix", "iy", (F.col("v") / F.col("w")).alias("value"))
 
 
 def box_blur(pixels: DataFrame, along: str, across: str, reach: int) -> DataFrame:
@@ -166,7 +175,7 @@ def extract(cells: DataFrame, value: Column, low: tuple[float, float, float], si
             first, last = F.ceil((lo - x - dx / 2) / lengths[k] + 1e-9), F.floor((high - x + dx / 2) / lengths[k] - 1e-9)
             images = F.when(first <= last, F.sequence(first.cast("long"), last.cast("long"))).otherwise(F.array().cast("array<bigint>"))
             rows = rows.withColumn("image", F.explode(images)).withColumn(a, x + F.col("image") * lengths[k]).drop("image")
-        rows = rows.where((x + dx / 2 > lo) & (x - dx / 2 < high)).withColumn(f"i{a}", F.explode(pixels_of(x, dx, lo, size))).where(F.col(f"i{a}").between(0, m - 1))
+        rows = rows.where((x + dx / 2 > lo) & (x - dx / 2 < high)).withColumn(f"i{a}", F.explode(pixels_of(x, dx, lo, size, m)))
         rows = rows.withColumn("w", F.col("w") * overlap(x, dx, F.col(f"i{a}"), lo, size))
     return rows.groupBy("ix", "iy", "iz").agg((F.sum(F.col("q") * F.col("w")) / F.sum("w")).alias("value"), F.sum("w").alias("weight"))
 
@@ -223,3 +232,93 @@ def starfield(lights: DataFrame, radius: float, low: tuple[float, float], size:
     rows = rows.withColumn("h", height).withColumn("share", F.col("h") / F.sum("h").over(Window.partitionBy("tag"))).where("h > 0")
     inside = F.col("ix").between(0, shape[0] - 1) & F.col("iy").between(0, shape[1] - 1)
     return rows.where(inside).groupBy("ix", "iy").agg(F.sum(F.col("light") * F.col("share")).alias("value"))
+
+
+def view_range(domain: list[tuple[float, float]], finest: float, slice_: bool = False, zoom: float = 1.0, axis: int = 2) -> list[tuple[float, float]]:
+    """The bounds of a view: the domain, cut to one finest cell about the middle of the line of sight for a slice, then zoomed about its middle."""
+    out = list(domain)
+    if slice_:
+        low, high = out[axis]
+        out[axis] = ((low + high) / 2 - finest / 2, (low + high) / 2 + finest / 2)
+    return [((a + b) / 2 - (b - a) / 2 / zoom, (a + b) / 2 + (b - a) / 2 / zoom) for a, b in out]
+
+
+def seen(points: DataFrame, bounds: list[tuple[float, float]], turn: tuple[tuple[float, float, float], float] | None = None, focal: float | None = None,
+         sphere: tuple[float, float] | None = None, opaque: float = 0.0, vector: tuple[str, str, str] | None = None) -> DataFrame:
+    """Points or cells (x, y, z) as seen along z: turned about an axis through the view's centre, in perspective, with weights.
+
+    Adds scale (of sizes) and seen_weight: that of scale squared, of a sphere (rmax, rchr: outside rmax it falls off) and of opacity. A
+    vector's three columns turn with the points, about 0.
+    """
+    centre = tuple((a + b) / 2 for a, b in bounds)
+    weight = F.lit(1.0)
+    if sphere:
+        d = [F.col(a) - c for a, c in zip(AXES, centre)]
+        r = F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
+        weight = taper(r, *sphere)
+    out = points.withColumn("seen_weight", weight)
+    if turn:
+        axis, degrees = turn
+        new = dict(zip(AXES, rotated(*(F.col(a) for a in AXES), axis, degrees, centre)))
+        if vector:
+            new |= dict(zip(vector, rotated(*(F.col(v) for v in vector), axis, degrees)))
+        out = out.withColumns(new)
+    scale = perspective_scale(F.col("z"), focal, centre[2]) if focal else F.lit(1.0)
+    out = out.withColumn("scale", scale)
+    if focal:
+        out = out.withColumns({a: (F.col(a) - c) * F.col("scale") + c for a, c in zip(("x", "y"), centre)})
+    opacity_weight = opacity(F.col("z"), bounds[2][1], bounds[2][1] - bounds[2][0], opaque) if opaque else F.lit(1.0)
+    return out.withColumn("seen_weight", F.col("scale") * F.col("scale") * F.col("seen_weight") * opacity_weight)
+
+
+def moment_maps(cells: DataFrame, value: Column, bounds: list[tuple[float, float]], size: float, shape: tuple[int, int], weight: Column | None = None, **view) -> DataFrame:
+    """ix, iy, weight, moment_0, moment_1, moment_2 along z: the weight's mean along the line of sight times its length, and the mean and the
+    deviation of a value. cells: x, y, z, dx, dy, dz; view: options of seen(). Cells that touch the view's bounds count by overlap."""
+    rows = seen(cells, bounds, **view).withColumns({f"d{a}": F.col(f"d{a}") * F.col("scale") for a in ("x", "y")})
+    for a, (low, high) in zip(AXES, bounds):
+        rows = rows.where(overlaps(F.col(a), F.col(f"d{a}"), low, high))
+    rows = rows.withColumns({"q": value, "w": F.col("seen_weight") * (weight if weight is not None else F.lit(1.0))}).where(F.col("seen_weight") >= 1e-6)
+    for k, a in enumerate(("x", "y")):
+        rows = rows.withColumn(f"i{a}", F.explode(pixels_of(F.col(a), F.col(f"d{a}"), bounds[k][0], size, shape[k])))
+        rows = rows.withColumn("w", F.col("w") * overlap(F.col(a), F.col(f"d{a}"), F.col(f"i{a}"), bounds[k][0], size))
+    depth = bounds[2][1] - bounds[2][0]
+    inside = F.least(F.col("z") + F.col("dz") / 2, F.lit(bounds[2][1])) - F.greatest(F.col("z") - F.col("dz") / 2, F.lit(bounds[2][0]))
+    rows = rows.withColumn("w", F.col("w") * inside)
+    w, q = F.col("w"), F.col("q")
+    total, mean = F.sum(w), F.sum(q * w) / F.sum(w)
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.sum(q * q * w) / F.sum(w) - mean * mean))
+    return rows.groupBy("ix", "iy").agg((total / (size * size * depth)).alias("weight"), (total / (size * size)).alias("moment_0"), mean.alias("moment_1"), spread.alias("moment_2"))
+
+
+def particles_on_map(particles: DataFrame, bounds: list[tuple[float, float]], lengths: tuple[float, float, float], sink_type: int = 2, **view) -> DataFrame:
+    """Particles and their periodic images within a view, as seen; type becomes 0 for sinks and 1 for tracers, tapered ones (weight < 1) go."""
+    images = seen(replicas(particles, lengths), bounds, **view)
+    if "sphere" in view:
+        images = images.where(F.col("seen_weight") / (F.col("scale") * F.col("scale")) >= 1.0)
+    for a, (low, high) in zip(AXES, bounds):
+        images = images.where(F.col(a).between(low, high))
+    return images.withColumn("type", F.when(F.col("type") == sink_type, 0).otherwise(1))
+
+
+def with_geometry(cells: DataFrame, blocks: DataFrame, per_block: int) -> DataFrame:
+    """Cells (block, i, j, k) of leaf blocks with centre, size and volume: the join of cells with their blocks' bounds."""
+    leaves = blocks.where("node_type = 1").select("block", *(F.col(f"lo_{a}") for a in AXES), *(((F.col(f"hi_{a}") - F.col(f"lo_{a}")) / per_block).alias(f"d{a}") for a in AXES))
+    out = cells.join(leaves, "block")
+    out = out.withColumns({a: F.col(f"lo_{a}") + (F.col(c) + 0.5) * F.col(f"d{a}") for a, c in zip(AXES, "ijk")})
+    return out.withColumn("vol", F.col("dx") * F.col("dy") * F.col("dz")).drop(*(f"lo_{a}" for a in AXES))
+
+
+def cell_of(x: Column, low: Column, size: Column) -> Column:
+    """The cell (or block) that a point is in, by truncation."""
+    return ((x - low) / size).cast("long")
+
+
+def block_summary(blocks: DataFrame, per_block: int) -> DataFrame:
+    """One row: blocks, leaves, levels, finest and coarsest cell, bounds and volume of the domain and the cells at the finest level along x."""
+    leaf = F.col("node_type") == 1
+    size = (F.col("hi_x") - F.col("lo_x")) / per_block
+    ends = [F.min(f"lo_{a}").alias(f"lo_{a}") for a in AXES] + [F.max(f"hi_{a}").alias(f"hi_{a}") for a in AXES]
+    out = blocks.agg(F.count("*").alias("blocks"), F.sum(leaf.cast("long")).alias("leaves"), F.min("level").alias("min_level"), F.max("level").alias("max_level"),
+                     F.min(F.when(leaf, size)).alias("min_dx"), F.max(F.when(leaf, size)).alias("max_dx"), *ends)
+    spans_ = [F.col(f"hi_{a}") - F.col(f"lo_{a}") for a in AXES]
+    return out.withColumns({"volume": spans_[0] * spans_[1] * spans_[2], "finest": F.round(spans_[0] / F.col("min_dx")).cast("long")})

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+import zlib
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,6 +27,99 @@ def structure_function(cells: DataFrame, v: tuple[str, str, str], n: int, lags:
     return rows.groupBy("r2").agg(F.count("*").alias("n"), *means)
 
 
+def lags_within(n: int, most: float, share: float = 1.0, seed: int = 5) -> list[tuple[int, int, int]]:
+    """The lag vectors of a periodic grid of n cells a side up to a length in cells, nearest images only. With a share below 1 a lag is
+    taken with a chance that falls with the square of its length, by a hash, so a rerun takes the same."""
+    half, out = n // 2, []
+    for a in range(-half + 1 - n % 2, half + 1):
+        for b in range(-half + 1 - n % 2, half + 1):
+            for c in range(-half + 1 - n % 2, half + 1):
+                r2 = a * a + b * b + c * c
+                if 0 < r2 <= most * most and (share >= 1 or zlib.crc32(f"{seed}:{a}:{b}:{c}".encode()) / 2**32 < min(1.0, share * most * most / r2)):
+                    out.append((a, b, c))
+    return out
+
+
+def pair_statistics(cells: DataFrame, fields: dict[str, tuple[Column, ...]], n: int, lags: list[tuple[int, int, int]], orders: int = 4, kind: str = "sf",
+                    absolute: bool = False, special: dict | None = None) -> DataFrame:
+    """type, bin, n, and for each order the means of the longitudinal and the transverse part of each field's increment (kind sf) or, at
+    order 1, of its product (kind cf), over all pairs at given lags on a periodic uniform grid.
+
+    A bin holds lengths from bin to bin + 1 cells. Increments keep their sign (the transverse part has none) unless absolute. Fields of one
+    component, and increments along x alone, have no transverse part. special: name -> function of two getters (first and second point)
+    that gives the increment itself. Cells meet the cells a lag away in one equi-join on the shifted index; lags are a finite list.
+    """
+    columns = sorted({c for c in cells.columns if c not in "ijk"})
+    named = {name: [f"{name}_{x}" for x in range(len(parts))] for name, parts in fields.items()}
+    base = cells.select("i", "j", "k", *columns, *(c.alias(f"{name}_{x}") for name, parts in fields.items() for x, c in enumerate(parts)))
+    values = [c for c in base.columns if c not in ("i", "j", "k")]
+    table = base.sparkSession.createDataFrame([(*lag, math.sqrt(sum(x * x for x in lag))) for lag in lags], "a int, b int, c int, r double")
+    left = base.crossJoin(F.broadcast(table)).select(*(F.pmod(F.col(x) + F.col(s), F.lit(n)).cast("long").alias(x) for x, s in zip("ijk", "abc")), "a", "b", "c", "r", *(F.col(v).alias(f"l_{v}") for v in values))
+    both = left.join(base.select(*(F.col(x).cast("long").alias(x) for x in "ijk"), *values), ["i", "j", "k"])
+    unit = [F.col(x) / F.col("r") for x in "abc"]
+    first, second = (lambda v: F.col(f"l_{v}")), (lambda v: F.col(v))
+
+    def split(vector: list[Column]) -> tuple[Column, Column]:
+        full = [*vector, *[F.lit(0.0)] * (3 - len(vector))]
+        along = full[0] * unit[0] + full[1] * unit[1] + full[2] * unit[2]
+        across = F.sqrt(F.greatest(F.lit(0.0), full[0] * full[0] + full[1] * full[1] + full[2] * full[2] - along * along))
+        flat = (full[1] == 0) & (full[2] == 0)
+        return F.when(flat, full[0]).otherwise(along), F.when(flat, 0.0).otherwise(across)
+
+    parts: dict[str, tuple[Column, Column]] = {}
+    for name, names in named.items():
+        if kind == "sf":
+            parts[name] = split([second(c) - first(c) for c in names])
+        else:
+            one, two = ([f(c) for c in names] + [F.lit(0.0)] * (3 - len(names)) for f in (first, second))
+            dot = one[0] * two[0] + one[1] * two[1] + one[2] * two[2]
+            along = (one[0] * unit[0] + one[1] * unit[1] + one[2] * unit[2]) * (two[0] * unit[0] + two[1] * unit[1] + two[2] * unit[2])
+            flat = (one[1] == 0) & (one[2] == 0) & (two[1] == 0) & (two[2] == 0)
+            parts[name] = (F.when(flat, one[0] * two[0]).otherwise(along), F.when(flat, 0.0).otherwise(dot - along))
+    for name, f in (special or {}).items():
+        parts[name] = split(list(f(first, second)))
+    told = F.array(*(F.struct(F.lit(name).alias("type"), (F.abs(a) if absolute else a).alias("long"), (F.abs(b) if absolute else b).alias("trans")) for name, (a, b) in parts.items()))
+    rows = both.select(F.floor(F.col("r") + 1e-9).cast("long").alias("bin"), F.explode(told).alias("x")).select("bin", "x.*")
+    means = [F.avg(F.pow(c, F.lit(float(p)))).alias(f"{kind}{p}_{c}") for p in range(1, (orders if kind == "sf" else 1) + 1) for c in ("long", "trans")]
+    return rows.groupBy("type", "bin").agg(F.count("*").alias("n"), *means)
+
+
+def energy_flux(v: tuple[str, str, str], dens: str = "dens"):
+    """The increment whose divergence balances dissipation in isothermal compressible turbulence (sound speed 1), for pair_statistics."""
+    def of(first, second):
+        r, s = first(dens), second(dens)
+        du = [second(c) - first(c) for c in v]
+        dm = [s * second(c) - r * first(c) for c in v]
+        bracket = 0.5 * (dm[0] * du[0] + dm[1] * du[1] + dm[2] * du[2]) + (s - r) * (F.ln(s) - F.ln(r)) - 0.5 * (r + s)
+        mean = 0.5 * (F.ln(r) + F.ln(s))
+        return [bracket * a + mean * b for a, b in zip(du, dm)]
+
+    return of
+
+
+def energy_source(v: tuple[str, str, str], div: str = "divv", dens: str = "dens"):
+    """The source term that goes with energy_flux, a scalar."""
+    def of(first, second):
+        def energy(at, other):  # of a point, and with the velocity and the heat of the other one
+            u, w = [at(c) for c in v], [other(c) for c in v]
+            square, product = u[0] * u[0] + u[1] * u[1] + u[2] * u[2], u[0] * w[0] + u[1] * w[1] + u[2] * w[2]
+            return at(dens) * (0.5 * square + F.ln(at(dens))), at(dens) * (0.5 * product + F.ln(other(dens)))
+
+        (e, r), (e2, r2) = energy(first, second), energy(second, first)
+        return [second(div) * (r - e) + first(div) * (r2 - e2)]
+
+    return of
+
+
+def squared_times(v: tuple[str, str, str], names: tuple[str, ...]):
+    """Velocity increments times the squared increment of other variables."""
+    def of(first, second):
+        square = sum(((second(c) - first(c)) * (second(c) - first(c)) for c in names), F.lit(0.0))
+        return [square * (second(c) - first(c)) for c in v]
+
+    return of
+
+
 def within(a: DataFrame, b: DataFrame, radius: float, names=("x", "y", "z")) -> DataFrame:
     """Pairs of a and b (tag and coordinates each, as a_ and b_ columns) within a radius, by buckets of that size."""
     def bucketed(df, p):

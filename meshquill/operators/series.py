@@ -49,6 +49,55 @@ def interpolate(series: DataFrame, key: list[str], t: str, x: str, step: float)
     return rows.select(*key, (F.col("s") * step).alias("t"), (F.col(x) + share * (F.col("x1") - F.col(x))).alias("x"))
 
 
+def in_window(series: DataFrame, t: str, start: float, end: float) -> DataFrame:
+    """Rows from a time to another, both included."""
+    return series.where(F.col(t).between(start, end))
+
+
+def ranked(rows: DataFrame, by: list[str], ties: list[str], most: int) -> DataFrame:
+    """The first rows by descending columns, ties by ascending ones, with their place (from 1); only these rows are numbered."""
+    order = [*(F.desc(c) for c in by), *ties]
+    return rows.orderBy(*order).limit(most).withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
+def every_nth(rows: DataFrame, order: str, n: int) -> DataFrame:
+    """The first row, the n-th after it and so on, by ranks that are counts of range partitions and ranks within."""
+    parts = rows.repartitionByRange(order).withColumn("mq_part", F.spark_partition_id())
+    before = Window.orderBy("mq_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.groupBy("mq_part").agg(F.count("*").alias("mq_n")).select("mq_part", F.coalesce(F.sum("mq_n").over(before), F.lit(0)).alias("mq_before"))  # a row a partition
+    rank = F.row_number().over(Window.partitionBy("mq_part").orderBy(order)) + F.col("mq_before")
+    return parts.join(F.broadcast(starts), "mq_part").withColumn("mq_rank", rank).where(F.col("mq_rank") % n == 1 % n).drop("mq_part", "mq_before", "mq_rank")
+
+
+def first_and_last(steps: DataFrame, key: list[str], order: str, n: int = 3) -> DataFrame:
+    """The first and the last n rows of each run."""
+    up, down = (F.row_number().over(Window.partitionBy(*key).orderBy(o)) for o in (F.asc(order), F.desc(order)))
+    return steps.withColumns({"mq_up": up, "mq_down": down}).where((F.col("mq_up") <= n) | (F.col("mq_down") <= n)).drop("mq_up", "mq_down")
+
+
+def out_of_order(steps: DataFrame, key: list[str], n: str) -> DataFrame:
+    """Steps whose number is not one more than that of the step before: durations of such runs mean nothing."""
+    before = F.lag(n).over(Window.partitionBy(*key).orderBy(n))
+    return steps.withColumn("mq_gap", F.col(n) - before).where("mq_gap <> 1").drop("mq_gap")
+
+
+def misaligned(tables: DataFrame, bin_: str, file: str) -> DataFrame:
+    """Bins that some of the files lack: averages need the same bins in all."""
+    files = tables.agg(F.countDistinct(file).alias("mq_files"))
+    return tables.groupBy(bin_).agg(F.countDistinct(file).alias("files")).crossJoin(F.broadcast(files)).where("files <> mq_files").drop("mq_files")  # one row
+
+
+def ensemble_spectra(tables: DataFrame, bin_: str, value: str, total: str | None = None) -> DataFrame:
+    """Mean and deviation over files of the log10 of spectra, each divided by its file's total where one is named."""
+    v = F.log10(F.col(value) / F.col(total)) if total else F.log10(value)
+    return tables.groupBy(bin_).agg(F.count("*").alias("files"), F.avg(v).alias("log_mean"), F.sqrt(F.greatest(F.lit(0.0), F.avg(v * v) - F.avg(v) * F.avg(v))).alias("log_sigma"))
+
+
+def ensemble_log(tables: DataFrame, bin_: str, value: str) -> DataFrame:
+    """The mean of logarithms, taken back to a value, and the deviation of the logarithms."""
+    return ensemble_spectra(tables, bin_, value).select(bin_, "files", F.pow(F.lit(10.0), F.col("log_mean")).alias("mean"), "log_sigma")
+
+
 def ensemble(tables: DataFrame, bin_: str, value: str, log: bool = False) -> DataFrame:
     """Mean and deviation over files by bin, of values or of their log10."""
     v = F.log10(value) if log else F.col(value)

@@ -1,11 +1,12 @@
 """Sink particles: creation checks, accretion, merging and gravity.
 
 Sinks are few beside cells (codes hold a thousand or so), but nothing here rests on that: pairs meet on bucket keys, and gravity
-takes sinks in packs of a fixed size, however many packs there are.
+takes sinks in packs of about a fixed size, however many packs there are.
 """
 
 from __future__ import annotations
 
+import math
 import tempfile
 
 from pyspark.sql import Column, DataFrame
@@ -108,29 +109,91 @@ def clusters(points: DataFrame, radius: float, rounds: int = 1000) -> DataFrame:
     raise RuntimeError("clusters did not settle")
 
 
-def gravity(points: DataFrame, sinks: DataFrame, soft: float, g: float = 1.0, key: str = "tag") -> DataFrame:
-    """points with ax, ay, az, phi due to sinks (tag, mass, position); within the softening length the force is linear.
+def gravity(points: DataFrame, sinks: DataFrame, soft: float, g: float = 1.0, kernel: str = "linear", lengths: tuple[float, float, float] | None = None) -> DataFrame:
+    """points with ax, ay, az, phi due to sinks (tag, mass, position); within the softening length the kernel is linear or a spline.
 
-    Sinks are packed into arrays of about PACK; a point meets each pack once and sums over it in place. With one pack nothing is
-    shuffled; with more, the partial sums are added by key. A sink exerts nothing on a point at its own place.
+    Sinks are packed by a hash into arrays of about PACK, one row each; a point meets one pack after the other and sums over it in
+    place, so nothing is shuffled and each broadcast is bounded. With lengths the nearest periodic image pulls. A sink exerts nothing on a
+    point at its own place; phi is that of the linear kernel (constant terms make it continuous).
     """
-    packs_of = -(-max(1, sinks.count()) // PACK)
+    packs = -(-max(1, sinks.count()) // PACK)
     one = F.struct(F.col("mass").cast("double").alias("m"), *(F.col(c).cast("double").alias(c) for c in POSITION))
-    packs = sinks.groupBy(F.pmod(F.xxhash64("tag"), F.lit(packs_of)).alias("pack")).agg(F.collect_list(one).alias("pulls"))
-    met = points.crossJoin(F.broadcast(packs) if packs_of == 1 else packs)
-
-    def force(s: Column) -> list[Column]:
+    names = ("ax", "ay", "az", "phi")
+    out = points.withColumns({n: F.lit(0.0) for n in names})
+
+    def near(d: Column, length: float) -> Column:
+        return F.when(d > length / 2, d - length).when(d < -length / 2, d + length).otherwise(d)
+
+    def pull(r: Column) -> Column:
+        """Acceleration over mass and distance vector."""
+        free = 1 / (r * r * r)
+        if kernel == "linear":
+            return F.when(r < soft, F.lit(1 / soft**3)).otherwise(free)
+        h = 2 / soft
+        q = r * h
+        inner = h * h * (4 / 3 * q - 1.2 * q * q * q + 0.5 * q * q * q * q) / r
+        outer = h * h * (8 / 3 * q - 3 * q * q + 1.2 * q * q * q - q * q * q * q / 6 - 1 / (15 * q * q)) / r
+        return F.when(r >= soft, free).when(q >= 1, outer).when(q > 1e-5, inner).otherwise(0.0)
+
+    def step(acc: Column, s: Column) -> Column:
         d = [s[c] - F.col(c) for c in POSITION]
-        r = F.greatest(F.sqrt(dot(d, d)), F.lit(float(soft)))
-        return [*(g * s["m"] * x / (r * r * r) for x in d), -g * s["m"] / r]
+        if lengths:
+            d = [near(x, length) for x, length in zip(d, lengths)]
+        apart = F.struct(*(x.alias(c) for x, c in zip(d, POSITION)), F.sqrt(dot(d, d)).alias("r"), s["m"].alias("m"))
 
-    names = ("ax", "ay", "az", "phi")
-    start = F.struct(*(F.lit(0.0).alias(n) for n in names))
-    total = F.aggregate("pulls", start, lambda acc, s: F.struct(*((acc[n] + f).alias(n) for n, f in zip(names, force(s)))))
-    out = met.withColumn("mq_pull", total).select(*points.columns, *(F.col(f"mq_pull.{n}").alias(n) for n in names))
-    if packs_of == 1:
-        return out
-    return out.groupBy(key).agg(*(F.first(c).alias(c) for c in points.columns if c != key), *(F.sum(n).alias(n) for n in names))
+        def add(p: Column) -> Column:
+            f = F.when(p["r"] > 0, g * p["m"] * pull(F.when(p["r"] > 0, p["r"]).otherwise(1.0))).otherwise(0.0)
+            phi = F.when(p["r"] < soft, p["r"] * p["r"] / (2 * soft**3) - 3 / (2 * soft)).otherwise(-1 / F.greatest(p["r"], F.lit(float(soft))))
+            return F.struct(*((acc[n] + f * p[c]).alias(n) for n, c in zip(names, POSITION)), (acc["phi"] + g * p["m"] * phi).alias("phi"))
+
+        return F.get(F.transform(F.array(apart), add), F.lit(0))  # worked out once for a pair
+
+    for k in range(packs):
+        pack = sinks.where(F.pmod(F.xxhash64("tag"), F.lit(packs)) == k).agg(F.collect_list(one).alias("mq_pulls"))
+        start = F.struct(*(F.col(n) for n in names))
+        total = F.aggregate("mq_pulls", start, step)
+        out = out.crossJoin(F.broadcast(pack)).withColumn("mq_sum", total)  # one row of about PACK sinks
+        out = out.select(*points.columns, *(F.col(f"mq_sum.{n}").alias(n) for n in names))
+    return out
+
+
+def control_volume_checks(cells: DataFrame, candidates: DataFrame, radius: float) -> DataFrame:
+    """Candidates (of creation_candidates) whose control volume, the cells within a radius, is Jeans unstable and bound.
+
+    cells: tag, position, vol, dens, pres, gpot, velx, vely, velz, magx, magy, magz. Heat is the sum of pressure over volume, kinetic
+    energy is that about the centre of mass, and potential energy is counted from the highest potential in the volume.
+    """
+    v, b = ("velx", "vely", "velz"), ("magx", "magy", "magz")
+    met = within(candidates.select("tag", *POSITION), cells.select("tag", *POSITION, "vol", "dens", "pres", "gpot", *v, *b), radius)
+    mass = F.col("b_dens") * F.col("b_vol")
+    sums = [F.sum(mass * F.col(f"b_{c}")).alias(f"p_{c}") for c in v] + [F.sum(mass * F.col(f"b_{c}") * F.col(f"b_{c}")).alias(f"k_{c}") for c in v]
+    field = sum((F.col(f"b_{c}") * F.col(f"b_{c}") for c in b), F.lit(0.0))
+    got = met.groupBy("a_tag").agg(F.sum(mass).alias("mass"), F.sum(F.col("b_pres") * F.col("b_vol")).alias("heat"), F.max("b_gpot").alias("top"), F.sum(mass * F.col("b_gpot")).alias("pot"), (F.sum(field * F.col("b_vol")) / (8 * math.pi)).alias("mag"), *sums)
+    moving = 0.5 * sum((F.col(f"k_{c}") - F.col(f"p_{c}") * F.col(f"p_{c}") / F.col("mass") for c in v), F.lit(0.0))
+    well = F.col("top") * F.col("mass") - F.col("pot")
+    good = got.where((2 * F.col("heat") + F.col("mag") <= well) & (F.col("heat") + moving + F.col("mag") <= well)).select(F.col("a_tag").alias("tag"))
+    return candidates.join(good, "tag", "left_semi")
+
+
+def heating(cells: DataFrame, sinks: DataFrame, radius: float, soft: float, age: float) -> DataFrame:
+    """tag and flux: the light of sinks (luminosity, created) within a radius over 4 pi r**2, which sets in linearly over a time (now is 0)."""
+    met = within(cells.select("tag", *POSITION), sinks.select("tag", *POSITION, "luminosity", "created"), radius)
+    r = F.greatest(F.col("r"), F.lit(float(soft)))
+    ramp = F.least(F.lit(1.0), -F.col("b_created") / age)
+    return met.groupBy(F.col("a_tag").alias("tag")).agg(F.sum(F.col("b_luminosity") * ramp / (4 * math.pi * r * r)).alias("flux"))
+
+
+def trilinear(points: DataFrame, grid: DataFrame, step: tuple[float, float, float], names: tuple[str, ...]) -> DataFrame:
+    """points with values read from a table on a regular grid (i, j, k from 0; coordinates are those from the origin), as a table of
+    periodic force corrections is: each point meets its eight corners in an equi-join and sums them by weight."""
+    corners = points
+    for c, i, d in zip(POSITION, "ijk", step):
+        low = F.floor(F.col(c) / d).cast("long")
+        ends = F.array(F.struct(low.alias("at"), (1 - (F.col(c) / d - low)).alias("w")), F.struct((low + 1).alias("at"), (F.col(c) / d - low).alias("w")))
+        corners = corners.withColumn(f"mq_{i}", F.explode(ends))
+    corners = corners.select("tag", (F.col("mq_i.w") * F.col("mq_j.w") * F.col("mq_k.w")).alias("mq_w"), *(F.col(f"mq_{i}.at").alias(i) for i in "ijk"))
+    met = corners.where("mq_w > 0").join(grid, ["i", "j", "k"]).groupBy("tag").agg(*(F.sum(F.col(n) * F.col("mq_w")).alias(n) for n in names))
+    return points.join(met, "tag", "left")
 
 
 def refine_marks(blocks: DataFrame, sinks: DataFrame, radius: float) -> DataFrame:

@@ -109,6 +109,42 @@ def vector_potential(modes: list[DataFrame], n: int) -> DataFrame:
     return both.select("kx", "ky", "kz", *out)
 
 
+def field(cells: DataFrame, name: str, dens: str = "dens") -> DataFrame:
+    """cells with f, a scalar of the density for a spectrum: varrho, varlnrho, rho (its square root), lnrho (over the mean), or weight (w / mean - 1)."""
+    d = F.col(dens)
+    if name == "rho":
+        return cells.withColumn("f", F.sqrt(d))
+    mean = cells.agg(F.avg(F.ln(d) if name == "varlnrho" else d).alias("mq_mean"))
+    forms = {"varrho": d - F.col("mq_mean"), "varlnrho": F.ln(d) - F.col("mq_mean"), "lnrho": F.ln(d / F.col("mq_mean")), "weight": d / F.col("mq_mean") - 1}
+    return cells.crossJoin(F.broadcast(mean)).withColumn("f", forms[name]).drop("mq_mean")  # one row
+
+
+def power_of(modes: DataFrame, name: str = "power") -> DataFrame:
+    return modes.select("kx", "ky", "kz", (F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias(name))
+
+
+def table(powers: DataFrame, n: int, names: list[str], weight: DataFrame | None = None) -> DataFrame:
+    """The rows of a spectrum: bin, k_stag, k, dk, n_cells, and for each power its mean density, the deviation, and both times 4 pi k_stag**2.
+
+    powers: kx, ky, kz and a column for each name; weight: kx, ky, kz, power, by which modes count. The mean mode is in bin 1; the last
+    bin, which collects the corners, has no row.
+    """
+    k2 = wave_squared(n)
+    rows = powers.withColumn("w", F.lit(1.0))
+    if weight is not None:
+        rows = powers.join(weight.select("kx", "ky", "kz", F.col("power").alias("w")), ["kx", "ky", "kz"])
+    rows = rows.select(F.least(F.lit(n // 2 + 1), F.greatest(F.lit(1), F.floor(F.sqrt(k2) + 0.5))).cast("long").alias("bin"), "w", *names)
+    aggs = []
+    for c in names:
+        mean = F.sum(F.col(c) * F.col("w")) / F.sum("w")
+        aggs += [mean.alias(f"dens_{c}"), F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col(c) * F.col(c) * F.col("w")) / F.sum("w") - mean * mean)).alias(f"sigma_{c}")]
+    out = rows.groupBy("bin").agg(F.count("*").alias("n_cells"), *aggs).where(F.col("bin") <= n // 2)
+    at = F.col("bin").cast("double")
+    for c in names:
+        out = out.withColumns({f"func_{c}": 4 * np.pi * at * at * F.col(f"dens_{c}"), f"func_sigma_{c}": 4 * np.pi * at * at * F.col(f"sigma_{c}")})
+    return out.withColumns({"k_stag": at, "k": at + 0.5, "dk": F.when(F.col("bin") == 1, at + 0.5).otherwise(1.0)})
+
+
 def compensated(shells_: DataFrame) -> DataFrame:
     """A spectrum times k**2 and times k**(5/3)."""
     k = F.col("shell").cast("double")

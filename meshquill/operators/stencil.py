@@ -53,8 +53,39 @@ def cross_current(b: tuple[str, str, str]) -> tuple[Column, Column, Column]:
     return f[1] * j[2] - f[2] * j[1], f[2] * j[0] - f[0] * j[2], f[0] * j[1] - f[1] * j[0]
 
 
-def enstrophy_terms(v: tuple[str, str, str], w: tuple[str, str, str]) -> dict[str, Column]:
-    """Stretching and compression of enstrophy; w: the vorticity's columns."""
+def dissipation_rate(v: tuple[str, str, str], dens: str, dx: float, nu: float | None = None) -> Column:
+    """The viscous heating of a volume; without nu the viscosity is |v| dx, that of a Reynolds number of 1 on a cell."""
+    speed = F.sqrt(F.col(v[0]) * F.col(v[0]) + F.col(v[1]) * F.col(v[1]) + F.col(v[2]) * F.col(v[2]))
+    return F.col(dens) * dissipation(v, F.lit(float(nu)) if nu else speed * dx)
+
+
+def dot_current(b: tuple[str, str, str]) -> Column:
+    """B . J with J = curl B."""
+    j = curl(b)
+    return F.col(b[0]) * j[0] + F.col(b[1]) * j[1] + F.col(b[2]) * j[2]
+
+
+def electromotive(v: tuple[str, str, str], b: tuple[str, str, str]) -> tuple[Column, Column, Column]:
+    """v x B, whose curl (of the columns it is given) is the induction."""
+    p, q = [F.col(x) for x in v], [F.col(x) for x in b]
+    return p[1] * q[2] - p[2] * q[1], p[2] * q[0] - p[0] * q[2], p[0] * q[1] - p[1] * q[0]
+
+
+def gradient(name: str, sign: float = 1.0) -> tuple[Column, Column, Column]:
+    """The gradient of a variable; sign -1 gives the acceleration of a potential."""
+    return tuple(sign * F.col(f"d_{name}_{a}") for a in "xyz")
+
+
+def enstrophy_terms(v: tuple[str, str, str], w: tuple[str, str, str], flux: tuple[str, str, str] | None = None, dens: str | None = None, pres: str | None = None) -> dict[str, Column]:
+    """Sources of enstrophy w**2 / 2 (w: the vorticity's columns): stretching, compression; with flux (columns of v w**2 / 2 and their
+    derivatives) advection, with density and pressure (and their derivatives) the baroclinic term."""
     stretch = sum((F.col(w[i]) * F.col(w[j]) * F.col(f"d_{v[i]}_{a}") for i in range(3) for j, a in enumerate("xyz")), F.lit(0.0))
     square = sum((F.col(x) * F.col(x) for x in w), F.lit(0.0))
-    return {"stretching": stretch, "compression": -square * divergence(v)}
+    out = {"stretching": stretch, "compression": -0.5 * square * divergence(v)}
+    if flux:
+        out["advection"] = -divergence(flux)
+    if dens and pres:
+        r, p = gradient(dens), gradient(pres)
+        turn = (r[1] * p[2] - r[2] * p[1], r[2] * p[0] - r[0] * p[2], r[0] * p[1] - r[1] * p[0])
+        out["baroclinic"] = sum((F.col(x) * c for x, c in zip(w, turn)), F.lit(0.0)) / (F.col(dens) * F.col(dens))
+    return out

@@ -103,11 +103,19 @@ def pdf_log(spark, sf):
 @query(f"""WITH c AS ({CELLS}), g AS (SELECT CAST(trunc(dens / 5e0) AS BIGINT) + 1 AS bin, sum(dvol) AS w FROM c WHERE dens > -5e0 AND dens < 55e0 GROUP BY 1),
 p AS (SELECT (bin - 5e-1) * 5e0 AS x, w / sum(w) OVER () AS p FROM g),
 m AS (SELECT sum(x * p) AS m1, sum(x * x * p) AS m2, sum(x * x * x * p) AS m3, sum(x * x * x * x * p) AS m4 FROM p)
-SELECT round(m1, 6) AS mean, round(sqrt(m2 - m1 * m1), 6) AS sigma, round((m3 - 3 * m1 * m2 + 2 * m1 * m1 * m1) / pow(m2 - m1 * m1, 1.5e0), 6) AS skew,
+SELECT round(m1, 6) AS mean, round(sqrt(m2), 6) AS rms, round(sqrt(m2 - m1 * m1), 6) AS sigma, round((m3 - 3 * m1 * m2 + 2 * m1 * m1 * m1) / pow(m2 - m1 * m1, 1.5e0), 6) AS skew,
  round((m4 - 4 * m1 * m3 + 6 * m1 * m1 * m2 - 3 * m1 * m1 * m1 * m1) / ((m2 - m1 * m1) * (m2 - m1 * m1)) - 3, 6) AS kurt FROM m""")
 def pdf_moments(spark, sf):
     table = stats.pdf(cells(spark, sf), F.col("dens"), F.col("dvol"), 0.0, 55.0, 5.0)
-    return rounded(stats.pdf_moments(table, 5.0), mean=6, sigma=6, skew=6, kurt=6)
+    return rounded(stats.pdf_moments(table, 0.0, 5.0), mean=6, rms=6, sigma=6, skew=6, kurt=6)
+
+
+@query(f"""WITH c AS ({CELLS}), g AS (SELECT CAST(trunc(log10(dens) / 1.25e-1) AS BIGINT) + 1 AS bin, sum(dvol) AS w FROM c WHERE log10(dens) > -1.25e-1 AND log10(dens) < 2e0 GROUP BY 1),
+p AS (SELECT pow(1e1, (bin - 5e-1) * 1.25e-1) AS x, w / sum(w) OVER () AS p FROM g), m AS (SELECT sum(x * p) AS a, sqrt(sum(x * x * p)) AS rms, sqrt(sum(x * x * p) - sum(x * p) * sum(x * p)) AS sigma FROM p)
+SELECT round(any_value(a), 6) AS mean, round(any_value(rms), 6) AS rms, round(any_value(sigma), 6) AS sigma, round(sum(p * pow(x - a, 3)) / pow(any_value(sigma), 3), 6) AS skew, round(sum(p * pow(x - a, 4)) / pow(any_value(sigma), 4) - 3, 6) AS kurt FROM p, m""")
+def pdf_moments_log(spark, sf):
+    table = stats.pdf(cells(spark, sf), F.col("dens"), F.col("dvol"), 0.0, 2.0, 0.125, log=True)
+    return rounded(stats.pdf_moments(table, 0.0, 0.125, log=True), mean=6, rms=6, sigma=6, skew=6, kurt=6)
 
 
 @query(f"""WITH c AS ({CELLS}) SELECT round({sql_mean('pres', 'dvol')}, 4) AS mean_vol, round({sql_std('pres', 'dvol')}, 4) AS std_vol,
@@ -197,13 +205,20 @@ def transformed_in_range(spark, sf):
     return c.groupBy("block").agg(F.count("*").alias("n"), F.round(F.avg(F.log10(F.col("dens") / 10.0)), 9).alias("lg"), F.round(F.avg(F.ln(F.col("dens") / 10.0)), 9).alias("ln_"), F.round(F.avg(F.expr("2 * q + 1")), 4).alias("q2"))
 
 
-_ladder = lambda x, l: ("CASE " + " ".join(f"WHEN {x} >= {s!r} THEN {x} / {s!r}" for _, s in reversed(l)) + f" ELSE {x} / {l[0][1]!r} END", "CASE " + " ".join(f"WHEN {x} >= {s!r} THEN '{n}'" for n, s in reversed(l)) + f" ELSE '{l[0][0]}' END")  # noqa: E731, E741
+@query("""WITH p AS (SELECT p_partkey, pow(1e1, p_size / 2e0) AS len FROM part),
+u AS (SELECT *, CASE WHEN len < 1e2 THEN 'cm' WHEN len < 1e5 THEN 'm' WHEN len < 6.957e10 THEN 'km' WHEN len < 1.495978707e13 THEN 'rsol' WHEN len < 1.495978707e17 THEN 'AU'
+ WHEN len < 3.085677581e21 THEN 'pc' WHEN len < 3.085677581e24 THEN 'kpc' ELSE 'Mpc' END AS unit FROM p)
+SELECT p_partkey, round(len / CASE unit WHEN 'cm' THEN 1e0 WHEN 'm' THEN 1e2 WHEN 'km' THEN 1e5 WHEN 'rsol' THEN 6.957e10 WHEN 'AU' THEN 1.495978707e13 WHEN 'pc' THEN 3.085677581e18 WHEN 'kpc' THEN 3.085677581e21 ELSE 3.085677581e24 END, 6) AS value, unit FROM u""")
+def length_units(spark, sf):
+    value, unit = models.length_in_units(F.pow(F.lit(10.0), F.col("p_size") / 2.0))
+    return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", F.round(value, 6).alias("value"), unit.alias("unit"))
 
 
-@query(f"""WITH p AS (SELECT p_partkey, pow(1e1, p_size / 2e0) AS len FROM part) SELECT p_partkey, round({_ladder('len', models.LENGTHS)[0]}, 6) AS value, {_ladder('len', models.LENGTHS)[1]} AS unit FROM p""")
-def length_units(spark, sf):
-    x = F.pow(F.lit(10.0), F.col("p_size") / 2.0)
-    value, unit = models.in_units(x, models.LENGTHS)
+@query("""WITH p AS (SELECT p_partkey, pow(1e1, p_size / 2e0 - 1.2e1) * CASE WHEN p_partkey % 2 = 0 THEN 1e0 ELSE -1e0 END AS t FROM part)
+SELECT p_partkey, round(CASE WHEN abs(t) <= 1e-10 THEN 0e0 WHEN abs(t) <= 1e-6 THEN t / 1e-9 WHEN abs(t) <= 1e7 THEN t WHEN abs(t) <= 1e11 THEN t / 3.15576e7 ELSE t / 3.15576e13 END, 6) AS value,
+ CASE WHEN abs(t) <= 1e-10 THEN '' WHEN abs(t) <= 1e-6 THEN 'ns' WHEN abs(t) <= 1e7 THEN 's' WHEN abs(t) <= 1e11 THEN 'yr' ELSE 'Myr' END AS unit FROM p""")
+def time_units(spark, sf):
+    value, unit = models.time_in_units(F.pow(F.lit(10.0), F.col("p_size") / 2.0 - 12.0) * F.when(F.col("p_partkey") % 2 == 0, 1.0).otherwise(-1.0))
     return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", F.round(value, 6).alias("value"), unit.alias("unit"))
 
 
@@ -249,12 +264,12 @@ _c30, _s30 = repr(math.cos(math.radians(30))), repr(math.sin(math.radians(30)))
 
 
 @query(f"""WITH p AS ({PARTICLES['duck']}), r AS (SELECT tag, x * {_c30} - y * {_s30} AS x, x * {_s30} + y * {_c30} AS y, z FROM p)
-SELECT tag, round(x * 5e0 / (5e0 - z), 9) AS px, round(y * 5e0 / (5e0 - z), 9) AS py, round(CASE WHEN abs(z) > 1e-1 THEN exp(-(abs(z) - 1e-1) / (2e-1 - 1e-1)) ELSE 1e0 END, 9) AS taper, round(2 / 2.5e0 * (1 + 5e-1 * (1e0 - z) / 2e0), 9) AS opacity FROM r""")
+SELECT tag, round((x - 1e-1) * 5e0 / (5e0 + z - 2e-1) + 1e-1, 9) AS px, round(y * 5e0 / (5e0 + z - 2e-1), 9) AS py, round(CASE WHEN abs(z) > 1e-1 THEN exp(-(abs(z) - 1e-1) / (2e-1 - 1e-1)) ELSE 1e0 END, 9) AS taper, round(2 / 2.5e0 * (1 + 5e-1 * (1e0 - z) / 2e0), 9) AS opacity FROM r""")
 def rotated_perspective(spark, sf):
     p = particles(spark, sf)
     x, y, z = geometry.rotated(F.col("x"), F.col("y"), F.col("z"), (0, 0, 1), 30.0)
     p = p.select("tag", x.alias("x"), y.alias("y"), z.alias("z"))
-    out = {"px": geometry.perspective(F.col("x"), F.col("z"), 5.0), "py": geometry.perspective(F.col("y"), F.col("z"), 5.0), "taper": geometry.taper(F.abs("z"), 0.1, 0.2), "opacity": geometry.opacity(F.col("z"), 1.0, 2.0, 0.5)}
+    out = {"px": geometry.perspective(F.col("x"), F.col("z"), 5.0, 0.1, 0.2), "py": geometry.perspective(F.col("y"), F.col("z"), 5.0, 0.0, 0.2), "taper": geometry.taper(F.abs("z"), 0.1, 0.2), "opacity": geometry.opacity(F.col("z"), 1.0, 2.0, 0.5)}
     return p.select("tag", *(F.round(c, 9).alias(n) for n, c in out.items()))
 
 
@@ -320,7 +335,26 @@ def power_spectrum(spark, sf):
     return rounded(out.select("shell", "n_modes", "power", "spectrum"), power=9, spectrum=9)
 
 
-@query()
+_wave = lambda c: f"(CASE WHEN {c} > 4 THEN {c} - 8 ELSE {c} END)"
+_k2 = " + ".join(f"pow({_wave(c)}, 2)" for c in ("kx", "ky", "kz"))
+
+
+def dft_sql(fields: dict[str, str], mesh: str = "mesh") -> str:
+    """f: kx, ky, kz and re_, im_ of each field of an 8**3 mesh."""
+    angle = f"{2 * math.pi / 8!r} * (a.i * b.i + a.j * b.j + a.k * b.k)"
+    sums = ", ".join(f"sum(({e}) * cos({angle})) / 512 AS re_{n}, -sum(({e}) * sin({angle})) / 512 AS im_{n}" for n, e in fields.items())
+    return f"f AS (SELECT a.i AS kx, a.j AS ky, a.k AS kz, {sums} FROM (SELECT i, j, k FROM {mesh}) a, {mesh} b GROUP BY 1, 2, 3)"
+
+
+def split_sql(names=("u", "v", "w")) -> str:
+    """s: k2, total, long and trans power of three fields' transforms."""
+    along = lambda p: " + ".join(f"{_wave(c)} * {p}_{n}" for c, n in zip(("kx", "ky", "kz"), names))
+    total = " + ".join(f"{p}_{n} * {p}_{n}" for p in ("re", "im") for n in names)
+    return f"""s0 AS (SELECT *, {_k2} AS k2, {total} AS total FROM f), s1 AS (SELECT k2, total, CASE WHEN k2 > 0 THEN (pow({along('re')}, 2) + pow({along('im')}, 2)) / k2 ELSE 0e0 END AS long FROM s0),
+s AS (SELECT k2, total, long, total - long AS trans, CAST(greatest(1, floor(sqrt(k2) + 5e-1)) AS BIGINT) AS bin FROM s1)"""
+
+
+@query("WITH " + dense_sql(_n) + ", " + dft_sql({"u": "velx", "v": "vely", "w": "velz"}) + ", " + split_sql() + " SELECT bin AS shell, round(sum(long), 9) AS long, round(sum(trans), 9) AS trans FROM s GROUP BY 1")
 def helmholtz_spectrum(spark, sf):
     d = dense(spark, _n)
     split = spectral.helmholtz([spectral.transform(d, v, _n) for v in _V], _n)
@@ -398,8 +432,8 @@ def log_step_durations(spark, sf):
 SELECT event_type, round(sum(s) * 64 / 36e2, 4) AS cpu_hours, round(quantile_cont(s, 1.6e-1), 4) AS p16, round(quantile_cont(s, 5e-1), 4) AS p50, round(quantile_cont(s, 8.4e-1), 4) AS p84 FROM e WHERE s IS NOT NULL GROUP BY 1""")
 def log_performance(spark, sf):
     s = series.step_durations(spark.read.parquet(f"{sf}/events.parquet"), ["user_id"], "event_id", "ts").where("seconds is not null")
-    p = [F.round(F.expr(f"percentile(seconds, {q})"), 4).alias(n) for n, q in (("p16", 0.16), ("p50", 0.5), ("p84", 0.84))]
-    return s.groupBy("event_type").agg(F.round(F.sum("seconds") * 64 / 3600.0, 4).alias("cpu_hours"), *p)
+    used = s.groupBy("event_type").agg((F.sum("seconds") * 64 / 3600.0).alias("cpu_hours"))
+    return rounded(used.join(stats.percentiles(s, ["event_type"], "seconds", {"p16": 0.16, "p50": 0.5, "p84": 0.84}), "event_type"), cpu_hours=4, p16=4, p50=4, p84=4)
 
 
 @query(f"""WITH e AS ({EV}), w AS (SELECT user_id, value AS x, (coalesce(lead(t) OVER u - t, 0e0) + coalesce(t - lag(t) OVER u, 0e0)) / 2 AS w FROM e WINDOW u AS (PARTITION BY user_id ORDER BY t, event_id))
@@ -491,7 +525,7 @@ def sink_clusters(spark, sf):
 _far = f"greatest(sqrt({_d2}), 5e-2)"
 
 
-@query(f"""WITH p AS ({PHASE}) SELECT a.tag, round(sum(b.mass * (b.x - a.x) / pow({_far}, 3)), 3) AS ax, round(sum(-b.mass / {_far}), 4) AS phi FROM p a, p b WHERE a.type = 1 AND b.type = 2 GROUP BY 1""")
+@query(f"""WITH p AS ({PHASE}) SELECT a.tag, round(sum(b.mass * (b.x - a.x) / pow({_far}, 3)), 3) AS ax, round(sum(b.mass * CASE WHEN sqrt({_d2}) < 5e-2 THEN ({_d2}) / (2 * pow(5e-2, 3)) - 3 / 1e-1 ELSE -1 / sqrt({_d2}) END), 4) AS phi FROM p a, p b WHERE a.type = 1 AND b.type = 2 GROUP BY 1""")
 def sink_gravity(spark, sf):
     p = phase(spark, sf)
     return rounded(sinks.gravity(p.where("type = 1").select("tag", "x", "y", "z"), p.where("type = 2"), 0.05).select("tag", "ax", "phi"), ax=3, phi=4)
@@ -548,8 +582,11 @@ _queries["series_spline"] = series_spline
 
 
 def queries() -> dict[str, Callable]:
+    from . import fields, tables, views  # noqa: F401, PLC0415  (they add theirs)
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_sql)

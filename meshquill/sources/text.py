@@ -6,21 +6,49 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def parse_series(lines: DataFrame, names: list[str], order: str = "line_no", text: str = "value") -> DataFrame:
-    """order and a double column for each name. Lines that aren't numbers are dropped, and the line after a restart marker if its time is 0."""
-    w = Window.orderBy(order)
-    parts = F.split(F.trim(F.col(text)), r"\s+")
-    rows = lines.withColumn("after", F.coalesce(F.lag(F.col(text).startswith("#")).over(w), F.lit(False)))
-    rows = rows.select(order, "after", F.size(parts).alias("n"), *(F.expr(f"try_cast(split(trim({text}), '\\\\s+')[{k}] as double)").alias(c) for k, c in enumerate(names)))
-    good = F.col("n") == len(names)
+MARKER = "# simulation restarted"
+
+
+def numbered(lines: DataFrame) -> DataFrame:
+    """file, line_no (from 0 in each file) and value of spark.read.text()'s lines: counts of each piece of a file are summed up, no file is one task."""
+    rows = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("mq_start"), F.monotonically_increasing_id().alias("mq_id"))
+    pieces = rows.groupBy("file", "mq_start").agg(F.min("mq_id").alias("mq_low"), F.count("*").alias("mq_n"))
+    before = Window.partitionBy("file").orderBy("mq_start").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.select("file", "mq_start", "mq_low", F.coalesce(F.sum("mq_n").over(before), F.lit(0)).alias("mq_before"))  # a row for each piece
+    out = rows.join(pieces, ["file", "mq_start"])
+    return out.select("file", (F.col("mq_before") + F.col("mq_id") - F.col("mq_low")).alias("line_no"), "value")
+
+
+def parse_series(lines: DataFrame, names: list[str], order: str = "line_no", text: str = "value", key: tuple[str, ...] = ()) -> DataFrame:
+    """key, order and a double column for each name; fields beyond these are left out. Lines that are not numbers are dropped, and the line
+    after a restart marker if its time is 0 (it meets the marker by its number less one)."""
+    trimmed = F.trim(F.col(text))
+    marked = lines.where(trimmed == MARKER).select(*key, (F.col(order) + 1).alias(order), F.lit(True).alias("mq_after"))
+    parts = F.split(trimmed, r"\s+")
+    rows = lines.select(*key, order, *(F.get(parts, k).try_cast("double").alias(c) for k, c in enumerate(names)))
+    rows = rows.join(marked, [*key, order], "left")
+    good = F.lit(True)
     for c in names:
         good = good & F.col(c).isNotNull()
-    return rows.where(good & ~(F.col("after") & (F.col(names[0]) == 0))).select(order, *names)
+    return rows.where(good & ~(F.coalesce("mq_after", F.lit(False)) & (F.col(names[0]) == 0))).select(*key, order, *names)
 
 
-def read_series(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    """A .dat file as rows; the number of a line is its place in the file."""
-    return parse_series(spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id()), names)
+def column_of(header: list[str], wanted: str | int) -> int:
+    """The place of a column by number, by a number as text, or by the one name that holds the text."""
+    if isinstance(wanted, int) or wanted.isnumeric():
+        return int(wanted)
+    found = [i for i, name in enumerate(header) if wanted in name]
+    if len(found) != 1:
+        raise ValueError(f"no or no single column for {wanted!r}: {[header[i] for i in found]}")
+    return found[0]
+
+
+def read_series(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
+    """Files of evolution tables as rows of file, line_no and their columns; names default to the first file's first line."""
+    lines = numbered(spark.read.text(path))
+    if names is None:
+        names = lines.where("line_no = 0").orderBy("file").first()["value"].split()
+    return parse_series(lines, names, key=("file",))
 
 
 def format_series(df: DataFrame, names: list[str]) -> DataFrame:
@@ -28,15 +56,34 @@ def format_series(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(F.concat(*(F.format_string(" %23.16E", F.col(c)) for c in names)).alias("value"))
 
 
-def parse_log(lines: DataFrame, order: str = "line_no", text: str = "value") -> DataFrame:
-    """run, n, t, dt, ts of step lines; a header line begins a run."""
+def format_header(names: list[str]) -> str:
+    """A header line of 24-character fields."""
+    return "".join(f" {n[:23]:>23}" for n in names)[1:]
+
+
+def parse_log(lines: DataFrame, order: str = "line_no", text: str = "value", key: tuple[str, ...] = ()) -> DataFrame:
+    """key, run, n, t, dt, ts, n_procs, cells (in a block) and the least and largest number of leaf blocks of each step line.
+
+    A header line begins a run. Tasks and zones hold for their run, the leaf blocks last seen in the file for what follows (1 before
+    any), those that follow a step still for it, up to the next step. A log file is one group.
+    """
     t = F.col(text)
     step = r"\[\s*(\S+\s+\S+)\s*\]\s+step:\s+n=(\d+)\s+t=(\S+)\s+dt=(\S+)"
-    run = F.sum(t.contains("log file:").cast("long")).over(Window.orderBy(order))
-    rows = lines.withColumn("run", run).where(t.rlike(step))
-    get = lambda k: F.regexp_extract(t, step, k)
-    stamp = F.to_timestamp(F.regexp_replace(get(1), r"\s+", " "), "MM-dd-yyyy HH:mm:ss.SSS")
-    return rows.select("run", get(2).cast("long").alias("n"), get(3).cast("double").alias("t"), get(4).cast("double").alias("dt"), stamp.alias("ts"))
+    zone = r"Number ([xyz]) zones:\s*(\d+)\s*$"
+    leaf = r"min leaf blks\s+(\d+)\s+max leaf blks\s+(\d+)"
+    upto = Window.partitionBy(*key).orderBy(order)
+    get = lambda pattern, k: F.regexp_extract(t, pattern, k)
+    number = lambda pattern, k: F.when(t.rlike(pattern), get(pattern, k).cast("long"))
+    is_step = t.rlike(step)
+    rows = lines.withColumns({"run": F.sum(t.contains("log file:").cast("long")).over(upto), "mq_step": F.sum(is_step.cast("long")).over(upto), "mq_tasks": number(r"Number of MPI tasks:\s*(\d+)\s*$", 1),
+                              "mq_zone": number(zone, 2), "mq_low": number(leaf, 1), "mq_high": number(leaf, 2)})
+    seen = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    of_run, of_step = Window.partitionBy(*key, "run"), Window.partitionBy(*key, "mq_step")
+    rows = rows.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(seen), F.lit(1)) for c in ("mq_low", "mq_high")})
+    last = lambda c: F.max(F.struct(order, c)).over(of_step)[c]
+    rows = rows.withColumns({"n_procs": F.max("mq_tasks").over(of_run), "cells": F.round(F.exp(F.sum(F.log(F.col("mq_zone"))).over(of_run))).cast("long"), "min_leaf": last("mq_low"), "max_leaf": last("mq_high")})
+    stamp = F.to_timestamp(F.regexp_replace(get(step, 1), r"\s+", " "), "MM-dd-yyyy HH:mm:ss.SSS")
+    return rows.where(is_step).select(*key, "run", get(step, 2).cast("long").alias("n"), get(step, 3).cast("double").alias("t"), get(step, 4).cast("double").alias("dt"), stamp.alias("ts"), "n_procs", "cells", "min_leaf", "max_leaf")
 
 
 def file_kind(path: Column) -> Column:
@@ -53,3 +100,11 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
     """Whether both have the same rows, with repeats."""
     b = b.select(*a.columns)
     return a.exceptAll(b).limit(1).count() == 0 and b.exceptAll(a).limit(1).count() == 0
+
+
+def joined(parts: list[DataFrame]) -> DataFrame:
+    """The rows of all parts, columns by name."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

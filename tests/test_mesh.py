@@ -37,7 +37,7 @@ def test_oracle(spark, con, name):
 
 
 def test_every_query_has_sql_or_a_test(spark):
-    assert set(mesh.queries()) - set(mesh.oracle_sql()) == {"helmholtz_spectrum", "series_spline"}
+    assert set(mesh.queries()) - set(mesh.oracle_sql()) == {"series_spline"}
 
 
 def test_parseval_and_mode_count(spark):
@@ -81,9 +81,9 @@ def test_split_cells_keeps_volume(spark):
 def test_log_and_series_text(spark):
     lines = ["X log file: a", " [ 05-09-2025  11:05:17.988 ] step: n=1 t=0.0E+00 dt=1.0E+08", "noise", " [ 05-09-2025  11:05:19.988 ] step: n=2 t=1.0E+08 dt=1.0E+08", "X log file: b", " [ 05-09-2025  12:00:00.000 ] step: n=1 t=0.0E+00 dt=2.0E+08"]
     log = text.parse_log(spark.createDataFrame(list(enumerate(lines)), "line_no long, value string"))
-    assert [(r["run"], r["n"]) for r in log.orderBy("run", "n").collect()] == [(1, 1), (1, 2), (2, 1)]
+    assert [(r["run"], r["n"], r["min_leaf"], r["n_procs"]) for r in log.orderBy("run", "n").collect()] == [(1, 1, 1, None), (1, 2, 1, None), (2, 1, 1, None)]
     assert [r["seconds"] for r in series.step_durations(log, ["run"], "n", "ts").orderBy("run", "n").collect()] == [2.0, None, None]
-    rows = ["t x", " 0.0 1.0", " 1.0 2.0", "# simulation restarted", " 0.0 9.0", " 0.5 3.0", "bad"]
+    rows = ["t x", " 0.0 1.0", " 1.0 2.0 7.0", "# simulation restarted", " 0.0 9.0", " 0.5 3.0", "bad"]
     got = text.parse_series(spark.createDataFrame(list(enumerate(rows)), "line_no long, value string"), ["t", "x"]).orderBy("line_no").collect()
     assert [(r["t"], r["x"]) for r in got] == [(0.0, 1.0), (1.0, 2.0), (0.5, 3.0)]
     clean = series.cleaned(spark.createDataFrame([(k, r["t"]) for k, r in enumerate(got)], "n long, t double"), "n", "t").orderBy("n").collect()
@@ -96,9 +96,12 @@ def test_interpolation_merge_and_small_helpers(spark):
     a = spark.createDataFrame([(1,), (1,), (2,)], "x int")
     assert text.same_rows(a, a) and not text.same_rows(a, a.distinct())
     assert models.factors(360) == [2, 2, 2, 3, 3, 5]
-    pdf = models.hopkins_pdf(1.0, 0.1)
-    total = spark.range(-800, 400).select(pdf(F.col("id") / 100.0).alias("p")).agg(F.sum("p") / 100).first()[0]
-    assert 0.97 < total < 1.03
+    for pdf, want in ((models.hopkins_pdf(1.0, 0.1), 1.0), (models.hopkins_pdf(1.0, 0.3), 1.0), (models.squire_pdf(0.1, 1.5, 2.0), 1.5 * 11 * math.log(2.0) * 2 * 0.01)):
+        p = spark.range(-1600, 600).select((F.col("id") / 100.0).alias("s")).withColumn("p", pdf("s") / 100)
+        area, mean, square, mass = p.agg(F.sum("p"), F.sum(F.col("p") * F.col("s")), F.sum(F.col("p") * F.col("s") * F.col("s")), F.sum(F.col("p") * F.exp("s"))).first()
+        assert abs(area - 1) < 0.02 and abs(mass - 1) < 0.02 and abs(square - mean * mean - want) < 0.03 * want  # area, mean density, variance
+    c = spark.range(-4000, 4000).select((F.col("id") / 100.0).alias("s")).agg(F.sum(models.cauchy_pdf(F.col("s"), 0.3, 1.2, 0.7)) / 100).first()[0]
+    assert abs(c - 1) < 1e-6
     kinds = spark.createDataFrame([("a_hdf5_plt_cnt_0001",), ("a_hdf5_chk_0001",), ("x_dens_proj_z.h5",)], "p string").select(text.file_kind(F.col("p"))).collect()
     assert [k[0] for k in kinds] == ["plt", "chk", "map"]
 
@@ -168,8 +171,57 @@ def test_gravity_of_many_packs_is_that_of_one(spark, monkeypatch):
     points, held = p.where("type = 1").select("tag", "x", "y", "z"), p.where("type = 2")
     one = {r["tag"]: r["phi"] for r in sinks.gravity(points, held, 0.05).collect()}
     monkeypatch.setattr(sinks, "PACK", 20)
-    many = {r["tag"]: r["phi"] for r in sinks.gravity(points, held, 0.05).collect()}
-    assert set(one) == set(many) and all(abs(one[t] - many[t]) < 1e-6 for t in one)
+    twice = points.unionAll(points.limit(1))
+    rows = sinks.gravity(twice, held, 0.05).collect()
+    many = {r["tag"]: r["phi"] for r in rows}
+    assert len(rows) == len(one) + 1 and set(one) == set(many) and all(abs(one[t] - many[t]) < 1e-6 for t in one)  # repeated points stay
+
+
+def test_text_files_of_many_pieces(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"s{k}.dat").write_text("time mass\n" + "".join(f" {n}.0 {k}.5\n" + ("# simulation restarted\n 0.0 9.9\n" if n == 500 else "") for n in range(1, 1000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = text.read_series(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(got) == 3 * 999 and not any(r["mass"] == 9.9 for r in got)
+    assert all(r["line_no"] == r["time"] + (2 if r["time"] > 500 else 0) for r in got)
+    assert text.column_of(["time", "mass", "mdot"], "mas") == 1 and text.column_of(["a"], "0") == 0 and text.column_of(["a"], 3) == 3
+    with pytest.raises(ValueError):
+        text.column_of(["mass", "mdot"], "m")
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 3000])
+def test_percentiles(spark, n):
+    values = np.random.default_rng(n).normal(size=n).round(2)
+    got = stats.percentiles(spark.createDataFrame([(float(v), "a") for v in values], "v double, k string"), ["k"], "v", {"p0": 0.0, "p16": 0.16, "p50": 0.5, "p100": 1.0}).first()
+    assert all(abs(got[name] - np.percentile(values, q)) < 1e-12 for name, q in (("p0", 0), ("p16", 16), ("p50", 50), ("p100", 100)))
+
+
+def test_catalogues_and_parameters(spark):
+    from meshquill.sources import tables
+
+    assert tables.with_name(["dens"], "pres") == ["dens", "pres"] == tables.with_name(["dens", "pres"], "pres")
+    cells = spark.createDataFrame([(0, 0, 0, 0, 1.0)], "block int, i int, j int, k int, dens double")
+    assert tables.variables(tables.renamed(cells, {"dens": "rho"})) == ["rho"]
+    with pytest.raises(ValueError):
+        tables.overwritten(tables.parameters(spark, {"gamma": 1.4}), {"gamma": 2})
+    lines = spark.createDataFrame([("f", "mean = 1.5"), ("f", "nothing")], "file string, value string")
+    assert [(r["name"], r["value"]) for r in tables.header_values(lines).collect()] == [("mean", 1.5)]
+    assert len(stats.edges_of("log", 1.0, 100.0, 3)) == 3 and abs(stats.edges_of("log", 1.0, 100.0, 3)[1] - 10) < 1e-9
+    assert geometry.view_range([(0.0, 4.0)] * 3, 0.5, slice_=True, zoom=2.0)[2] == (1.875, 2.125)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from meshquill import cli
+
+    (tmp_path / "a.dat").write_text("time mass\n 0.0 1.0\n 1.0 3.0\n 2.0 5.0\n")
+    cli.main(["series", str(tmp_path / "a.dat"), "--moments", "mass"], spark)
+    assert "mean=3.0" in capsys.readouterr().out
+    cli.main(["cloud", "--dens", "1e-20", "--size", "1e18", "--sigma", "2e4"], spark)
+    assert "mach=1.0" in capsys.readouterr().out
 
 
 def test_starfield_keeps_light_and_small_maps(spark):
