@@ -93,7 +93,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     templates = like.groupBy("template").agg(F.min("first").alias("kept"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("template", "kept")
     recurring = like.select("leaf", "form", "template").join(templates, "template").select("leaf", "form", "kept")
     out = slim.join(small(scratch(recurring, "recurring")), ["leaf", "form"]).where(F.struct("mq_id", "mq_text", "line") != F.col("kept"))
-    out = materialize(out.groupBy("mq_id", "mq_text").agg(F.collect_list("line").alias("mq_drop")), "dropped")
+    out = materialize(out.groupBy("mq_id", "mq_text").agg(F.collect_set("line").alias("mq_drop")), "dropped")
     scratch.release()
     return out
 

@@ -3,9 +3,11 @@
 1. Tasks cut each document into token pieces of at most CAPACITY (a longer document's first piece is the short one) and write
    id, piece, start, length and checksum of each piece; no tokens are kept.
 2. The length histogram (at most CAPACITY counts, however many documents) goes to the driver. There the covering program over
-   bin configurations is solved by multiplicative weights: a length's weight falls with the share of it that is covered, and a
-   knapsack dynamic program over the capacity finds the configuration of the largest weight. The mean of the configurations
-   found, scaled to the histogram, is rounded down; what is left is filled by subset sums, the longest piece first.
+   bin configurations is solved by multiplicative weights: a length's weight is its size times exp(-rate) to the share of it that is
+   covered, and a knapsack dynamic program over the capacity (in units of GRID tokens) prices the configurations and finds the
+   heaviest. Each is used for half of what its scarcest length lacks, a covering step that keeps the number of steps small; steps
+   end when all is covered, after ROUNDS at most. The uses found are rounded down; configurations that leave more than two tokens free
+   (the price of the grid) are not used. What is left is filled by subset sums, the longest piece first. The README says how much that is.
 3. The rounded solution gives each length consecutive ranges of ranks. Pieces are ranked within their length by bucket counts
    and ranks within buckets, and a rank is looked up in the ranges (bounded by lengths times configurations, not by documents).
 

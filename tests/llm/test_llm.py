@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -462,6 +463,85 @@ def test_lines(spark):
     assert all(r["mq_dropped"] == 0 for r in line_dedup.without_lines(twice.unionAll(twice)).collect())
 
 
+def brute_lines(rows, least=6, leading=3, likeness=0.8):
+    """row number -> numbers of the lines dropped, by all pairs of forms; rows: (id, text)."""
+    seen, forms = {}, collections.defaultdict(list)
+    for at, (i, text) in enumerate(rows):
+        if text is None or (i, text) in seen:
+            seen.setdefault((i, text), []).append(at)
+            continue
+        seen[i, text] = [at]
+        for k, line in enumerate(text.split("\n")):
+            raw = [t for t in re.split(r"[\x20\x09-\x0D]+", line) if t]
+            if raw:
+                tokens = tuple(raw) if len(raw) < least else tuple("<*>" if re.search("[0-9]", t) else t for t in raw)
+                forms[len(raw), tokens].append((i, k, (i, text)))
+    leaves = collections.defaultdict(list)
+    for n, tokens in forms:
+        leaves[(n, tokens) if n < least else (n, tokens[:leading])].append((n, tokens))
+    group = {}
+    for leaf, members in leaves.items():
+        n = members[0][0]
+        constant = {}
+        if len(members) > 1:
+            for place in range(n):
+                told = collections.Counter(t[place] for _, t in members)
+                have = max(told.values())
+                if have >= 2 and have * 2 >= len(members):
+                    hashed = lambda t: int(np.uint64(xxhash.xxh64_intdigest(t, seed=42)).astype(np.int64))
+                    constant[place] = {max((t for t, c in told.items() if c == have), key=hashed)}  # of a tie the larger hash
+        like = [m for m in members if sum(m[1][p] in v for p, v in constant.items()) >= n * likeness]
+        parent = {m: (like[0] if m in like else m) for m in members}
+
+        def root(m, parent=parent):
+            while parent[m] != m:
+                m = parent[m]
+            return m
+
+        for x in members:
+            for y in members:
+                if x != y and sum(p == q for p, q in zip(x[1], y[1])) >= n * likeness - 1e-9:
+                    parent[root(x)] = root(y)
+        group |= {m: root(m) for m in members}
+    templates = collections.defaultdict(list)
+    for m, lines_ in forms.items():
+        templates[group[m]] += lines_
+    dropped = collections.defaultdict(set)
+    for lines_ in templates.values():
+        if len({i for i, _, _ in lines_}) > 1:
+            first = min(i for i, _, _ in lines_)
+            kept = min((i, k) for i, k, _ in lines_ if i == first)
+            for i, k, doc in lines_:
+                if (i, k) != kept:
+                    for at in seen[doc]:
+                        dropped[at].add(k)
+    return dropped
+
+
+def test_lines_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    words = [f"w{chr(97 + k)}" for k in range(26)]
+    pick = lambda n: [words[k] for k in rng.integers(0, 26, n)]
+    shared = [pick(n) for n in (2, 4, 7, 9, 9, 14, 30)]
+    rows = []
+    for i in range(60):
+        text = []
+        for _ in range(rng.integers(0, 7)):
+            line = list(shared[rng.integers(len(shared))]) if rng.random() < 0.6 else pick(rng.integers(1, 12))
+            if rng.random() < 0.5 and len(line) > 6:
+                line[rng.integers(4, len(line))] = words[rng.integers(26)] if rng.random() < 0.7 else str(rng.integers(100))
+            text.append(("  " if rng.random() < 0.2 else "") + " ".join(line))
+        rows.append((i, "\n".join(text)))
+    rows += [rows[5], rows[9], (100, None), (101, ""), (102, " \n\n"), (103, "\n".join(" ".join(pick(8)) for _ in range(3000)))]
+    table = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, line int")
+    want = brute_lines(rows)
+    expect = collections.Counter()
+    for at, (i, t) in enumerate(rows):
+        expect[i, t if t is None or at not in want else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[at]), len(want.get(at, ()))] += 1
+    got = collections.Counter((r["doc_id"], r["text"], r["mq_dropped"]) for r in line_dedup.without_lines(table).collect())
+    assert got == expect
+
+
 def test_lines_short_and_mixed_leaves(spark):
     shared = ["the old server {} the main worker process without any problem now", "the old server {} seven green bottles hanging on some garden wall", "the old server {} nothing of what other people had asked before"]
     texts = [line.format(word) for word in ("restarted", "stopped") for line in shared]  # one leaf, no token in half of it
@@ -606,6 +686,76 @@ def test_recall_of_the_hashing(spark):
 
 
 # ---- queries and pipeline
+CONTRACTS = {
+    "op1_mixing": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
+    "op2_sharding": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
+    "op3_media": "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string",
+    "op4_packing": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
+    "op6_ngram_join": "doc_id bigint, n_shingles bigint, component_id bigint",
+    "op7_pii": "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string",
+    "op9_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op10_vectors": "vec_id bigint, n_links bigint, component_id bigint, kept boolean",
+}
+
+
+@pytest.fixture(scope="module")
+def texts_of(spark):
+    return {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+
+
+@pytest.mark.parametrize("name", sorted(CONTRACTS))
+def test_contracts(spark, name, texts_of):
+    """Columns, types and rows of each query, and the digests of its contract by plain Python."""
+    df = llm.queries()[name](spark, SF)
+    assert ", ".join(f"{n} {t}" for n, t in df.dtypes) == CONTRACTS[name]
+    rows = df.collect()
+    if name == "op10_vectors":
+        given = [(r["vec_id"], list(r["embedding"]) if r["embedding"] else None) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
+        want = {i: w for (i, _), w in zip(given, brute_vectors(given))}
+        assert len(rows) == len(given) and all(r["n_links"] <= want[r["vec_id"]][0] and r["kept"] == (r["vec_id"] == r["component_id"]) for r in rows)
+        return
+    assert {r["doc_id"] for r in rows} == set(texts_of) and (name == "op4_packing" or len(rows) == len(texts_of))
+    if name == "op2_sharding":
+        slots = collections.defaultdict(list)
+        for r in rows:
+            raw = texts_of[r["doc_id"]].encode()
+            assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(raw) + 1, zlib.crc32(raw), "rows", None)
+            slots[r["shard"]].append(r["slot"])
+        assert set(slots) == set(range(8)) and all(sorted(s) == list(range(len(s))) for s in slots.values()) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    elif name == "op3_media":
+        for r in rows:
+            padded, n = media.pad(texts_of[r["doc_id"]])
+            assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (n, len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+            stored = media.encode(padded)
+            assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+    elif name == "op7_pii":
+        for r in rows:
+            base = base_spans(texts_of[r["doc_id"]])
+            kinds = collections.Counter(x.split(":")[0] for x in base.split(",") if x)
+            assert (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) == tuple(kinds[k] for k in ("email", "ip", "card", "phone"))
+            assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest() and set(filter(None, base.split(","))) <= set(r["spans"].split(","))
+    elif name == "op9_toxicity":
+        assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and r["predicted"] == (r["score"] >= 0.7) for r in rows)
+
+
+def test_odd_rows_of_stages(spark, odd):
+    """Nulls, empties, repeats, clashing names and empty tables in the stages that the other tests give clean rows only."""
+    mixed = corpus_pipeline.mixing(spark, odd, SF)
+    assert mixed.columns == odd.columns and mixed.count() <= 3 * odd.count() and corpus_pipeline.mixing(spark, empty(odd), SF).count() == 0
+    pieces = corpus_pipeline.packing(spark, odd.withColumn("piece", F.lit("x")), SF)
+    assert pieces.select("doc_id").distinct().count() == odd.select("doc_id").distinct().count() and corpus_pipeline.packing(spark, empty(odd), SF).count() == 0
+    lines = corpus_pipeline.line_dedup(spark, odd, SF)
+    assert lines.columns == odd.columns and lines.count() <= odd.count()
+    assert corpus_pipeline.toxicity_filter(spark, empty(odd), SF).count() == 0 and corpus_pipeline.ngram_join(spark, empty(odd), SF).count() == 0
+
+
+def test_sharding_of_one_repeated_row(spark):
+    """Copies of one row are dealt to all partitions and shards."""
+    many = docs(spark, ["same text"]).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(4000)))).drop("n")
+    got = sharding.shard(many, ["doc_id"], rows_per_partition=100).groupBy("mq_shard").agg(F.count("*").alias("n"), F.max("mq_slot").alias("top")).collect()
+    assert [(r["n"], r["top"]) for r in got] == [(500, 499)] * 8
+
+
 @pytest.mark.parametrize("name", ["op1_mixing", "op6_ngram_join"])
 def test_oracles(spark, name):
     import duckdb
