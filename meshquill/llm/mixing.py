@@ -4,8 +4,8 @@ Each document expects ``target / source size`` copies. Within a source the expec
 the documents, one random offset is added, and a document is emitted once for each integer boundary that its own share crosses.
 Expected copies are whole multiples of 2**-24, so sums are exact and a rerun, or a task that is run again, gives the same copies.
 
-The prefix sum has three levels, so a source with a third of all rows is spread over many tasks: within a bucket of a source,
-over the buckets of a source, and the offset. The order goes by size class (number of digits, first two digits), then by a hash
+The prefix sum has three levels, so a source with a third of all rows is spread over many tasks: within a bucket of a source and size
+class, over the buckets of a source (a row for each ROWS_PER_BUCKET documents and for each class), and the offset. The order goes by size class (number of digits, first two digits), then by a hash
 of the id: the copies of each size class come near its share, and so do the words of each source.
 
 Nulls: a null text has size 0, a null source is a source of its own (the last), a null id is ordered as ''. Repeated rows each
@@ -33,13 +33,13 @@ def size_class(size):
     return F.length(digits) * 100 + F.substring(digits, 1, 2).cast("int")
 
 
-def source_targets(sized: DataFrame, weights=(1, 2, 3), most: int = 3) -> DataFrame:
-    """mq_source, mq_rows, source_size, target: weights repeat over the sources by code point; targets stop at most * size.
+def source_targets(classes: DataFrame, weights=(1, 2, 3), most: int = 3) -> DataFrame:
+    """mq_source, source_size, target: weights repeat over the sources by code point; targets stop at most * size.
 
     The level is the largest over the sources by ratio of what is left to share by the weight left (water filling). The
-    windows have a row for each source, not for each document.
+    windows have a row for each source, not for each document. classes: mq_source, mq_words, any number of rows for a source.
     """
-    per = sized.groupBy(F.col("mq_source")).agg(F.count("*").alias("mq_rows"), F.sum("mq_size").alias("source_size"))
+    per = classes.groupBy("mq_source").agg(F.sum("mq_words").alias("source_size"))
     rank = F.row_number().over(Window.orderBy(F.col("mq_source").asc_nulls_last()))
     weight = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), ((rank - 1) % len(weights) + 1).cast("int"))
     per = per.withColumn("mq_weight", weight).withColumn("mq_cap", F.col("source_size") * most)
@@ -50,7 +50,7 @@ def source_targets(sized: DataFrame, weights=(1, 2, 3), most: int = 3) -> DataFr
     weight_left = F.sum("mq_weight").over(everything) - F.coalesce(F.sum("mq_weight").over(by_ratio), F.lit(0))
     per = per.withColumn("mq_level", left.cast("double") / weight_left)
     level = F.max("mq_level").over(everything)
-    return per.select("mq_source", "mq_rows", "source_size", F.least(F.col("mq_cap").cast("double"), level * F.col("mq_weight")).alias("target"))
+    return per.select("mq_source", "source_size", F.least(F.col("mq_cap").cast("double"), level * F.col("mq_weight")).alias("target"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size_col: str | None = None,
@@ -63,13 +63,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     size = F.col(size_col) if size_col else word_count(text_col)
     sized = docs.drop("source_size", "target").withColumns({"mq_source": F.col(source_col), "mq_size": size, "mq_hash": F.md5(id_text)})
     sized = sized.withColumn("mq_class", size_class(F.col("mq_size")))
-    sources = materialize(source_targets(sized, weights, most), "sources")
+    classes = materialize(sized.groupBy("mq_source", "mq_class").agg(F.count("*").alias("mq_rows"), F.sum("mq_size").alias("mq_words")), "classes")
+    targets = source_targets(classes, weights, most).withColumnRenamed("mq_source", "mq_named")
+    sources = classes.join(targets, F.col("mq_source").eqNullSafe(F.col("mq_named"))).drop("mq_named", "mq_words")
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     sources = sources.withColumn("mq_share", F.least(F.lit(most * UNIT), F.floor(share * UNIT + 0.5).cast("long")).cast("long"))
     sources = sources.withColumn("mq_buckets", F.ceil(F.col("mq_rows") / rows_per_bucket).cast("long"))
     offset = hex_number(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("mq_source"), F.lit("")))), 6)
-    sources = sources.withColumn("mq_offset", offset)
-    rows = sized.join(small(sources), sized["mq_source"].eqNullSafe(sources["mq_source"])).drop(sources["mq_source"])
+    sources = materialize(sources.withColumn("mq_offset", offset).withColumnsRenamed({"mq_source": "mq_named", "mq_class": "mq_named_class"}), "sources")
+    met = F.col("mq_source").eqNullSafe(F.col("mq_named")) & (F.col("mq_class") == F.col("mq_named_class"))
+    rows = sized.join(small(sources), met).drop("mq_named", "mq_named_class")
     rows = rows.withColumn("mq_bucket", F.floor(hex_number(F.col("mq_hash"), 6) * F.col("mq_buckets") / UNIT).cast("long"))
     rows = rows.withColumn("mq_key", F.coalesce(F.concat(F.lit("="), "mq_source"), F.lit("")))
     bucket = ["mq_key", "mq_class", "mq_bucket"]
