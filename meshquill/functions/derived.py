@@ -95,3 +95,14 @@ def radius(centre: tuple[float, float, float], lengths: tuple[float, float, floa
             d = F.when(d > lengths[k] / 2, d - lengths[k]).when(d < -lengths[k] / 2, d + lengths[k]).otherwise(d)
         out = out + d * d
     return F.sqrt(out)
+
+
+def prepared(x: Column, scale: float = 1.0, log: str | None = None) -> Column:
+    """A quantity over a scale, then its log10 (lg) or natural logarithm (ln)."""
+    out = x / float(scale)
+    return F.log10(out) if log == "lg" else F.ln(out) if log == "ln" else out
+
+
+def transformed(cells, name: str, expression: str, out: str):
+    """cells with a column that an SQL expression over q, the named quantity, gives; it is parsed by Spark, never run as code."""
+    return cells.withColumn("q", F.col(name)).withColumn(out, F.expr(expression)).drop("q")

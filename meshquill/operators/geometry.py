@@ -322,3 +322,8 @@ def block_summary(blocks: DataFrame, per_block: int) -> DataFrame:
                      F.min(F.when(leaf, size)).alias("min_dx"), F.max(F.when(leaf, size)).alias("max_dx"), *ends)
     spans_ = [F.col(f"hi_{a}") - F.col(f"lo_{a}") for a in AXES]
     return out.withColumns({"volume": spans_[0] * spans_[1] * spans_[2], "finest": F.round(spans_[0] / F.col("min_dx")).cast("long")})
+
+
+def map_product(a: DataFrame, b: DataFrame) -> DataFrame:
+    """ix, iy, value: the product of two maps on the pixels that both have."""
+    return a.select("ix", "iy", F.col("value").alias("mq_a")).join(b.select("ix", "iy", F.col("value").alias("mq_b")), ["ix", "iy"]).select("ix", "iy", (F.col("mq_a") * F.col("mq_b")).alias("value"))

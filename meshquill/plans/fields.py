@@ -299,3 +299,51 @@ def log_radial_profile(spark, sf):
 def grid_reductions(spark, sf):
     g = cells(spark, sf).groupBy("i", "j").agg(F.when(F.avg("dens") > 25, F.avg("pres")).alias("v")).withColumn("vol", F.lit(0.25))
     return rounded(stats.regular_reductions(g, "v", "vol"), min=4, max=4, sum=2, sum_vw=2)
+
+
+# ---------------------------------------------------------------- more variables
+_more = f"SELECT *, velx + 2e0 AS oadv, 1e17 + dvol AS dx, 2e17 AS dy, 1e17 AS dz, dens * 1e-20 AS rho, sin(dens) + 2e0 AS magx, cos(dens) + 2e0 AS magy, dens / 1e1 AS magz, vely AS vecpotx, velz AS vecpoty, velx AS vecpotz, dens * 1e1 AS temp FROM ({CELLS})"
+
+
+@query(f"WITH c AS ({_more}) SELECT block, round(avg(oadv * dens), 6) AS outflow_dens, round(avg(dens * vely), 8) AS momy, round(avg(dens * velz), 8) AS momz, round(avg(vecpotx * magx + vecpoty * magy + vecpotz * magz), 8) AS magnetic_helicity, round(avg(vecpotx * velx + vecpoty * vely + vecpotz * velz), 9) AS adotv, "
+       f"round(avg(velz - (velx * magx + vely * magy + velz * magz) / (magx * magx + magy * magy + magz * magz) * magz), 9) AS vz_perp_b, round(avg(vely / sqrt(temp * {derived.K_B!r} / 2e0 / {derived.M_P!r})) * 1e6, 6) AS mach_vely, "
+       f"round(avg(sqrt(pi() / {derived.G!r}) / 2e17 * sqrt({5 / 3!r} * pres / rho / rho)) * 1e6, 6) AS jnum FROM c GROUP BY block")
+def more_variables(spark, sf):
+    c = view(spark, sf, "lineitem", _more)
+    names = {"outflow_dens": 6, "momy": 8, "momz": 8, "magnetic_helicity": 8, "adotv": 9, "vz_perp_b": 9}
+    jnum = derived.variable("jnum")
+    out = c.groupBy("block").agg(*(F.round(F.avg(derived.variable(n)), d).alias(n) for n, d in names.items()), F.round(F.avg(derived.variable("mach_vely", mu=2.0)) * 1e6, 6).alias("mach_vely"))
+    numbers = c.withColumn("dens", F.col("rho")).groupBy("block").agg(F.round(F.avg(jnum) * 1e6, 6).alias("jnum"))
+    return out.join(numbers, "block")
+
+
+_wrap = lambda c, o, n: f"pow(CASE WHEN {c} - {o} > {n} / 2e0 THEN {c} - {o} - {n} WHEN {c} - {o} < -{n} / 2e0 THEN {c} - {o} + {n} ELSE {c} - {o} END, 2)"
+
+
+@query(f"WITH c AS ({CELLS}) SELECT block, round(avg(sqrt({_wrap('i', '2e0', '16e0')} + {_wrap('j', '14e0', '16e0')} + {_wrap('k', '1e0', '8e0')})), 9) AS r FROM c GROUP BY block")
+def periodic_radius(spark, sf):
+    r = derived.radius((2.0, 14.0, 1.0), (16.0, 16.0, 8.0), names=("i", "j", "k"))
+    return cells(spark, sf).groupBy("block").agg(F.round(F.avg(r), 9).alias("r"))
+
+
+_bv = lambda p: f"sqrt((x{p} * x{p} + y{p} * y{p} + z{p} * z{p}) / (4 * pi() * d{p}))"
+_named = {"mags": [f"{c}2 - {c}1" for c in "xyz"], "valf": [f"{c}2 / sqrt(4 * pi() * d2) - {c}1 / sqrt(4 * pi() * d1)" for c in "xyz"], "amach": [f"{c}2 / {_bv(2)} - {c}1 / {_bv(1)}" for c in "uvw"],
+          "msmach": [f"{c}2 / sqrt(1 + 5e-1 * pow({_bv(2)}, 2)) - {c}1 / sqrt(1 + 5e-1 * pow({_bv(1)}, 2))" for c in "uvw"], "sqrtrho": [f"sqrt(d2) * {c}2 - sqrt(d1) * {c}1" for c in "uvw"], "rho3": [f"cbrt(d2) * {c}2 - cbrt(d1) * {c}1" for c in "uvw"]}
+_pairs_b = _pairs.replace("m.magx AS x1, n.magx AS x2,", "m.magx AS x1, n.magx AS x2, m.magy AS y1, n.magy AS y2, m.magz AS z1, n.magz AS z2,")
+
+
+@query(f"{_pairs_b}, q AS ({_union({n: _vector_sql(*e) for n, e in _named.items()})}) SELECT type, bin, count(*) AS n, {_orders('sf', 2)} FROM q GROUP BY 1, 2")
+def field_structure_functions(spark, sf):
+    names = {"mags": B, "valf": tuple(f"valf_{b}" for b in B)} | {t: tuple(f"{t}_{v}" for v in V) for t in ("amach", "msmach", "sqrtrho", "rho3")}
+    have = ["dens", *V, *B]
+    fields = {t: tuple(derived.variable(n, have=have) for n in v) for t, v in names.items()}
+    return _tidy(pairs.pair_statistics(mesh(spark, sf), fields, N, LAGS, orders=2), "sf", 2)
+
+
+@query("""WITH p AS (SELECT p_partkey, p_size * 1e0 AS v, p_retailprice AS x, p_partkey % 5 * 1e0 AS z FROM part)
+SELECT p_partkey, round(x * pow(1 + z, -2) + 5e-1 * (v * v + 4 * v * v + 9 * v * v), 6) AS ener, round(70 * sqrt(3e-1 * pow(1 + z, 3) + 7e-1) / (1 + z) * x + v / (1 + z), 6) AS velocity, round(x * (1 + z), 6) AS pres, round(x * pow(1 + z, -2), 8) AS temp FROM p""")
+def proper_quantities(spark, sf):
+    p = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", F.col("p_size").cast("double").alias("v"), F.col("p_retailprice").alias("x"), (F.col("p_partkey") % 5).cast("double").alias("z"))
+    v, x, z = F.col("v"), F.col("x"), F.col("z")
+    out = {"ener": (models.proper_energy(x, (v, 2 * v, 3 * v), z), 6), "velocity": (models.proper_velocity(x, v, z, 70.0, 0.3), 6), "pres": (models.proper("pres", x, z), 6), "temp": (models.proper("temp", x, z), 8)}
+    return p.select("p_partkey", *(F.round(c, d).alias(n) for n, (c, d) in out.items()))

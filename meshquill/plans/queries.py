@@ -201,8 +201,9 @@ def derived_variables(spark, sf):
 
 @query(f"WITH c AS ({CELLS}) SELECT block, count(*) AS n, round(avg(log10(dens / 1e1)), 9) AS lg, round(avg(ln(dens / 1e1)), 9) AS ln_, round(avg(2 * pres + 1), 4) AS q2 FROM c WHERE pres BETWEEN 2e4 AND 6e4 GROUP BY block")
 def transformed_in_range(spark, sf):
-    c = cells(spark, sf).where(F.col("pres").between(2e4, 6e4)).withColumn("q", F.col("pres"))
-    return c.groupBy("block").agg(F.count("*").alias("n"), F.round(F.avg(F.log10(F.col("dens") / 10.0)), 9).alias("lg"), F.round(F.avg(F.ln(F.col("dens") / 10.0)), 9).alias("ln_"), F.round(F.avg(F.expr("2 * q + 1")), 4).alias("q2"))
+    c = derived.transformed(cells(spark, sf).where(F.col("pres").between(2e4, 6e4)), "pres", "2 * q + 1", "q2")
+    logs = [F.round(F.avg(derived.prepared(F.col("dens"), 10.0, log)), 9).alias(n) for log, n in (("lg", "lg"), ("ln", "ln_"))]
+    return c.groupBy("block").agg(F.count("*").alias("n"), *logs, F.round(F.avg("q2"), 4).alias("q2"))
 
 
 @query("""WITH p AS (SELECT p_partkey, pow(1e1, p_size / 2e0) AS len FROM part),

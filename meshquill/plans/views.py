@@ -209,3 +209,32 @@ def sink_threshold(spark, sf):
 @query(f"WITH b AS ({BLOCKS}) SELECT DISTINCT level FROM b")
 def levels(spark, sf):
     return stats.refinement(blocks(spark, sf)).select("level")
+
+
+@query(f"""WITH c AS ({CELLS}), x AS (SELECT *, 5e-1 + i AS cx, 5e-1 + j AS cy FROM c), q AS (SELECT *, ix::BIGINT AS px, iy::BIGINT AS py FROM x, range(4) a(ix), range(4) b(iy)),
+w AS (SELECT *, {_over('cx', 'dvol', '(px * 4e0)', '(px * 4e0 + 4e0)')} * {_over('cy', 'dvol', '(py * 4e0)', '(py * 4e0 + 4e0)')} * dvol AS w FROM q)
+SELECT px AS ix, py AS iy, round(sum(dens * w) / sum(w) * (sum(pres * w) / sum(w)), 2) AS value FROM w WHERE w > 1e-9 GROUP BY 1, 2""")
+def product_of_maps(spark, sf):
+    c = cells(spark, sf).withColumns({"x": F.col("i") + 0.5, "y": F.col("j") + 0.5} | {f"d{a}": F.col("dvol") for a in "xyz"})
+    a, b = (geometry.project(c, F.col(v), (0.0, 0.0), 4.0, (4, 4)) for v in ("dens", "pres"))
+    return rounded(geometry.map_product(a, b), value=2)
+
+
+@query(f"""WITH c AS ({CELLS}), x AS (SELECT *, 5e-1 + i AS cx, 5e-1 + j AS cy, 5e-1 + k AS cz FROM c), q AS (SELECT *, ix::BIGINT AS px, iy::BIGINT AS py, iz::BIGINT AS pz FROM x, range(4) a(ix), range(4) b(iy), range(2) d(iz)),
+w AS (SELECT *, {_over('cx', 'dvol', '(px * 4e0)', '(px * 4e0 + 4e0)')} * {_over('cy', 'dvol', '(py * 4e0)', '(py * 4e0 + 4e0)')} * {_over('cz', 'dvol', '(pz * 4e0)', '(pz * 4e0 + 4e0)')} * dens AS w FROM q)
+SELECT px AS ix, py AS iy, pz AS iz, round(sum(pres * w) / sum(w), 3) AS value FROM w WHERE w > 1e-9 GROUP BY 1, 2, 3""")
+def mass_weighted_cube(spark, sf):
+    out = geometry.extract(_seen_cells(spark, sf), F.col("pres"), (0.0, 0.0, 0.0), 4.0, (4, 4, 2), F.col("dens"))
+    return rounded(out.where("weight > 0").select("ix", "iy", "iz", "value"), value=3)
+
+
+@query(f"""WITH b AS ({BLOCKS}), p AS ({PHASE}) SELECT 'blocks' AS name, count(*)::DOUBLE AS value FROM b UNION ALL SELECT 'leaves', sum(CASE WHEN node_type = 1 THEN 1 ELSE 0 END)::DOUBLE FROM b UNION ALL SELECT 'max_level', max(level)::DOUBLE FROM b UNION ALL SELECT 'min_dx', min(CASE WHEN node_type = 1 THEN (hi_x - lo_x) / 8 END) FROM b
+ UNION ALL SELECT 'sinks', count(*)::DOUBLE FROM p WHERE type = 2 UNION ALL SELECT 'tracers', count(*)::DOUBLE FROM p WHERE type = 1 UNION ALL SELECT 'sink_mass', sum(mass) FROM p WHERE type = 2 UNION ALL SELECT 'median_mass', median(mass) FROM p WHERE type = 2""")
+def simulation_report(spark, sf):
+    g = geometry.block_summary(blocks(spark, sf), 8)
+    p = phase(spark, sf)
+    t = p.agg(F.sum((F.col("type") == 2).cast("long")).alias("sinks"), F.sum((F.col("type") == 1).cast("long")).alias("tracers"))
+    m = stats.mass_summary(p.where("type = 2"), "mass").select(F.col("total").alias("sink_mass"), F.col("median").alias("median_mass"))
+    one = g.select("blocks", "leaves", "max_level", "min_dx").crossJoin(t).crossJoin(m)  # one row each
+    names = ["blocks", "leaves", "max_level", "min_dx", "sinks", "tracers", "sink_mass", "median_mass"]
+    return one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("value")) for n in names))).alias("x")).select("x.*")
