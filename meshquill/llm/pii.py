@@ -41,7 +41,7 @@ GENERATORS = {
     "address": rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++(?:{AT}|\x20(?:at|AT)\x20(?=[A-Za-z0-9-]++\x20(?:dot|DOT)\x20))[A-Za-z0-9-]++(?:{DOT}[A-Za-z0-9-]++)*+",
     "number": r"(?:\G|(?<![0-9.A-Za-z]))[(]?[0-9](?:[\x20().·/_-]{0,2}[0-9]){6,24}+(?![0-9A-Za-z])",
     "key": r"(?:\G|(?<![A-Za-z0-9+/_-]))(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{12,}+",
-    "value": r"(?<=(?:assword|asswd|pwd|oken|ecret|ey|ASSWORD|OKEN|ECRET|KEY)[\"' ]{0,2}[=:][\"' ]{0,2})(?<![^\"' =:])[^\s\"',;=:]++",
+    "value": r"(?<![^\"' =:])(?<=(?:assword|asswd|pwd|oken|ecret|ey|ASSWORD|OKEN|ECRET|KEY)[\"' ]{0,2}[=:][\"' ]{0,2})[^\s\"',;=:]++",
 }
 GATES = {"address": "@|at[\\])}>]|AT[\\])}>]| (?:dot|DOT) ", "number": "[0-9]", "key": "[0-9]", "value": "[=:]"}
 #: Formats of well-known keys.

@@ -38,6 +38,7 @@ from .common import materialize, slices, small, table
 MAX_LABELLED = 100_000
 MAX_FITTED = 20_000
 LEXICON = 5_000
+INPUTS = ["mq_x0", "mq_x1", "mq_x2", "mq_x3"]
 THRESHOLD = 0.7
 CLASSES = 128
 BLOCK = 4_000_000
@@ -258,12 +259,14 @@ class Lexicon:
         self.skeletons = {skeleton(f) for f in weights}
         self.stems = sorted({len(x) - 1 for x in self.skeletons if x.endswith("~")})
         self.lengths = sorted({len(f.rstrip("~")) for f in weights})
-        self.starts = {x[:2] for x in self.skeletons | set(weights)} | {x[0] * 2 for x in self.skeletons}
+        self.starts = {f[:3] for f in weights}
+        for a, b, c in {(x.rstrip("~") + "  ")[:3] for x in self.skeletons}:  # what a word of this skeleton may begin with
+            self.starts |= {s.rstrip() for s in (a, a + a, a + a + a, a + b, a + a + b, a + b + b, a + b + c)}
 
     def candidates(self, found: set[str]) -> list[str]:
-        """Words that begin like an entry, and those with letters beyond a to z; no other word can have a weight."""
+        """Words that begin like an entry (accents and look-alikes replaced); no other word can have a weight."""
         starts = self.starts
-        return [w for w in found if w[:2] in starts or not w.isascii()]
+        return [w for w in found if (p := w[:3]) in starts or (not p.isascii() and p.translate(PLAIN) in starts)]
 
     def weight(self, word: str) -> float:
         return max((self.weights.get(f, 0.0) for f in features(word)), default=0.0)
@@ -340,7 +343,8 @@ def _feature_counts(told, batches):
 
     for batch in slices(batches):
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            (toxic if label else other).update({f for w in words(model, text, cache)[0] for f in features(w)})
+            found = words(model, text, cache)[0]
+            (toxic if label else other).update(found.union(*({f"{w[:n]}~" for w in found if len(w) > n} for n in (4, 5, 6))))
         if len(toxic) + len(other) > 3 * CACHED:
             yield summed()
     yield summed()
@@ -369,21 +373,23 @@ def numbers(model: np.ndarray, lexicon: Lexicon, text: str | None, cache: dict,
     return [max(hits, default=0.0), math.log1p(sum(hits)), math.log1p(len(hits)), min(1.0, 10 * len(hits) / max(len(tokens), 1))]
 
 
-def _inputs(told, batches):
+def _inputs(told, columns, batches):
+    """The columns kept and the four inputs of each text (the last column)."""
     (model, lexicon), cache, weights = told.value, {}, {}
     for batch in slices(batches):
-        rows = np.array([numbers(model, lexicon, t, cache, weights) for t in batch.column(0).to_pylist()]).reshape(-1, 4)
-        yield pa.RecordBatch.from_arrays([*(pa.array(rows[:, k]) for k in range(4)), batch.column(1)], ["x0", "x1", "x2", "x3", "toxic"])
+        rows = np.array([numbers(model, lexicon, t, cache, weights) for t in batch.column(batch.num_columns - 1).to_pylist()]).reshape(-1, 4)
+        kept = [batch.column(batch.schema.get_field_index(c)) for c in columns]
+        yield pa.RecordBatch.from_arrays([*kept, *(pa.array(rows[:, k]) for k in range(4))], [*columns, *INPUTS])
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, Lexicon, np.ndarray]:
-    """The language model, the lexicon and the coefficients."""
+def lexicon_of(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, Lexicon, DataFrame]:
+    """The language model, the lexicon, and the labels it was learnt from (doc_id, toxic)."""
     spark = docs.sparkSession
     model = language_model(docs, text_col)
     open_ = labels.where("doc_id is not null and toxic is not null and pmod(crc32(cast(cast(doc_id as string) as binary)), 3) <> 1")
-    open_ = open_.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.md5(F.col("doc_id").cast("string"))).limit(MAX_LABELLED)
+    open_ = open_.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.md5(F.col("doc_id").cast("string"))).limit(MAX_LABELLED)
     open_ = materialize(open_, "labels")
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(small(open_), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(small(open_), "doc_id").select("text", "toxic")
     told = spark.sparkContext.broadcast(model)
     counts = texts.mapInArrow(partial(_feature_counts, told), "feature string, toxic long, other long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     totals = {int(r["toxic"] > 0): r["count"] for r in open_.groupBy("toxic").count().collect()}
@@ -393,14 +399,30 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     g = 2 * (F.when(a > 0, a * F.ln(a / (n * share))).otherwise(0.0) + F.when(n > a, (n - a) * F.ln((n - a) / (n * (1 - share)))).otherwise(0.0))
     weight = F.ln((a + 0.5) / (yes + 1.0)) - F.ln((n - a + 0.5) / (no + 1.0))
     strong = counts.select("feature", weight.alias("weight"), g.alias("g")).where("weight >= 2 and g >= 25").orderBy(F.desc("g"), "feature").limit(LEXICON)
-    lexicon = Lexicon({r["feature"]: r["weight"] for r in strong.collect()})
-    told = spark.sparkContext.broadcast((model, lexicon))
-    sample = texts.mapInArrow(partial(_inputs, told), "x0 double, x1 double, x2 double, x3 double, toxic int")
-    grouped = sample.groupBy(*(F.round(f"x{k}", 1).alias(f"x{k}") for k in range(4))).agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n")).orderBy(F.desc("n"), "x0", "x1", "x2", "x3").limit(MAX_FITTED).toPandas()
+    return model, Lexicon({r["feature"]: r["weight"] for r in strong.collect()}), open_
+
+
+def inputs(docs: DataFrame, model: np.ndarray, lexicon: Lexicon, keep: list[str], text_col: str = "text") -> DataFrame:
+    """The columns keep and the inputs of each row."""
+    told = docs.sparkSession.sparkContext.broadcast((model, lexicon))
+    schema = docs.select(*keep).withColumns({c: F.lit(0.0) for c in INPUTS}).schema
+    return docs.select(*keep, F.col(text_col).alias("mq_text")).mapInArrow(partial(_inputs, told, keep), schema)
+
+
+def fitted(labelled: DataFrame) -> np.ndarray:
+    """The coefficients of the logistic model from rows of inputs and toxic, counted in groups of rounded inputs."""
+    rounded = [F.round(c, 1).alias(c) for c in INPUTS]
+    grouped = labelled.groupBy(*rounded).agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n")).orderBy(F.desc("n"), *INPUTS).limit(MAX_FITTED).toPandas()
     if not len(grouped):
-        return model, lexicon, np.array([0.0, 0.0, 0.0, 0.0, math.log(0.05 / 0.95)])
-    x, toxic, n = grouped[["x0", "x1", "x2", "x3"]].to_numpy(), grouped["toxic"].to_numpy(np.float64), grouped["n"].to_numpy(np.float64)
-    return model, lexicon, fit_grouped(x, toxic, n)
+        return np.array([0.0, 0.0, 0.0, 0.0, math.log(0.05 / 0.95)])
+    return fit_grouped(grouped[INPUTS].to_numpy(), grouped["toxic"].to_numpy(np.float64), grouped["n"].to_numpy(np.float64))
+
+
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, Lexicon, np.ndarray]:
+    """The language model, the lexicon and the coefficients."""
+    model, lexicon, open_ = lexicon_of(docs, labels, id_col, text_col)
+    rows = inputs(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(small(open_), "doc_id"), model, lexicon, ["toxic"])
+    return model, lexicon, fitted(rows)
 
 
 def fit_grouped(x: np.ndarray, toxic: np.ndarray, n: np.ndarray, penalty: float = 0.1, steps: int = 40) -> np.ndarray:
@@ -416,23 +438,18 @@ def fit_grouped(x: np.ndarray, toxic: np.ndarray, n: np.ndarray, penalty: float
     return w
 
 
-def _scores(told, columns, batches):
-    (model, lexicon, w), cache, weights = told.value, {}, {}
-    for batch in slices(batches):
-        text = batch.column(batch.schema.get_field_index("mq_text")).to_pylist()
-        rows = np.array([numbers(model, lexicon, t, cache, weights) for t in text]).reshape(-1, 4)
-        score = 1 / (1 + np.exp(-np.clip(rows @ w[:4] + w[4], -30, 30)))
-        kept = [batch.column(batch.schema.get_field_index(c)) for c in columns]
-        yield pa.RecordBatch.from_arrays([*kept, pa.array(score)], [*columns, "mq_score"])
-
-
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns keep (all of docs if None) and mq_score of every row."""
-    told = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, id_col, text_col))
+    """The columns keep (all of docs if None) and mq_score of every row. Inputs are worked out once for each text and written; the labelled
+    rows among them fit the model, whose score is an expression."""
     keep = docs.columns if keep is None else keep
-    chosen = docs.select(*keep, F.col(text_col).alias("mq_text"))
-    schema = docs.select(*keep).withColumn("mq_score", F.lit(0.0)).schema
-    return chosen.mapInArrow(partial(_scores, told, keep), schema)
+    model, lexicon, open_ = lexicon_of(docs, labels, id_col, text_col)
+    every = materialize(inputs(docs.withColumn("mq_id", F.col(id_col)), model, lexicon, [*keep, "mq_id"], text_col), "inputs")
+    w = fitted(every.select("mq_id", *INPUTS).join(small(open_.withColumnRenamed("doc_id", "mq_id")), "mq_id"))
+    total = F.lit(float(w[4]))
+    for c, x in zip(INPUTS, w):
+        total = total + F.col(c) * float(x)
+    total = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), total))
+    return every.select(*keep, (1 / (1 + F.exp(-total))).alias("mq_score"))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

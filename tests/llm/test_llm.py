@@ -775,6 +775,10 @@ def test_pipeline_stages(spark):
     lines = corpus_pipeline.line_dedup(spark, clean, SF)
     assert lines.columns == d.columns
     texts = sorted((r["doc_id"], r["text"]) for r in lines.collect())
+    given = sorted((r["doc_id"], r["text"]) for r in clean.collect())
+    gone = brute_lines(given)
+    left = [(i, t if at not in gone else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[at]), at in gone) for at, (i, t) in enumerate(given)]
+    assert texts == [(i, t) for i, t, cut in left if not cut or re.search(r"[^\x20\x09-\x0D]", t)]
     comp = brute([t for _, t in texts], 5, 80)
     kept = {r["doc_id"] for r in corpus_pipeline.ngram_join(spark, lines, SF).collect()}
     assert kept == {texts[k][0] for k, (_, c) in enumerate(comp) if c == k}
