@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshquill.llm.common import materialize, table
+from meshquill.llm.common import materialize, release, table
 from meshquill.llm.line_dedup import SPACE, without_lines
 from meshquill.llm.mixing import mixed
 from meshquill.llm.ngram_join import near_duplicates_removed
@@ -48,8 +48,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents."""
+    """The stages applied to documents; what a stage returned is deleted once the next one's result is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        new = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(docs)
+        docs = new
     return STAGES[-1][1](spark, docs, sf_dir)
