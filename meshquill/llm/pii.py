@@ -10,7 +10,7 @@
    common, and give the same to what the validators miss. A quarter of the candidates (by hash) gives the words' shares, two quarters
    fit gradient-boosted trees, on at most MAX_FITTED candidates (smallest hashes), turned into one SQL expression.
 4. *Calibrated thresholds*: for each generator and kind the lowest score (0.5 at least) from which on the last quarter's candidates
-   reach PRECISION, one right and one wrong candidate added, so that few candidates give no threshold. Candidates from there on that overlap no base span are added.
+   reach PRECISION; where these are too few to tell, FEW at least. Candidates from there on that overlap no base span are added.
 
 Positions are code points, ends exclusive. Patterns are possessive with a look-behind for what precedes, which finds the same
 matches as the plain ones and stays linear on long runs. Positions and overlaps of a text's matches are running sums and maxima in
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, let, materialize, table, text_or_empty
 
-MAX_FITTED, MIN_FITTED, PRECISION, CUES = 20_000, 40, 0.95, 100
+MAX_FITTED, MIN_FITTED, PRECISION, FEW, CUES = 20_000, 40, 0.95, 0.9, 100
 LOCAL = "A-Za-z0-9._%+-"
 EMAIL = rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -180,9 +180,10 @@ def tree_expression(lines: list[str], f) -> Column:
 
 
 def lowest_thresholds(rows: list[tuple], precision: float = PRECISION) -> dict:
-    """group -> the score, 0.5 at least, from which on candidates reach the precision, counted as (personal + 1) / (all + 2).
+    """group -> the score from which on candidates reach the precision. rows: group, hundredths, personal, all.
 
-    It is half way between the lowest hundredth that does and the next one that has candidates. rows: group, hundredths, personal, all.
+    It is half way between the lowest hundredth that does and the next one that has candidates, 0.5 at least; and FEW at least where one
+    right and one wrong candidate more would miss the precision.
     """
     out: dict = {}
     for group in {r[0] for r in rows}:
@@ -190,8 +191,8 @@ def lowest_thresholds(rows: list[tuple], precision: float = PRECISION) -> dict:
         ordered = sorted((r[1:] for r in rows if r[0] == group), reverse=True)
         for (cent, personal, every), (below, *_) in zip(ordered, [*ordered[1:], (0,)]):
             yes, n = yes + personal, n + every
-            if yes + 1 >= precision * (n + 2):
-                out[group] = max((cent + below) / 200, 0.5)
+            if yes >= precision * n:
+                out[group] = max((cent + below) / 200, 0.5 if yes + 1 >= precision * (n + 2) else FEW)
     return out
 
 
