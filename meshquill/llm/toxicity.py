@@ -41,8 +41,8 @@ LEXICON = 5_000
 INPUTS = ["mq_x0", "mq_x1", "mq_x2", "mq_x3"]
 THRESHOLD = 0.7
 CLASSES = 128
-BLOCK = 4_000_000
-CACHED = 150_000
+BLOCK = 1_000_000
+CACHED = 100_000
 #: What a look-alike may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "*": "aeiou",
               "а": "a", "в": "b", "с": "c", "е": "e", "ё": "e", "н": "h", "і": "i", "ї": "i", "ј": "j", "к": "k", "м": "m", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x", "ԁ": "d", "һ": "h", "ӏ": "l", "г": "r",
