@@ -141,7 +141,7 @@ _dumps = "SELECT o_orderkey % 50 AS dump, o_custkey AS tag, o_totalprice AS mass
 
 def _dump_rows(spark, sf):
     o = spark.read.parquet(f"{sf}/orders.parquet")
-    return o.select((F.col("o_orderkey") % 50).alias("dump"), F.col("o_custkey").alias("tag"), F.col("o_totalprice").alias("mass"), (F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 1e6).alias("time"))
+    return o.select((F.col("o_orderkey") % 50).alias("dump"), F.col("o_custkey").alias("tag"), F.col("o_totalprice").alias("mass"), (F.datediff("o_orderdate", F.lit("1970-01-01").cast("date")) * 86400.0).alias("time"))
 
 
 @query(f"WITH d AS ({_dumps}) SELECT dump, max(time) AS time, count(*) AS sinks, round(sum(mass), 2) AS mass, max(mass) AS max_mass FROM d GROUP BY 1")
