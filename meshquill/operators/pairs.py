@@ -30,33 +30,19 @@ def structure_function(cells: DataFrame, v: tuple[str, str, str], n: int, lags:
 def lags_within(n: int, most: float, share: float = 1.0, seed: int = 5) -> list[tuple[int, int, int]]:
     """The lag vectors of a periodic grid of n cells a side up to a length in cells, nearest images only. With a share below 1 a lag is
     taken with a chance that falls with the square of its length, by a hash, so a rerun takes the same."""
-    half, out = n // 2, []
-    for a in range(-half + 1 - n % 2, half + 1):
-        for b in range(-half + 1 - n % 2, half + 1):
-            for c in range(-half + 1 - n % 2, half + 1):
+    half, reach, out = n // 2, int(most), []
+    side = range(max(-reach, -half + 1 - n % 2), min(reach, half) + 1)
+    for a in side:
+        for b in side:
+            for c in side:
                 r2 = a * a + b * b + c * c
                 if 0 < r2 <= most * most and (share >= 1 or zlib.crc32(f"{seed}:{a}:{b}:{c}".encode()) / 2**32 < min(1.0, share * most * most / r2)):
                     out.append((a, b, c))
     return out
 
 
-def pair_statistics(cells: DataFrame, fields: dict[str, tuple[Column, ...]], n: int, lags: list[tuple[int, int, int]], orders: int = 4, kind: str = "sf",
-                    absolute: bool = False, special: dict | None = None) -> DataFrame:
-    """type, bin, n, and for each order the means of the longitudinal and the transverse part of each field's increment (kind sf) or, at
-    order 1, of its product (kind cf), over all pairs at given lags on a periodic uniform grid.
-
-    A bin holds lengths from bin to bin + 1 cells. Increments keep their sign (the transverse part has none) unless absolute. Fields of one
-    component, and increments along x alone, have no transverse part. special: name -> function of two getters (first and second point)
-    that gives the increment itself. Cells meet the cells a lag away in one equi-join on the shifted index; lags are a finite list.
-    """
-    columns = sorted({c for c in cells.columns if c not in "ijk"})
-    named = {name: [f"{name}_{x}" for x in range(len(parts))] for name, parts in fields.items()}
-    base = cells.select("i", "j", "k", *columns, *(c.alias(f"{name}_{x}") for name, parts in fields.items() for x, c in enumerate(parts)))
-    values = [c for c in base.columns if c not in ("i", "j", "k")]
-    table = base.sparkSession.createDataFrame([(*lag, math.sqrt(sum(x * x for x in lag))) for lag in lags], "a int, b int, c int, r double")
-    left = base.crossJoin(F.broadcast(table)).select(*(F.pmod(F.col(x) + F.col(s), F.lit(n)).cast("long").alias(x) for x, s in zip("ijk", "abc")), "a", "b", "c", "r", *(F.col(v).alias(f"l_{v}") for v in values))
-    both = left.join(base.select(*(F.col(x).cast("long").alias(x) for x in "ijk"), *values), ["i", "j", "k"])
-    unit = [F.col(x) / F.col("r") for x in "abc"]
+def told_increments(named: dict[str, list[str]], unit: list[Column], kind: str = "sf", absolute: bool = False, special: dict | None = None) -> Column:
+    """An array of type, long, trans for pairs of points: columns l_<name> are the first one's, <name> the second one's, unit points from one to the other."""
     first, second = (lambda v: F.col(f"l_{v}")), (lambda v: F.col(v))
 
     def split(vector: list[Column]) -> tuple[Column, Column]:
@@ -78,7 +64,26 @@ def pair_statistics(cells: DataFrame, fields: dict[str, tuple[Column, ...]], n:
             parts[name] = (F.when(flat, one[0] * two[0]).otherwise(along), F.when(flat, 0.0).otherwise(dot - along))
     for name, f in (special or {}).items():
         parts[name] = split(list(f(first, second)))
-    told = F.array(*(F.struct(F.lit(name).alias("type"), (F.abs(a) if absolute else a).alias("long"), (F.abs(b) if absolute else b).alias("trans")) for name, (a, b) in parts.items()))
+    return F.array(*(F.struct(F.lit(name).alias("type"), (F.abs(a) if absolute else a).alias("long"), (F.abs(b) if absolute else b).alias("trans")) for name, (a, b) in parts.items()))
+
+
+def pair_statistics(cells: DataFrame, fields: dict[str, tuple[Column, ...]], n: int, lags: list[tuple[int, int, int]], orders: int = 4, kind: str = "sf",
+                    absolute: bool = False, special: dict | None = None) -> DataFrame:
+    """type, bin, n, and for each order the means of the longitudinal and the transverse part of each field's increment (kind sf) or, at
+    order 1, of its product (kind cf), over all pairs at given lags on a periodic uniform grid.
+
+    A bin holds lengths from bin to bin + 1 cells. Increments keep their sign (the transverse part has none) unless absolute. Fields of one
+    component, and increments along x alone, have no transverse part. special: name -> function of two getters (first and second point)
+    that gives the increment itself. Cells meet the cells a lag away in one equi-join on the shifted index; lags are a finite list.
+    """
+    columns = sorted({c for c in cells.columns if c not in "ijk"})
+    named = {name: [f"{name}_{x}" for x in range(len(parts))] for name, parts in fields.items()}
+    base = cells.select("i", "j", "k", *columns, *(c.alias(f"{name}_{x}") for name, parts in fields.items() for x, c in enumerate(parts)))
+    values = [c for c in base.columns if c not in ("i", "j", "k")]
+    table = base.sparkSession.createDataFrame([(*lag, math.sqrt(sum(x * x for x in lag))) for lag in lags], "a int, b int, c int, r double")
+    left = base.crossJoin(F.broadcast(table)).select(*(F.pmod(F.col(x) + F.col(s), F.lit(n)).cast("long").alias(x) for x, s in zip("ijk", "abc")), "a", "b", "c", "r", *(F.col(v).alias(f"l_{v}") for v in values))
+    both = left.join(base.select(*(F.col(x).cast("long").alias(x) for x in "ijk"), *values), ["i", "j", "k"])
+    told = told_increments(named, [F.col(x) / F.col("r") for x in "abc"], kind, absolute, special)
     rows = both.select(F.floor(F.col("r") + 1e-9).cast("long").alias("bin"), F.explode(told).alias("x")).select("bin", "x.*")
     means = [F.avg(F.pow(c, F.lit(float(p)))).alias(f"{kind}{p}_{c}") for p in range(1, (orders if kind == "sf" else 1) + 1) for c in ("long", "trans")]
     return rows.groupBy("type", "bin").agg(F.count("*").alias("n"), *means)

@@ -7,16 +7,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scans
+
 
 def cleaned(series: DataFrame, order: str, time: str, key: list[str] | None = None) -> DataFrame:
-    """Rows that no later row (by order) overwrites: time below the least of all later times, by key."""
-    later = Window.partitionBy(*(key or [])).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
-    return series.withColumn("mq_next", F.min(time).over(later)).where(F.col("mq_next").isNull() | (F.col(time) < F.col("mq_next"))).drop("mq_next")
+    """Rows that no later row (by order) overwrites: time below the least of all later times, by key. A long series is shared by tasks."""
+    return scans.before_later(series, key or [], order, time)
 
 
 def runs(lines: DataFrame, order: str, is_header: Column, key: list[str]) -> DataFrame:
     """lines with run: the running count of header lines."""
-    return lines.withColumn("run", F.sum(is_header.cast("long")).over(Window.partitionBy(*key).orderBy(order)))
+    return scans.running_count(lines, key, order, {"run": is_header})
 
 
 def step_durations(steps: DataFrame, key: list[str], n: str, ts: str) -> DataFrame:
@@ -106,8 +107,7 @@ def ensemble(tables: DataFrame, bin_: str, value: str, log: bool = False) -> Dat
 
 def carried(rows: DataFrame, key: list[str], order: str, names: list[str], default: int = 1) -> DataFrame:
     """Columns with the value last seen in a run; the default before any."""
-    so_far = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(so_far), F.lit(default)) for c in names})
+    return scans.last_seen(rows, key, order, names, default)
 
 
 def curvatures(t: np.ndarray, x: np.ndarray) -> np.ndarray:

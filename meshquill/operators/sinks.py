@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .pairs import within
@@ -18,14 +18,19 @@ POSITION, VELOCITY = ("x", "y", "z"), ("vx", "vy", "vz")
 PACK = 1024
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A checkpoint in the session's folder; only a local session, which has one machine, may go without one."""
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's shared folder; only a local session, which has one machine, may go without one."""
     if spark.sparkContext.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="meshquill-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """A checkpoint in the shared folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -583,7 +583,7 @@ _queries["series_spline"] = series_spline
 
 
 def queries() -> dict[str, Callable]:
-    from . import fields, tables, views  # noqa: F401, PLC0415  (they add theirs)
+    from . import fields, meshes, tables, views  # noqa: F401, PLC0415  (they add theirs)
 
     return dict(_queries)
 

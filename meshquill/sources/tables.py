@@ -38,6 +38,26 @@ def parameters(spark: SparkSession, values: dict) -> DataFrame:
     return spark.createDataFrame(rows, "name string, kind string, i bigint, d double, b boolean, s string")
 
 
+def parse_parameters(lines: DataFrame, text: str = "value", order: str = "line_no") -> DataFrame:
+    """name, kind, i, d, b, s of the lines ``name = value`` of a parameter file, by the look of the value; of one name the last line counts.
+
+    Names are lower-cased. A value is .true. or .false., in quotes, a whole number, another number, or else a string; # begins a comment
+    (not in quotes).
+    """
+    found = r"""^\s*([A-Za-z]\w*)\s*=\s*("[^"]*"|'[^']*'|[^#"'\s][^#]*?)\s*(?:#.*)?$"""
+    rows = lines.where(F.col(text).rlike(found)).select(F.lower(F.regexp_extract(text, found, 1)).alias("name"), F.regexp_extract(text, found, 2).alias("v"), order)
+    rows = rows.groupBy("name").agg(F.max_by("v", order).alias("v"))
+    quoted, low = F.col("v").rlike("""^["']"""), F.lower("v")
+    flag = low.isin(".true.", ".false.") & ~quoted
+    whole, number = F.col("v").try_cast("bigint"), F.regexp_replace(low, "d", "e").try_cast("double")
+    is_whole, is_number = F.col("v").rlike(r"^[+-]?[0-9]+$") & whole.isNotNull(), F.col("v").rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eEdD][+-]?[0-9]+)?$") & number.isNotNull()
+    kind = F.when(flag, "bool").when(is_whole, "int").when(is_number, "real").otherwise("str")
+    rows = rows.withColumn("kind", kind)
+    of = lambda k, c: F.when(F.col("kind") == k, c)
+    text_ = F.when(quoted, F.trim(F.substring("v", F.lit(2), F.length("v") - 2))).otherwise(F.col("v"))
+    return rows.select("name", "kind", of("int", whole).alias("i"), of("real", number).alias("d"), of("bool", low == ".true.").alias("b"), of("str", text_).alias("s"))
+
+
 def overwritten(params: DataFrame, values: dict) -> DataFrame:
     """params with new values of some names; their types stay, and unknown names are an error."""
     new = parameters(params.sparkSession, values)

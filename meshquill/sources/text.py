@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import scans
+
 
 MARKER = "# simulation restarted"
 
@@ -65,25 +67,34 @@ def parse_log(lines: DataFrame, order: str = "line_no", text: str = "value", key
     """key, run, n, t, dt, ts, n_procs, cells (in a block) and the least and largest number of leaf blocks of each step line.
 
     A header line begins a run. Tasks and zones hold for their run, the leaf blocks last seen in the file for what follows (1 before
-    any), those that follow a step still for it, up to the next step. A log file is one group.
+    any), those that follow a step still for it, up to the next step. Counts and values last seen are carried from range to range of a
+    file's lines, and what holds for a run or a step is summed by it first, so a long file is shared by tasks.
     """
     t = F.col(text)
     step = r"\[\s*(\S+\s+\S+)\s*\]\s+step:\s+n=(\d+)\s+t=(\S+)\s+dt=(\S+)"
     zone = r"Number ([xyz]) zones:\s*(\d+)\s*$"
     leaf = r"min leaf blks\s+(\d+)\s+max leaf blks\s+(\d+)"
-    upto = Window.partitionBy(*key).orderBy(order)
     get = lambda pattern, k: F.regexp_extract(t, pattern, k)
     number = lambda pattern, k: F.when(t.rlike(pattern), get(pattern, k).cast("long"))
-    is_step = t.rlike(step)
-    rows = lines.withColumns({"run": F.sum(t.contains("log file:").cast("long")).over(upto), "mq_step": F.sum(is_step.cast("long")).over(upto), "mq_tasks": number(r"Number of MPI tasks:\s*(\d+)\s*$", 1),
-                              "mq_zone": number(zone, 2), "mq_low": number(leaf, 1), "mq_high": number(leaf, 2)})
-    seen = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    of_run, of_step = Window.partitionBy(*key, "run"), Window.partitionBy(*key, "mq_step")
-    rows = rows.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(seen), F.lit(1)) for c in ("mq_low", "mq_high")})
-    last = lambda c: F.max(F.struct(order, c)).over(of_step)[c]
-    rows = rows.withColumns({"n_procs": F.max("mq_tasks").over(of_run), "cells": F.round(F.exp(F.sum(F.log(F.col("mq_zone"))).over(of_run))).cast("long"), "min_leaf": last("mq_low"), "max_leaf": last("mq_high")})
+    is_step, keys = t.rlike(step), list(key)
+    rows = lines.select(*keys, order, F.when(is_step, t).alias("mq_text"), is_step.alias("mq_is_step"), t.contains("log file:").alias("mq_header"), number(r"Number of MPI tasks:\s*(\d+)\s*$", 1).alias("mq_tasks"),
+                        number(zone, 2).alias("mq_zone"), number(leaf, 1).alias("mq_low"), number(leaf, 2).alias("mq_high"))
+    rows = rows.where(F.coalesce("mq_is_step", F.lit(False)) | F.coalesce("mq_header", F.lit(False)) | F.coalesce("mq_tasks", "mq_zone", "mq_low", "mq_high").isNotNull())
+    rows = scans.running_count(rows, keys, order, {"run": F.col("mq_header"), "mq_step": F.col("mq_is_step")})
+    rows = scans.last_seen(rows, keys, order, ["mq_low", "mq_high"], 1)
+
+    def met(steps: DataFrame, told: DataFrame, by: str) -> DataFrame:
+        told = told.withColumnsRenamed({c: f"mq_told_{c}" for c in [*keys, by]})
+        same = F.col(by) == F.col(f"mq_told_{by}")
+        for c in keys:
+            same = same & F.col(c).eqNullSafe(F.col(f"mq_told_{c}"))
+        return steps.join(told, same).drop(*(f"mq_told_{c}" for c in [*keys, by]))
+
+    of_run = rows.groupBy(*keys, "run").agg(F.max("mq_tasks").alias("n_procs"), F.round(F.exp(F.sum(F.log(F.col("mq_zone"))))).cast("long").alias("cells"))
+    of_step = rows.groupBy(*keys, "mq_step").agg(F.max(F.struct(order, "mq_low", "mq_high")).alias("mq_last"))
+    rows = met(met(rows.where("mq_is_step").select(*keys, order, "run", "mq_step", F.col("mq_text").alias(text)), of_run, "run"), of_step, "mq_step")
     stamp = F.to_timestamp(F.regexp_replace(get(step, 1), r"\s+", " "), "MM-dd-yyyy HH:mm:ss.SSS")
-    return rows.where(is_step).select(*key, "run", get(step, 2).cast("long").alias("n"), get(step, 3).cast("double").alias("t"), get(step, 4).cast("double").alias("dt"), stamp.alias("ts"), "n_procs", "cells", "min_leaf", "max_leaf")
+    return rows.select(*keys, "run", get(step, 2).cast("long").alias("n"), get(step, 3).cast("double").alias("t"), get(step, 4).cast("double").alias("dt"), stamp.alias("ts"), "n_procs", "cells", F.col("mq_last.mq_low").alias("min_leaf"), F.col("mq_last.mq_high").alias("max_leaf"))
 
 
 def file_kind(path: Column) -> Column:
