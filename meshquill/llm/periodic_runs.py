@@ -24,6 +24,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import as_strided
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,25 +68,25 @@ def runs(ids: np.ndarray, lo: int = 1, hi: int | None = None, min_length: int =
     if n < min_length or lo >= hi:
         return found
     known: list[tuple[int, int, int]] = []
+    x = np.concatenate([ids, np.full(hi, -1, np.int32)])
     p = lo
     while p < hi:
-        top = min(hi, 1 << p.bit_length())
-        need = [max((min_exp - 1) * p, min_length - p), max((min_exp - 1) * (top - 1), min_length - top + 1)]
-        shortest = max(1, min(need + [max((min_exp - 1) * q, min_length - q) for q in (min_length // min_exp,) if p <= q < top]))
+        top = min(hi, max(8, 1 << p.bit_length()))
+        shortest = min(max((min_exp - 1) * q, min_length - q) for q in {p, top - 1, max(p, min(top - 1, min_length // min_exp)), max(p, min(top - 1, min_length // min_exp + 1))})
         depth = min(8, 1 << (shortest.bit_length() - 1))
         step = shortest // depth
         grid = np.arange(0, n - p, step)
-        wide = max(1, CELLS // max(len(grid), 1))
+        wide = max(1, CELLS // len(grid))
         for first in range(p, top, wide):
             last = min(top, first + wide)
-            x = np.concatenate([ids, np.full(last + step, -1, np.int32)])
-            seen = np.lib.stride_tricks.sliding_window_view(x, last - first)[grid + first] == ids[grid, None]
+            rows = as_strided(x[first:], (len(grid), last - first), (4 * step, 4), writeable=False)
+            seen = rows == ids[grid, None]
             for k in (1, 2, 4):
                 if k < depth:
                     seen = seen[:-k] & seen[k:] if len(seen) > k else seen[:0]
-            lag, at = np.nonzero(seen.T)
-            if not len(lag):
+            if not seen.any():
                 continue
+            lag, at = np.nonzero(seen.T)
             lag, at = lag + first, at * step
             for s, m, q in known:
                 if m >= min_exp * first:

@@ -1,7 +1,9 @@
 """Training-data operators against brute-force versions on small tables, with nulls, blanks, ties, repeats and clashing names."""
 
 import collections
+import fractions
 import hashlib
+import random
 import re
 import zlib
 
@@ -11,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
-from meshquill.llm import components, line_dedup, media, mixing, ngram_join, packing, pii, quality, sharding, toxicity, vectors  # noqa: E402
+from meshquill.llm import collocations, components, decontamination, line_dedup, media, mixing, ngram_join, packing, periodic_runs, pii, quality, sharding, toxicity, vectors  # noqa: E402
 from meshquill.llm import queries as llm  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -787,3 +789,156 @@ def test_pipeline_stages(spark):
     kept = {r["doc_id"] for r in corpus_pipeline.ngram_join(spark, lines, SF).collect()}
     assert kept == {texts[k][0] for k, (_, c) in enumerate(comp) if c == k}
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+# ---- periodic runs
+def brute_runs(x, length=24, exponent=3):
+    found = {}
+    for p in range(1, len(x) // exponent + 1):
+        i = 0
+        while i < len(x) - p:
+            j = i
+            while j < len(x) - p and x[j] == x[j + p]:
+                j += 1
+            if j > i and j - i + p >= max(length, exponent * p):
+                found.setdefault((i, j - i + p), p)
+            i = max(j, i + 1)
+    return {(s, m, p) for (s, m), p in found.items()}
+
+
+def test_runs_against_all_lags():
+    rng = random.Random(3)
+    for _ in range(300):
+        n, k = rng.randint(0, 260), rng.choice([1, 2, 3, 60])
+        x = [rng.randrange(k) for _ in range(n)]
+        for _ in range(rng.randint(0, 4)):
+            if n > 30:
+                a, p = rng.randrange(n - 24), rng.choice([1, 2, 5, 7, 8, 9, 12, 16, 17, 30])
+                for i in range(a + p, min(n, a + rng.randint(24, 150))):
+                    x[i] = x[i - p]
+        length, exponent = rng.choice([(24, 3), (24, 3), (6, 3), (1, 2), (40, 2)])
+        ids, m = np.array(x, np.int32), rng.randint(1, 40)
+        want = brute_runs(x, length, exponent)
+        assert periodic_runs.runs(ids, min_length=length, min_exp=exponent) == want
+        assert periodic_runs.runs(ids, 1, m, length, exponent) | periodic_runs.runs(ids, m, None, length, exponent) == want  # ranges of lags
+
+
+def brute_summary(text, doc_id):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+    n, h = len(words), zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 == 0 and n:
+        a, g = h // 10 % n, h // 10
+        p = 1 + (n - a) // (3 + g % 8)
+        words = [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+    found = sorted(brute_runs(words), key=lambda r: (r[0], r[2]))
+    gone = {i for s, m, q in found for i in range(s + q, s + m)}
+    best = max(found, key=lambda r: (fractions.Fraction(r[1], r[2]), -r[0], -r[2]), default=(None,) * 3)
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    return (len(found), *best, 1000 * best[1] // best[2] if found else None, sha("".join(f"{s},{m},{q}\n" for s, m, q in found).encode()), sha(b" ".join(w for i, w in enumerate(words) if i not in gone)))
+
+
+REPEATING = [*ODD, "a b c " * 12, "one two three four five six seven " * 5 + "end", "x\x1cy \x0bz " * 20, ("w " * 30 + "v ") * 4]
+
+
+@pytest.mark.parametrize("split", [1 << 24, 40])
+def test_periodic_runs_of_rows(spark, split):
+    many = docs(spark, REPEATING * 3)  # ids decide which rows repeat their tail
+    many = many.unionAll(many.where("doc_id = 11")).unionAll(many.where("doc_id = 12").withColumn("doc_id", F.lit(None).cast("long")))
+    got = periodic_runs.periodic_runs(many, plant=True, split=split).collect()
+    texts = many.select("doc_id", "text").collect()
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(str((r["doc_id"], *brute_summary(r["text"], r["doc_id"]))) for r in texts)
+    assert any(r["n_runs"] for r in got) and periodic_runs.periodic_runs(empty(many)).count() == 0
+
+
+def test_periodic_runs_contract(spark):
+    some = spark.read.parquet(f"{SF}/documents.parquet").where(F.length("text") < 3000)
+    want = {r["doc_id"]: brute_summary(r["text"], r["doc_id"]) for r in some.select("doc_id", "text").collect()}
+    got = {r["doc_id"]: tuple(r)[1:] for r in periodic_runs.op11(spark, SF).collect()}
+    assert len(got) == spark.read.parquet(f"{SF}/documents.parquet").count() and {k: got[k] for k in want} == want
+
+
+# ---- collocations
+def brute_collocations(rows, least, absorb=100):
+    f, n = collections.Counter(), collections.Counter()
+    for text, lang in rows:
+        for piece in re.split(rb"[.,;:!?\x0A-\x0D]", (text or "").encode().lower()):
+            w = re.findall(rb"[^\x20\x09]+", piece)
+            n[lang or "und"] += len(w)
+            for m in range(1, 6):
+                f.update((lang or "und", tuple(w[i : i + m])) for i in range(len(w) - m + 1))
+    often = {k: v for k, v in f.items() if v >= least}
+    out = collections.defaultdict(list)
+    for (lang, w), a in often.items():
+        inside = any(k[0] == lang and len(k[1]) > len(w) and 100 * v >= absorb * a and any(k[1][i : i + len(w)] == w for i in range(len(k[1]))) for k, v in often.items())
+        if len(w) > 1 and not inside:
+            cuts = [(1000 * a * n[lang] // (often[lang, w[:k]] * often[lang, w[k:]]), k) for k in range(1, len(w))]
+            score, k = min(cuts)
+            out[lang].append((-score, -a, b" ".join(w), often[lang, w[:k]], often[lang, w[k:]], n[lang]))
+    return {(lang, k + 1, p.decode(), -a, left, r, total, -s) for lang, x in out.items() for k, (s, a, p, left, r, total) in enumerate(sorted(x))}
+
+
+@pytest.mark.parametrize("block", [1, 50, 1 << 20])
+def test_collocations_against_brute_force(spark, block):
+    rng = random.Random(5)
+    words = ["the", "The", "of", "ab", "été", "x\x1cy", "\x0e", "zz z"]
+    rows = [("".join(rng.choice(words) + rng.choice([" ", " ", " ", "  ", "\t", ". ", ",", "\n"]) for _ in range(rng.randint(0, 90))), rng.choice(["en", "fr", None, "und"])) for _ in range(40)]
+    rows += [(None, "en"), ("", None), ("a a a a a a a", "en"), (" \t. ,", "de"), ("one", "de"), *[("in the long long run we are", "x")] * 9]
+    table_ = spark.createDataFrame([(t, lang, 1, 2, "k") for t, lang in rows], "text string, lang string, n long, id long, key string")
+    for least in (2, 5):
+        got = {tuple(r) for r in collocations.collocations(table_, least=least, block=block, top=None).collect()}
+        assert got == brute_collocations(rows, least) and got
+    some = {tuple(r) for r in collocations.collocations(table_, least=2, top=3, block=block).collect()}
+    assert some == {r for r in brute_collocations(rows, 2) if r[1] <= 3}
+    assert collocations.collocations(empty(table_)).count() == 0
+
+
+def test_chunks_keep_words():
+    for text in (b"ab cd.ef  gh", b"", b"x" * 50, b"a " * 40, b"abcdefghij.k l"):
+        for size in (1, 3, 8):
+            parts = list(collocations.chunks(text, size))
+            assert b"".join(parts) == text and all(p[-1:] in b" \t\n." for p in parts[:-1])
+
+
+# ---- decontamination
+def brute_matches(rows, items, width=10):
+    words = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().lower())
+    cut = collections.defaultdict(set)
+    for item, text in items:
+        w = words(text)
+        for i in range(max(len(w) - width, 0) + 1 if w else 0):
+            cut[tuple(w[i : i + width])].add(item)
+    out = []
+    for doc, text in rows:
+        w, hit, seen = words(text), set(), set()
+        for k in {len(c) for c in cut}:
+            for i in range(len(w) - k + 1):
+                if tuple(w[i : i + k]) in cut:
+                    hit |= set(range(i, i + k))
+                    seen |= {str(x) for x in cut[tuple(w[i : i + k])] if x is not None}
+        out.append((doc, len(w), len(hit), sorted(seen)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_decontamination_against_brute_force(spark, limit, monkeypatch):
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(decontamination, "small", decontamination.small if limit else lambda df: df)
+    rng = random.Random(8)
+    words = ["The", "of", "a1", "éTé", "café", "x-y", "u", "v", "\U0001F600"]
+    line = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(k, line(rng.choice([3, 9, 10, 11, 25]))) for k in range(12)] + [(3, "only one"), (100, "u u u u u u u u u u u u"), (101, ""), (102, None), (103, "?!"), (None, "never named here"), (104, "zebra seen nowhere")]
+    rows = [(k, (line(60) + " " + (rng.choice(items)[1] or "") + ". " + line(20)) if k % 3 else line(40)) for k in range(60)]
+    rows += [(1, None), (2, ""), (3, "..."), (None, "NEVER named-here"), (5, "u " * 300), *[(200 + k, "only, one! only one") for k in range(20)], (200, "only, one! only one")]
+    d = spark.createDataFrame([(k, t, "k", 1) for k, t in rows], "doc_id long, text string, key string, n long")
+    b = spark.createDataFrame([(k, t, "w") for k, t in items], "item_id long, text string, window string")
+    got = decontamination.exact_matches(d, b).collect()
+    assert sorted(((r["mq_id"], r["n_words"], r["n_hit"], r["items"]) for r in got), key=str) == brute_matches(rows, items)
+    assert decontamination.exact_matches(empty(d), b).count() == 0 and decontamination.exact_matches(d, empty(b)).where("n_hit > 0").count() == 0
+
+
+def test_near_matches(spark):
+    d = docs(spark, ["red x x green x blue " + "x " * 50, "red " + "x " * 40 + "green blue", "blue Green RED", None, "", "red green"])
+    b = spark.createDataFrame([(1, "Red, green, blue!"), (2, "red"), (3, "red unknown"), (4, None), (None, "red")], "item_id long, text string")
+    got = {(r["mq_id"], r["item"]) for r in decontamination.near_matches(d, b, within=10).collect()}
+    assert got == {(0, "1"), (2, "1"), (0, "2"), (1, "2"), (2, "2"), (5, "2")}
+    assert (1, "1") in {(r["mq_id"], r["item"]) for r in decontamination.near_matches(d, b, within=60).collect()}
