@@ -5,9 +5,10 @@
    occurrences in its language is frequent and gets a dense id.
 2. Each block's words meet the frequent ones in a join, and what a block gets back (bounded by its own words) turns its stream into ids; pieces
    break at other words, for no phrase with such a word is frequent. Pairs of neighbours are packed as keys of 4 bytes an id, sorted and
-   counted in the block, dealt out by key ranges, sorted there (Spark's radix sort) and counted by run length.
-3. Blocks meet the frequent pairs in the same way, and phrases of three to five words all of whose pairs are frequent are counted likewise.
-   A phrase's occurrences start at different places of its part's, so no frequent phrase is lost.
+   counted in the block, dealt out by key ranges, sorted there (Spark's radix sort) and counted by run length. The ranges follow from the
+   counts of words: a pair's place is the share of all words before its first one, and within that one's share the same of its second.
+3. Phrases of three to five words all of whose pairs are frequent are counted likewise. Frequent pairs are sent to the tasks up to PAIRS_SENT;
+   beyond, each block meets its own in a join. A phrase's occurrences start at different places of its part's, so no frequent phrase is lost.
 4. A candidate is cut in two at each place; both parts are frequent, so a join of the counts with themselves gives the scores (whole
    numbers of 38 digits). A phrase goes if a phrase of one word more holds it and is as frequent; counts fall with length, so longer ones
    need no look. The first ``top`` of each language are ranked in buckets first.
@@ -36,6 +37,8 @@ BLOCK, CHUNK = 1 << 20, 4 << 20
 BREAK = re.compile(rb"[.,;:!?\x0A-\x0D]+")
 WIDTH = 4 * LONGEST
 BUCKETS = 64
+#: Frequent pairs that are sent to every task, 8 bytes each.
+PAIRS_SENT = 2_000_000
 
 
 def chunks(text: bytes, size: int):
@@ -44,7 +47,9 @@ def chunks(text: bytes, size: int):
     while len(text) - at > size:
         end = max(text.rfind(c, at, at + size) for c in (b" ", b"\t", b"\n", b"."))
         if end < at:  # a word longer than that
-            end = min((e for c in (b" ", b"\t", b"\n", b".") if (e := text.find(c, at)) >= 0), default=len(text) - 1)
+            end = min((e for c in (b" ", b"\t", b"\n", b".") if (e := text.find(c, at)) >= 0), default=-1)
+            if end < 0:
+                break
         yield text[at : end + 1]
         at = end + 1
     yield text[at:]
@@ -102,16 +107,19 @@ def _streams(size: int, batches):
     yield from done(list(open_))
 
 
-def numbered(df: DataFrame, name: str, scratch: Scratch) -> DataFrame:
-    """df with id, from 1 without gaps."""
-    rows = scratch(df.withColumn("mq_at", F.monotonically_increasing_id()), name)
-    sizes = rows.groupBy(F.shiftright("mq_at", 33).alias("part")).count().orderBy("part").collect()
-    before = np.cumsum([1, *(r["count"] for r in sizes)])[:-1].tolist()
-    if before and before[-1] + sizes[-1]["count"] > 1 << 32:
+def numbered(words: DataFrame, name: str, scratch: Scratch) -> DataFrame:
+    """words (f: their counts) with id, from 1 without gaps, and before and share: the share of all counts before the word, and its own."""
+    rows = scratch(words.withColumn("mq_at", F.monotonically_increasing_id()), name)
+    sizes = rows.groupBy(F.shiftright("mq_at", 33).alias("part")).agg(F.count("*").alias("n"), F.sum("f").alias("f")).orderBy("part").collect()
+    total = float(sum(r["f"] for r in sizes)) or 1.0
+    ids, counts = np.cumsum([1, *(r["n"] for r in sizes)]).tolist(), np.cumsum([0, *(r["f"] for r in sizes)]).tolist()
+    if ids[-1] > 1 << 32:
         raise ValueError("more frequent words than keys of four bytes tell apart: raise least")
-    at = df.sparkSession.createDataFrame([(r["part"], b) for r, b in zip(sizes, before)], "part long, before long")
+    at = words.sparkSession.createDataFrame([(r["part"], i, c) for r, i, c in zip(sizes, ids, counts)], "part long, first long, counted long")
     dealt = rows.join(F.broadcast(at), F.shiftright("mq_at", 33) == F.col("part"))  # a row for each partition
-    return dealt.withColumn("id", F.col("before") + F.col("mq_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("mq_at", "part", "before")
+    within = F.coalesce(F.sum("f").over(Window.partitionBy("part").orderBy("mq_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    dealt = dealt.withColumns({"id": F.col("first") + F.col("mq_at").bitwiseAND(F.lit((1 << 33) - 1)), "before": (F.col("counted") + within) / total, "share": F.col("f") / total})
+    return dealt.drop("mq_at", "part", "first", "counted")
 
 
 def packed_keys(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -137,65 +145,98 @@ def binary_rows(column: pa.Array) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]].reshape(-1, WIDTH) if len(column) else np.zeros((0, WIDTH), np.uint8)
 
 
-def _phrases(orders: list[int], batches):
-    """block, lang, stream, local numbers and their ids, keys of frequent pairs (None: all count) -> block, lang, key, n."""
+def _ids(stream, local, values, kind) -> np.ndarray:
+    """For each number of a block's stream a value of its word; 0 for other words and breaks."""
+    of = np.zeros(max(int(stream.max(initial=-1)), max(local or [-1])) + 2, kind)  # the last place is that of a break
+    of[np.array(local or [], np.int64)] = np.array(values or [], kind)
+    return of[stream]
+
+
+def pairs_at(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a frequent word is followed by one in its piece, and the pair as one number."""
+    return (x[:-1] > 0) & (x[1:] > 0), x[:-1].astype(np.uint64) << np.uint64(32) | x[1:]
+
+
+def _phrases(ranges: int, orders: list[int], sent, batches):
+    """block, stream, local numbers, their ids, before and share, keys of frequent pairs (None: all count, or what is sent) -> part, key, n.
+
+    Keys of pairs are numbers, others bytes."""
     for batch in slices(batches, 1):
-        block, lang, stream, local, ids, pairs = (c[0].as_py() for c in batch.columns)
+        block, stream, local, ids, before, share, pairs = (c[0].as_py() for c in batch.columns)
         stream = np.frombuffer(stream, np.int32)
-        of = np.zeros(max(int(stream.max(initial=-1)), max(local or [-1])) + 2, np.uint32)  # the last place is that of a break
-        of[np.array(local or [], np.int64)] = np.array(ids or [], np.uint32)
-        x = of[stream]
-        fit = (x[:-1] > 0) & (x[1:] > 0)
-        if pairs is not None:
-            wanted = np.sort(np.frombuffer(b"".join(p[:8] for p in pairs), ">u8").astype(np.uint64))
-            got = x[:-1].astype(np.uint64) << np.uint64(32) | x[1:]
-            at = np.minimum(np.searchsorted(wanted, got), max(len(wanted) - 1, 0))
-            fit &= wanted[at] == got if len(wanted) else False
+        x = _ids(stream, local, ids, np.uint32)
+        fit, number = pairs_at(x)
+        wanted = sent.value if sent is not None else np.sort(np.array(pairs, np.int64).astype(np.uint64)) if pairs is not None else None
+        if wanted is not None:
+            at = np.minimum(np.searchsorted(wanted, number), max(len(wanted) - 1, 0))
+            fit &= wanted[at] == number if len(wanted) else False
+        low, wide = (dict(zip(ids or [], v or [])) for v in (before, share))
+
+        def part(first, second):
+            """The range of a key by its first two ids."""
+            one, other = (np.unique(c, return_inverse=True) for c in (first, second))
+            start, width, inner = (np.array([of[i] for i in u.tolist()])[back] for of, (u, back) in ((low, one), (wide, one), (low, other)))
+            return np.minimum(((start + width * inner) * ranges).astype(np.int32), ranges - 1)
+
         for k in orders:
-            whole = fit[: max(len(x) - k + 1, 0)].copy()
-            for j in range(1, k - 1):
-                whole &= fit[j : len(whole) + j]
-            at = np.flatnonzero(whole)
-            keys, n = packed_keys([x[at + j] for j in range(k)])
+            if k == 2:
+                keys, n = np.unique(number[fit], return_counts=True)
+                first, second = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
+                keys = keys.astype(np.int64)
+            else:
+                whole = fit[: max(len(x) - k + 1, 0)].copy()
+                for j in range(1, k - 1):
+                    whole &= fit[j : len(whole) + j]
+                at = np.flatnonzero(whole)
+                keys, n = packed_keys([x[at + j] for j in range(k)])
+                first, second = keys[:, :4].copy().view(">u4").ravel(), keys[:, 4:8].copy().view(">u4").ravel()
+            if not len(keys):
+                continue
+            parts = part(first, second)
             for i in range(0, len(keys), 1 << 16):
-                some = keys[i : i + (1 << 16)]
-                columns = [pa.array([block] * len(some)), pa.array([lang] * len(some)), binary_array(some), pa.array(n[i : i + (1 << 16)], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["block", "lang", "key", "n"])
+                some = slice(i, i + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(parts[some]), pa.array(keys[some]) if k == 2 else binary_array(keys[some]), pa.array(n[some], pa.int64())], ["part", "key", "n"])
 
 
-def _run_lengths(least: int, batches):
-    """Sorted lang, key, n -> lang, key, f of keys that come up at least so often: rows of one key stand together."""
-    lang, key, total = None, None, 0
+def _pairs_of_blocks(batches):
+    """block, stream, local numbers, their ids -> block, key of its distinct pairs."""
+    for batch in slices(batches, 1):
+        block, stream, local, ids = (c[0].as_py() for c in batch.columns)
+        fit, number = pairs_at(_ids(np.frombuffer(stream, np.int32), local, ids, np.uint32))
+        keys = np.unique(number[fit]).astype(np.int64)
+        for i in range(0, len(keys), 1 << 16):
+            some = keys[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.string()), pa.array(some)], ["block", "key"])
 
-    def told(langs, keys, sums):
-        keep = np.flatnonzero(np.array(sums) >= least)
-        yield pa.RecordBatch.from_arrays([pa.array([langs[i] for i in keep], pa.string()), pa.array([keys[i] for i in keep], pa.binary()), pa.array([sums[i] for i in keep], pa.int64())], ["lang", "key", "f"])
 
+def _run_lengths(least: int, wide: bool, batches):
+    """Sorted key, n -> key, f of keys that come up at least so often: rows of one key stand together. wide: keys are bytes."""
+    kind, key, total = (pa.binary() if wide else pa.int64()), None, 0
     for batch in slices(batches, 1 << 16):
         if not batch.num_rows:
             continue
-        rows, n = binary_rows(batch.column(1)), batch.column(2).to_numpy()
-        first = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)]))
+        rows, n = binary_rows(batch.column(0)) if wide else batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        new = (rows[1:] != rows[:-1]).any(axis=1) if wide else rows[1:] != rows[:-1]
+        first = np.flatnonzero(np.concatenate([[True], new]))
         sums = np.add.reduceat(n, first)
+        head, tail = batch.column(0)[0].as_py(), batch.column(0)[int(first[-1])].as_py()
         if key is not None:
-            if rows[0].tobytes() == key:
+            if head == key:
                 sums[0] += total
             elif total >= least:
-                yield from told([lang], [key], [total])
-        lang, key, total = batch.column(0)[int(first[-1])].as_py(), rows[-1].tobytes(), int(sums[-1])
+                yield pa.RecordBatch.from_arrays([pa.array([key], kind), pa.array([total], pa.int64())], ["key", "f"])
+        key, total = tail, int(sums[-1])
         keep = np.flatnonzero(sums[:-1] >= least)
         if len(keep):
-            at = pa.array(first[keep])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(sums[keep], pa.int64())], ["lang", "key", "f"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first[keep])), pa.array(sums[keep], pa.int64())], ["key", "f"])
     if key is not None and total >= least:
-        yield from told([lang], [key], [total])
+        yield pa.RecordBatch.from_arrays([pa.array([key], kind), pa.array([total], pa.int64())], ["key", "f"])
 
 
-def counted(partial_counts: DataFrame, least: int) -> DataFrame:
-    """lang, key, f of the keys (one language's each) whose n add up to at least so much: by ranges of keys, sorted, by run length."""
-    n = int(partial_counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = partial_counts.select("lang", "key", "n").repartitionByRange(n, "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(partial(_run_lengths, least), "lang string, key binary, f long")
+def counted(partial_counts: DataFrame, ranges: int, least: int, kind: str) -> DataFrame:
+    """key, f of the keys whose n add up to at least so much: by ranges of keys, sorted, by run length."""
+    dealt = partial_counts.repartitionById(ranges, "part").select("key", "n").sortWithinPartitions("key")
+    return dealt.mapInArrow(partial(_run_lengths, least, kind == "binary"), f"key {kind}, f long")
 
 
 def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, block: int = BLOCK, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -210,17 +251,25 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     totals = streams.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
     words = lists.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     words = scratch(numbered(words, "frequent", scratch), "words")
-    known = lists.join(small(words.select("lang", "word", "id")), ["lang", "word"]).groupBy("block", "lang").agg(F.collect_list(F.struct("local", "id")).alias("of"))
-    known = scratch(known.select("block", "lang", F.col("of.local").alias("local"), F.col("of.id").alias("ids")), "known")
-    ready = streams.select("block", "lang", "stream").join(known, ["block", "lang"])
-    counts = "block string, lang string, key binary, n long"
-    pairs = scratch(ready.withColumn("pairs", F.lit(None).cast("array<binary>")).select("block", "lang", "stream", "local", "ids", "pairs").mapInArrow(partial(_phrases, [2]), counts), "pairs")
-    often = scratch(counted(pairs, least), "often")
-    met = pairs.join(small(often.select("key")), "key").groupBy("block", "lang").agg(F.collect_list("key").alias("pairs"))
-    more = ready.join(met, ["block", "lang"]).select("block", "lang", "stream", "local", "ids", "pairs").mapInArrow(partial(_phrases, list(range(3, LONGEST + 1))), counts)
-    longer = scratch(counted(scratch(more, "more"), least), "longer")
-    single = words.select("lang", F.concat(F.unhex(F.lpad(F.hex("id"), 8, "0")), F.lit(bytes(WIDTH - 4))).alias("key"), "f")
-    phrases = scratch(single.unionAll(often).unionAll(longer), "phrases")
+    met = lists.join(small(words.select("lang", "word", "id", "before", "share")), ["lang", "word"])
+    known = met.groupBy("block").agg(F.collect_list(F.struct("local", "id", "before", "share")).alias("of"))
+    known = scratch(known.select("block", *(F.col(f"of.{c}").alias(n) for c, n in (("local", "local"), ("id", "ids"), ("before", "before"), ("share", "share")))), "known")
+    ready = streams.select("block", "stream").join(known, "block")
+    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    given = ready.withColumn("pairs", F.lit(None).cast("array<bigint>"))
+    often = scratch(counted(given.mapInArrow(partial(_phrases, ranges, [2], None), "part int, key long, n long"), ranges, least, "long"), "often")
+    sent = None
+    if often.limit(PAIRS_SENT + 1).count() <= PAIRS_SENT:
+        sent = docs.sparkSession.sparkContext.broadcast(np.sort(often.select("key").toArrow()["key"].to_numpy().astype(np.uint64)))
+    else:
+        of_block = ready.select("block", "stream", "local", "ids").mapInArrow(_pairs_of_blocks, "block string, key long").join(often.select("key"), "key")
+        given = ready.join(of_block.groupBy("block").agg(F.collect_list("key").alias("pairs")), "block")
+    more = given.mapInArrow(partial(_phrases, ranges, list(range(3, LONGEST + 1)), sent), "part int, key binary, n long")
+    longer = counted(more, ranges, least, "binary")
+    key_of = lambda c, bytes_: F.concat(F.unhex(F.lpad(F.hex(c), 2 * bytes_, "0")), F.lit(bytes(WIDTH - bytes_)))
+    every = words.select(key_of("id", 4).alias("key"), "f").unionAll(often.select(key_of("key", 8).alias("key"), "f")).unionAll(longer)
+    first = F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("long")
+    phrases = scratch(every.withColumn("id", first).join(small(words.select("id", "lang")), "id").select("lang", "key", "f"), "phrases")
     totals = scratch(totals, "totals")
     scratch.release(words, phrases, totals)
     return words, phrases, totals
