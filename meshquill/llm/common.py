@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -103,6 +104,18 @@ def slices(batches, rows: int = 512):
             yield batch.slice(i, rows)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, size: str = "8m"):
+    """What runs inside sends at most so much text to a Python worker at a time; Spark's own bound suits rows that are all short."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def hex_number(digest: Column, digits: int) -> Column:
     """The first hex digits of a digest as a long."""
     return F.conv(F.substring(digest, 1, digits), 16, 10).cast("long")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, small, table
+from .common import materialize, release, slices, small, small_batches, table
 
 MAX_LABELLED = 100_000
 MAX_FITTED = 20_000
@@ -41,8 +41,8 @@ LEXICON = 5_000
 INPUTS = ["mq_x0", "mq_x1", "mq_x2", "mq_x3"]
 THRESHOLD = 0.7
 CLASSES = 128
-BLOCK = 1_000_000
-CACHED = 100_000
+BLOCK = 500_000
+CACHED = 40_000
 #: What a look-alike may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "*": "aeiou",
               "а": "a", "в": "b", "с": "c", "е": "e", "ё": "e", "н": "h", "і": "i", "ї": "i", "ј": "j", "к": "k", "м": "m", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x", "ԁ": "d", "һ": "h", "ӏ": "l", "г": "r",
@@ -442,14 +442,28 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """The columns keep (all of docs if None) and mq_score of every row. Inputs are worked out once for each text and written; the labelled
     rows among them fit the model, whose score is an expression."""
     keep = docs.columns if keep is None else keep
-    model, lexicon, open_ = lexicon_of(docs, labels, id_col, text_col)
-    every = materialize(inputs(docs.withColumn("mq_id", F.col(id_col)), model, lexicon, [*keep, "mq_id"], text_col), "inputs")
-    w = fitted(every.select("mq_id", *INPUTS).join(small(open_.withColumnRenamed("doc_id", "mq_id")), "mq_id"))
+    with small_batches(docs.sparkSession):
+        model, lexicon, open_ = lexicon_of(docs, labels, id_col, text_col)
+        every = materialize(inputs(docs.withColumn("mq_id", F.col(id_col)), model, lexicon, [*keep, "mq_id"], text_col), "inputs")
+        w = fitted(every.select("mq_id", *INPUTS).join(small(open_.withColumnRenamed("doc_id", "mq_id")), "mq_id"))
+    release(open_)
     total = F.lit(float(w[4]))
     for c, x in zip(INPUTS, w):
         total = total + F.col(c) * float(x)
     total = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), total))
-    return every.select(*keep, (1 / (1 + F.exp(-total))).alias("mq_score"))
+    out = every.select(*keep, (1 / (1 + F.exp(-total))).alias("mq_score"))
+    out._meshquill_path = every._meshquill_path  # so that release() can delete the inputs
+    return out
+
+
+def less_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose score is below the threshold. Only ids, digests of texts and texts go to Python, and only what is rejected
+    meets the rows again, by its digest: in a broadcast where it is small. Reads docs twice."""
+    digest = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    scored = toxicity(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), digest.alias("mq_key")), labels, keep=["mq_key"])
+    rejected = materialize(scored.where(F.col("mq_score") >= threshold).select("mq_key").distinct(), "rejected")
+    release(scored)
+    return docs.withColumn("mq_key", digest).join(small(rejected), "mq_key", "left_anti").select(*docs.columns)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
