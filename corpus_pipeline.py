@@ -10,12 +10,12 @@ from meshquill.llm.line_dedup import SPACE, without_lines
 from meshquill.llm.mixing import mixed
 from meshquill.llm.ngram_join import near_duplicates_removed
 from meshquill.llm.packing import packed
-from meshquill.llm.toxicity import THRESHOLD, toxicity
+from meshquill.llm.toxicity import less_toxic
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose restored text scores below the threshold."""
-    return toxicity(docs, table(spark, sf_dir, "labels")).where(F.col("mq_score") < THRESHOLD).select(*docs.columns)
+    return less_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
