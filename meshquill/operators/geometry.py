@@ -113,9 +113,21 @@ def split_cells(cells: DataFrame, finest: int) -> DataFrame:
     return out.drop("s", "n_split")
 
 
+#: From this deviation on a Gaussian is three box blurs: their work does not grow with the width.
+WIDE = 1.8
+
+
 def smooth(pixels: DataFrame, fwhm: float, shape: tuple[int, int], reach: int | None = None) -> DataFrame:
-    """Gaussian smoothing of a map (ix, iy, value), divided by the weight of the pixels there are: one pass along each axis."""
+    """Gaussian smoothing of a map (ix, iy, value) by its full width at half maximum.
+
+    A narrow kernel is summed directly, one pass along each axis, and divided by the weight of the pixels there are. A deviation from
+    WIDE on (unless a reach is given) takes three box blurs along each axis, for which a map must be full: an edge's pixel is repeated.
+    """
     sigma = fwhm / 2.35482
+    if reach is None and sigma >= WIDE:
+        for width in box_widths(sigma):
+            pixels = box_blur(box_blur(pixels, "ix", "iy", (width - 1) // 2), "iy", "ix", (width - 1) // 2)
+        return pixels.select("ix", "iy", "value")
     reach = reach or max(1, math.ceil(3 * sigma))
     rows = pixels.select("ix", "iy", F.col("value").alias("v"), F.lit(1.0).alias("w"))
     for c, n in zip(("ix", "iy"), shape):
@@ -126,6 +138,19 @@ def smooth(pixels: DataFrame, fwhm: float, shape: tuple[int, int], reach: int |
     return rows.select("ix", "iy", (F.col("v") / F.col("w")).alias("value"))
 
 
+def box_widths(sigma: float, boxes: int = 3) -> list[int]:
+    """Odd widths of box blurs that together have about a Gaussian's variance: the two odd numbers about the ideal width, the smaller ones first.
+
+    A box of width w has the variance (w * w - 1) / 12; the number of smaller boxes is the one that comes nearest.
+    """
+    wanted = 12 * sigma * sigma
+    ideal = math.sqrt(wanted / boxes + 1)
+    small = math.floor(ideal) - (math.floor(ideal) % 2 == 0)
+    fewer = (boxes * ((small + 2) ** 2 - 1) - wanted) / ((small + 2) ** 2 - small**2)
+    count = math.floor(fewer + 0.5)
+    return [small] * count + [small + 2] * (boxes - count)
+
+
 def box_blur(pixels: DataFrame, along: str, across: str, reach: int) -> DataFrame:
     """Running means of 2 * reach + 1 pixels of a full map; beyond an edge the edge's pixel is repeated."""
     line = Window.partitionBy(across).orderBy(along)

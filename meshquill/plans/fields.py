@@ -37,7 +37,7 @@ def _digits(df, names):
 
 
 def _split(m, v):
-    return spectral.helmholtz([spectral.transform(m, c, N) for c in v], N)
+    return spectral.split_power(spectral.transform_fields(m, list(v), N), v, N)
 
 
 @query(f"{WITH}, {dft_sql({'u': 'velx', 'v': 'vely', 'w': 'velz'})}, {split_sql()} {_table_sql(['long', 'trans', 'total'])}")
@@ -66,10 +66,8 @@ _shell = "CAST(greatest(1, floor(sqrt(" + " + ".join(f"pow(CASE WHEN {c} > 4 THE
 @query(f"{WITH}, m2 AS (SELECT i, j, k, " + ", ".join(f"{e} AS {n}" for n, e in _scalars.items()) + f" FROM mesh), {dft_sql({n: n for n in _scalars}, 'm2')}, s AS (SELECT {_shell} AS bin, "
        + ", ".join(f"re_{n} * re_{n} + im_{n} * im_{n} AS {n}" for n in _scalars) + f" FROM f), t AS ({_table_sql(list(_scalars))}) SELECT bin, n_cells, " + ", ".join(f"func_{n}" for n in _scalars) + " FROM t")
 def density_spectra(spark, sf):
-    m, out = mesh(spark, sf), None
-    for name in _scalars:
-        modes = spectral.power_of(spectral.transform(spectral.field(m, name), "f", N), name)
-        out = modes if out is None else out.join(modes, ["kx", "ky", "kz"])
+    modes = spectral.transform_fields(spectral.fields(mesh(spark, sf), list(_scalars)), list(_scalars), N)
+    out = spectral.powers(modes, list(_scalars))
     return _digits(spectral.table(out, N, list(_scalars)), list(_scalars)).select("bin", "n_cells", *(f"func_{n}" for n in _scalars))
 
 
@@ -89,6 +87,23 @@ def log_density_filter(spark, sf):
     return spectral.inverse(spectral.filtered(modes, spectral.log_gaussian(N, 2.0, 1.0)), N, "value").select("i", "j", "k", (F.round("value", 8) + F.lit(0.0)).alias("value"))
 
 
+FLAT = """SELECT CAST(l_partkey % 16 AS BIGINT) AS i, CAST(l_suppkey % 16 AS BIGINT) AS j, avg(l_discount) * 1e2 - 5e0 AS velx, avg(l_tax) * 1e2 - 4e0 AS vely, avg(l_quantity) AS dens FROM lineitem GROUP BY 1, 2"""
+_flat_modes = f"""WITH mesh AS ({FLAT}), r AS (SELECT * FROM range(16) a(kx), range(16) b(ky)), f AS (SELECT kx, ky, CASE WHEN kx > 8 THEN kx - 16 ELSE kx END AS wx, CASE WHEN ky > 8 THEN ky - 16 ELSE ky END AS wy, """ + ", ".join(
+    f"sum({c} * {t}({2 * math.pi / 16!r} * (i * kx + j * ky))) / 256 AS {t}_{c}" for c in ("velx", "vely", "dens") for t in ("cos", "sin")) + """ FROM mesh, r GROUP BY 1, 2, 3, 4),
+p AS (SELECT wx * wx + wy * wy AS k2, cos_velx * cos_velx + sin_velx * sin_velx + cos_vely * cos_vely + sin_vely * sin_vely AS total, cos_dens * cos_dens + sin_dens * sin_dens AS dens, pow(wx * cos_velx + wy * cos_vely, 2) + pow(wx * sin_velx + wy * sin_vely, 2) AS along FROM f),
+s AS (SELECT CAST(greatest(1, floor(sqrt(k2) + 5e-1)) AS BIGINT) AS bin, total, CASE WHEN k2 > 0 THEN along / k2 ELSE 0e0 END AS long, dens FROM p)"""
+
+
+@query(_flat_modes + """ SELECT bin, count(*) AS n_cells, round(2 * pi() * bin * avg(long), 8) AS func_long, round(2 * pi() * bin * avg(total - long), 8) AS func_trans, round(2 * pi() * bin * avg(total), 8) AS func_total, round(2 * pi() * bin * avg(dens), 5) AS func_dens
+ FROM s WHERE bin <= 8 GROUP BY 1""")
+def flat_spectra(spark, sf):
+    """Rings of a two-dimensional mesh, of a vector and a scalar in one transform."""
+    modes = spectral.transform_fields(view(spark, sf, "lineitem", FLAT), ["velx", "vely", "dens"], 16, ndim=2)
+    both = spectral.split_power(modes, ("velx", "vely"), 16).join(spectral.powers(modes, ["dens"]), ["kx", "ky"])
+    t = spectral.table(both, 16, ["long", "trans", "total", "dens"], ndim=2)
+    return rounded(t.select("bin", "n_cells", *(f"func_{c}" for c in ("long", "trans", "total", "dens"))), func_long=8, func_trans=8, func_total=8, func_dens=5)
+
+
 # ---------------------------------------------------------------- stencils
 def _neighbours(table, names):
     joins, columns = [], []
@@ -250,9 +265,12 @@ def easing_curves(spark, sf):
     return p.select("x", *(F.round(models.ease(F.col("x"), n), 9).alias(n) for n in ("in_out_quad", "in_quad", "out_quad", "in_out_back")))
 
 
-@query("SELECT range::BIGINT AS frame, round(1e0 + 9e0 * pow(range / 4e1, 2), 9) AS low, round(2e0 - 4e0 * pow(range / 4e1, 2), 9) AS high FROM range(0, 41, 2)")
+@query("""WITH a AS (SELECT count(DISTINCT o_custkey) AS n, max(o_totalprice) AS top FROM orders), f AS (SELECT n, top, unnest(range(0, n, 2)) AS frame FROM a)
+SELECT frame, round(1e0 + (top - 1e0) * pow(frame / (n - 1e0), 2), 6) AS low, round(top - top * pow(frame / (n - 1e0), 2), 6) AS high FROM f""")
 def eased_frames(spark, sf):
-    return rounded(models.eased_frames(spark, 41, "in_quad", {"low": 1.0, "high": 2.0}, {"low": 10.0, "high": -2.0}, every=2), low=9, high=9)
+    """A frame for every other customer, from 1 to the highest price and back from it to 0."""
+    told = spark.read.parquet(f"{sf}/orders.parquet").agg(F.countDistinct("o_custkey").alias("n"), F.max("o_totalprice").alias("top")).first()
+    return rounded(models.eased_frames(spark, told["n"], "in_quad", {"low": 1.0, "high": told["top"]}, {"low": told["top"], "high": 0.0}, every=2), low=6, high=6)
 
 
 @query("""WITH p AS (SELECT DISTINCT p_size / 5e1 AS r FROM part) SELECT r, round(sin(r * pi()) * cos(r / 1.2e0 * pi() / 2), 9) AS mass, round(25e-2 * CASE WHEN r <= 1.2e0 THEN cos(r / 1.2e0 * pi() / 2) ELSE 0e0 END + 75e-2 * CASE WHEN r <= 2e-1 THEN cos(r / 2e-1 * pi() / 2) ELSE 0e0 END, 9) AS speed,

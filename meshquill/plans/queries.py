@@ -73,6 +73,15 @@ def dense_sql(n):
 mesh AS (SELECT i, j, k, sin(i * {w}) + 0.5e0 * cos(j * {w}) AS velx, sin((i + 2 * k) * {w}) AS vely, cos((j + k) * {w}) AS velz FROM m)"""
 
 
+#: Velocities on an 8**3 periodic mesh: means over all rows.
+MEASURED = """SELECT CAST(l_suppkey % 8 AS BIGINT) AS i, CAST(l_partkey % 8 AS BIGINT) AS j, CAST(l_orderkey % 8 AS BIGINT) AS k, avg(l_discount) * 1e2 - 5e0 AS velx, avg(l_tax) * 1e2 - 4e0 AS vely, avg(l_linenumber) * 1e0 - 4e0 AS velz FROM lineitem GROUP BY 1, 2, 3"""
+MEASURED_SQL = f"mesh AS ({MEASURED}), m AS (SELECT i, j, k FROM mesh)"
+
+
+def measured(spark, sf):
+    return view(spark, sf, "lineitem", MEASURED)
+
+
 WEIGHTED = "sum({v} * {w}) / sum({w})"
 
 
@@ -308,7 +317,7 @@ def smoothed_map(spark, sf):
 # ---------------------------------------------------------------- stencils and spectra
 _n = 8
 _nb = lambda a, s: {"x": f"(m.i + {s} + {_n}) % {_n} = n.i AND m.j = n.j AND m.k = n.k", "y": f"m.i = n.i AND (m.j + {s} + {_n}) % {_n} = n.j AND m.k = n.k", "z": f"m.i = n.i AND m.j = n.j AND (m.k + {s} + {_n}) % {_n} = n.k"}[a]
-_grad = "WITH " + dense_sql(_n) + "".join(f", {a}{t} AS (SELECT m.i, m.j, m.k, n.velx AS u, n.vely AS v, n.velz AS w FROM mesh m JOIN mesh n ON {_nb(a, s)})" for a in "xyz" for t, s in (("p", 1), ("m", -1))) + \
+_grad = "WITH " + MEASURED_SQL + "".join(f", {a}{t} AS (SELECT m.i, m.j, m.k, n.velx AS u, n.vely AS v, n.velz AS w FROM mesh m JOIN mesh n ON {_nb(a, s)})" for a in "xyz" for t, s in (("p", 1), ("m", -1))) + \
     ", d AS (SELECT mesh.i, mesh.j, mesh.k, " + ", ".join(f"({a}p.{c} - {a}m.{c}) * 4e0 AS d{c}{a}" for a in "xyz" for c in "uvw") + " FROM mesh " + " ".join(f"JOIN {a}{t} USING (i, j, k)" for a in "xyz" for t in "pm") + ")"
 _V = ("velx", "vely", "velz")
 
@@ -318,13 +327,13 @@ _V = ("velx", "vely", "velz")
  + 5e-1 * ((duy + dvx) * (duy + dvx) + (duz + dwx) * (duz + dwx) + (dvz + dwy) * (dvz + dwy))) AS diss FROM d)
 SELECT i, j, k, round(divv + 0e0, 7) + 0e0 AS divv, round(sqrt(wx * wx + wy * wy + wz * wz), 7) AS vorticity, round(diss, 7) AS diss FROM o""")
 def stencil_operators(spark, sf):
-    d = stencil.derivatives(dense(spark, _n), list(_V), _n, 1 / _n)
+    d = stencil.derivatives(measured(spark, sf), list(_V), _n, 1 / _n)
     w = stencil.curl(_V)
     size = F.sqrt(w[0] * w[0] + w[1] * w[1] + w[2] * w[2])
     return d.select("i", "j", "k", (F.round(stencil.divergence(_V), 7) + 0.0).alias("divv"), F.round(size, 7).alias("vorticity"), F.round(stencil.dissipation(_V, F.lit(0.1)), 7).alias("diss"))
 
 
-_dft = "WITH " + dense_sql(_n) + f""", f AS (SELECT a.i AS kx, a.j AS ky, a.k AS kz, sum(b.velx * cos({2 * math.pi / _n!r} * (a.i * b.i + a.j * b.j + a.k * b.k))) / {_n**3} AS re,
+_dft = "WITH " + MEASURED_SQL + f""", f AS (SELECT a.i AS kx, a.j AS ky, a.k AS kz, sum(b.velx * cos({2 * math.pi / _n!r} * (a.i * b.i + a.j * b.j + a.k * b.k))) / {_n**3} AS re,
  sum(b.velx * sin({2 * math.pi / _n!r} * (a.i * b.i + a.j * b.j + a.k * b.k))) / {_n**3} AS im FROM m a, mesh b GROUP BY 1, 2, 3),
  p AS (SELECT re * re + im * im AS p, pow(CASE WHEN kx > 4 THEN kx - 8 ELSE kx END, 2) + pow(CASE WHEN ky > 4 THEN ky - 8 ELSE ky END, 2) + pow(CASE WHEN kz > 4 THEN kz - 8 ELSE kz END, 2) AS k2 FROM f)
 SELECT CAST(greatest(1, floor(sqrt(k2) + 5e-1)) AS BIGINT) AS shell, count(*) AS n_modes, round(sum(p), 9) AS power, round(avg(p) * avg(k2) * 4 * pi(), 9) AS spectrum FROM p GROUP BY 1"""
@@ -332,7 +341,7 @@ SELECT CAST(greatest(1, floor(sqrt(k2) + 5e-1)) AS BIGINT) AS shell, count(*) AS
 
 @query(_dft)
 def power_spectrum(spark, sf):
-    out = spectral.shells(spectral.transform(dense(spark, _n), "velx", _n), _n)
+    out = spectral.shells(spectral.transform(measured(spark, sf), "velx", _n), _n)
     return rounded(out.select("shell", "n_modes", "power", "spectrum"), power=9, spectrum=9)
 
 
@@ -355,9 +364,9 @@ def split_sql(names=("u", "v", "w")) -> str:
 s AS (SELECT k2, total, long, total - long AS trans, CAST(greatest(1, floor(sqrt(k2) + 5e-1)) AS BIGINT) AS bin FROM s1)"""
 
 
-@query("WITH " + dense_sql(_n) + ", " + dft_sql({"u": "velx", "v": "vely", "w": "velz"}) + ", " + split_sql() + " SELECT bin AS shell, round(sum(long), 9) AS long, round(sum(trans), 9) AS trans FROM s GROUP BY 1")
+@query("WITH " + MEASURED_SQL + ", " + dft_sql({"u": "velx", "v": "vely", "w": "velz"}) + ", " + split_sql() + " SELECT bin AS shell, round(sum(long), 9) AS long, round(sum(trans), 9) AS trans FROM s GROUP BY 1")
 def helmholtz_spectrum(spark, sf):
-    d = dense(spark, _n)
+    d = measured(spark, sf)
     split = spectral.helmholtz([spectral.transform(d, v, _n) for v in _V], _n)
     k2 = spectral.shells(split, _n, F.col("long")).select("shell", F.round("power", 9).alias("long"))
     return k2.join(spectral.shells(split, _n, F.col("trans")).select("shell", F.round("power", 9).alias("trans")), "shell")
@@ -367,12 +376,12 @@ LAGS = [(1, 0, 0), (0, 1, 0), (0, 0, 1), (2, 0, 0), (0, 2, 0), (0, 0, 2), (1, 1,
 _lags = ", ".join(str(x) for x in LAGS)
 
 
-@query("WITH " + dense_sql(_n) + f""", l AS (SELECT * FROM (VALUES {_lags}) t(a, b, c)), p AS (SELECT a * a + b * b + c * c AS r2, n.velx - m.velx AS du, n.vely - m.vely AS dv, n.velz - m.velz AS dw, a, b, c
+@query("WITH " + MEASURED_SQL + f""", l AS (SELECT * FROM (VALUES {_lags}) t(a, b, c)), p AS (SELECT a * a + b * b + c * c AS r2, n.velx - m.velx AS du, n.vely - m.vely AS dv, n.velz - m.velz AS dw, a, b, c
  FROM mesh m, l JOIN mesh n ON n.i = (m.i + a) % {_n} AND n.j = (m.j + b) % {_n} AND n.k = (m.k + c) % {_n}),
  q AS (SELECT r2, abs((du * a + dv * b + dw * c) / sqrt(r2)) AS lo, sqrt(greatest(0e0, du * du + dv * dv + dw * dw - pow((du * a + dv * b + dw * c) / sqrt(r2), 2))) AS tr FROM p)
 SELECT r2::BIGINT AS r2, count(*) AS n, round(avg(lo), 7) AS sf1_long, round(avg(tr), 6) AS sf1_trans, round(avg(lo * lo), 7) AS sf2_long, round(avg(tr * tr), 7) AS sf2_trans FROM q GROUP BY 1""")
 def structure_function(spark, sf):
-    out = pairs.structure_function(dense(spark, _n), _V, _n, LAGS, orders=2)
+    out = pairs.structure_function(measured(spark, sf), _V, _n, LAGS, orders=2)
     return rounded(out, sf1_long=7, sf1_trans=6, sf2_long=7, sf2_trans=7)
 
 
@@ -550,17 +559,18 @@ def rolled_resampled_map(spark, sf):
     return rounded(geometry.resampled(geometry.rolled(m, (5, 3), (16, 16)), (16, 16), (8, 8)), value=4)
 
 
-@query("WITH " + dense_sql(_n) + f""", s AS (SELECT (i + 1) % {_n} AS i, (j + 2) % {_n} AS j, k, velx FROM mesh)
+@query("WITH " + MEASURED_SQL + f""", s AS (SELECT (i + 1) % {_n} AS i, (j + 2) % {_n} AS j, k, velx FROM mesh)
 SELECT i // 2 AS ix, j // 2 AS iy, k // 2 AS iz, round(avg(velx), 8) + 0e0 AS value FROM s GROUP BY 1, 2, 3""")
 def periodic_extraction(spark, sf):
-    d = dense(spark, _n).select(*((F.col(c) + 0.5).alias(a) for c, a in zip("ijk", "xyz")), *(F.lit(1.0).alias(f"d{a}") for a in "xyz"), "velx")
+    d = measured(spark, sf).select(*((F.col(c) + 0.5).alias(a) for c, a in zip("ijk", "xyz")), *(F.lit(1.0).alias(f"d{a}") for a in "xyz"), "velx")
     out = geometry.extract(d, F.col("velx"), (-1.0, -2.0, 0.0), 2.0, (_n // 2,) * 3, lengths=(float(_n),) * 3).select("ix", "iy", "iz", "value")
     return rounded(out, value=8).withColumn("value", F.col("value") + F.lit(0.0))
 
 
-@query("WITH " + dense_sql(_n) + " SELECT i, j, k, round(velx, 8) + 0e0 AS value FROM mesh")
+@query("WITH " + MEASURED_SQL + ", " + dft_sql({"f": "velx + vely"}) + f""", g AS (SELECT kx, ky, kz, re_f AS re, im_f AS im FROM f WHERE {_k2} < 4)
+SELECT m.i, m.j, m.k, round(sum(re * cos({2 * math.pi / 8!r} * (m.i * kx + m.j * ky + m.k * kz)) - im * sin({2 * math.pi / 8!r} * (m.i * kx + m.j * ky + m.k * kz))), 8) + 0e0 AS value FROM m, g GROUP BY 1, 2, 3""")
 def low_pass_filter(spark, sf):
-    d = dense(spark, _n).select("i", "j", "k", (F.col("velx") + F.col("vely")).alias("f"))
+    d = measured(spark, sf).select("i", "j", "k", (F.col("velx") + F.col("vely")).alias("f"))
     low = spectral.filtered(spectral.transform(d, "f", _n), spectral.top_hat(_n, 0.0, 2.0))
     return rounded(spectral.inverse(low, _n, "value"), value=8).withColumn("value", F.col("value") + F.lit(0.0))
 

@@ -124,16 +124,23 @@ def last_seen_blocks(spark, sf):
 
 
 # ---------------------------------------------------------------- parameters and dumps
-@query("SELECT * FROM (VALUES ('dimensionality', 'int', '3'), ('gamma', 'real', '1.6667'), ('lrefine_max', 'int', '5'), ('use_gravity', 'bool', 'true'), ('xl_boundary_type', 'str', 'periodic')) t(name, kind, value)")
+NAMED = """SELECT 'name_' || n_nationkey || CASE n_nationkey % 4 WHEN 0 THEN ' = ' || n_regionkey WHEN 1 THEN ' = ' || n_regionkey || '.25' WHEN 2 THEN ' = .true.' ELSE ' = "' || n_name || '"' END AS value, n_nationkey AS line_no FROM nation"""
+
+
+@query("""SELECT 'name_' || n_nationkey AS name, CASE n_nationkey % 4 WHEN 0 THEN 'int' WHEN 1 THEN 'real' WHEN 2 THEN 'bool' ELSE 'str' END AS kind,
+ CASE n_nationkey % 4 WHEN 0 THEN CASE WHEN n_nationkey = 4 THEN '77' ELSE n_regionkey::VARCHAR END WHEN 1 THEN n_regionkey || '.25' WHEN 2 THEN 'true' ELSE n_name END AS value FROM nation""")
 def typed_parameters(spark, sf):
-    p = tables.parameters(spark, {"dimensionality": 2, "gamma": 1.6667, "lrefine_max": 5, "use_gravity": True, "xl_boundary_type": "periodic"})
-    return tables.as_text(tables.overwritten(p, {"dimensionality": 3}))
+    lines = spark.sql(NAMED.replace("FROM nation", "FROM {t}"), t=spark.read.parquet(f"{sf}/nation.parquet"))
+    return tables.as_text(tables.overwritten(tables.parse_parameters(lines), {"name_4": 77}))
+
+
+KIND = """SELECT CASE r_regionkey WHEN 0 THEN 'dimensionality = 3' WHEN 1 THEN 'lrefine_max = ' || length(r_name) WHEN 2 THEN 'xl_boundary_type = "' || lower(r_name) || '"' ELSE 'other_' || r_regionkey || ' = 1.5' END AS value, r_regionkey AS line_no FROM region"""
 
 
-@query("SELECT 'A' AS grid_type, 'periodic' AS boundary, 3 AS ndim")
+@query("SELECT 'A' AS grid_type, lower(r_name) AS boundary, 3 AS ndim FROM region WHERE r_regionkey = 2")
 def grid_kind(spark, sf):
-    p = tables.parameters(spark, {"dimensionality": 3, "lrefine_max": 5, "xl_boundary_type": "periodic"})
-    return tables.grid_kind(p, extracted=False)
+    lines = spark.sql(KIND.replace("FROM region", "FROM {t}"), t=spark.read.parquet(f"{sf}/region.parquet"))
+    return tables.grid_kind(tables.parse_parameters(lines), extracted=False)
 
 
 _dumps = "SELECT o_orderkey % 50 AS dump, o_custkey AS tag, o_totalprice AS mass, epoch_us(o_orderdate) / 1e6 AS time FROM orders"

@@ -109,10 +109,10 @@ def guard_cells(spark, sf):
     return rounded(out.select("block", *(F.col(c).cast("int").alias(c) for c in "ijk"), "v"), v=8)
 
 
-@query(f"""WITH c AS ({CELLS}), x AS (SELECT l_orderkey, k, i + 5e-1 AS x, dvol AS d FROM c WHERE l_orderkey % 8 = 0), s AS (SELECT l_orderkey, k, x - d / 2 + (s + 5e-1) * d / 4 AS x FROM x, range(4) r(s))
+@query(f"""WITH c AS ({CELLS}), x AS (SELECT l_orderkey, k, i + 5e-1 AS x, dvol AS d FROM c), s AS (SELECT l_orderkey, k, x - d / 2 + (s + 5e-1) * d / 4 AS x FROM x, range(4) r(s))
 SELECT l_orderkey, k, count(*) * 16 AS n, round(sum(x) * 16, 6) AS sum_x FROM s GROUP BY 1, 2""")
 def split_cells(spark, sf):
-    c = cells(spark, sf).where("l_orderkey % 8 = 0").select("l_orderkey", "k", F.lit(1).alias("level"), *((F.col(i) + 0.5).alias(a) for a, i in zip("xyz", "ijk")), *(F.col("dvol").alias(f"d{a}") for a in "xyz"))
+    c = cells(spark, sf).select("l_orderkey", "k", F.lit(1).alias("level"), *((F.col(i) + 0.5).alias(a) for a, i in zip("xyz", "ijk")), *(F.col("dvol").alias(f"d{a}") for a in "xyz"))
     return geometry.split_cells(c, 3).groupBy("l_orderkey", "k").agg(F.count("*").alias("n"), F.round(F.sum("x"), 6).alias("sum_x"))
 
 
