@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import refined_pairs
+from ..operators import ewald, refined_pairs, tree
 from ..operators.sinks import checkpoint_folder
 from ..sources import mesh, tables
 from .queries import BLOCKS, blocks, query, rounded
@@ -111,3 +111,33 @@ def refined_correlation_functions(spark, sf):
     out = refined_pairs.pair_statistics(c, b, fields, MOST, 1.0, (0.0, 0.0, 0.0), (8.0, 8.0, 8.0), kind="cf")
     out = rounded(out, weight=3, cf1_long=4, cf1_trans=4)
     return out.withColumns({x: F.col(x) + F.lit(0.0) for x in ("cf1_long", "cf1_trans")})
+
+
+# ---------------------------------------------------------------- gravity
+_lattice = "(SELECT * FROM range(-3, 4) a(nx), range(-3, 4) b(ny), range(-3, 4) c(nz) WHERE nx * nx + ny * ny + nz * nz <= 9)"
+_erfc = "(list_aggregate(list_transform(range(pts), lambda t: exp(-ar * ar / pow(sin((t + 5e-1) * pi() / (2 * pts)), 2))), 'avg'))"
+
+
+@query(f"""WITH p AS (SELECT vec_id AS tag, embedding[1]::DOUBLE AS px, embedding[2]::DOUBLE AS py, embedding[3]::DOUBLE AS pz FROM embeddings), s AS (SELECT tag, px - round(px) AS x, py - round(py) AS y, pz - round(pz) AS z FROM p),
+n AS (SELECT tag, nx, ny, nz, x, y, z, x + nx AS dx, y + ny AS dy, z + nz AS dz, 2 * sqrt(pow(x + nx, 2) + pow(y + ny, 2) + pow(z + nz, 2)) AS ar, 2 * pi() * (nx * x + ny * y + nz * z) AS kx, nx * nx + ny * ny + nz * nz AS n2, CASE WHEN nx * nx + ny * ny + nz * nz = 0 THEN 4096 ELSE 128 END AS pts FROM s, {_lattice}),
+f AS (SELECT *, CASE WHEN ar > 1e-2 OR n2 > 0 THEN ({_erfc} - CASE WHEN n2 = 0 THEN 1 ELSE 0 END + 2 / sqrt(pi()) * ar * exp(-ar * ar)) / pow(ar / 2, 3) ELSE -32 / (3 * sqrt(pi())) * (1 - 6e-1 * ar * ar) END AS f,
+ CASE WHEN n2 > 0 THEN 2 / n2 * exp(-pi() * pi() * n2 / 4) * sin(kx) ELSE 0e0 END AS w FROM n)
+SELECT tag, round(-sum(f * dx + w * nx), 6) + 0e0 AS ewald_x, round(-sum(f * dy + w * ny), 6) + 0e0 AS ewald_y, round(-sum(f * dz + w * nz), 6) + 0e0 AS ewald_z FROM f GROUP BY tag""")
+def ewald_correction(spark, sf):
+    p = spark.sql("SELECT vec_id AS tag, CAST(embedding[0] AS DOUBLE) AS x, CAST(embedding[1] AS DOUBLE) AS y, CAST(embedding[2] AS DOUBLE) AS z FROM {t}", t=spark.read.parquet(f"{sf}/embeddings.parquet"))
+    out = ewald.at_points(p, (1.0, 1.0, 1.0), series=3)
+    return out.select("tag", *((F.round(c, 6) + F.lit(0.0)).alias(c) for c in ewald.FIELD))
+
+
+_gas = "SELECT CAST(l_partkey % 16 AS INT) + (l_suppkey % 7) / 1e1 AS x, CAST(l_suppkey % 16 AS INT) + (l_partkey % 5) / 1e1 AS y, CAST(l_orderkey % 16 AS INT) + 5e-2 AS z, sum(l_quantity) AS mass FROM lineitem GROUP BY 1, 2, 3"
+
+
+@query(f"""WITH g AS ({_gas}), s AS (SELECT s_suppkey AS tag, s_suppkey % 16 + 33e-2 AS x, s_nationkey % 16 + 33e-2 AS y, s_suppkey % 11 + 33e-2 AS z FROM supplier),
+d AS (SELECT tag, mass, g.x - s.x AS dx, g.y - s.y AS dy, g.z - s.z AS dz FROM s, g), r AS (SELECT *, sqrt(dx * dx + dy * dy + dz * dz + 25e-2) AS r FROM d)
+SELECT tag, round(sum(mass * dx / pow(r, 3)), 4) AS ax, round(sum(mass * dy / pow(r, 3)), 4) AS ay, round(sum(mass * dz / pow(r, 3)), 4) AS az, round(-sum(mass / r), 3) AS phi FROM r GROUP BY tag""")
+def gas_on_sinks(spark, sf):
+    """Gas as the source, every mass by itself: an opening angle of 0 makes the tree exact."""
+    gas = spark.sql(_gas.replace("FROM lineitem", "FROM {t}"), t=spark.read.parquet(f"{sf}/lineitem.parquet"))
+    s = spark.sql("SELECT s_suppkey AS tag, s_suppkey % 16 + 33e-2 AS x, s_nationkey % 16 + 33e-2 AS y, s_suppkey % 11 + 33e-2 AS z FROM {t}", t=spark.read.parquet(f"{sf}/supplier.parquet"))
+    out = tree.tree_gravity(s, gas, (0.0, 0.0, 0.0), 20.0, soft=0.5, angle=0.0, depth=6, leaf=64)
+    return rounded(out.select("tag", "ax", "ay", "az", "phi"), ax=4, ay=4, az=4, phi=3)

@@ -4,10 +4,11 @@ import math
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meshquill.operators import refined_pairs, scans, series
+from meshquill.operators import ewald, refined_pairs, scans, series, tree
 from meshquill.plans import meshes
 from meshquill.sources import datasource, mesh, tables, text
 
@@ -193,3 +194,49 @@ def test_parameter_lines(spark):
     got = {r["name"]: (r["kind"], r["i"], r["d"], r["b"], r["s"]) for r in tables.parse_parameters(df).collect()}
     assert got == {"a": ("int", 2, None, None, None), "b": ("real", None, -1500.0, None, None), "c": ("str", None, None, None, "x # y"), "d": ("bool", None, None, False, None),
                    "f": ("str", None, None, None, "plain text"), "g": ("str", None, None, None, ".true."), "i": ("str", None, None, None, "1e"), "j_1": ("real", None, 1e20, None, None)}
+
+
+# ---- gravity
+def test_ewald_does_not_depend_on_the_split():
+    d = np.random.default_rng(0).uniform(-0.5, 0.5, (100, 3))
+    for lengths in ((1.0, 1.0, 1.0), (2.0, 1.0, 4.0)):
+        x = d * np.array(lengths)
+        assert np.abs(ewald.correction(x, lengths, 8, 2.0) - ewald.correction(x, lengths, 9, 2.4)).max() < 1e-9
+    d = np.array([[0.2, 0.1, -0.3], [0.5, 0.0, 0.0], [0.0, 0.0, 0.0]])
+    n = np.stack(np.meshgrid(*[np.arange(-30, 31)] * 3, indexing="ij"), -1).reshape(-1, 3)
+    n = n[(n != 0).any(axis=1)]
+    images = np.array([-((p + n) / (((p + n) ** 2).sum(axis=1) ** 1.5)[:, None]).sum(axis=0) for p in d]) + 4 * math.pi / 3 * d  # of a cube, with its background
+    assert np.abs(ewald.correction(d, (1.0,) * 3) - images).max() < 2e-3
+
+
+def test_ewald_table_is_read_with_signs(spark):
+    lengths, cells = (1.0, 1.0, 2.0), (17, 17, 33)
+    grid = ewald.table(spark, cells, lengths).cache()
+    assert grid.count() == 17 * 17 * 33
+    rng = random.Random(1)
+    points = spark.createDataFrame([(k, *(rng.uniform(-2, 2) for _ in range(3))) for k in range(60)], "tag int, x double, y double, z double")
+    read = {r["tag"]: r for r in ewald.from_table(points, grid, cells, lengths).collect()}
+    for r in ewald.at_points(points, lengths).collect():
+        assert all(abs(r[f] - read[r["tag"]][f]) < 0.02 for f in ewald.FIELD)
+
+
+@pytest.mark.parametrize("lengths", [None, (8.0, 8.0, 8.0)])
+def test_tree_gravity_is_near_all_pairs(spark, lengths):
+    rng = np.random.default_rng(3)
+    m = np.concatenate([rng.uniform(0, 8, (300, 3)), 2 + 0.1 * rng.standard_normal((300, 3)), np.full((40, 3), 5.0)])  # a clump, and many at one place
+    w = rng.uniform(0.5, 2, len(m))
+    p = np.concatenate([rng.uniform(0, 8, (40, 3)), m[:5]])
+    d = m[None] - p[:, None]
+    if lengths:
+        d -= 8 * np.round(d / 8)
+    r2 = (d * d).sum(-1) + 0.05**2
+    want = np.concatenate([(w[None, :, None] * d / r2[..., None] ** 1.5).sum(1), -(w / np.sqrt(r2)).sum(1)[:, None]], axis=1)
+    masses = spark.createDataFrame([(float(a), *map(float, x)) for a, x in zip(w, m)], "mass double, x double, y double, z double")
+    points = spark.createDataFrame([(k, *map(float, x)) for k, x in enumerate(p)], "tag int, x double, y double, z double")
+    for angle, error in ((0.5, 0.02), (0.0, 1e-9)):
+        out = tree.tree_gravity(points, masses, (0.0, 0.0, 0.0), 8.0, 0.05, angle=angle, lengths=lengths, depth=6, leaf=8)
+        assert "CartesianProduct" not in out._jdf.queryExecution().toString()
+        got = np.array([list(r)[-4:] for r in sorted(out.collect(), key=lambda r: r["tag"])])
+        size = np.abs(want[:, :3]).max()
+        assert np.abs(got[:, :3] - want[:, :3]).max() < error * size and np.abs(got[:, 3] / want[:, 3] - 1).max() < max(error, 1e-9)
+    assert [list(r)[-4:] for r in tree.tree_gravity(points.limit(1), masses.where("false"), (0.0,) * 3, 8.0).collect()] == [[0.0] * 4]
