@@ -3,8 +3,8 @@
 1. Texts are cut into blocks of some BLOCK words of one language. A block is written as a stream of word numbers of its own (4 bytes a
    word, a mark where a piece ends) beside its own list of words with counts. Lists are added up: a word of at least ``least``
    occurrences in its language is frequent and gets a dense id.
-2. Each block's words meet the frequent ones in a join, and what a block gets back (bounded by its own words) turns its stream into ids; pieces
-   break at other words, for no phrase with such a word is frequent. Pairs of neighbours are packed as keys of 4 bytes an id, sorted and
+2. Frequent words are sent to the tasks below a checked size; beyond, each block's words meet them in a join, and what a block gets back is
+   bounded by its own words. They turn its stream into ids; pieces break at other words, for no phrase with such a word is frequent. Pairs of neighbours are packed as keys of 4 bytes an id, sorted and
    counted in the block, dealt out by key ranges, sorted there (Spark's radix sort) and counted by run length. The ranges follow from the
    counts of words: a pair's place is the share of all words before its first one, and within that one's share the same of its second.
 3. Phrases of three to five words all of whose pairs are frequent are counted likewise. Frequent pairs are sent to the tasks up to PAIRS_SENT;
@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, materialize, slices, small, table
+from .common import Scratch, materialize, sendable, slices, small, table
 
 LEAST, LONGEST, TOP, ABSORB = 100, 5, 2000, 100
 #: Words of a block, words read at a time of a long text, distinct rows sent at a time.
@@ -147,8 +147,9 @@ def binary_rows(column: pa.Array) -> np.ndarray:
 
 def _ids(stream, local, values, kind) -> np.ndarray:
     """For each number of a block's stream a value of its word; 0 for other words and breaks."""
-    of = np.zeros(max(int(stream.max(initial=-1)), max(local or [-1])) + 2, kind)  # the last place is that of a break
-    of[np.array(local or [], np.int64)] = np.array(values or [], kind)
+    local = np.asarray(local, np.int64)
+    of = np.zeros(max(int(stream.max(initial=-1)), int(local.max(initial=-1))) + 2, kind)  # the last place is that of a break
+    of[local] = np.asarray(values, kind)
     return of[stream]
 
 
@@ -157,20 +158,47 @@ def pairs_at(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (x[:-1] > 0) & (x[1:] > 0), x[:-1].astype(np.uint64) << np.uint64(32) | x[1:]
 
 
-def _phrases(ranges: int, orders: list[int], sent, batches):
-    """block, stream, local numbers, their ids, before and share, keys of frequent pairs (None: all count, or what is sent) -> part, key, n.
+class Sent:
+    """The frequent words, sent to every task: ids by language and word; before and share by id."""
+
+    def __init__(self, words: pa.Table) -> None:
+        self.ids: dict = {}
+        for lang, word, i in zip(words["lang"].to_pylist(), words["word"].to_pylist(), words["id"].to_pylist()):
+            self.ids.setdefault(lang, {})[word] = i
+        self.before, self.share = np.zeros(len(words) + 1), np.zeros(len(words) + 1)
+        self.before[words["id"].to_numpy()], self.share[words["id"].to_numpy()] = words["before"].to_numpy(), words["share"].to_numpy()
+
+    def of_block(self, lang, words):
+        """Local numbers of a block's frequent words, their ids, before and share."""
+        known = self.ids.get(lang, {})
+        ids = np.fromiter((known.get(w, 0) for w in words), np.int64, len(words))
+        local = np.flatnonzero(ids)
+        return local, ids[local], self.before[ids[local]], self.share[ids[local]]
+
+
+def _known(row: dict, words):
+    """What a block knows of its frequent words: by what was sent, or by what a join gave it."""
+    if words is not None:
+        return words.value.of_block(row["lang"], row["words"])
+    return row["local"], row["ids"], row["before"], row["share"]
+
+
+def _phrases(ranges: int, orders: list[int], pairs_sent, words_sent, batches):
+    """Blocks (with pairs, keys of frequent ones, or pairs_sent; all count if there is neither) -> part, key, n.
 
     Keys of pairs are numbers, others bytes."""
     for batch in slices(batches, 1):
-        block, stream, local, ids, before, share, pairs = (c[0].as_py() for c in batch.columns)
-        stream = np.frombuffer(stream, np.int32)
+        row = batch.to_pylist()[0]
+        stream = np.frombuffer(row["stream"], np.int32)
+        local, ids, before, share = _known(row, words_sent)
         x = _ids(stream, local, ids, np.uint32)
         fit, number = pairs_at(x)
+        pairs, sent = row.get("pairs"), pairs_sent
         wanted = sent.value if sent is not None else np.sort(np.array(pairs, np.int64).astype(np.uint64)) if pairs is not None else None
         if wanted is not None:
             at = np.minimum(np.searchsorted(wanted, number), max(len(wanted) - 1, 0))
             fit &= wanted[at] == number if len(wanted) else False
-        low, wide = (dict(zip(ids or [], v or [])) for v in (before, share))
+        low, wide = (dict(zip(np.asarray(ids).tolist(), np.asarray(v).tolist())) for v in (before, share))
 
         def part(first, second):
             """The range of a key by its first two ids."""
@@ -198,11 +226,12 @@ def _phrases(ranges: int, orders: list[int], sent, batches):
                 yield pa.RecordBatch.from_arrays([pa.array(parts[some]), pa.array(keys[some]) if k == 2 else binary_array(keys[some]), pa.array(n[some], pa.int64())], ["part", "key", "n"])
 
 
-def _pairs_of_blocks(batches):
-    """block, stream, local numbers, their ids -> block, key of its distinct pairs."""
+def _pairs_of_blocks(words_sent, batches):
+    """Blocks -> block, key of its distinct pairs."""
     for batch in slices(batches, 1):
-        block, stream, local, ids = (c[0].as_py() for c in batch.columns)
-        fit, number = pairs_at(_ids(np.frombuffer(stream, np.int32), local, ids, np.uint32))
+        row = batch.to_pylist()[0]
+        block, (local, ids, _, _) = row["block"], _known(row, words_sent)
+        fit, number = pairs_at(_ids(np.frombuffer(row["stream"], np.int32), local, ids, np.uint32))
         keys = np.unique(number[fit]).astype(np.int64)
         for i in range(0, len(keys), 1 << 16):
             some = keys[i : i + (1 << 16)]
@@ -251,20 +280,23 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     totals = streams.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
     words = lists.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     words = scratch(numbered(words, "frequent", scratch), "words")
-    met = lists.join(small(words.select("lang", "word", "id", "before", "share")), ["lang", "word"])
-    known = met.groupBy("block").agg(F.collect_list(F.struct("local", "id", "before", "share")).alias("of"))
-    known = scratch(known.select("block", *(F.col(f"of.{c}").alias(n) for c, n in (("local", "local"), ("id", "ids"), ("before", "before"), ("share", "share")))), "known")
-    ready = streams.select("block", "stream").join(known, "block")
-    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    given = ready.withColumn("pairs", F.lit(None).cast("array<bigint>"))
-    often = scratch(counted(given.mapInArrow(partial(_phrases, ranges, [2], None), "part int, key long, n long"), ranges, least, "long"), "often")
-    sent = None
+    spark, words_sent = docs.sparkSession, None
+    if sendable(words, "word"):
+        words_sent, ready = spark.sparkContext.broadcast(Sent(words.select("lang", "word", "id", "before", "share").toArrow())), streams.select("block", "lang", "words", "stream")
+    else:
+        met = lists.join(words.select("lang", "word", "id", "before", "share"), ["lang", "word"])
+        known = met.groupBy("block").agg(F.collect_list(F.struct("local", "id", "before", "share")).alias("of"))
+        known = scratch(known.select("block", *(F.col(f"of.{c}").alias(n) for c, n in (("local", "local"), ("id", "ids"), ("before", "before"), ("share", "share")))), "known")
+        ready = streams.select("block", "stream").join(known, "block")
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    often = scratch(counted(ready.mapInArrow(partial(_phrases, ranges, [2], None, words_sent), "part int, key long, n long"), ranges, least, "long"), "often")
+    given, pairs_sent = ready, None
     if often.limit(PAIRS_SENT + 1).count() <= PAIRS_SENT:
-        sent = docs.sparkSession.sparkContext.broadcast(np.sort(often.select("key").toArrow()["key"].to_numpy().astype(np.uint64)))
+        pairs_sent = spark.sparkContext.broadcast(np.sort(often.select("key").toArrow()["key"].to_numpy().astype(np.uint64)))
     else:
-        of_block = ready.select("block", "stream", "local", "ids").mapInArrow(_pairs_of_blocks, "block string, key long").join(often.select("key"), "key")
+        of_block = ready.mapInArrow(partial(_pairs_of_blocks, words_sent), "block string, key long").join(often.select("key"), "key")
         given = ready.join(of_block.groupBy("block").agg(F.collect_list("key").alias("pairs")), "block")
-    more = given.mapInArrow(partial(_phrases, ranges, list(range(3, LONGEST + 1)), sent), "part int, key binary, n long")
+    more = given.mapInArrow(partial(_phrases, ranges, list(range(3, LONGEST + 1)), pairs_sent, words_sent), "part int, key binary, n long")
     longer = counted(more, ranges, least, "binary")
     key_of = lambda c, bytes_: F.concat(F.unhex(F.lpad(F.hex(c), 2 * bytes_, "0")), F.lit(bytes(WIDTH - bytes_)))
     every = words.select(key_of("id", 4).alias("key"), "f").unionAll(often.select(key_of("key", 8).alias("key"), "f")).unionAll(longer)

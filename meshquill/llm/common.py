@@ -84,6 +84,12 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def sendable(df: DataFrame, text: str, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a table has few rows and its text or binary column few bytes, so that the driver may send it to every task."""
+    told = df.select(F.octet_length(text).alias("b")).limit(rows + 1).agg(F.count("*").alias("n"), F.sum("b").alias("b")).first()
+    return told["n"] <= rows and (told["b"] or 0) <= size
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

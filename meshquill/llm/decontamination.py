@@ -20,7 +20,7 @@ texts are read. Ids of items are compared as strings; an item with a null id hit
 from __future__ import annotations
 
 import hashlib
-from collections import Counter, defaultdict
+from collections import Counter
 from functools import partial
 
 import numpy as np
@@ -28,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, BROADCAST_ROWS, Scratch, materialize, slices, small, table
+from .common import BROADCAST_ROWS, Scratch, materialize, sendable, slices, small, table
 
-WINDOW, ANCHORS, NEAR, SALTS = 10, 3, 4, 16
+WINDOW, ANCHORS, NEAR, SALTS = 10, 2, 4, 16
 #: Distinct terms a task counts before it sends what it has.
 HELD = 300_000
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
@@ -62,8 +62,7 @@ def windows(items: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
 
 def sent(terms: DataFrame):
     """The terms as a broadcast set if they are few and short; None if not."""
-    sizes = terms.select("term").limit(BROADCAST_ROWS + 1).agg(F.count("*").alias("n"), F.sum(F.octet_length("term")).alias("b")).first()
-    if sizes["n"] > BROADCAST_ROWS or (sizes["b"] or 0) > BROADCAST_BYTES:
+    if not sendable(terms, "term", BROADCAST_ROWS):
         return None
     return terms.sparkSession.sparkContext.broadcast(frozenset(bytes(r["term"]) for r in terms.select("term").collect()))
 
@@ -95,15 +94,12 @@ def _postings(told, batches):
     for batch in slices(batches, 64):
         terms, keys, places = [], [], []
         for i in range(batch.num_rows):
-            at: dict[bytes, list[int]] = defaultdict(list)
-            for p, w in enumerate(words_of(batch.column(1)[i].as_py())):
-                if told is None or w in told.value:
-                    at[w].append(p)
-            key = batch.column(0)[i].as_py()
-            terms += at
-            keys += [key] * len(at)
-            places += at.values()
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()), pa.array(keys, pa.binary()), pa.array(places, pa.list_(pa.int32()))], ["term", "key", "places"])
+            words = words_of(batch.column(1)[i].as_py())
+            at = range(len(words)) if told is None else [p for p, w in enumerate(words) if w in told.value]
+            terms += [words[p] for p in at]
+            keys += [batch.column(0)[i].as_py()] * len(at)
+            places += at
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()), pa.array(keys, pa.binary()), pa.array(places, pa.int32())], ["term", "key", "place"])
 
 
 def keyed(docs: DataFrame, text_col: str) -> DataFrame:
@@ -114,9 +110,8 @@ def keyed(docs: DataFrame, text_col: str) -> DataFrame:
 
 def postings(docs: DataFrame, text_col: str, terms: DataFrame) -> DataFrame:
     """The index: term, key, place of every occurrence of the terms; copies of a text are one."""
-    lists = keyed(docs, text_col).select("mq_key", "mq_text").mapInArrow(partial(_postings, sent(terms)), "term binary, key binary, places array<int>")
-    lists = lists.join(small(terms), "term", "left_semi").groupBy("term", "key").agg(F.first("places").alias("places"))
-    return lists.select("term", "key", F.explode("places").alias("place"))
+    rows = keyed(docs, text_col).select("mq_key", "mq_text").mapInArrow(partial(_postings, sent(terms)), "term binary, key binary, place int")
+    return rows.join(small(terms), "term", "left_semi").distinct()
 
 
 def rarest(of: DataFrame, terms: str, counts: DataFrame, group: str, most: int) -> DataFrame:

@@ -877,8 +877,11 @@ def brute_collocations(rows, least, absorb=100):
     return {(lang, k + 1, p.decode(), -a, left, r, total, -s) for lang, x in out.items() for k, (s, a, p, left, r, total) in enumerate(sorted(x))}
 
 
-@pytest.mark.parametrize("block", [1, 50, 1 << 20])
-def test_collocations_against_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "sent"), [(1, True), (50, False), (1 << 20, True)])
+def test_collocations_against_brute_force(spark, block, sent, monkeypatch):
+    if not sent:  # as if frequent words and pairs were too many for a broadcast
+        monkeypatch.setattr(collocations, "sendable", lambda *_: False)
+        monkeypatch.setattr(collocations, "PAIRS_SENT", 0)
     rng = random.Random(5)
     words = ["the", "The", "of", "ab", "été", "x\x1cy", "\x0e", "zz z"]
     rows = [("".join(rng.choice(words) + rng.choice([" ", " ", " ", "  ", "\t", ". ", ",", "\n"]) for _ in range(rng.randint(0, 90))), rng.choice(["en", "fr", None, "und"])) for _ in range(40)]
