@@ -134,24 +134,136 @@ def curvatures(t: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.concatenate([[inner[0] * (1 + first) - inner[1] * first], inner, [inner[-1] * (1 + last) - inner[-2] * last]])
 
 
-def spline(series: DataFrame, key: list[str], t: str, x: str, points: int | None = None) -> DataFrame:
+def _piece(names: list[str]):
+    """Solves one range's part of the tridiagonal system: y without neighbours, v and w per unit of the unknown before and after the range."""
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("mq_pos")
+        low, mid, up = (pdf[c].to_numpy(copy=True) for c in ("mq_low", "mq_mid", "mq_up"))
+        n = len(pdf)
+        right = np.zeros((n, 3))
+        right[:, 0], right[0, 1], right[-1, 2] = pdf["mq_rhs"], low[0], up[-1]
+        for i in range(1, n):
+            share = low[i] / mid[i - 1]
+            mid[i] -= share * up[i - 1]
+            right[i] -= share * right[i - 1]
+        right[-1] /= mid[-1]
+        for i in range(n - 2, -1, -1):
+            right[i] = (right[i] - up[i] * right[i + 1]) / mid[i]
+        return pd.DataFrame({**{c: pdf[c].to_numpy() for c in names}, "mq_y": right[:, 0], "mq_v": right[:, 1], "mq_w": right[:, 2]})
+
+    return work
+
+
+def _joints(key: list[str]):
+    """The unknowns before and after each range of a key, from the first and last row of its ranges: two equations a range."""
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["mq_range", "mq_pos"])
+        ranges = pdf["mq_range"].drop_duplicates().to_numpy()
+        ends = pdf.groupby("mq_range", sort=True)[["mq_y", "mq_v", "mq_w"]].agg(["first", "last"])
+        n = len(ranges)
+        a, right = np.eye(2 * n), np.zeros(2 * n)
+        for p in range(n):
+            for k, end in enumerate(("first", "last")):
+                right[2 * p + k] = ends["mq_y", end].iloc[p]
+                if p:
+                    a[2 * p + k, 2 * p - 1] = ends["mq_v", end].iloc[p]
+                if p < n - 1:
+                    a[2 * p + k, 2 * p + 2] = ends["mq_w", end].iloc[p]
+        m = np.linalg.solve(a, right)
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] * n for c in key}, "mq_range": ranges, "mq_before": [m[2 * p - 1] if p else 0.0 for p in range(n)], "mq_behind": [m[2 * p + 2] if p < n - 1 else 0.0 for p in range(n)]})
+
+    return work
+
+
+def spline(series: DataFrame, key: list[str], t: str, x: str, points: int | None = None, ranges: int | None = None) -> DataFrame:
     """Each series by its cubic spline at so many evenly spaced times (as many as it has, if not given).
 
-    Times must differ within a series; null rows are ignored. A spline couples all rows of a series, so a task holds one series.
+    The first two pieces are one cubic, and so are the last two. Times must differ within a series; null rows are ignored. A long series
+    is shared by ranges of times: each range solves its part of the tridiagonal system for any values beyond its ends, a small system of two
+    equations a range joins them, and values are worked out piece by piece.
     """
     clean = series.where(F.col(t).isNotNull() & F.col(x).isNotNull()).select(*key, F.col(t).cast("double").alias("t"), F.col(x).cast("double").alias("x"))
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        a, b = pdf["t"].to_numpy(), pdf["x"].to_numpy()
-        m = curvatures(a, b)
-        at = np.linspace(a[0], a[-1], points or len(a))
-        if len(a) == 1:
-            value = np.full(len(at), b[0])
-        else:
-            i = np.clip(np.searchsorted(a, at, side="right") - 1, 0, len(a) - 2)
-            h, u, v = a[i + 1] - a[i], a[i + 1] - at, at - a[i]
-            value = (m[i] * u**3 + m[i + 1] * v**3) / (6 * h) + (b[i] / h - m[i] * h / 6) * u + (b[i + 1] / h - m[i + 1] * h / 6) * v
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(at) for k in key}, "t": at, "x": value})
-
-    return clean.groupBy(*key).applyInPandas(work, clean.schema)
+    parts = scans.ranged(clean, key, "t", ranges)
+    row, whole = F.struct("t", "x"), Window.partitionBy(*key)
+    sums = {"mq_first": F.min(row), "mq_last": F.max(row), "mq_n": F.count("*")}
+    carry = {"mq_prev": F.last("mq_last").over(scans.earlier(key)), "mq_next": F.first("mq_first").over(scans.later(key)), "mq_start": F.coalesce(F.sum("mq_n").over(scans.earlier(key)), F.lit(0)),
+             "mq_size": F.sum("mq_n").over(whole), "mq_from": F.min("mq_first").over(whole)["t"], "mq_to": F.max("mq_last").over(whole)["t"]}
+    inside = Window.partitionBy(*key, "mq_range").orderBy("t")
+    rows = scans.handed_over(parts, key, sums, carry)
+    rows = rows.withColumns({"mq_prev": F.coalesce(F.lag(row).over(inside), "mq_prev"), "mq_next": F.coalesce(F.lead(row).over(inside), "mq_next"), "mq_pos": F.col("mq_start") + F.row_number().over(inside) - 1})
+    h0, h1, pos, size = F.col("t") - F.col("mq_prev.t"), F.col("mq_next.t") - F.col("t"), F.col("mq_pos"), F.col("mq_size")
+    rise = (F.col("mq_next.x") - F.col("x")) / h1 - (F.col("x") - F.col("mq_prev.x")) / h0
+    first, last = (pos == 1).cast("int"), (pos == size - 2).cast("int")
+    three = size == 3
+    system = {"mq_low": F.when(first == 1, 0.0).otherwise(h0 - last * h1 * h1 / h0), "mq_up": F.when(last == 1, 0.0).otherwise(h1 - first * h0 * h0 / h1),
+              "mq_mid": F.when(three, h0 + h1).otherwise(2 * (h0 + h1) + first * h0 * (1 + h0 / h1) + last * h1 * (1 + h1 / h0)), "mq_rhs": F.when(three, 2 * rise).otherwise(6 * rise)}
+    inner = rows.where((pos > 0) & (pos < size - 1)).select(*key, "mq_range", "mq_pos", "t", "x", "mq_prev", "mq_next", "mq_size", "mq_from", "mq_to", *(c.alias(n) for n, c in system.items()))
+    named = [*key, "mq_range", "mq_pos"]
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.select(*named).schema)
+    solved = scans.cut_lineage(inner.groupBy(*key, "mq_range").applyInPandas(_piece(named), f"{kind}, mq_y double, mq_v double, mq_w double"))
+    at_ends = Window.partitionBy(*key, "mq_range")
+    ends = solved.withColumns({"mq_lo": F.min("mq_pos").over(at_ends), "mq_hi": F.max("mq_pos").over(at_ends)}).where("mq_pos = mq_lo or mq_pos = mq_hi")
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.select(*key, "mq_range").schema)
+    joints = ends.groupBy(*key).applyInPandas(_joints(key), f"{kind}, mq_before double, mq_behind double")
+
+    def met(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+        right = right.withColumnsRenamed({c: f"mq_r_{c}" for c in by})
+        same = F.lit(True)
+        for c in by:
+            same = same & F.col(c).eqNullSafe(F.col(f"mq_r_{c}"))
+        return left.join(right, same).drop(*(f"mq_r_{c}" for c in by))
+
+    bent = met(solved, joints, [*key, "mq_range"]).select(*named, (F.col("mq_y") - F.col("mq_v") * F.col("mq_before") - F.col("mq_w") * F.col("mq_behind")).alias("m"))
+    bent = met(inner.drop(*system), bent, named)
+    state = F.struct("mq_pos", "m")
+    bent = scans.handed_over(bent, key, {"mq_low_m": F.min(state)}, {"mq_after": F.first("mq_low_m").over(scans.later(key))["m"]})
+    bent = bent.withColumn("mq_after", F.coalesce(F.lead("m").over(Window.partitionBy(*key, "mq_range").orderBy("mq_pos")), "mq_after"))
+    # a piece goes from an inner row to the next one; the first begins at the series' start, the last ends at its end
+    piece = lambda a, b, ma, mb, low, high: F.struct(F.col(f"{a[0]}").alias("t0"), F.col(f"{a[1]}").alias("x0"), F.col(f"{b[0]}").alias("t1"), F.col(f"{b[1]}").alias("x1"), ma.alias("m0"), mb.alias("m1"), low.alias("low"), high.alias("high"))
+    here, there, back = ("t", "x"), ("mq_next.t", "mq_next.x"), ("mq_prev.t", "mq_prev.x")
+    m, start, end = F.col("m"), F.col("mq_from"), F.col("mq_to")
+    usual = piece(here, there, m, F.col("mq_after"), F.when(pos == 1, start).otherwise(F.col("t")), F.when(pos == size - 3, end).otherwise(F.col("mq_next.t")))
+    pieces = F.when(three, F.array(piece(back, here, m, m, start, F.col("t")), piece(here, there, m, m, F.col("t"), end))).when(pos < size - 2, F.array(usual))
+    short = rows.where((size < 3) & (pos == 0))  # one or two rows: no curvature
+    flat = F.array(F.struct(F.col("t").alias("t0"), F.col("x").alias("x0"), F.coalesce("mq_next.t", F.col("t") + 1).alias("t1"), F.coalesce("mq_next.x", "x").alias("x1"), F.lit(0.0).alias("m0"), F.lit(0.0).alias("m1"), start.alias("low"), end.alias("high")))
+    cut = bent.select(*key, "mq_size", "mq_from", "mq_to", F.explode(pieces).alias("p")).unionAll(short.select(*key, "mq_size", "mq_from", "mq_to", F.explode(flat).alias("p")))
+    many = F.lit(points).cast("long") if points else F.col("mq_size")
+    step = F.when(many > 1, (F.col("mq_to") - F.col("mq_from")) / (many - 1)).otherwise(0.0)
+    number = lambda c: F.when(step > 0, F.ceil((c - F.col("mq_from")) / step)).otherwise(0).cast("long")
+    to = F.when(F.col("p.high") == F.col("mq_to"), many - 1).otherwise(number(F.col("p.high")) - 1)
+    begin = F.when(F.col("p.low") == F.col("mq_from"), F.lit(0)).otherwise(number(F.col("p.low"))).cast("long")
+    at = cut.withColumns({"mq_a": begin, "mq_b": to.cast("long")}).where("mq_a <= mq_b").withColumn("mq_j", F.explode(F.sequence("mq_a", "mq_b"))).withColumn("mq_t", F.col("mq_from") + F.col("mq_j") * step)
+    h, u, v = F.col("p.t1") - F.col("p.t0"), F.col("p.t1") - F.col("mq_t"), F.col("mq_t") - F.col("p.t0")
+    value = (F.col("p.m0") * u * u * u + F.col("p.m1") * v * v * v) / (6 * h) + (F.col("p.x0") / h - F.col("p.m0") * h / 6) * u + (F.col("p.x1") / h - F.col("p.m1") * h / 6) * v
+    return at.select(*key, F.col("mq_t").alias("t"), value.alias("x"))
+
+
+def find_dump(dumps: DataFrame, number: str, numbers: list[int], value: Column, wanted: float) -> tuple[int, float]:
+    """The dump (number, value) whose value is nearest to the wanted one, where values grow with the number; of two as near the later one.
+
+    dumps is laid out in folders by number; each step reads one dump's folder alone, so a search reads about log2 of their number. numbers:
+    those there are (spark.read knows them by the folders' names). A dump without rows or with a null value counts as value 0.
+    """
+    numbers, seen = sorted(set(numbers)), {}
+    if not numbers:
+        raise ValueError("there are no dumps")
+
+    def at(k: int) -> float:
+        if k not in seen:
+            got = dumps.where(F.col(number) == numbers[k]).agg(value.cast("double")).first()[0]
+            seen[k] = 0.0 if got is None else got
+        return seen[k]
+
+    low, high = 0, len(numbers) - 1
+    while high - low > 1:
+        middle = low + (high - low + 1) // 2
+        low, high = (low, middle) if wanted <= at(middle) else (middle, high)
+    best = low if abs(at(low) - wanted) < abs(at(high) - wanted) else high
+    return numbers[best], at(best)
+
+
+def folders(spark, path: str, number: str) -> list[int]:
+    """The numbers of a table's folders ``number=...``, by their names: no file is opened."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)
+    return sorted(int(n.split("=", 1)[1]) for n in (f.getPath().getName() for f in found) if n.startswith(f"{number}="))

@@ -585,13 +585,22 @@ def starlight(spark, sf):
     return rounded(geometry.starlight(stars, gas, 1.0, 0.1).select("tag", "tau", "light"), tau=6, light=6)
 
 
+@query(f"""WITH RECURSIVE e AS (SELECT user_id, t, avg(value) AS x FROM ({EV}) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n, min(t) OVER (PARTITION BY user_id) AS t_from, max(t) OVER (PARTITION BY user_id) AS t_to,
+ t - lag(t) OVER w AS h0, lead(t) OVER w - t AS h1, lead(t) OVER w AS t1, lead(x) OVER w AS x1, lag(t) OVER w AS tp, lag(x) OVER w AS xp FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t)),
+c AS (SELECT *, CASE WHEN pos = 1 THEN 0e0 WHEN pos = n - 2 THEN h0 - h1 * h1 / h0 ELSE h0 END AS low, CASE WHEN pos = n - 2 THEN 0e0 WHEN pos = 1 THEN h1 - h0 * h0 / h1 ELSE h1 END AS up, CASE WHEN n = 3 THEN h0 + h1 ELSE 2 * (h0 + h1) + CASE WHEN pos = 1 THEN h0 * (1 + h0 / h1) ELSE 0 END
+ + CASE WHEN pos = n - 2 THEN h1 * (1 + h1 / h0) ELSE 0 END END AS mid, CASE WHEN n = 3 THEN 2 ELSE 6 END * ((x1 - x) / h1 - (x - xp) / h0) AS rhs FROM r WHERE pos BETWEEN 1 AND n - 2),
+f AS (SELECT user_id, pos, n, mid, rhs, up FROM c WHERE pos = 1 UNION ALL SELECT c.user_id, c.pos, c.n, c.mid - c.low / f.mid * f.up, c.rhs - c.low / f.mid * f.rhs, c.up FROM f JOIN c ON c.user_id = f.user_id AND c.pos = f.pos + 1),
+b AS (SELECT user_id, pos, rhs / mid AS m FROM f WHERE pos = n - 2 UNION ALL SELECT f.user_id, f.pos, (f.rhs - f.up * b.m) / f.mid FROM b JOIN f ON f.user_id = b.user_id AND f.pos = b.pos - 1),
+p AS (SELECT c.user_id, n, t_from, t_to, t AS t0, x AS x0, t1, x1, b.m AS m0, a.m AS m1, CASE WHEN c.pos = 1 THEN t_from ELSE t END AS lo, CASE WHEN c.pos = n - 3 THEN t_to ELSE t1 END AS hi FROM c JOIN b ON b.user_id = c.user_id AND b.pos = c.pos JOIN b a ON a.user_id = c.user_id AND a.pos = c.pos + 1
+ UNION ALL SELECT c.user_id, n, t_from, t_to, tp, xp, t, x, m, m, t_from, t FROM c JOIN b USING (user_id, pos) WHERE n = 3 UNION ALL SELECT c.user_id, n, t_from, t_to, t, x, t1, x1, m, m, t, t_to FROM c JOIN b USING (user_id, pos) WHERE n = 3
+ UNION ALL SELECT user_id, n, t_from, t_to, t, x, coalesce(t1, t + 1), coalesce(x1, x), 0e0, 0e0, t_from, t_to FROM r WHERE n < 3 AND pos = 0),
+j AS (SELECT user_id, n, t_from, CASE WHEN n > 1 THEN (t_to - t_from) / (n - 1) ELSE 0e0 END AS step, t_to, unnest(range(n)) AS j FROM (SELECT DISTINCT user_id, n, t_from, t_to FROM r)), s AS (SELECT user_id, t_from + j * step AS tj, j = n - 1 AS final FROM j),
+q AS (SELECT s.user_id AS who, tj, p.*, p.t1 - p.t0 AS h, p.t1 - tj AS u, tj - p.t0 AS v FROM s JOIN p ON s.user_id = p.user_id AND ((NOT final AND tj >= lo AND tj < hi) OR (final AND hi = t_to)))
+SELECT who AS user_id, round(tj, 3) AS t, round((m0 * u * u * u + m1 * v * v * v) / (6 * h) + (x0 / h - m0 * h / 6) * u + (x1 / h - m1 * h / 6) * v, 6) AS x FROM q""")
 def series_spline(spark, sf):
     return rounded(series.spline(evs(spark, sf).groupBy("user_id", "t").agg(F.avg("value").alias("value")), ["user_id"], "t", "value"), t=3, x=6)
 
 
-_queries["series_spline"] = series_spline
-
-
 def queries() -> dict[str, Callable]:
     from . import fields, meshes, tables, views  # noqa: F401, PLC0415  (they add theirs)
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import series, stats
+from ..operators import series, sinks, stats
 from ..sources import tables, text
 from .queries import CELLS, cells, evs, query, rounded
 
@@ -185,3 +187,19 @@ def file_kinds(spark, sf):
     names = ["a_hdf5_plt_cnt_0001_dens_proj_z.h5", "a_hdf5_plt_cnt_0001", "a_hdf5_chk_0001", "a_hdf5_part_0001", "a.log"]
     path = F.element_at(F.array(*(F.lit(n) for n in names)), (F.col("s_suppkey") % 5 + 1).cast("int"))
     return s.select(text.file_kind(path).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+_months = "SELECT (year(o_orderdate) - 1990) * 12 + month(o_orderdate) AS dump, o_orderkey, o_totalprice, o_orderdate FROM orders"
+
+
+@query(f"""WITH d AS ({_months}), v AS (SELECT dump, max(epoch_us(o_orderdate) / 864e8) AS value FROM d GROUP BY 1), w AS (SELECT unnest([9e3, 95e2, 0e0, 1e6]) AS wanted),
+r AS (SELECT wanted, dump, value, row_number() OVER (PARTITION BY wanted ORDER BY abs(value - wanted), dump DESC) AS n FROM w, v) SELECT wanted, dump::BIGINT AS dump, round(value, 6) AS value FROM r WHERE n = 1""")
+def dumps_by_bisection(spark, sf):
+    """Dumps written in a folder each; of four searches each reads some seven of eighty."""
+    path = f"{sinks.checkpoint_folder(spark)}/dumps-{uuid.uuid4().hex}"
+    o = spark.read.parquet(f"{sf}/orders.parquet").select(((F.year("o_orderdate") - 1990) * 12 + F.month("o_orderdate")).alias("dump"), "o_orderkey", "o_totalprice", "o_orderdate")
+    o.repartition("dump").write.partitionBy("dump").parquet(path)
+    dumps, numbers = spark.read.parquet(path), series.folders(spark, path, "dump")
+    value = F.max(F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 864e8)
+    found = [(w, *series.find_dump(dumps, "dump", numbers, value, w)) for w in (9e3, 95e2, 0.0, 1e6)]
+    return rounded(spark.createDataFrame(found, "wanted double, dump long, value double"), value=6)

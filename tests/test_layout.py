@@ -240,3 +240,41 @@ def test_tree_gravity_is_near_all_pairs(spark, lengths):
         size = np.abs(want[:, :3]).max()
         assert np.abs(got[:, :3] - want[:, :3]).max() < error * size and np.abs(got[:, 3] / want[:, 3] - 1).max() < max(error, 1e-9)
     assert [list(r)[-4:] for r in tree.tree_gravity(points.limit(1), masses.where("false"), (0.0,) * 3, 8.0).collect()] == [[0.0] * 4]
+
+
+def test_shared_spline_is_the_direct_one(spark):
+    rng = np.random.default_rng(0)
+    data = {k: (np.sort(rng.uniform(0, 10, n)), rng.normal(size=n)) for k, n in ((1, 300), (2, 1), (3, 2), (4, 3), (5, 4), (None, 5), (7, 17))}
+    df = spark.createDataFrame([(k, float(a), float(b)) for k, (t, x) in data.items() for a, b in zip(t, x)], "k int, t double, x double")
+    for ranges, points in ((1, None), (6, 50)):
+        got = {}
+        for r in series.spline(df, ["k"], "t", "x", points, ranges).collect():
+            got.setdefault(r["k"], []).append((r["t"], r["x"]))
+        for k, (t, x) in data.items():
+            m, at = series.curvatures(t, x), np.linspace(t[0], t[-1], points or len(t))
+            want = np.full(len(at), x[0])
+            if len(t) > 1:
+                i = np.clip(np.searchsorted(t, at, side="right") - 1, 0, len(t) - 2)
+                h, u, v = t[i + 1] - t[i], t[i + 1] - at, at - t[i]
+                want = (m[i] * u**3 + m[i + 1] * v**3) / (6 * h) + (x[i] / h - m[i] * h / 6) * u + (x[i + 1] / h - m[i + 1] * h / 6) * v
+            assert np.abs(np.array([x for _, x in sorted(got[k])]) - want).max() < 1e-9
+
+
+def test_dump_search_reads_few_folders(spark, tmp_path):
+    path = f"{tmp_path}/dumps"
+    spark.range(200).select((F.col("id") % 40).alias("n"), ((F.col("id") % 40) * 2.0).alias("t")).repartition("n").write.partitionBy("n").parquet(path)
+    numbers = series.folders(spark, path, "n")
+    asked = []
+
+    class Counting:
+        def where(self, condition):
+            asked.append(1)
+            return spark.read.parquet(path).where(condition)
+
+    assert numbers == list(range(40)) and series.find_dump(Counting(), "n", numbers, F.max("t"), 31.1) == (16, 32.0) and len(asked) <= 9
+    df = spark.read.parquet(path)
+    assert series.find_dump(df, "n", numbers, F.max("t"), 31.0) == (16, 32.0)  # as near: the later one
+    assert series.find_dump(df, "n", numbers, F.max("t"), -5.0) == (0, 0.0) and series.find_dump(df, "n", numbers, F.max("t"), 1e9) == (39, 78.0)
+    assert series.find_dump(df, "n", [3], F.max("t"), 0.0) == (3, 6.0)
+    with pytest.raises(ValueError):
+        series.find_dump(df, "n", [], F.max("t"), 0.0)
