@@ -268,6 +268,14 @@ def view_range(domain: list[tuple[float, float]], finest: float, slice_: bool =
     return [((a + b) / 2 - (b - a) / 2 / zoom, (a + b) / 2 + (b - a) / 2 / zoom) for a, b in out]
 
 
+def fixed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with columns that later filters and projections take as they are: through an explode of one struct. Else Catalyst puts the whole
+    expression wherever its name stands, also in filters it pushes down, and code for nested ones grows beyond what is compiled."""
+    others = [c for c in df.columns if c not in columns]
+    one = df.select(*others, F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("mq_fixed"))
+    return one.select(*others, *(F.col(f"mq_fixed.{n}").alias(n) for n in columns))
+
+
 def seen(points: DataFrame, bounds: list[tuple[float, float]], turn: tuple[tuple[float, float, float], float] | None = None, focal: float | None = None,
          sphere: tuple[float, float] | None = None, opaque: float = 0.0, vector: tuple[str, str, str] | None = None) -> DataFrame:
     """Points or cells (x, y, z) as seen along z: turned about an axis through the view's centre, in perspective, with weights.
@@ -287,13 +295,12 @@ def seen(points: DataFrame, bounds: list[tuple[float, float]], turn: tuple[tuple
         new = dict(zip(AXES, rotated(*(F.col(a) for a in AXES), axis, degrees, centre)))
         if vector:
             new |= dict(zip(vector, rotated(*(F.col(v) for v in vector), axis, degrees)))
-        out = out.withColumns(new)
-    scale = perspective_scale(F.col("z"), focal, centre[2]) if focal else F.lit(1.0)
-    out = out.withColumn("scale", scale)
-    if focal:
-        out = out.withColumns({a: (F.col(a) - c) * F.col("scale") + c for a, c in zip(("x", "y"), centre)})
+        out = fixed(out, new | {"seen_weight": F.col("seen_weight")})
     opacity_weight = opacity(F.col("z"), bounds[2][1], bounds[2][1] - bounds[2][0], opaque) if opaque else F.lit(1.0)
-    return out.withColumn("seen_weight", F.col("scale") * F.col("scale") * F.col("seen_weight") * opacity_weight)
+    if not focal:
+        return out.withColumns({"scale": F.lit(1.0), "seen_weight": F.col("seen_weight") * opacity_weight})
+    out = fixed(out, {"scale": perspective_scale(F.col("z"), focal, centre[2])})
+    return fixed(out, {a: (F.col(a) - c) * F.col("scale") + c for a, c in zip(("x", "y"), centre)} | {"seen_weight": F.col("scale") * F.col("scale") * F.col("seen_weight") * opacity_weight})
 
 
 def moment_maps(cells: DataFrame, value: Column, bounds: list[tuple[float, float]], size: float, shape: tuple[int, int], weight: Column | None = None, **view) -> DataFrame:

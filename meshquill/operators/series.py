@@ -105,6 +105,12 @@ def ensemble(tables: DataFrame, bin_: str, value: str, log: bool = False) -> Dat
     return tables.groupBy(bin_).agg(F.count("*").alias("files"), F.avg(v).alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.avg(v * v) - F.avg(v) * F.avg(v))).alias("sigma"))
 
 
+def ensembles(tables: DataFrame, bin_: str, values: list[str]) -> DataFrame:
+    """files, and mean and sigma over files of several values by bin, in one pass."""
+    spread = lambda c: F.sqrt(F.greatest(F.lit(0.0), F.avg(F.col(c) * F.col(c)) - F.avg(c) * F.avg(c)))
+    return tables.groupBy(bin_).agg(F.count("*").alias("files"), *(F.avg(c).alias(c) for c in values), *(spread(c).alias(f"sigma_{c}") for c in values))
+
+
 def carried(rows: DataFrame, key: list[str], order: str, names: list[str], default: int = 1) -> DataFrame:
     """Columns with the value last seen in a run; the default before any."""
     return scans.last_seen(rows, key, order, names, default)

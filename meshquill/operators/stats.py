@@ -29,16 +29,16 @@ def linear_bin(x: Column, low: float, width: float) -> Column:
     return ((x - low) / width).cast("long") + 1
 
 
-def pdf(cells: DataFrame, x: Column, weight: Column, low: float, high: float, width: float, log: bool = False) -> DataFrame:
-    """bin, x (centre), n, pdf, cdf over bins that have cells; bins are in x, or in log10 x."""
+def pdf(cells: DataFrame, x: Column, weight: Column, low: float, high: float, width: float, log: bool = False, key: tuple[str, ...] = ()) -> DataFrame:
+    """key, bin, x (centre), n, pdf, cdf over bins that have cells, for each key in one pass; bins are in x, or in log10 x."""
     v = F.log10(x) if log else x
-    kept = cells.where((v > low - width) & (v < high)).select(linear_bin(v, low, width).alias("bin"), weight.alias("w"))
-    binned = kept.groupBy("bin").agg(F.sum("w").alias("w"), F.count("*").alias("n"))
-    total, upto = Window.partitionBy(), Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # a row a bin
+    kept = cells.where((v > low - width) & (v < high)).select(*key, linear_bin(v, low, width).alias("bin"), weight.alias("w"))
+    binned = kept.groupBy(*key, "bin").agg(F.sum("w").alias("w"), F.count("*").alias("n"))
+    total, upto = Window.partitionBy(*key), Window.partitionBy(*key).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # a row a bin
     centre = low + (F.col("bin") - 0.5) * width
     size = F.pow(F.lit(10.0), low + F.col("bin") * width) - F.pow(F.lit(10.0), low + (F.col("bin") - 1) * width) if log else F.lit(width)
     share = F.col("w") / F.sum("w").over(total)
-    return binned.select("bin", (F.pow(F.lit(10.0), centre) if log else centre).alias("x"), "n", (share / size).alias("pdf"), (F.sum("w").over(upto) / F.sum("w").over(total)).alias("cdf"))
+    return binned.select(*key, "bin", (F.pow(F.lit(10.0), centre) if log else centre).alias("x"), "n", (share / size).alias("pdf"), (F.sum("w").over(upto) / F.sum("w").over(total)).alias("cdf"))
 
 
 def pdf_moments(table: DataFrame, low: float, width: float, log: bool = False) -> DataFrame:

@@ -16,19 +16,12 @@ _pdf = f"""WITH c AS ({CELLS}), g AS (SELECT block, CAST(trunc(pres / 1e4) AS BI
 
 def _pdfs(spark, sf):
     """A PDF table of each block."""
-    out = None
-    for b in range(8):
-        t = stats.pdf(cells(spark, sf).where(F.col("block") == b), F.col("pres"), F.col("dens"), 0.0, 11e4, 1e4).select(F.lit(b).alias("block"), "bin", "pdf", "cdf")
-        out = t if out is None else out.unionAll(t)
-    return out
+    return stats.pdf(cells(spark, sf), F.col("pres"), F.col("dens"), 0.0, 11e4, 1e4, key=("block",)).select("block", "bin", "pdf", "cdf")
 
 
 @query(f"{_pdf} SELECT bin, count(*) AS files, round(avg(pdf), 10) AS pdf, round(sqrt(greatest(0e0, avg(pdf * pdf) - avg(pdf) * avg(pdf))), 9) AS sigma_pdf, round(avg(cdf), 8) AS cdf, round(sqrt(greatest(0e0, avg(cdf * cdf) - avg(cdf) * avg(cdf))), 6) AS sigma_cdf FROM p GROUP BY 1")
 def averaged_pdfs(spark, sf):
-    t = _pdfs(spark, sf)
-    a = series.ensemble(t, "bin", "pdf").select("bin", "files", F.col("mean").alias("pdf"), F.col("sigma").alias("sigma_pdf"))
-    b = series.ensemble(t, "bin", "cdf").select("bin", F.col("mean").alias("cdf"), F.col("sigma").alias("sigma_cdf"))
-    return rounded(a.join(b, "bin"), pdf=10, sigma_pdf=9, cdf=8, sigma_cdf=6)
+    return rounded(series.ensembles(_pdfs(spark, sf), "bin", ["pdf", "cdf"]), pdf=10, sigma_pdf=9, cdf=8, sigma_cdf=6)
 
 
 _spec = f"WITH c AS ({CELLS}), g AS (SELECT block, k AS bin, sum(pres) AS p FROM c GROUP BY 1, 2), t AS (SELECT *, sum(p) OVER (PARTITION BY block) AS total FROM g)"
