@@ -205,11 +205,59 @@ def extract(cells: DataFrame, value: Column, low: tuple[float, float, float], si
     return rows.groupBy("ix", "iy", "iz").agg((F.sum(F.col("q") * F.col("w")) / F.sum("w")).alias("value"), F.sum("w").alias("weight"))
 
 
-def halo(cells: DataFrame, blocks: DataFrame, values: list[str], cells_per_block: int, guard: int, low: tuple[float, float, float], lengths: tuple[float, float, float], coarsest: float) -> DataFrame:
-    """block, i, j, k (beyond 0 to cells_per_block - 1) and the values of each block's guard cells on a periodic refined mesh.
+#: A face without a neighbour.
+MISSING = -21
+
+
+def neighbours(blocks: DataFrame, low: tuple[float, float, float], lengths: tuple[float, float, float], finest: float, coarsest: float, periodic: tuple[bool, bool, bool] = (True, True, True)) -> DataFrame:
+    """block, face (x-, x+, y-, ...), neighbour: the leaf blocks that share a face, one row each (finer ones are several); MISSING at an edge.
+
+    blocks: leaves with lo_ and hi_ bounds, whose sides are finest to coarsest and which are nested in cubes of the coarsest. Blocks on both sides of a
+    face lie in one plane and, across it, in one column of coarsest cubes, so they meet in an equi-join.
+    """
+    out = None
+    for a, c in enumerate(AXES):
+        others = [x for x in range(3) if x != a]
+        plane = lambda end, a=a, c=c: F.round((F.col(f"{end}_{c}") - low[a]) / finest).cast("long")
+        planes, column = round(lengths[a] / finest), [F.floor(((F.col(f"lo_{AXES[x]}") + F.col(f"hi_{AXES[x]}")) / 2 - low[x]) / coarsest).cast("long").alias(f"q{x}") for x in others]
+        bounds = lambda p, others=others: [F.col(f"{e}_{AXES[x]}").alias(f"{p}{e}{x}") for x in others for e in ("lo", "hi")]
+        for face, near, far in ((f"{c}-", "lo", "hi"), (f"{c}+", "hi", "lo")):
+            at = plane(near)
+            wrapped = F.when((at == 0) & F.lit(near == "lo"), F.lit(planes)).when((at == planes) & F.lit(near == "hi"), F.lit(0)).otherwise(at) if periodic[a] else at
+            one = blocks.select("block", wrapped.cast("long").alias("plane"), *column, *bounds("a"))
+            other = blocks.select(F.col("block").alias("neighbour"), plane(far).alias("plane"), *column, *bounds("b"))
+            met = one.join(other, ["plane", *(f"q{x}" for x in others)])
+            touch = F.lit(True)
+            for x in others:
+                touch = touch & (F.least(F.col(f"ahi{x}"), F.col(f"bhi{x}")) - F.greatest(F.col(f"alo{x}"), F.col(f"blo{x}")) > 1e-9 * finest)
+            found = met.where(touch).select("block", F.lit(face).alias("face"), F.col("neighbour").cast("long").alias("neighbour"))
+            lonely = one.select("block").join(found.select("block"), "block", "left_anti").select("block", F.lit(face).alias("face"), F.lit(MISSING).cast("long").alias("neighbour"))
+            found = found.unionAll(lonely)
+            out = found if out is None else out.unionAll(found)
+    return out
+
+
+def inward(t: Column, size: Column, length: float, boundary: str) -> Column:
+    """The place (from the domain's low end) that stands for a place t of a cell; null if there is none."""
+    if boundary == "periodic":
+        return F.pmod(t, F.lit(float(length)))
+    if boundary == "outflow":  # the edge's cell goes on
+        return F.least(F.greatest(t, size / 2), length - size / 2)
+    if boundary == "reflecting":
+        return F.when(t < 0, -t).when(t > length, 2 * length - t).otherwise(t)
+    if boundary == "none":
+        return F.when((t > 0) & (t < length), t)
+    raise ValueError(f"unknown boundary {boundary!r}")
+
+
+def halo(cells: DataFrame, blocks: DataFrame, values: list[str], cells_per_block: int, guard: int, low: tuple[float, float, float], lengths: tuple[float, float, float], coarsest: float,
+         boundary: tuple[str, str, str] = ("periodic", "periodic", "periodic"), turned: tuple[str | None, str | None, str | None] = (None, None, None)) -> DataFrame:
+    """block, i, j, k (beyond 0 to cells_per_block - 1) and the values of each block's guard cells on a refined mesh.
 
     cells: x, y, z, dx; blocks: block, lo_ and hi_ bounds. Cells of all levels are nested in cubes of the coarsest cell size, so a
-    guard cell meets just the cells of its own cube: one equi-join and a grouped mean, weighted by overlap.
+    guard cell meets just the cells of its own cube: one equi-join and a grouped mean, weighted by overlap. By axis the domain is periodic,
+    goes on as at its edge (outflow), is mirrored (reflecting; of the values the one named in turned for this axis changes its sign), or ends
+    (none: guard cells beyond have no row).
     """
     n, reach = cells_per_block, F.sequence(F.lit(-guard), F.lit(cells_per_block + guard - 1))
     want = blocks.withColumn("size", (F.col("hi_x") - F.col("lo_x")) / n)
@@ -218,15 +266,17 @@ def halo(cells: DataFrame, blocks: DataFrame, values: list[str], cells_per_block
     want = want.where(~(F.col("i").between(0, n - 1) & F.col("j").between(0, n - 1) & F.col("k").between(0, n - 1)))
     have = cells.select(*AXES, "dx", *values)
     for a, c, lo, length in zip(AXES, "ijk", low, lengths):
-        inside = F.pmod(F.col(f"lo_{a}") + (F.col(c) + 0.5) * F.col("size") - lo, F.lit(float(length)))
-        want = want.withColumn(f"t_{a}", inside).withColumn(f"q{a}", F.floor(F.col(f"t_{a}") / coarsest).cast("long"))
+        place, rule = F.col(f"lo_{a}") + (F.col(c) + 0.5) * F.col("size") - lo, boundary[AXES.index(a)]
+        want = want.withColumn(f"flip_{a}", F.when(((place < 0) | (place > length)) & F.lit(rule == "reflecting"), -1.0).otherwise(1.0))
+        want = want.withColumn(f"t_{a}", inward(place, F.col("size"), length, rule)).where(F.col(f"t_{a}").isNotNull()).withColumn(f"q{a}", F.floor(F.col(f"t_{a}") / coarsest).cast("long"))
         have = have.withColumn(a, F.col(a) - lo).withColumn(f"q{a}", F.floor(F.col(a) / coarsest).cast("long"))
-    met = want.select("block", "i", "j", "k", "size", *(f"t_{a}" for a in AXES), *(f"q{a}" for a in AXES)).join(have, [f"q{a}" for a in AXES])
+    met = want.select("block", "i", "j", "k", "size", *(f"{p}_{a}" for p in ("t", "flip") for a in AXES), *(f"q{a}" for a in AXES)).join(have, [f"q{a}" for a in AXES])
     w = F.lit(1.0)
     for a in AXES:
         t, s, x, d = F.col(f"t_{a}"), F.col("size") / 2, F.col(a), F.col("dx") / 2
         w = w * F.greatest(F.lit(0.0), F.least(t + s, x + d) - F.greatest(t - s, x - d))
     met = met.withColumn("w", w).where("w > 0")
+    met = met.withColumns({v: F.col(v) * F.col(f"flip_{a}") for v, a in zip(turned, AXES) if v})
     return met.groupBy("block", "i", "j", "k").agg(*((F.sum(F.col(v) * F.col("w")) / F.sum("w")).alias(v) for v in values))
 
 

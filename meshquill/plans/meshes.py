@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import ewald, refined_pairs, tree
+from ..operators import ewald, geometry, refined_pairs, tree
 from ..operators.sinks import checkpoint_folder
 from ..sources import mesh, tables
 from .queries import BLOCKS, blocks, query, rounded
@@ -113,6 +113,40 @@ def refined_correlation_functions(spark, sf):
     return out.withColumns({x: F.col(x) + F.lit(0.0) for x in ("cf1_long", "cf1_trans")})
 
 
+# ---------------------------------------------------------------- neighbours and guard cells
+_leaves = f"""WITH c AS ({_cells.replace('{div}', '//')}), b AS (SELECT block, min(x - cbrt(vol) / 2) AS lo_x, max(x + cbrt(vol) / 2) AS hi_x, min(y - cbrt(vol) / 2) AS lo_y, max(y + cbrt(vol) / 2) AS hi_y, min(z - cbrt(vol) / 2) AS lo_z, max(z + cbrt(vol) / 2) AS hi_z FROM c GROUP BY 1)"""
+
+
+def _faces(a: str, wraps: bool) -> str:
+    p, q = (x for x in "xyz" if x != a)
+    across = " AND ".join(f"least(m.hi_{x}, n.hi_{x}) - greatest(m.lo_{x}, n.lo_{x}) > 1e-6" for x in (p, q))
+    low, high = (f"(abs(m.{e}_{a} - n.{f}_{a}) < 1e-6" + (f" OR (abs(m.{e}_{a} - {at}) < 1e-6 AND abs(n.{f}_{a} - {to}) < 1e-6)" if wraps else "") + ")" for e, f, at, to in (("lo", "hi", "0e0", "8e0"), ("hi", "lo", "8e0", "0e0")))
+    return " UNION ALL ".join(f"SELECT m.block, '{a}{sign}' AS face, coalesce(n.block, -21)::BIGINT AS neighbour FROM b m LEFT JOIN b n ON {plane} AND {across}" for sign, plane in (("-", low), ("+", high)))
+
+
+@query(f"{_leaves} {_faces('x', True)} UNION ALL {_faces('y', False)} UNION ALL {_faces('z', True)}")
+def neighbour_graph(spark, sf):
+    """Faces of blocks of two levels; the domain ends in y."""
+    _, b = two_levels(spark, sf)
+    return geometry.neighbours(b, (0.0, 0.0, 0.0), (8.0, 8.0, 8.0), 2.0, 4.0, (True, False, True))
+
+
+_fine = """f AS (SELECT i::DOUBLE AS fi, j::DOUBLE AS fj, k::DOUBLE AS fk, c.dens, c.velx FROM range(8) r(i), range(8) s(j), range(8) t(k), c WHERE abs(i + 5e-1 - c.x) < cbrt(c.vol) / 2 AND abs(j + 5e-1 - c.y) < cbrt(c.vol) / 2 AND abs(k + 5e-1 - c.z) < cbrt(c.vol) / 2)"""
+
+
+@query(f"""{_leaves}, {_fine}, g AS (SELECT block, i, j, k, (hi_x - lo_x) / 2 AS d, lo_x + (i + 5e-1) * (hi_x - lo_x) / 2 AS x, lo_y + (j + 5e-1) * (hi_y - lo_y) / 2 AS y, lo_z + (k + 5e-1) * (hi_z - lo_z) / 2 AS z FROM b, range(-1, 3) r(i), range(-1, 3) s(j), range(-1, 3) t(k)
+ WHERE NOT (i BETWEEN 0 AND 1 AND j BETWEEN 0 AND 1 AND k BETWEEN 0 AND 1)),
+h AS (SELECT block, i, j, k, d, CASE WHEN x < 0 THEN -x WHEN x > 8 THEN 16 - x ELSE x END AS x, CASE WHEN x < 0 OR x > 8 THEN -1 ELSE 1 END AS flip, least(greatest(y, d / 2), 8 - d / 2) AS y, z FROM g WHERE z > 0 AND z < 8)
+SELECT CAST(block AS BIGINT) AS block, CAST(i AS INT) AS i, CAST(j AS INT) AS j, CAST(k AS INT) AS k, round(avg(dens), 6) AS dens, round(avg(flip * velx), 6) + 0e0 AS velx FROM h, f WHERE abs(fi + 5e-1 - x) < d / 2 AND abs(fj + 5e-1 - y) < d / 2 AND abs(fk + 5e-1 - z) < d / 2 GROUP BY 1, 2, 3, 4""")
+def guard_cells_at_edges(spark, sf):
+    """Guard cells of a domain that is mirrored in x, goes on in y and ends in z."""
+    c, b = two_levels(spark, sf)
+    c = c.withColumn("dx", F.pow("vol", F.lit(1 / 3)))
+    out = geometry.halo(c, b, ["dens", "velx"], 2, 1, (0.0, 0.0, 0.0), (8.0, 8.0, 8.0), 2.0, ("reflecting", "outflow", "none"), ("velx", None, None))
+    out = rounded(out.select(F.col("block").cast("long").alias("block"), *(F.col(x).cast("int").alias(x) for x in "ijk"), "dens", "velx"), dens=6, velx=6)
+    return out.withColumn("velx", F.col("velx") + F.lit(0.0))
+
+
 # ---------------------------------------------------------------- gravity
 _lattice = "(SELECT * FROM range(-3, 4) a(nx), range(-3, 4) b(ny), range(-3, 4) c(nz) WHERE nx * nx + ny * ny + nz * nz <= 9)"
 _erfc = "(list_aggregate(list_transform(range(pts), lambda t: exp(-ar * ar / pow(sin((t + 5e-1) * pi() / (2 * pts)), 2))), 'avg'))"
