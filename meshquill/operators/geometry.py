@@ -297,8 +297,9 @@ def starlight(stars: DataFrame, cells: DataFrame, opacity_: float, pixel: float)
     return out.withColumn("light", F.col("luminosity") * F.exp(-F.col("tau")))
 
 
-def starfield(lights: DataFrame, radius: float, low: tuple[float, float], size: float, shape: tuple[int, int]) -> DataFrame:
-    """ix, iy, value: each star's light spread over a disc, by the height of a hemisphere; a star's shares add up to its light."""
+def starfield(lights: DataFrame, radius: float, low: tuple[float, float], size: float, shape: tuple[int, int], depth: float | None = None) -> DataFrame:
+    """ix, iy, value: each star's light spread over a disc, by the height of a hemisphere. A star's shares add up to its light; with the depth of the
+    view a pixel has the light times its own volume (area times depth) times the height over the radius instead."""
     rows = lights.select("tag", "x", "y", "light")
     for a, lo in zip(("x", "y"), low):
         rows = rows.withColumn(f"i{a}", F.explode(F.sequence(F.floor((F.col(a) - radius - lo) / size).cast("long"), F.floor((F.col(a) + radius - lo) / size).cast("long"))))
@@ -306,7 +307,8 @@ def starfield(lights: DataFrame, radius: float, low: tuple[float, float], size:
     height = F.sqrt(F.greatest(F.lit(0.0), radius * radius - gap[0] * gap[0] - gap[1] * gap[1]))
     rows = rows.withColumn("h", height).withColumn("share", F.col("h") / F.sum("h").over(Window.partitionBy("tag"))).where("h > 0")
     inside = F.col("ix").between(0, shape[0] - 1) & F.col("iy").between(0, shape[1] - 1)
-    return rows.where(inside).groupBy("ix", "iy").agg(F.sum(F.col("light") * F.col("share")).alias("value"))
+    share = F.col("share") if depth is None else F.col("h") / radius * (size * size * depth)
+    return rows.where(inside).groupBy("ix", "iy").agg(F.sum(F.col("light") * share).alias("value"))
 
 
 def view_range(domain: list[tuple[float, float]], finest: float, slice_: bool = False, zoom: float = 1.0, axis: int = 2) -> list[tuple[float, float]]:

@@ -59,6 +59,28 @@ def creation_candidates(cells: DataFrame, sinks: DataFrame, dens_max: float, rad
     return free.join(beaten, "tag", "left_anti")
 
 
+#: Of the speed of sound: flows that diverge by less count as converging.
+STILL = 1e-5
+
+
+def converging(candidates: DataFrame, cells: DataFrame, speed: Column, lengths: tuple[int, int, int] | None = None, velocity: tuple[str, str, str] = ("velx", "vely", "velz")) -> DataFrame:
+    """Candidates (tag, i, j, k and the cell's velocity) towards which the flow in all of the 26 cells around does not diverge.
+
+    A cell around counts by its velocity relative to the candidate's, along the line between both, which must not exceed STILL times the
+    speed of sound (a column of the candidate). cells: i, j, k, velocity; with lengths the mesh repeats; cells that are not there do not count.
+    """
+    step = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if a or b or c)))
+    around = candidates.select("tag", *(F.col(x).alias(f"at_{x}") for x in "ijk"), *(F.col(v).alias(f"own_{v}") for v in velocity), speed.alias("speed")).withColumn("step", step)
+    for k, (x, s) in enumerate(zip("ijk", "abc")):
+        to = F.col(f"at_{x}") + F.col(f"step.{s}")
+        around = around.withColumn(x, (F.pmod(to, F.lit(lengths[k])) if lengths else to).cast("long"))
+    met = around.join(cells.select(*(F.col(x).cast("long").alias(x) for x in "ijk"), *velocity), ["i", "j", "k"])
+    steps = [F.col(f"step.{s}") for s in "abc"]
+    outward = dot(steps, [F.col(v) - F.col(f"own_{v}") for v in velocity]) / F.sqrt(dot(steps, steps))
+    leaving = met.where(outward > STILL * F.col("speed")).select("tag").distinct()
+    return candidates.join(leaving, "tag", "left_anti")
+
+
 def accreted(gas: DataFrame, sinks: DataFrame, spin: tuple[str, str, str] = ("lx", "ly", "lz")) -> DataFrame:
     """Sinks (tag, mass, position, velocity, spin) after they took gas (sink, mass, position, velocity).
 
@@ -92,7 +114,18 @@ def merged(sinks: DataFrame, radius: float, g: float = 1.0) -> DataFrame:
     goes = best.join(best.select(F.col("tag").alias("into")), "into", "left_anti")
     to = sinks.join(goes, "tag", "left").withColumn("into", F.coalesce("into", "tag"))
     mean = [(F.sum(F.col("mass") * F.col(c)) / F.sum("mass")).alias(c) for c in (*POSITION, *VELOCITY)]
-    return to.groupBy(F.col("into").alias("tag")).agg(F.count("*").alias("parts"), *mean, F.sum("mass").alias("mass"))
+    parts = F.sum("parts") if "parts" in sinks.columns else F.count("*")
+    return to.groupBy(F.col("into").alias("tag")).agg(parts.alias("parts"), *mean, F.sum("mass").alias("mass"))
+
+
+def merged_all(sinks: DataFrame, radius: float, g: float = 1.0, passes: int = 64) -> DataFrame:
+    """Passes of merging until no two sinks are bound: tag, parts (sinks that went into it), position, velocity and mass."""
+    now = cut_lineage(sinks.select("tag", F.lit(1).cast("long").alias("parts"), *POSITION, *VELOCITY, "mass"))
+    for _ in range(passes):
+        if bound_pairs(now, radius, g).limit(1).count() == 0:
+            return now
+        now = cut_lineage(merged(now, radius, g))
+    raise RuntimeError("merging did not end")
 
 
 def clusters(points: DataFrame, radius: float, rounds: int = 1000) -> DataFrame:

@@ -6,10 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import ewald, geometry, refined_pairs, tree
+from ..operators import ewald, geometry, refined_pairs, sinks, tree
 from ..operators.sinks import checkpoint_folder
 from ..sources import mesh, tables
-from .queries import BLOCKS, blocks, query, rounded
+from .queries import BLOCKS, MEASURED, blocks, measured, query, rounded
 
 IN_BLOCKS = """SELECT CAST(l_orderkey % 25 AS INT) AS block, CAST(l_partkey % 4 AS INT) AS i, CAST(l_suppkey % 4 AS INT) AS j, CAST(l_linenumber % 4 AS INT) AS k, sum(l_quantity) AS dens, sum(l_extendedprice) AS pres, min(l_discount) AS velx
  FROM lineitem GROUP BY 1, 2, 3, 4"""
@@ -175,3 +175,15 @@ def gas_on_sinks(spark, sf):
     s = spark.sql("SELECT s_suppkey AS tag, s_suppkey % 16 + 33e-2 AS x, s_nationkey % 16 + 33e-2 AS y, s_suppkey % 11 + 33e-2 AS z FROM {t}", t=spark.read.parquet(f"{sf}/supplier.parquet"))
     out = tree.tree_gravity(s, gas, (0.0, 0.0, 0.0), 20.0, soft=0.5, angle=0.0, depth=6, leaf=64)
     return rounded(out.select("tag", "ax", "ay", "az", "phi"), ax=4, ay=4, az=4, phi=3)
+
+
+_around = "(SELECT * FROM (VALUES (-1), (0), (1)) a(a), (VALUES (-1), (0), (1)) b(b), (VALUES (-1), (0), (1)) c(c) WHERE a <> 0 OR b <> 0 OR c <> 0)"
+
+
+@query(f"""WITH m AS ({MEASURED}), d AS (SELECT p.i, p.j, p.k, (a * (n.velx - p.velx) + b * (n.vely - p.vely) + c * (n.velz - p.velz)) / sqrt(a * a + b * b + c * c) AS out FROM m p, {_around} JOIN m n ON n.i = (p.i + a + 8) % 8 AND n.j = (p.j + b + 8) % 8 AND n.k = (p.k + c + 8) % 8)
+SELECT i + 8 * j + 64 * k AS tag FROM d GROUP BY i, j, k HAVING count(*) FILTER (WHERE out > 1e-5 * 4e4) = 0""")
+def converging_flows(spark, sf):
+    """Cells of a periodic mesh whose 26 neighbours do not move away faster than 0.4."""
+    m = measured(spark, sf)
+    c = m.withColumn("tag", F.col("i") + 8 * F.col("j") + 64 * F.col("k"))
+    return sinks.converging(c, m, F.lit(4e4), (8, 8, 8)).select("tag")

@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meshquill.operators import ewald, refined_pairs, scans, series, tree
+from meshquill import cli
+from meshquill.operators import ewald, geometry, refined_pairs, scans, series, sinks, tree
 from meshquill.plans import meshes
 from meshquill.sources import datasource, mesh, tables, text
 
@@ -278,3 +279,61 @@ def test_dump_search_reads_few_folders(spark, tmp_path):
     assert series.find_dump(df, "n", [3], F.max("t"), 0.0) == (3, 6.0)
     with pytest.raises(ValueError):
         series.find_dump(df, "n", [], F.max("t"), 0.0)
+
+
+# ---- sinks
+def test_merging_goes_on_to_the_end(spark):
+    rows = [(k, 1.0 + 0.1 * k, 0.5 * k, 0.0, 0.0, -0.01 * k, 0.0, 0.0) for k in range(8)] + [(20, 1.0, 50.0, 0.0, 0.0, 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "tag int, mass double, x double, y double, z double, vx double, vy double, vz double")
+    out = {r["tag"]: r for r in sinks.merged_all(df, 0.9).collect()}
+    assert sinks.bound_pairs(spark.createDataFrame(list(out.values())), 0.9).count() == 0
+    assert sum(r["parts"] for r in out.values()) == 9 and 20 in out and len(out) < 9 and max(r["parts"] for r in out.values()) > 2
+    assert abs(sum(r["mass"] for r in out.values()) - sum(r[1] for r in rows)) < 1e-9
+    assert abs(sum(r["mass"] * r["vx"] for r in out.values()) - sum(r[1] * r[5] for r in rows)) < 1e-9
+    assert sinks.merged_all(df.where("false"), 0.9).count() == 0
+
+
+# ---- command lines of the mesh tools
+@pytest.fixture(scope="module")
+def uniform(spark, tmp_path_factory):
+    """Eight blocks of 4**3 cells on a cube of side 8."""
+    path = str(tmp_path_factory.mktemp("mesh") / "m")
+    b = spark.createDataFrame([(n, 1, 1, *(4.0 * (n // 2**k % 2) for k in range(3)), *(4.0 * (n // 2**k % 2) + 4 for k in range(3))) for n in range(8)], "block int, level int, node_type int, lo_x double, lo_y double, lo_z double, hi_x double, hi_y double, hi_z double")
+    c = b.select("block", "lo_x", "lo_y", "lo_z", *(F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i"),)).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    x, y = F.col("lo_x") + F.col("i") + 0.5, F.col("lo_y") + F.col("j") + 0.5
+    c = c.select("block", "i", "j", "k", (2 + F.sin(x * math.pi / 4)).alias("dens"), F.sin(x * math.pi / 4).alias("velx"), F.cos(x * math.pi / 2).alias("vely"), y.alias("velz"))
+    mesh.write_mesh(path, c, b, {"nxb": 4, "dimensionality": 3})
+    return path
+
+
+def told(spark, capsys, *argv):
+    cli.main(list(argv), spark)
+    return [dict(part.split("=") for part in line.split(" ")) for line in capsys.readouterr().out.splitlines() if "=" in line]
+
+
+def test_command_lines_on_a_mesh(spark, uniform, capsys, tmp_path):
+    rows = told(spark, capsys, "pdfs", uniform, "--bw", "0.25", "--vmin", "0", "--vmax", "4")
+    assert sum(int(r["n"]) for r in rows) == 512 and float(rows[-1]["cdf"]) == 1.0
+    m = told(spark, capsys, "pdfs", uniform, "--bw", "0.01", "--vmin", "0", "--vmax", "4", "--moments")[0]
+    assert abs(float(m["mean"]) - 2) < 0.01 and abs(float(m["sigma"]) - math.sqrt(0.5)) < 0.01
+    s = told(spark, capsys, "spectra", uniform, "--vector", "velx", "vely", "velz")
+    assert abs(float(s[0]["func_long"]) - 4 * math.pi * 0.25 * 2 / int(s[0]["n_cells"])) < 1e-9
+    f = told(spark, capsys, "sf_cf", uniform, "--dset", "velz", "--most", "2.5", "--width", "1", "--orders", "2")
+    assert [int(r["bin"]) for r in f] == [1, 2] and all(float(r["sf2_long"]) > 0 for r in f)
+    p = told(spark, capsys, "projection", uniform, "--dset", "dens", "--pixels", "8", "8")
+    assert len(p) == 64 and all(abs(float(r["value"]) - 2 - math.sin((int(r["ix"]) + 0.5) * math.pi / 4)) < 1e-9 for r in p)
+    wide = told(spark, capsys, "projection", uniform, "--dset", "velz", "--pixels", "8", "8", "--fwhm", "5")
+    assert len(wide) == 64 and abs(sum(float(r["value"]) for r in wide) / 64 - 4) < 1e-6
+    cli.main(["extractor", uniform, "--cells", "4", "4", "4", "--low", "-2", "0", "0", "--size", "2", "--periodic", "--output", f"{tmp_path}/cube"], spark)
+    cube = spark.read.parquet(f"{tmp_path}/cube")
+    assert cube.count() == 64 and abs(cube.agg(F.avg("value")).first()[0] - 2) < 1e-9
+
+
+def test_box_blurs_are_near_a_gaussian(spark):
+    for sigma in (1.8, 2.1, 3.3, 7.0, 20.0):
+        widths = geometry.box_widths(sigma)
+        assert len(widths) == 3 and all(w % 2 for w in widths) and abs(sum((w * w - 1) / 12 for w in widths) / sigma**2 - 1) < 0.12
+    flat = spark.range(64 * 64).select((F.col("id") % 64).alias("ix"), F.floor(F.col("id") / 64).alias("iy"), F.when(F.col("id") == 32 * 64 + 32, 1.0).otherwise(0.0).alias("value"))
+    got = {(r["ix"], r["iy"]): r["value"] for r in geometry.smooth(flat, 3 * 2.35482, (64, 64)).collect()}
+    assert abs(sum(got.values()) - 1) < 1e-9 and max(got.values()) == got[32, 32]
+    assert all(abs(got[32 + d, 32] - math.exp(-d * d / 18) / (18 * math.pi)) < 0.001 for d in range(9))
