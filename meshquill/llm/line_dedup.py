@@ -15,7 +15,7 @@ shuffled once to meet these, and texts once to meet what is to be dropped; group
 be large, and so can the pairs of lines that share a block but are not like their leaf's template.
 
 A null text stays null and has no lines; rows with the same id and text are one document, and so are copies of an id with
-another text for the count of documents. Extra columns are kept (names with ``mq_`` are taken).
+another text for the count of documents. All rows with a null id are one document, which comes after all others. Extra columns are kept (names with ``mq_`` are taken).
 """
 
 from __future__ import annotations
@@ -30,9 +30,14 @@ LEAST, LEADING, LIKENESS = 6, 3, 0.8
 SPACE = r"\x20\x09-\x0D"
 
 
+def identity(id_col: str) -> Column:
+    """An id that compares and joins as a value where it is null, too, and is largest then."""
+    return F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"))
+
+
 def raw_lines(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
     """mq_id, mq_text (hash), line, mq_line of the lines of at least so many tokens."""
-    out = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("mq_id"), F.xxhash64(text_col).alias("mq_text"), F.posexplode(F.split(text_col, "\n", -1)).alias("line", "mq_line"))
+    out = docs.where(F.col(text_col).isNotNull()).select(identity(id_col).alias("mq_id"), F.xxhash64(text_col).alias("mq_text"), F.posexplode(F.split(text_col, "\n", -1)).alias("line", "mq_line"))
     return out.where(F.col("mq_line").rlike(rf"^[{SPACE}]*+(?:[^{SPACE}]++[{SPACE}]++){{{max(least - 1, 0)}}}[^{SPACE}]"))
 
 
@@ -68,7 +73,7 @@ def alike(forms: DataFrame, leading: int, likeness: float, scratch: Scratch) ->
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, leading: int = LEADING, likeness: float = LIKENESS) -> DataFrame:
-    """mq_id, mq_text, mq_drop: the numbers (from 0) of the lines to drop of each document that has any; written to the shared folder."""
+    """mq_id (identity), mq_text, mq_drop: the numbers (from 0) of the lines to drop of each document that has any; written to the shared folder."""
     scratch = Scratch()
     slim = scratch(lines(docs, id_col, text_col, leading, least), "lines")
     first = F.min(F.struct("mq_id", "mq_text", "line")).alias("first")
@@ -101,13 +106,13 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with mq_dropped (lines dropped) and the text less these lines."""
     gone = dropped_lines(docs, id_col, text_col, **options)
-    keyed = docs.withColumn("mq_hash", F.xxhash64(text_col))
-    joined = keyed.join(small(gone), (keyed[id_col] == gone["mq_id"]) & (keyed["mq_hash"] == gone["mq_text"]), "left")
+    keyed = docs.withColumns({"mq_hash": F.xxhash64(text_col), "mq_own": identity(id_col)})
+    joined = keyed.join(small(gone), (keyed["mq_own"] == gone["mq_id"]) & (keyed["mq_hash"] == gone["mq_text"]), "left")
     parts = F.split(F.col(text_col), "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("mq_drop"))  # by hash: linear in lines
     kept = let(parts, lambda p: F.transform(left, lambda i: F.get(p, i)))
     text = F.when(F.col("mq_drop").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return joined.withColumn(text_col, text).withColumn("mq_dropped", F.coalesce(F.size("mq_drop"), F.lit(0))).drop("mq_hash", "mq_id", "mq_text", "mq_drop")
+    return joined.withColumn(text_col, text).withColumn("mq_dropped", F.coalesce(F.size("mq_drop"), F.lit(0))).drop("mq_hash", "mq_own", "mq_id", "mq_text", "mq_drop")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,8 +11,10 @@
    Shards with many counts are salted: their counts are repeated, their questions dealt out. Questions stream past the counts.
 4. Answers meet their block's texts, and each text's perplexity is that of all its n-grams.
 
-A document is kept if its perplexity is at most the quantile of held-out trusted documents in its language; a language with fewer than
-MIN_TRUSTED of them takes the quantile of all. Null and empty texts have the perplexity of a uniform model (65,536) and are not
+A document is kept if the logarithm of its perplexity is at most its language's median (of held-out trusted documents) plus MARGIN times the distance
+of the quartiles, which is taken over all languages, each about its own median: a language's level needs few documents, and the
+margin rests on all of them, so there is no number of documents at which the rule changes, and no threshold is the largest value of a sample.
+A language without held-out trusted documents takes the median of all. Null and empty texts have the perplexity of a uniform model (65,536) and are not
 kept. Without trusted text the model is uniform and all other texts are kept. Repeated rows score alike; null languages are a
 language of their own; a null id is never trusted. Extra columns are ignored.
 """
@@ -32,7 +34,7 @@ UNITS, ORDER = 1 << 16, 4
 BLOCK = 4_000_000
 BLOCK_BYTES = 16 << 20
 PIECE = 1024
-QUANTILE, MIN_TRUSTED = 0.995, 100
+MARGIN = 5.0
 QUESTIONS = "block long, unit int, grams binary"
 
 
@@ -228,7 +230,7 @@ def perplexities(docs: DataFrame, full: DataFrame, d: list[np.ndarray], lowest:
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored, SCORES)
 
 
-def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, block: int = BLOCK_BYTES) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, margin: float = MARGIN, block: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, lang, perplexity, threshold, kept of every row of docs (doc_id, text, lang)."""
     scratch = Scratch()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
@@ -236,14 +238,18 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, bloc
     trusted = scratch(trusted, "trusted")
     texts = docs.join(small(trusted.where("not held")), "doc_id", "left_semi").select("text")
     scored = materialize(perplexities(docs, *counted(texts, scratch), block), "scores")
-    known = scored.where("filled").join(small(trusted.where("held")), "doc_id", "left_semi").select("lang", "perplexity")
-    cut = F.percentile_approx("perplexity", quantile, 10000)
-    by_lang = materialize(known.groupBy("lang").agg(cut.alias("mq_cut"), F.count("*").alias("mq_n")).where(F.col("mq_n") >= MIN_TRUSTED), "quantiles")
-    overall = known.agg(cut).first()[0]
+    known = scratch(scored.where("filled").join(small(trusted.where("held")), "doc_id", "left_semi").select("lang", F.ln("perplexity").alias("mq_log")), "known")
+    middle = F.percentile_approx("mq_log", 0.5, 10000)
+    by_lang = materialize(known.groupBy("lang").agg(middle.alias("mq_middle")), "quantiles")
+    same = lambda left: left.join(small(by_lang), left["lang"].eqNullSafe(by_lang["lang"]), "left").drop(by_lang["lang"])
+    ends = same(known).agg(F.percentile_approx(F.col("mq_log") - F.col("mq_middle"), [0.25, 0.75], 10000).alias("q")).first()["q"]
+    overall = known.agg(middle).first()[0]
     scratch.release()
-    joined = scored.join(small(by_lang), scored["lang"].eqNullSafe(by_lang["lang"]), "left").drop(by_lang["lang"])
-    high = F.coalesce("mq_cut", F.lit(float("inf") if overall is None else overall))
-    return joined.select("doc_id", "lang", "perplexity", high.alias("threshold"), (F.col("filled") & (F.col("perplexity") <= high)).alias("kept"))
+    if overall is None:
+        high = F.lit(float("inf"))
+    else:
+        high = F.exp(F.coalesce("mq_middle", F.lit(overall)) + margin * (ends[1] - ends[0]))
+    return same(scored).select("doc_id", "lang", "perplexity", high.alias("threshold"), (F.col("filled") & (F.col("perplexity") <= high)).alias("kept"))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -297,12 +297,13 @@ def test_kneser_ney_sums_to_one():
         assert abs(np.exp(quality.log_probabilities(model, lowest, asked)).sum() - 1) < 1e-9
 
 
-def test_quality_rejects_junk(spark):
-    good = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_quality_rejects_junk(spark, sf):
+    labels = spark.read.parquet(f"/root/testdata/{sf}/labels.parquet")
+    good = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").join(labels, "doc_id")
     got = quality.quality(good, labels).join(good.select("doc_id", "quality"), "doc_id").collect()
     junk, fine = ([r["kept"] for r in got if r["quality"] == q] for q in (0, 1))
-    assert sum(junk) <= 0.12 * len(junk) and sum(fine) >= 0.97 * len(fine)
+    assert sum(junk) <= 0.08 * len(junk) and sum(fine) >= 0.98 * len(fine)
 
 
 def test_quality_edges(spark, odd):
@@ -945,3 +946,22 @@ def test_near_matches(spark):
     got = {(r["mq_id"], r["item"]) for r in decontamination.near_matches(d, b, within=10).collect()}
     assert got == {(0, "1"), (2, "1"), (0, "2"), (1, "2"), (2, "2"), (5, "2")}
     assert (1, "1") in {(r["mq_id"], r["item"]) for r in decontamination.near_matches(d, b, within=60).collect()}
+
+
+def test_lines_of_null_ids(spark):
+    line = "this very line stands in many documents of all kinds"
+    df = spark.createDataFrame([(1, f"{line}\nfirst"), (3, f"{line}\nthird"), (None, f"{line}\nnone"), (None, f"{line}\nnone again"), (None, None)], "doc_id long, text string")
+    got = {r["text"]: r["mq_dropped"] for r in line_dedup.without_lines(df).collect()}
+    assert got == {f"{line}\nfirst": 0, "third": 1, "none": 1, "none again": 1, None: 0}
+    alone = df.where("doc_id is null")
+    assert {r["mq_dropped"] for r in line_dedup.without_lines(alone).collect()} == {0}  # one document
+
+
+def test_quality_level_of_a_language_with_one_document(spark):
+    words = "we are happy to say that the weather is fine today and that all is well".split()
+    rng = random.Random(2)
+    rows = [(k, " ".join(rng.choice(words) for _ in range(40)), "en") for k in range(60)] + [(100 + k, " ".join(rng.choice(["und", "wir", "sind", "froh"]) for _ in range(40)), "de") for k in range(12)] + [(200, "#@ 0x1f " * 30, "en"), (201, "#@ 0x1f " * 30, "xx")]
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1) for k, _, lang in rows if lang != "xx" and k != 200], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in quality.quality(docs_, labels).collect()}
+    assert got[0]["threshold"] != got[100]["threshold"] and not got[200]["kept"] and not got[201]["kept"] and sum(got[k]["kept"] for k in range(60)) >= 57
