@@ -48,22 +48,26 @@ def before_later(rows: DataFrame, key: list[str], order: str, value: str, ranges
     return out.where(F.col("mq_next").isNull() | (F.col(value) < F.col("mq_next"))).drop("mq_next", "mq_after", "mq_range")
 
 
-def running_count(rows: DataFrame, key: list[str], order: str, names: dict[str, Column], ranges: int | None = None) -> DataFrame:
-    """rows with a running count (this row included) of what each condition holds for."""
-    marks = {f"mq_mark_{n}": F.coalesce(c.cast("long"), F.lit(0)) for n, c in names.items()}
-    sums = {f"mq_sum_{n}": F.sum(f"mq_mark_{n}") for n in names}
-    carry = {f"mq_in_{n}": F.coalesce(F.sum(f"mq_sum_{n}").over(earlier(key)), F.lit(0)) for n in names}
+def scanned(rows: DataFrame, key: list[str], order: str, counts: dict[str, Column] | None = None, seen: list[str] | None = None, default: int | None = None, ranges: int | None = None) -> DataFrame:
+    """rows with running counts (this row included) of what conditions hold for, and columns' values last seen in the key; one pass for all."""
+    counts, seen = counts or {}, seen or []
+    marks = {f"mq_mark_{n}": F.coalesce(c.cast("long"), F.lit(0)) for n, c in counts.items()}
+    sums = {f"mq_sum_{n}": F.sum(f"mq_mark_{n}") for n in counts}
+    sums |= {f"mq_last_{c}": F.max(F.when(F.col(c).isNotNull(), F.struct(F.col(order).alias("o"), F.col(c).alias("v")))) for c in seen}
+    carry = {f"mq_before_{n}": F.coalesce(F.sum(f"mq_sum_{n}").over(earlier(key)), F.lit(0)) for n in counts}
+    carry |= {f"mq_in_{c}": F.last(f"mq_last_{c}", ignorenulls=True).over(earlier(key))["v"] for c in seen}
     parts = handed_over(ranged(rows.withColumns(marks), key, order, ranges), key, sums, carry)
     within = Window.partitionBy(*key, "mq_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = parts.withColumns({n: F.sum(f"mq_mark_{n}").over(within) + F.col(f"mq_in_{n}") for n in names})
-    return out.drop("mq_range", *marks, *carry)
+    new = {n: F.sum(f"mq_mark_{n}").over(within) + F.col(f"mq_before_{n}") for n in counts}
+    new |= {c: F.coalesce(F.last(c, ignorenulls=True).over(within), F.col(f"mq_in_{c}"), *([] if default is None else [F.lit(default)])) for c in seen}
+    return parts.withColumns(new).drop("mq_range", *marks, *carry)
+
+
+def running_count(rows: DataFrame, key: list[str], order: str, names: dict[str, Column], ranges: int | None = None) -> DataFrame:
+    """rows with a running count (this row included) of what each condition holds for."""
+    return scanned(rows, key, order, counts=names, ranges=ranges)
 
 
 def last_seen(rows: DataFrame, key: list[str], order: str, names: list[str], default: int | None = None, ranges: int | None = None) -> DataFrame:
     """rows with each column's value last seen in the key, this row included; the default before any."""
-    sums = {f"mq_last_{c}": F.max(F.when(F.col(c).isNotNull(), F.struct(F.col(order).alias("o"), F.col(c).alias("v")))) for c in names}
-    carry = {f"mq_in_{c}": F.last(f"mq_last_{c}", ignorenulls=True).over(earlier(key))["v"] for c in names}
-    parts = handed_over(ranged(rows, key, order, ranges), key, sums, carry)
-    within = Window.partitionBy(*key, "mq_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    seen = {c: F.coalesce(F.last(c, ignorenulls=True).over(within), F.col(f"mq_in_{c}"), *([] if default is None else [F.lit(default)])) for c in names}
-    return parts.withColumns(seen).drop("mq_range", *carry)
+    return scanned(rows, key, order, seen=names, default=default, ranges=ranges)

@@ -314,6 +314,22 @@ def smoothed_map(spark, sf):
     return rounded(geometry.smooth(g, 2.0, (16, 16), reach=3), value=4)
 
 
+def _blur_sql(widths: list[int], side: int = 16) -> str:
+    """CTEs g0 to g6: three box blurs along both axes, an edge's pixel repeated."""
+    out, last = [], "g0"
+    for n, (w, c, o) in enumerate((w, *axes) for w in widths for axes in (("ix", "iy"), ("iy", "ix"))):
+        out.append(f"g{n + 1} AS (SELECT a.{c}, a.{o}, avg(b.v) AS v FROM {last} a, range({-(w // 2)}, {w // 2 + 1}) r(o) JOIN {last} b ON b.{o} = a.{o} AND b.{c} = least(greatest(a.{c} + r.o, 0), {side - 1}) GROUP BY 1, 2)")
+        last = f"g{n + 1}"
+    return ", ".join(out)
+
+
+@query(f"WITH c AS ({CELLS}), g0 AS (SELECT i::BIGINT AS ix, j::BIGINT AS iy, avg(pres) AS v FROM c GROUP BY 1, 2), {_blur_sql(geometry.box_widths(5 / 2.35482))} SELECT ix, iy, round(v, 4) AS value FROM g6")
+def widely_smoothed_map(spark, sf):
+    """A Gaussian wide enough to be three box blurs."""
+    g = cells(spark, sf).groupBy(F.col("i").cast("long").alias("ix"), F.col("j").cast("long").alias("iy")).agg(F.avg("pres").alias("value"))
+    return rounded(geometry.smooth(g, 5.0, (16, 16)), value=4)
+
+
 # ---------------------------------------------------------------- stencils and spectra
 _n = 8
 _nb = lambda a, s: {"x": f"(m.i + {s} + {_n}) % {_n} = n.i AND m.j = n.j AND m.k = n.k", "y": f"m.i = n.i AND (m.j + {s} + {_n}) % {_n} = n.j AND m.k = n.k", "z": f"m.i = n.i AND m.j = n.j AND (m.k + {s} + {_n}) % {_n} = n.k"}[a]

@@ -80,8 +80,7 @@ def parse_log(lines: DataFrame, order: str = "line_no", text: str = "value", key
     rows = lines.select(*keys, order, F.when(is_step, t).alias("mq_text"), is_step.alias("mq_is_step"), t.contains("log file:").alias("mq_header"), number(r"Number of MPI tasks:\s*(\d+)\s*$", 1).alias("mq_tasks"),
                         number(zone, 2).alias("mq_zone"), number(leaf, 1).alias("mq_low"), number(leaf, 2).alias("mq_high"))
     rows = rows.where(F.coalesce("mq_is_step", F.lit(False)) | F.coalesce("mq_header", F.lit(False)) | F.coalesce("mq_tasks", "mq_zone", "mq_low", "mq_high").isNotNull())
-    rows = scans.running_count(rows, keys, order, {"run": F.col("mq_header"), "mq_step": F.col("mq_is_step")})
-    rows = scans.last_seen(rows, keys, order, ["mq_low", "mq_high"], 1)
+    rows = scans.scanned(rows, keys, order, {"run": F.col("mq_header"), "mq_step": F.col("mq_is_step")}, ["mq_low", "mq_high"], 1)
 
     def met(steps: DataFrame, told: DataFrame, by: str) -> DataFrame:
         told = told.withColumnsRenamed({c: f"mq_told_{c}" for c in [*keys, by]})
