@@ -5,8 +5,9 @@ exactly 256 values, whose 8 extra bits are the payload byte, so storage is lossl
 coefficient; all quantisers are 1). A block holds 63 bytes and no end-of-block code, a frame 16 blocks. The last frame is
 filled with zeros; a comment segment in each frame tells how many bytes count. The RIFF index (``idx1``) lists the frames.
 
-Reading goes by the index, or by the chunks where there is none. A frame is decoded alone, by its own tables: quantisers (DQT),
-Huffman codes (DHT), components and their sampling (SOF0 or SOF1), restart intervals, runs, end-of-block and differences of the
+Reading goes by the index, or by the chunks where there is none; further RIFF parts (``AVIX``, of files above a gigabyte) are read by
+their chunks. A frame is decoded alone, by its own tables: quantisers (DQT), Huffman codes (DHT; where a frame has none, as is usual in
+motion-JPEG, those of the format's annex), components and their sampling (SOF0 or SOF1), restart intervals, runs, end-of-block and differences of the
 mean; colour and any size included. Frames of one form are decoded side by side, a symbol of each at a time, in groups of at most
 TOGETHER blocks, so memory is bounded by the group and by the file, whatever the number of files. Progressive, lossless and
 arithmetic frames are not motion-JPEG and count as errors. The luma goes through the inverse cosine transform to pixels.
@@ -34,6 +35,8 @@ from .common import slices, table
 
 SIDE, FPS = 32, 25
 TOGETHER = 1 << 15
+#: Bytes of texts whose payloads, files and frames a task holds at a time (one longer text is a group of its own).
+HELD = 2 << 20
 BLOCKS = (SIDE // 8) ** 2
 PER_FRAME = BLOCKS * 63
 BLOCK_BITS = 1 + 63 * 9
@@ -42,6 +45,24 @@ ZIGZAG = [0, 1, 8, 16, 9, 2, 3, 10, 17, 24, 32, 25, 18, 11, 4, 5, 12, 19, 26, 33
           57, 50, 43, 36, 29, 22, 15, 23, 30, 37, 44, 51, 58, 59, 52, 45, 38, 31, 39, 46, 53, 60, 61, 54, 47, 55, 62, 63]
 
 
+#: Fixed values of the JPEG format: how many codes of each length its usual tables have, and the symbols of their short codes; the others follow
+#: in order. A table goes by class * 16 + number: 0 for brightness, 1 for colour.
+USUAL = {
+    0x00: ([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0], []),
+    0x01: ([0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0], []),
+    0x10: ([0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125], [0x01, 0x02, 0x03, 0x00, 0x04, 0x11, 0x05, 0x12, 0x21, 0x31, 0x41, 0x06, 0x13, 0x51, 0x61, 0x07, 0x22, 0x71, 0x14, 0x32,
+            0x81, 0x91, 0xA1, 0x08, 0x23, 0x42, 0xB1, 0xC1, 0x15, 0x52, 0xD1, 0xF0, 0x24, 0x33, 0x62, 0x72, 0x82]),
+    0x11: ([0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119], [0x00, 0x01, 0x02, 0x03, 0x11, 0x04, 0x05, 0x21, 0x31, 0x06, 0x12, 0x41, 0x51, 0x07, 0x61, 0x71, 0x13, 0x22, 0x32, 0x81,
+            0x08, 0x14, 0x42, 0x91, 0xA1, 0xB1, 0xC1, 0x09, 0x23, 0x33, 0x52, 0xF0, 0x15, 0x62, 0x72, 0xD1, 0x0A, 0x16, 0x24, 0x34, 0xE1, 0x25, 0xF1]),
+}
+
+
+def usual_tables() -> dict[int, bytes]:
+    """The usual Huffman tables as in a DHT segment: lengths, then symbols."""
+    symbols = {0: list(range(12)), 1: sorted([0x00, 0xF0, *(r << 4 | s for r in range(16) for s in range(1, 11))])}
+    return {of: bytes(lengths) + bytes([*short, *(x for x in symbols[of >> 4] if x not in short)]) for of, (lengths, short) in USUAL.items()}
+
+
 def _basis() -> np.ndarray:
     """Inverse transform of each coefficient in scan order, in units of 2**-13; whole numbers keep sums exact in any order."""
     x = np.arange(8)
@@ -95,31 +116,36 @@ def frames(media: bytes) -> tuple[list[bytes], float]:
     """The video chunks of an AVI file by its index, and the seconds between frames."""
     if media[:4] != b"RIFF" or media[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
-    at, movi, end, index, step = 12, None, 0, b"", 1 / FPS
+    at, movies, index, step = 12, [], b"", 1 / FPS
     while at + 8 <= len(media):
         name, size = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
+        if name == b"RIFF":  # a further part
+            at += 12
+            continue
         if name == b"LIST" and media[at + 8 : at + 12] == b"movi":
-            movi, end = at + 8, at + 8 + size
+            movies.append((at + 8, at + 8 + size))
         elif name == b"LIST" and media[at + 12 : at + 16] == b"avih":
             step = struct.unpack_from("<I", media, at + 20)[0] / 1e6 or step
         elif name == b"idx1":
             index = media[at + 8 : at + 8 + size]
         at += 8 + size + size % 2
-    if movi is None:
+    if not movies:
         raise ValueError("no movi list")
+    out, first = [], movies[0][0]
     found = [(o, n) for name, _, o, n in struct.iter_unpack("<4sIII", index[: len(index) // 16 * 16]) if name[2:] in (b"dc", b"db")]
     if found:  # offsets count from the list or from the file
-        base = movi if media[movi + found[0][0] + 2 : movi + found[0][0] + 4] in (b"dc", b"db") else 0
-        return [media[base + o + 8 : base + o + 8 + n] for o, n in found], step
-    out, at = [], movi + 4
-    while at + 8 <= min(end, len(media)):
-        name, size = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
-        if name == b"LIST":
-            at += 12
-            continue
-        if name[2:] in (b"dc", b"db"):
-            out.append(media[at + 8 : at + 8 + size])
-        at += 8 + size + size % 2
+        base = first if media[first + found[0][0] + 2 : first + found[0][0] + 4] in (b"dc", b"db") else 0
+        out = [media[base + o + 8 : base + o + 8 + n] for o, n in found]
+    for movi, end in movies[1:] if found else movies:
+        at = movi + 4
+        while at + 8 <= min(end, len(media)):
+            name, size = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
+            if name == b"LIST":
+                at += 12
+                continue
+            if name[2:] in (b"dc", b"db"):
+                out.append(media[at + 8 : at + 8 + size])
+            at += 8 + size + size % 2
     return out, step
 
 
@@ -177,6 +203,8 @@ def plan_of(form: bytes) -> dict:
         at += 2 + size
     if len(scan) != len(plan["parts"]):
         raise ValueError("more than one scan")
+    for of, usual in usual_tables().items() if any(dc not in codes or 16 + ac not in codes for _, dc, ac in scan) else []:
+        codes.setdefault(of, code_table(usual)[0])
     alone = len(scan) == 1  # then blocks go row by row, whatever the sampling
     plan["blocks"] = [(k, codes[dc], codes[16 + ac]) for k, (c, dc, ac) in enumerate(scan) for _ in range(1 if alone else plan["parts"][c][0] * plan["parts"][c][1])]
     h, v, q = plan["parts"][scan[0][0]]
@@ -388,7 +416,13 @@ def _digests(batches):
     names = [x.split()[0] for x in DIGEST.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     for batch in slices(batches):
-        rows = _digest_rows(batch.column(1).to_pylist())
+        rows, held, size = [], [], 0
+        for text in batch.column(1).to_pylist():
+            if held and size + len(text or "") > HELD:
+                rows, held, size = rows + _digest_rows(held), [], 0
+            held.append(text)
+            size += len(text or "")
+        rows += _digest_rows(held)
         columns = [batch.column(0).cast(pa.int64()), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds[1:]))]
         yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -421,3 +455,8 @@ def to_clips(media: DataFrame) -> DataFrame:
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(_digests, DIGEST)
+
+
+def media_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, clip, start_s, end_s, frames, error: the shots of every document's media."""
+    return to_clips(to_media(table(spark, sf_dir, "documents")))

@@ -94,7 +94,7 @@ def test_sharding_slots(spark, odd):
 
 
 # ---- media
-def foreign_frame(rng, width, height, sampling, restart):
+def foreign_frame(rng, width, height, sampling, restart, usual=False):
     """A JPEG frame by an encoder of the tests' own: usual code lengths, runs, end-of-block, differences; with the luma blocks it holds."""
     zigzag = sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8, i % 8)[(i // 8 + i % 8) % 2 == 0], i))
     zigzag = sorted(range(64), key=lambda i: (i // 8 + i % 8, i // 8 if (i // 8 + i % 8) % 2 else i % 8))
@@ -111,6 +111,9 @@ def foreign_frame(rng, width, height, sampling, restart):
             code += 1
             lengths[w - 1] += 1
         tables[name] = bytes(lengths) + bytes(members)
+    if usual:  # no DHT: codes of the format's annex, all parts by the tables of brightness
+        told = media.usual_tables()
+        codes = {(name, s): (int(code_of(told[k], s), 2), len(code_of(told[k], s))) for name, k in (("dc", 0), ("ac", 16)) for s in told[k][16:]}
     parts = [(1, sampling, 0)] + ([(2, (1, 1), 1), (3, (1, 1), 1)] if sampling else [])
     h, v = sampling or (1, 1)
     across, down = -(-width // (8 * h)), -(-height // (8 * v))
@@ -159,7 +162,7 @@ def foreign_frame(rng, width, height, sampling, restart):
     segment = lambda m, body: bytes([0xFF, m]) + (len(body) + 2).to_bytes(2, "big") + body
     sof = bytes([8]) + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([len(parts)])
     sof += b"".join(bytes([c, f[0] << 4 | f[1] if f else 0x11, t]) for c, f, t in parts)
-    head = segment(0xE0, b"JFIF\0") + segment(0xDB, b"\0" + quant + (b"\1" + quant)) + segment(0xC0, sof) + segment(0xC4, b"\0" + tables["dc"] + b"\x10" + tables["ac"])
+    head = segment(0xE0, b"JFIF\0") + segment(0xDB, b"\0" + quant + (b"\1" + quant)) + segment(0xC0, sof) + (b"" if usual else segment(0xC4, b"\0" + tables["dc"] + b"\x10" + tables["ac"]))
     head += segment(0xDD, restart.to_bytes(2, "big")) if restart else b""
     sos = bytes([len(parts)]) + b"".join(bytes([c, 0]) for c, _, _ in parts) + b"\0\x3f\0"
     basis = np.array([[(0.5**0.5 if k == 0 else 1) * np.cos((2 * x + 1) * k * np.pi / 16) / 2 for x in range(8)] for k in range(8)])
@@ -185,6 +188,49 @@ def test_foreign_streams(spark, width, height, sampling, restart):
     assert {r["doc_id"] for r in rows if r["error"]} == {2} and sum(r["frames"] for r in rows if r["doc_id"] == 1) == 3 and 3 not in {r["doc_id"] for r in rows}
 
 
+def code_of(table, symbol):
+    """The code of a symbol, as text, by the canonical rule."""
+    code, at = 0, 16
+    for n in range(16):
+        for s in table[at : at + table[n]]:
+            if s == symbol:
+                return f"{code:0{n + 1}b}"
+            code += 1
+        at += table[n]
+        code <<= 1
+    raise KeyError(symbol)
+
+
+def test_usual_tables_are_those_of_the_format():
+    t = media.usual_tables()
+    assert [len(t[k]) for k in (0, 1, 16, 17)] == [28, 28, 178, 178] and all(sum(x[:16]) == len(x) - 16 == len(set(x[16:])) for x in t.values())
+    known = {(0, 0): "00", (0, 5): "110", (0, 11): "111111110", (1, 0): "00", (1, 11): "11111111110", (16, 0): "1010", (16, 1): "00", (16, 0xF0): "11111111001", (16, 0x0A): "1111111110000011",
+             (16, 0x11): "1100", (16, 0xFA): "1111111111111110", (17, 0): "00", (17, 1): "01", (17, 0xF0): "1111111010", (17, 0x11): "1011", (17, 0xFA): "1111111111111110"}
+    assert {k: code_of(t[k[0]], k[1]) for k in known} == known
+
+
+def test_frames_without_tables_and_further_parts(spark):
+    rng = np.random.default_rng(4)
+    made = [foreign_frame(rng, 24, 16, (2, 1), 0, usual=True) for _ in range(4)]
+    assert all(b"\xff\xc4" not in j[:400] for j, _ in made)
+    chunk = media._chunk
+    part = lambda kind, js: chunk(b"RIFF", kind + chunk(b"LIST", b"movi" + b"".join(chunk(b"00dc", j) for j in js)))
+    avi = part(b"AVI ", [j for j, _ in made[:2]]) + part(b"AVIX", [j for j, _ in made[2:3]]) + part(b"AVIX", [j for j, _ in made[3:]])
+    found, _ = media.frames(avi)
+    assert len(found) == 4
+    for (_, want), (_, pixels) in zip(made, media.decoded(found)):
+        assert np.abs(pixels.astype(int) - want).max() <= 1
+    stored = media.encode(b"y" * 5000)
+    assert len(media.frames(stored + part(b"AVIX", [made[0][0]]))[0]) == len(media.frames(stored)[0]) + 1  # the first part by its index
+
+
+def test_media_clips_of_every_document(spark):
+    got = media.media_clips(spark, SF)
+    rows = got.groupBy("doc_id").agg(F.sum("frames").alias("n"), F.min("start_s").alias("a"), F.max("error").alias("e")).collect()
+    want = {r["doc_id"]: -(-max(64, -(-len((r["text"] or "").encode()) // 64) * 64) // media.PER_FRAME) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert {r["doc_id"]: r["n"] for r in rows} == want and all(r["a"] == 0.0 and r["e"] is None for r in rows)
+
+
 def test_media_round_trip_and_cuts(spark, odd):
     rng = np.random.default_rng(0)
     for n in (64, 1008, 1024, 5000):
