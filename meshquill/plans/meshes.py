@@ -6,10 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import ewald, geometry, refined_pairs, sinks, tree
+from ..operators import ewald, geometry, refined_pairs, sinks, spectral, tree
 from ..operators.sinks import checkpoint_folder
 from ..sources import mesh, tables
-from .queries import BLOCKS, MEASURED, blocks, measured, query, rounded
+from .queries import BLOCKS, MEASURED, blocks, dft_sql, measured, query, rounded
 
 IN_BLOCKS = """SELECT CAST(l_orderkey % 25 AS INT) AS block, CAST(l_partkey % 4 AS INT) AS i, CAST(l_suppkey % 4 AS INT) AS j, CAST(l_linenumber % 4 AS INT) AS k, sum(l_quantity) AS dens, sum(l_extendedprice) AS pres, min(l_discount) AS velx
  FROM lineitem GROUP BY 1, 2, 3, 4"""
@@ -21,7 +21,7 @@ def stored(spark, sf) -> mesh.Mesh:
     """lineitem's cells as a mesh in a new folder of the shared one."""
     path = f"{checkpoint_folder(spark)}/mesh-{uuid.uuid4().hex}"
     c = spark.sql(IN_BLOCKS.replace("FROM lineitem", "FROM {t}"), t=spark.read.parquet(f"{sf}/lineitem.parquet"))
-    mesh.write_mesh(path, c, blocks(spark, sf), {"nxb": 4, "lrefine_max": 5, "dimensionality": 3, "xl_boundary_type": "periodic"})
+    mesh.write_mesh(path, c, blocks(spark, sf), {"nxb": 4, "lrefine_max": 5, "dimensionality": 3, "xl_boundary_type": "periodic", "time": 2.5, "dt": 0.125, "nstep": 20})
     return mesh.open_mesh(spark, path)
 
 
@@ -59,6 +59,11 @@ def opened_mesh(spark, sf):
     return m.kind.crossJoin(n).withColumns({"per_block": F.lit(m.per_block), "variables": F.lit(",".join(m.variables()))})  # a row each
 
 
+@query(f"""WITH b AS ({BLOCKS}) SELECT count(*) AS blocks, sum(CASE WHEN node_type = 1 THEN 1 ELSE 0 END)::BIGINT AS leaves, max(level) AS max_level, min(CASE WHEN node_type = 1 THEN (hi_x - lo_x) / 4 END) AS min_dx, 25e-1 AS time, 125e-3 AS dt, NULL::DOUBLE AS redshift, 20e0 AS nstep FROM b""")
+def mesh_report(spark, sf):
+    return stored(spark, sf).report().select("blocks", "leaves", "max_level", "min_dx", "time", "dt", "redshift", "nstep")
+
+
 # ---------------------------------------------------------------- parameters
 _lines = """SELECT CASE n_nationkey % 5 WHEN 0 THEN 'p_' || n_nationkey || ' = ' || n_nationkey || '  # an integer' WHEN 1 THEN 'P_' || n_nationkey || '=' || n_nationkey || '.5e1' WHEN 2 THEN '  p_' || n_nationkey || ' = .TRUE.'
  WHEN 3 THEN 'p_' || n_nationkey || ' = "' || n_name || ' # not a comment" # one' ELSE '# p_' || n_nationkey || ' = 1' END AS value, n_nationkey AS line_no FROM nation"""
@@ -187,3 +192,34 @@ def converging_flows(spark, sf):
     m = measured(spark, sf)
     c = m.withColumn("tag", F.col("i") + 8 * F.col("j") + 64 * F.col("k"))
     return sinks.converging(c, m, F.lit(4e4), (8, 8, 8)).select("tag")
+
+
+# ---------------------------------------------------------------- potentials and windows
+_turn = {c: (f"(CASE WHEN k{p} > 4 THEN k{p} - 8 ELSE k{p} END)", f"{'xyz'.index(q)}", f"(CASE WHEN k{q} > 4 THEN k{q} - 8 ELSE k{q} END)", f"{'xyz'.index(p)}") for c, p, q in (("x", "y", "z"), ("y", "z", "x"), ("z", "x", "y"))}
+
+
+def _potential_sql(c: str) -> str:
+    kp, q, kq, p = _turn[c]
+    part = lambda r: f"({kp} * {r}_v{q} - {kq} * {r}_v{p})"
+    scale = "CASE WHEN k2 > 0 THEN 1 / (2 * pi() * k2) ELSE 0e0 END"
+    return f"round(-{part('im')} * {scale}, 9) + 0e0 AS re_{c}, round({part('re')} * {scale}, 9) + 0e0 AS im_{c}"
+
+
+_k2 = " + ".join(f"pow(CASE WHEN {c} > 4 THEN {c} - 8 ELSE {c} END, 2)" for c in ("kx", "ky", "kz"))
+
+
+@query(f"WITH mesh AS ({MEASURED}), {dft_sql({'v0': 'velx', 'v1': 'vely', 'v2': 'velz'})}, g AS (SELECT *, {_k2} AS k2 FROM f) SELECT kx, ky, kz, {', '.join(_potential_sql(c) for c in 'xyz')} FROM g")
+def vector_potential(spark, sf):
+    """Modes of the field whose curl is a vector field's solenoidal part."""
+    modes = spectral.transform_fields(measured(spark, sf), ["velx", "vely", "velz"], 8)
+    parts = [modes.select("kx", "ky", "kz", F.col(f"re_{v}").alias("re"), F.col(f"im_{v}").alias("im")) for v in ("velx", "vely", "velz")]
+    out = spectral.vector_potential(parts, 8)
+    names = [f"{p}_{c}" for c in "xyz" for p in ("re", "im")]
+    return out.select("kx", "ky", "kz", *((F.round(n, 9) + F.lit(0.0)).alias(n) for n in names))
+
+
+@query(f"WITH mesh AS ({MEASURED}), r AS (SELECT i, j, k, velx, sqrt(pow(i - 35e-1, 2) + pow(j - 35e-1, 2) + pow(k - 35e-1, 2)) AS r FROM mesh) SELECT i, j, k, round(velx * CASE WHEN r < 4e0 THEN 5e-1 * (1 + cos(pi() * r / 4e0)) ELSE 0e0 END, 9) + 0e0 AS value FROM r")
+def windowed_mesh(spark, sf):
+    m = measured(spark, sf)
+    r = F.sqrt(sum(((F.col(c) - 3.5) * (F.col(c) - 3.5) for c in "ijk"), F.lit(0.0)))
+    return m.select("i", "j", "k", (F.round(F.col("velx") * spectral.hann(r, 4.0), 9) + F.lit(0.0)).alias("value"))

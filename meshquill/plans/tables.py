@@ -118,6 +118,17 @@ def last_seen_blocks(spark, sf):
     return series.carried(e, ["user_id"], "event_id", ["leaf"]).select("event_id", F.col("leaf").cast("long").alias("leaf"))
 
 
+MARKED = """SELECT event_id AS line_no, CASE WHEN event_id % 50 = 7 THEN '# simulation restarted' WHEN event_id % 50 = 8 THEN '0.0 ' || user_id WHEN event_id % 50 = 9 THEN 'not a row' ELSE (event_id % 400) || '.5 ' || user_id END AS value FROM events"""
+
+
+@query(f"""WITH l AS ({MARKED}), m AS (SELECT *, lag(value) OVER (ORDER BY line_no) AS before FROM l) SELECT line_no, split_part(value, ' ', 1)::DOUBLE AS t, split_part(value, ' ', 2)::DOUBLE AS x FROM m
+ WHERE value NOT LIKE '#%' AND value <> 'not a row' AND NOT (coalesce(before, '') LIKE '#%' AND split_part(value, ' ', 1)::DOUBLE = 0)""")
+def restarted_tables(spark, sf):
+    """Evolution tables with restart markers, after each of which a row at time 0 is left out."""
+    lines = spark.sql(MARKED.replace("FROM events", "FROM {t}"), t=spark.read.parquet(f"{sf}/events.parquet"))
+    return text.parse_series(lines, ["t", "x"])
+
+
 # ---------------------------------------------------------------- parameters and dumps
 NAMED = """SELECT 'name_' || n_nationkey || CASE n_nationkey % 4 WHEN 0 THEN ' = ' || n_regionkey WHEN 1 THEN ' = ' || n_regionkey || '.25' WHEN 2 THEN ' = .true.' ELSE ' = "' || n_name || '"' END AS value, n_nationkey AS line_no FROM nation"""
 

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.geometry import AXES, blocks_in_box, blocks_in_sphere, inside_box, with_geometry
+from ..operators.geometry import AXES, block_summary, blocks_in_box, blocks_in_sphere, inside_box, with_geometry
 from .tables import grid_kind, parameters
 
 DEPTH = 2
@@ -87,6 +87,11 @@ class Mesh:
         """grid_type, boundary and ndim, from the parameters."""
         return grid_kind(self.params, False)
 
+    def report(self, scalars: tuple[str, ...] = ("time", "dt", "redshift", "nstep")) -> DataFrame:
+        """One row: what block_summary() says of the blocks, and scalars from the parameters (null where there is none)."""
+        of = [F.max(F.when(F.col("name") == n, F.coalesce("d", F.col("i").cast("double")))).alias(n) for n in scalars]
+        return block_summary(self.blocks, self.per_block).crossJoin(self.params.agg(*of))  # a row each
+
     def variables(self) -> list[str]:
         return [c for c in self.cells.columns if c not in ("block", "i", "j", "k", "level", "region")]
 
