@@ -147,6 +147,23 @@ def clusters(points: DataFrame, radius: float, rounds: int = 1000) -> DataFrame:
     raise RuntimeError("clusters did not settle")
 
 
+def softened(r: Column, soft: float, kernel: str = "linear") -> Column:
+    """Acceleration over mass and distance vector, for r > 0: that of a point beyond the softening length, within it linear or a spline."""
+    free = 1 / (r * r * r)
+    if kernel == "linear":
+        return F.when(r < soft, F.lit(1 / soft**3)).otherwise(free)
+    h = 2 / soft
+    q = r * h
+    inner = h * h * (4 / 3 * q - 1.2 * q * q * q + 0.5 * q * q * q * q) / r
+    outer = h * h * (8 / 3 * q - 3 * q * q + 1.2 * q * q * q - q * q * q * q / 6 - 1 / (15 * q * q)) / r
+    return F.when(r >= soft, free).when(q >= 1, outer).when(q > 1e-5, inner).otherwise(0.0)
+
+
+def well(r: Column, soft: float) -> Column:
+    """Potential over mass of the linear kernel; constant terms make it continuous."""
+    return F.when(r < soft, r * r / (2 * soft**3) - 3 / (2 * soft)).otherwise(-1 / F.greatest(r, F.lit(float(soft))))
+
+
 def gravity(points: DataFrame, sinks: DataFrame, soft: float, g: float = 1.0, kernel: str = "linear", lengths: tuple[float, float, float] | None = None) -> DataFrame:
     """points with ax, ay, az, phi due to sinks (tag, mass, position); within the softening length the kernel is linear or a spline.
 
@@ -162,17 +179,6 @@ def gravity(points: DataFrame, sinks: DataFrame, soft: float, g: float = 1.0, ke
     def near(d: Column, length: float) -> Column:
         return F.when(d > length / 2, d - length).when(d < -length / 2, d + length).otherwise(d)
 
-    def pull(r: Column) -> Column:
-        """Acceleration over mass and distance vector."""
-        free = 1 / (r * r * r)
-        if kernel == "linear":
-            return F.when(r < soft, F.lit(1 / soft**3)).otherwise(free)
-        h = 2 / soft
-        q = r * h
-        inner = h * h * (4 / 3 * q - 1.2 * q * q * q + 0.5 * q * q * q * q) / r
-        outer = h * h * (8 / 3 * q - 3 * q * q + 1.2 * q * q * q - q * q * q * q / 6 - 1 / (15 * q * q)) / r
-        return F.when(r >= soft, free).when(q >= 1, outer).when(q > 1e-5, inner).otherwise(0.0)
-
     def step(acc: Column, s: Column) -> Column:
         d = [s[c] - F.col(c) for c in POSITION]
         if lengths:
@@ -180,8 +186,8 @@ def gravity(points: DataFrame, sinks: DataFrame, soft: float, g: float = 1.0, ke
         apart = F.struct(*(x.alias(c) for x, c in zip(d, POSITION)), F.sqrt(dot(d, d)).alias("r"), s["m"].alias("m"))
 
         def add(p: Column) -> Column:
-            f = F.when(p["r"] > 0, g * p["m"] * pull(F.when(p["r"] > 0, p["r"]).otherwise(1.0))).otherwise(0.0)
-            phi = F.when(p["r"] < soft, p["r"] * p["r"] / (2 * soft**3) - 3 / (2 * soft)).otherwise(-1 / F.greatest(p["r"], F.lit(float(soft))))
+            f = F.when(p["r"] > 0, g * p["m"] * softened(F.when(p["r"] > 0, p["r"]).otherwise(1.0), soft, kernel)).otherwise(0.0)
+            phi = well(p["r"], soft)
             return F.struct(*((acc[n] + f * p[c]).alias(n) for n, c in zip(names, POSITION)), (acc["phi"] + g * p["m"] * phi).alias("phi"))
 
         return F.get(F.transform(F.array(apart), add), F.lit(0))  # worked out once for a pair

@@ -6,7 +6,8 @@ cube that looks smaller than the opening angle pulls as one mass; a leaf that do
 children. A level is one equi-join of points and cubes with the tree and its result is written, so there is no cross join,
 no list of all masses anywhere, and the plan does not grow with the tree. A point meets some hundreds of cubes.
 
-The pull is that of Plummer's softening; a mass at the very place of a point pulls with nothing but its potential. In a periodic box
+The pull is that of Plummer's softening, or of sinks.gravity's linear or spline kernel, so gravity of very many sinks can go by the tree too; a
+mass at the very place of a point pulls with nothing but its potential. In a periodic box
 (lengths) the nearest images pull; cubes half a box away are opened, which takes points about as many more cubes as there are masses to the
 power of two thirds. With an angle of 0 all masses are summed up one by one.
 """
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .geometry import AXES
-from .sinks import cut_lineage
+from .sinks import cut_lineage, softened, well
 
 DEPTH, LEAF, ANGLE = 12, 16, 0.5
 
@@ -54,19 +55,24 @@ def nearest(d: Column, length: float | None) -> Column:
     return d if length is None else d - length * F.round(d / length)
 
 
-def pull(points: DataFrame, soft: float, g: float, lengths, mass: str, prefix: str) -> DataFrame:
+def pull(points: DataFrame, soft: float, g: float, lengths, mass: str, prefix: str, kernel: str) -> DataFrame:
     """mq_point and the sums of acceleration and potential of masses at prefix_x, ... on points at x, y, z."""
     d = [nearest(F.col(f"{prefix}{a}") - F.col(a), None if lengths is None else lengths[k]) for k, a in enumerate(AXES)]
     rows = points.withColumns({f"mq_d{a}": c for a, c in zip(AXES, d)})
-    r2 = sum((F.col(f"mq_d{a}") * F.col(f"mq_d{a}") for a in AXES), F.lit(0.0)) + soft * soft
-    rows = rows.withColumn("mq_r2", r2)
-    weight = F.when(F.col("mq_r2") > 0, g * F.col(mass) / F.pow("mq_r2", F.lit(1.5))).otherwise(0.0)
-    well = F.when(F.col("mq_r2") > 0, -g * F.col(mass) / F.sqrt("mq_r2")).otherwise(0.0)
-    return rows.groupBy("mq_point").agg(*(F.sum(weight * F.col(f"mq_d{a}")).alias(f"a{a}") for a in AXES), F.sum(well).alias("phi"))
+    r2 = sum((F.col(f"mq_d{a}") * F.col(f"mq_d{a}") for a in AXES), F.lit(0.0))
+    if kernel == "plummer":
+        rows = rows.withColumn("mq_r2", r2 + soft * soft)
+        weight = F.when(F.col("mq_r2") > 0, g * F.col(mass) / F.pow("mq_r2", F.lit(1.5))).otherwise(0.0)
+        deep = F.when(F.col("mq_r2") > 0, -g * F.col(mass) / F.sqrt("mq_r2")).otherwise(0.0)
+    else:
+        rows = rows.withColumn("mq_r", F.sqrt(r2))
+        weight = F.when(F.col("mq_r") > 0, g * F.col(mass) * softened(F.col("mq_r"), soft, kernel)).otherwise(0.0)
+        deep = g * F.col(mass) * well(F.col("mq_r"), soft)
+    return rows.groupBy("mq_point").agg(*(F.sum(weight * F.col(f"mq_d{a}")).alias(f"a{a}") for a in AXES), F.sum(deep).alias("phi"))
 
 
 def tree_gravity(points: DataFrame, masses: DataFrame, low: tuple[float, float, float], side: float, soft: float = 0.0, g: float = 1.0, angle: float = ANGLE,
-                 lengths: tuple[float, float, float] | None = None, depth: int = DEPTH, leaf: int = LEAF) -> DataFrame:
+                 lengths: tuple[float, float, float] | None = None, depth: int = DEPTH, leaf: int = LEAF, kernel: str = "plummer") -> DataFrame:
     """points (tag, x, y, z, unique tags) with ax, ay, az, phi due to masses (mass, x, y, z) in a cube from ``low`` of a side."""
     cubes, numbered = tree(masses, low, side, depth, leaf)
     cubes = cut_lineage(cubes)
@@ -82,10 +88,10 @@ def tree_gravity(points: DataFrame, masses: DataFrame, low: tuple[float, float,
             for c, length in zip(d, lengths):
                 far = far & (F.abs(c) + side / 2**level <= length / 2)
         met = cut_lineage(met.withColumn("far", far))
-        sums.append(cut_lineage(pull(met.where("far"), soft, g, lengths, "mass", "c_")))
+        sums.append(cut_lineage(pull(met.where("far"), soft, g, lengths, "mass", "c_", kernel)))
         inside = numbered.select(F.shiftright("number", 3 * (depth - level)).alias("key"), F.col("mass").alias("mq_mass"), *(F.col(a).alias(f"mq_m{a}") for a in AXES))
         near = met.where("leaf and not far").select("mq_point", *AXES, "key").join(inside, "key")
-        sums.append(cut_lineage(pull(near, soft, g, lengths, "mq_mass", "mq_m")))
+        sums.append(cut_lineage(pull(near, soft, g, lengths, "mq_mass", "mq_m", kernel)))
         below = F.explode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda c: F.shiftleft(F.col("key"), 3) + c)).alias("key")
         open_ = met.where("not leaf and not far").select("mq_point", *AXES, below)
     names = [*(f"a{a}" for a in AXES), "phi"]

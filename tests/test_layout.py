@@ -337,3 +337,12 @@ def test_box_blurs_are_near_a_gaussian(spark):
     got = {(r["ix"], r["iy"]): r["value"] for r in geometry.smooth(flat, 3 * 2.35482, (64, 64)).collect()}
     assert abs(sum(got.values()) - 1) < 1e-9 and max(got.values()) == got[32, 32]
     assert all(abs(got[32 + d, 32] - math.exp(-d * d / 18) / (18 * math.pi)) < 0.001 for d in range(9))
+
+
+@pytest.mark.parametrize("kernel", ["linear", "spline"])
+def test_tree_takes_the_kernels_of_sinks(spark, kernel):
+    rng = random.Random(6)
+    s = spark.createDataFrame([(k, rng.uniform(1, 2), *(rng.uniform(0, 4) for _ in range(3))) for k in range(60)], "tag int, mass double, x double, y double, z double")
+    want = {r["tag"]: r for r in sinks.gravity(s.select("tag", "x", "y", "z"), s, 0.8, kernel=kernel).collect()}
+    for r in tree.tree_gravity(s.select("tag", "x", "y", "z"), s, (0.0,) * 3, 4.0, 0.8, angle=0.0, depth=3, leaf=8, kernel=kernel).collect():
+        assert all(abs(r[c] - want[r["tag"]][c]) < 1e-9 for c in ("ax", "ay", "az", "phi"))
