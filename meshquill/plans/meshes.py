@@ -69,11 +69,12 @@ _lines = """SELECT CASE n_nationkey % 5 WHEN 0 THEN 'p_' || n_nationkey || ' = '
  WHEN 3 THEN 'p_' || n_nationkey || ' = "' || n_name || ' # not a comment" # one' ELSE '# p_' || n_nationkey || ' = 1' END AS value, n_nationkey AS line_no FROM nation"""
 
 
-@query("""SELECT 'p_' || n_nationkey AS name, CASE n_nationkey % 5 WHEN 0 THEN 'int' WHEN 1 THEN 'real' WHEN 2 THEN 'bool' ELSE 'str' END AS kind, CASE WHEN n_nationkey % 5 = 0 THEN n_nationkey::BIGINT END AS i, CASE WHEN n_nationkey % 5 = 1 THEN (n_nationkey + 5e-1) * 1e1 END AS d,
- CASE WHEN n_nationkey % 5 = 2 THEN true END AS b, CASE WHEN n_nationkey % 5 = 3 THEN n_name || ' # not a comment' END AS s FROM nation WHERE n_nationkey % 5 < 4""")
+@query("""SELECT 'p_' || n_nationkey AS name, CASE n_nationkey % 5 WHEN 0 THEN 'int' WHEN 1 THEN 'real' WHEN 2 THEN 'bool' ELSE 'str' END AS kind, CASE WHEN n_nationkey % 5 = 0 THEN n_nationkey::BIGINT ELSE -1 END AS i, CASE WHEN n_nationkey % 5 = 1 THEN (n_nationkey + 5e-1) * 1e1 ELSE -1e0 END AS d,
+ n_nationkey % 5 = 2 AS b, CASE WHEN n_nationkey % 5 = 3 THEN n_name || ' # not a comment' ELSE '' END AS s FROM nation WHERE n_nationkey % 5 < 4""")
 def parameter_lines(spark, sf):
     lines = spark.sql(_lines.replace("FROM nation", "FROM {t}"), t=spark.read.parquet(f"{sf}/nation.parquet"))
-    return tables.parse_parameters(lines)
+    nothing = {"i": F.lit(-1), "d": F.lit(-1.0), "b": F.lit(False), "s": F.lit("")}
+    return tables.parse_parameters(lines).select("name", "kind", *(F.coalesce(c, v).alias(c) for c, v in nothing.items()))
 
 
 # ---------------------------------------------------------------- pairs on a refined mesh

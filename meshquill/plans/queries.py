@@ -314,7 +314,7 @@ def smoothed_map(spark, sf):
     return rounded(geometry.smooth(g, 2.0, (16, 16), reach=3), value=4)
 
 
-def _blur_sql(widths: list[int], side: int = 16) -> str:
+def _blur_sql(widths: list[int], side: int) -> str:
     """CTEs g0 to g6: three box blurs along both axes, an edge's pixel repeated."""
     out, last = [], "g0"
     for n, (w, c, o) in enumerate((w, *axes) for w in widths for axes in (("ix", "iy"), ("iy", "ix"))):
@@ -323,11 +323,11 @@ def _blur_sql(widths: list[int], side: int = 16) -> str:
     return ", ".join(out)
 
 
-@query(f"WITH c AS ({CELLS}), g0 AS (SELECT i::BIGINT AS ix, j::BIGINT AS iy, avg(pres) AS v FROM c GROUP BY 1, 2), {_blur_sql(geometry.box_widths(5 / 2.35482))} SELECT ix, iy, round(v, 4) AS value FROM g6")
+@query(f"WITH c AS ({CELLS}), g0 AS (SELECT (i % 8)::BIGINT AS ix, (j % 8)::BIGINT AS iy, avg(pres) AS v FROM c GROUP BY 1, 2), {_blur_sql(geometry.box_widths(5 / 2.35482), 8)} SELECT ix, iy, round(v, 4) AS value FROM g6")
 def widely_smoothed_map(spark, sf):
     """A Gaussian wide enough to be three box blurs."""
-    g = cells(spark, sf).groupBy(F.col("i").cast("long").alias("ix"), F.col("j").cast("long").alias("iy")).agg(F.avg("pres").alias("value"))
-    return rounded(geometry.smooth(g, 5.0, (16, 16)), value=4)
+    g = cells(spark, sf).groupBy((F.col("i") % 8).cast("long").alias("ix"), (F.col("j") % 8).cast("long").alias("iy")).agg(F.avg("pres").alias("value"))
+    return rounded(geometry.smooth(g, 5.0, (8, 8)), value=4)
 
 
 # ---------------------------------------------------------------- stencils and spectra

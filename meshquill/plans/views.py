@@ -41,11 +41,11 @@ def slice_map(spark, sf):
     return _tidy(geometry.moment_maps(_seen_cells(spark, sf), F.col("velz"), bounds, 2.0, (6, 6)))
 
 
-@query(_maps_sql(f"WITH c AS ({CELLS}), s AS (SELECT x, y, z, d, d AS e, vely AS v, pres AS seen FROM ({SEEN}))"))
+@query(_maps_sql(f"WITH c AS ({CELLS}), s AS (SELECT x, y, z, d, d AS e, dens AS v, pres AS seen FROM ({SEEN}))"))
 def zoomed_map(spark, sf):
     """The middle three quarters of a domain by a zoom of 4/3."""
     bounds = geometry.view_range([(0.0, 16.0), (0.0, 16.0), (0.0, 8.0)], 1.0, zoom=4 / 3)
-    return _tidy(geometry.moment_maps(_seen_cells(spark, sf), F.col("vely"), bounds, 2.0, (6, 6), F.col("pres")))
+    return _tidy(geometry.moment_maps(_seen_cells(spark, sf), F.col("dens"), bounds, 2.0, (6, 6), F.col("pres")))
 
 
 _c, _s = repr(math.cos(math.radians(20))), repr(math.sin(math.radians(20)))
