@@ -140,18 +140,22 @@ def curvatures(t: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.concatenate([[inner[0] * (1 + first) - inner[1] * first], inner, [inner[-1] * (1 + last) - inner[-2] * last]])
 
 
-def _piece(names: list[str]):
-    """Solves one range's part of the tridiagonal system: y without neighbours, v and w per unit of the unknown before and after the range."""
+def _piece(key: list[str], names: list[str]):
+    """Solves one range's part of the tridiagonal system, all its keys in one sweep: y without neighbours, v and w per unit of the unknown before and
+    after a key's rows in the range."""
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("mq_pos")
+        pdf = pdf.sort_values([*key, "mq_pos"])
         low, mid, up = (pdf[c].to_numpy(copy=True) for c in ("mq_low", "mq_mid", "mq_up"))
         n = len(pdf)
-        right = np.zeros((n, 3))
-        right[:, 0], right[0, 1], right[-1, 2] = pdf["mq_rhs"], low[0], up[-1]
+        of = pdf.groupby(key, dropna=False, sort=False).ngroup().to_numpy() if key else np.zeros(n)
+        first, last = np.append(True, of[1:] != of[:-1]), np.append(of[1:] != of[:-1], True)
+        right = np.column_stack([pdf["mq_rhs"], np.where(first, low, 0.0), np.where(last, up, 0.0)])
+        low[first], up[last] = 0.0, 0.0
         for i in range(1, n):
-            share = low[i] / mid[i - 1]
-            mid[i] -= share * up[i - 1]
-            right[i] -= share * right[i - 1]
+            if low[i]:
+                share = low[i] / mid[i - 1]
+                mid[i] -= share * up[i - 1]
+                right[i] -= share * right[i - 1]
         right[-1] /= mid[-1]
         for i in range(n - 2, -1, -1):
             right[i] = (right[i] - up[i] * right[i + 1]) / mid[i]
@@ -206,20 +210,23 @@ def spline(series: DataFrame, key: list[str], t: str, x: str, points: int | None
     inner = rows.where((pos > 0) & (pos < size - 1)).select(*key, "mq_range", "mq_pos", "t", "x", "mq_prev", "mq_next", "mq_size", "mq_from", "mq_to", *(c.alias(n) for n, c in system.items()))
     named = [*key, "mq_range", "mq_pos"]
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.select(*named).schema)
-    solved = scans.cut_lineage(inner.groupBy(*key, "mq_range").applyInPandas(_piece(named), f"{kind}, mq_y double, mq_v double, mq_w double"))
+    solved = scans.cut_lineage(inner.groupBy("mq_range").applyInPandas(_piece(key, named), f"{kind}, mq_y double, mq_v double, mq_w double"))
     at_ends = Window.partitionBy(*key, "mq_range")
     ends = solved.withColumns({"mq_lo": F.min("mq_pos").over(at_ends), "mq_hi": F.max("mq_pos").over(at_ends)}).where("mq_pos = mq_lo or mq_pos = mq_hi")
+    several = F.min("mq_range").over(whole) < F.max("mq_range").over(whole)
+    ends = ends.withColumn("mq_several", several).where("mq_several").drop("mq_several")  # a key of one range has nothing to join
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.select(*key, "mq_range").schema)
     joints = ends.groupBy(*key).applyInPandas(_joints(key), f"{kind}, mq_before double, mq_behind double")
 
-    def met(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    def met(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
         right = right.withColumnsRenamed({c: f"mq_r_{c}" for c in by})
         same = F.lit(True)
         for c in by:
             same = same & F.col(c).eqNullSafe(F.col(f"mq_r_{c}"))
-        return left.join(right, same).drop(*(f"mq_r_{c}" for c in by))
+        return left.join(right, same, how).drop(*(f"mq_r_{c}" for c in by))
 
-    bent = met(solved, joints, [*key, "mq_range"]).select(*named, (F.col("mq_y") - F.col("mq_v") * F.col("mq_before") - F.col("mq_w") * F.col("mq_behind")).alias("m"))
+    before, behind = (F.coalesce(c, F.lit(0.0)) for c in ("mq_before", "mq_behind"))
+    bent = met(solved, joints, [*key, "mq_range"], "left").select(*named, (F.col("mq_y") - F.col("mq_v") * before - F.col("mq_w") * behind).alias("m"))
     bent = met(inner.drop(*system), bent, named)
     state = F.struct("mq_pos", "m")
     bent = scans.handed_over(bent, key, {"mq_low_m": F.min(state)}, {"mq_after": F.first("mq_low_m").over(scans.later(key))["m"]})
