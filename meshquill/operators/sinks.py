@@ -1,21 +1,23 @@
 """Sink particles: creation checks, accretion, merging and gravity.
 
 Sinks are few beside cells (codes hold a thousand or so), but nothing here rests on that: pairs meet on bucket keys, and gravity
-takes sinks in packs of about a fixed size, however many packs there are.
+takes points and sinks in packs of about a fixed size, however many packs there are.
 """
 
 from __future__ import annotations
 
 import math
 import tempfile
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .pairs import within
 
 POSITION, VELOCITY = ("x", "y", "z"), ("vx", "vy", "vz")
-PACK = 1024
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -164,41 +166,109 @@ def well(r: Column, soft: float) -> Column:
     return F.when(r < soft, r * r / (2 * soft**3) - 3 / (2 * soft)).otherwise(-1 / F.greatest(r, F.lit(float(soft))))
 
 
+#: Points and sinks of a pack; points at a time in a worker; how many shares the work of one sum has at least, and tasks at most.
+PACK, TILE, SHARES, TASKS = 1024, 16, 256, 2000
+PULLS = ("ax", "ay", "az", "phi")
+
+
+def _weights(r2: np.ndarray, soft: float, kernel: str) -> tuple[np.ndarray, np.ndarray]:
+    """Acceleration over mass and distance vector, and potential over mass, at squared distances."""
+    if kernel == "plummer":
+        far = np.sqrt(r2 + soft * soft)
+        weight, deep = 1 / (far * far * far), -1 / far
+        if soft == 0:
+            weight[r2 == 0], deep[r2 == 0] = 0.0, 0.0
+        return weight, deep
+    r = np.sqrt(r2)
+    far = np.maximum(r, soft)
+    deep = -1 / far
+    inside = np.nonzero(r < soft)
+    deep[inside] = r2[inside] / (2 * soft**3) - 3 / (2 * soft) if soft else 0.0
+    weight = 1 / (far * far * far)
+    if kernel == "spline":
+        near = r[inside]
+        h = 2 / soft
+        q = near * h
+        inner = h * h * (4 / 3 * q - 1.2 * q * q * q + 0.5 * q * q * q * q) / near
+        outer = h * h * (8 / 3 * q - 3 * q * q + 1.2 * q * q * q - q * q * q * q / 6 - 1 / (15 * q * q)) / near
+        weight[inside] = np.where(q >= 1, outer, np.where(q > 1e-5, inner, 0.0))
+    if soft == 0:
+        weight[r == 0], deep[r == 0] = 0.0, 0.0
+    return weight, deep
+
+
+def pulls(at: np.ndarray, held: np.ndarray, soft: float, g: float, kernel: str, lengths) -> np.ndarray:
+    """ax, ay, az, phi at places (rows of x, y, z) due to masses (rows of x, y, z, mass), a tile of pairs at a time."""
+    out = np.empty((len(at), 4))
+    x, mass = np.ascontiguousarray(held[:, :3].T), g * held[:, 3]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for i in range(0, len(at), TILE):
+            d = [x[k] - at[i : i + TILE, k, None] for k in range(3)]
+            if lengths:
+                for c, length in zip(d, lengths):
+                    c -= length * np.rint(c / length)
+            weight, deep = _weights(d[0] * d[0] + d[1] * d[1] + d[2] * d[2], soft, kernel)
+            weight *= mass
+            for k in range(3):
+                out[i : i + TILE, k] = np.einsum("ij,ij->i", weight, d[k])
+            out[i : i + TILE, 3] = deep @ mass
+    return out
+
+
+def lists(column: pa.ListArray) -> list[np.ndarray]:
+    """The lists of structs of numbers, each as rows of a matrix."""
+    flat, ends = column.flatten(), np.cumsum(column.value_lengths().to_numpy())
+    return np.split(np.column_stack([f.to_numpy(zero_copy_only=False) for f in flat.flatten()]), ends[:-1])
+
+
+def _summed(soft, g, kernel, lengths, batches):
+    """The sums of each pack of points over the packs of sinks it meets one after the other."""
+    now, at, total = None, None, None
+
+    def told():
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (*at.T, *total.T)], [*(f"mq_{c}" for c in POSITION), *PULLS])
+
+    for batch in batches:
+        for pack, places, held in zip(batch.column(0).to_pylist(), lists(batch.column(1)), lists(batch.column(2))):
+            if pack != now:
+                if now is not None:
+                    yield told()
+                now, at, total = pack, places.copy(), np.zeros((len(places), 4))
+            total += pulls(places, held, soft, g, kernel, lengths)
+    if now is not None:
+        yield told()
+
+
 def gravity(points: DataFrame, sinks: DataFrame, soft: float, g: float = 1.0, kernel: str = "linear", lengths: tuple[float, float, float] | None = None) -> DataFrame:
-    """points with ax, ay, az, phi due to sinks (tag, mass, position); within the softening length the kernel is linear or a spline.
+    """points with ax, ay, az, phi due to sinks (mass, position); within the softening length the kernel is linear or a spline, or it is Plummer's.
 
-    Sinks are packed by a hash into arrays of about PACK, one row each; a point meets one pack after the other and sums over it in
-    place, so nothing is shuffled and each broadcast is bounded. With lengths the nearest periodic image pulls. A sink exerts nothing on a
-    point at its own place; phi is that of the linear kernel (constant terms make it continuous).
+    Every pair counts, so the work grows with the product of both; points at one place are summed once, sinks at one place are one mass. Both
+    are packed by a hash into lists of about PACK; a pack of points meets the packs of sinks in an equi-join that deals pairs of packs to at least
+    SHARES keys, and a worker sums over a tile of pairs at a time: no broadcast, and no row for a pair. With lengths the nearest periodic image pulls.
+    A sink exerts nothing on a point at its own place; phi is that of the linear kernel (constant terms make it continuous), or Plummer's.
+    Sinks with a null are left out; a point with a null place has null sums.
     """
-    packs = -(-max(1, sinks.count()) // PACK)
-    one = F.struct(F.col("mass").cast("double").alias("m"), *(F.col(c).cast("double").alias(c) for c in POSITION))
-    names = ("ax", "ay", "az", "phi")
-    out = points.withColumns({n: F.lit(0.0) for n in names})
-
-    def near(d: Column, length: float) -> Column:
-        return F.when(d > length / 2, d - length).when(d < -length / 2, d + length).otherwise(d)
-
-    def step(acc: Column, s: Column) -> Column:
-        d = [s[c] - F.col(c) for c in POSITION]
-        if lengths:
-            d = [near(x, length) for x, length in zip(d, lengths)]
-        apart = F.struct(*(x.alias(c) for x, c in zip(d, POSITION)), F.sqrt(dot(d, d)).alias("r"), s["m"].alias("m"))
-
-        def add(p: Column) -> Column:
-            f = F.when(p["r"] > 0, g * p["m"] * softened(F.when(p["r"] > 0, p["r"]).otherwise(1.0), soft, kernel)).otherwise(0.0)
-            phi = well(p["r"], soft)
-            return F.struct(*((acc[n] + f * p[c]).alias(n) for n, c in zip(names, POSITION)), (acc["phi"] + g * p["m"] * phi).alias("phi"))
-
-        return F.get(F.transform(F.array(apart), add), F.lit(0))  # worked out once for a pair
-
-    for k in range(packs):
-        pack = sinks.where(F.pmod(F.xxhash64("tag"), F.lit(packs)) == k).agg(F.collect_list(one).alias("mq_pulls"))
-        start = F.struct(*(F.col(n) for n in names))
-        total = F.aggregate("mq_pulls", start, step)
-        out = out.crossJoin(F.broadcast(pack)).withColumn("mq_sum", total)  # one row of about PACK sinks
-        out = out.select(*points.columns, *(F.col(f"mq_sum.{n}").alias(n) for n in names))
-    return out
+    where = [F.col(c).cast("double").alias(c) for c in POSITION]
+    places = cut_lineage(points.select(*where).where(" and ".join(f"{c} is not null" for c in POSITION)).distinct())
+    held = sinks.select(*where, F.col("mass").cast("double").alias("mass")).where(" and ".join(f"{c} is not null" for c in (*POSITION, "mass")))
+    held = cut_lineage(held.groupBy(*POSITION).agg(F.sum("mass").alias("mass")))
+    across, along = (-(-df.count() // PACK) for df in (places, held))
+    if not along:
+        return points.withColumns({n: F.lit(0.0) for n in PULLS})
+    across = max(1, across)
+    slots = min(along, -(-SHARES // across))
+
+    def packs(df: DataFrame, n: int, name: str) -> DataFrame:
+        return df.groupBy(F.pmod(F.xxhash64(*POSITION), F.lit(n)).alias(name)).agg(F.collect_list(F.struct(*df.columns)).alias(f"{name}_rows"))
+
+    tasks = min(across * slots, TASKS)
+    left = packs(places, across, "mq_p").withColumn("mq_slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
+    right = packs(held, along, "mq_s").withColumns({"mq_slot": F.pmod("mq_s", F.lit(slots)).cast("long"), "mq_p": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long")))})
+    met = left.repartition(tasks, "mq_p", "mq_slot").join(right.repartition(tasks, "mq_p", "mq_slot"), ["mq_p", "mq_slot"]).select("mq_p", "mq_p_rows", "mq_s_rows")
+    kind = ", ".join(f"{n} double" for n in (*(f"mq_{c}" for c in POSITION), *PULLS))
+    sums = met.mapInArrow(partial(_summed, soft, g, kernel, lengths), kind).groupBy(*(f"mq_{c}" for c in POSITION)).agg(*(F.sum(n).alias(n) for n in PULLS))
+    same = [points[c].cast("double") == F.col(f"mq_{c}") for c in POSITION]
+    return points.join(sums, same, "left").select(*(points[c] for c in points.columns), *PULLS)
 
 
 def control_volume_checks(cells: DataFrame, candidates: DataFrame, radius: float) -> DataFrame:

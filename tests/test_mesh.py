@@ -233,3 +233,30 @@ def test_starfield_keeps_light_and_small_maps(spark):
     assert [r["leaf"] for r in series.carried(seen, ["run"], "n", ["leaf"]).orderBy("n").collect()] == [1, 5, 5]
     scales = spark.range(1).select(*(c.alias(n) for n, c in models.sink_scales(F.lit(1.0), F.lit(3.0), F.lit(8.0), F.lit(1.0)).items())).first()
     assert scales["n_eff"] == 32.0 and scales["r_sink"] == 2.5 / 32
+
+
+@pytest.mark.parametrize(("kernel", "lengths"), [("linear", None), ("spline", (1.0, 1.0, 1.0))])
+def test_gravity_sums_tiles_of_pairs_without_a_row_of_all_sinks(spark, monkeypatch, kernel, lengths):
+    monkeypatch.setattr(sinks, "PACK", 40)
+    rng = np.random.default_rng(2)
+    m, w = np.concatenate([rng.uniform(0, 1, (150, 3)), np.full((60, 3), 0.5)]), rng.uniform(1, 2, 210)  # many at one place
+    held = spark.createDataFrame([(k, float(a), *map(float, x)) for k, (a, x) in enumerate(zip(w, m))] + [(999, None, 0.1, 0.1, 0.1)], "tag int, mass double, x double, y double, z double")
+    at = [*m[:90], *m[:3], m[-1], m[-1]]
+    points = spark.createDataFrame([(k, *map(float, x)) for k, x in enumerate(at)] + [(500, None, 0.0, 0.0)], "tag int, x double, y double, z double")
+    out = sinks.gravity(points, held, 0.3, kernel=kernel, lengths=lengths)
+    plan = out._jdf.queryExecution().toString()
+    assert "lambda" not in plan and "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
+    got = {r["tag"]: list(r)[-4:] for r in out.collect()}
+    assert len(got) == len(at) + 1 and got.pop(500) == [None] * 4
+    d = m[None] - np.array(at)[:, None]
+    if lengths:
+        d -= np.round(d)
+    r = np.sqrt((d * d).sum(-1))
+    q, h = np.where(r > 0, r, 1) * 2 / 0.3, 2 / 0.3
+    f = np.where(r < 0.3, 1 / 0.3**3, 1 / np.where(r > 0, r, 1) ** 3)
+    if kernel == "spline":
+        inner, outer = 4 / 3 * q - 1.2 * q**3 + 0.5 * q**4, 8 / 3 * q - 3 * q**2 + 1.2 * q**3 - q**4 / 6 - 1 / (15 * q**2)
+        f = np.where(r >= 0.3, f, h * h * np.where(q >= 1, outer, inner) / np.where(r > 0, r, 1))
+    phi = np.where(r < 0.3, r * r / (2 * 0.3**3) - 3 / (2 * 0.3), -1 / np.where(r > 0, r, 1))
+    want = np.concatenate([(w[None, :, None] * f[..., None] * d).sum(1), (phi * w).sum(1)[:, None]], axis=1)
+    assert np.abs(np.array([got[k] for k in range(len(at))]) - want).max() < 1e-8 * np.abs(want).max()
