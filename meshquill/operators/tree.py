@@ -9,7 +9,7 @@ no list of all masses anywhere, and the plan does not grow with the tree. A poin
 The pull is that of Plummer's softening, or of sinks.gravity's linear or spline kernel, so gravity of very many sinks can go by the tree too; a
 mass at the very place of a point pulls with nothing but its potential. In a periodic box
 (lengths) the nearest images pull; cubes half a box away are opened, which takes points about as many more cubes as there are masses to the
-power of two thirds. With an angle of 0 all masses are summed up one by one.
+power of two thirds. With an angle of 0 no cube is ever far, so all masses are summed up one by one by sinks.gravity.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .geometry import AXES
-from .sinks import cut_lineage, softened, well
+from .sinks import cut_lineage, gravity, softened, well
 
 DEPTH, LEAF, ANGLE = 12, 16, 0.5
 
@@ -74,6 +74,8 @@ def pull(points: DataFrame, soft: float, g: float, lengths, mass: str, prefix: s
 def tree_gravity(points: DataFrame, masses: DataFrame, low: tuple[float, float, float], side: float, soft: float = 0.0, g: float = 1.0, angle: float = ANGLE,
                  lengths: tuple[float, float, float] | None = None, depth: int = DEPTH, leaf: int = LEAF, kernel: str = "plummer") -> DataFrame:
     """points (tag, x, y, z, unique tags) with ax, ay, az, phi due to masses (mass, x, y, z) in a cube from ``low`` of a side."""
+    if angle == 0:
+        return gravity(points, masses, soft, g, kernel, lengths)
     cubes, numbered = tree(masses, low, side, depth, leaf)
     cubes = cut_lineage(cubes)
     deepest = cubes.agg(F.max("level")).first()[0]
