@@ -358,21 +358,46 @@ def cuts(histograms: np.ndarray, around: int = 12, factor: float = 3.0, least: f
     return out
 
 
-def clips(media: bytes) -> list[tuple[int, float, float, int]]:
-    """Timed clip rows of an AVI file: number, first second, last second, frames."""
-    found, step = frames(media)
-    seen = []
-    for s in range(0, len(found), 256):
-        for x in decoded(found[s : s + 256]):
+def histograms_of(files: list[bytes]) -> list[tuple[np.ndarray, float] | Exception]:
+    """The histograms of each file's frames and the seconds between them, or why it can't be read; the frames of all files are decoded in common groups."""
+    out, every, owner = [], [], []
+    for i, media in enumerate(files):
+        try:
+            found, step = frames(media)
+            if not found:
+                raise ValueError("no frames")
+        except (ValueError, IndexError, struct.error) as e:
+            out.append(e)
+            continue
+        out.append(([], step))
+        every += found
+        owner += [i] * len(found)
+    group = TOGETHER // BLOCKS
+    for s in range(0, len(every), group):
+        part = [(i, j) for i, j in zip(owner[s : s + group], every[s : s + group]) if not isinstance(out[i], Exception)]
+        for (i, _), x in zip(part, decoded([j for _, j in part])):
+            if isinstance(out[i], Exception):
+                continue
             if isinstance(x, ValueError):
-                raise x
-            seen.append(histogram(x[1]))
-    if not seen:
-        raise ValueError("no frames")
-    starts = cuts(np.stack(seen))
+                out[i] = x
+            else:
+                out[i][0].append(histogram(x[1]))
+    return [x if isinstance(x, Exception) else (np.stack(x[0]), x[1]) for x in out]
+
+
+def timed(seen: np.ndarray, step: float) -> list[tuple[int, float, float, int]]:
+    starts = cuts(seen)
     return [(i, a * step, b * step, b - a) for i, (a, b) in enumerate(zip(starts, [*starts[1:], len(seen)]))]
 
 
+def clips(media: bytes) -> list[tuple[int, float, float, int]]:
+    """Timed clip rows of an AVI file: number, first second, last second, frames."""
+    got = histograms_of([media])[0]
+    if isinstance(got, Exception):
+        raise got
+    return timed(*got)
+
+
 def pad(text: str | None) -> tuple[bytes, int]:
     raw = (text or "").encode()
     return raw + b"\x00" * (max(64, -(-len(raw) // 64) * 64) - len(raw)), len(raw)
@@ -435,21 +460,35 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(work, "doc_id long, media binary")
 
 
-def _clip_rows(i: int, media: bytes) -> list[tuple]:
-    try:
-        return [(i, *c, None) for c in clips(media)]
-    except (ValueError, IndexError, struct.error) as e:
-        return [(i, None, None, None, None, str(e))]
+def _clip_rows(ids: list[int], files: list[bytes]) -> list[tuple]:
+    rows = []
+    for i, got in zip(ids, histograms_of(files)):
+        rows += [(i, None, None, None, None, str(got))] if isinstance(got, Exception) else [(i, *c, None) for c in timed(*got)]
+    return rows
+
+
+def _grouped(items, size, most: int):
+    """Lists of items of at most so many bytes together (one larger item is a list of its own)."""
+    held, total = [], 0
+    for x in items:
+        if held and total + size(x) > most:
+            yield held
+            held, total = [], 0
+        held.append(x)
+        total += size(x)
+    if held:
+        yield held
 
 
 def to_clips(media: DataFrame) -> DataFrame:
     """Timed clip rows of doc_id, media; a file that can't be read has one row with its error."""
     def work(batches):
-        for batch in slices(batches, 16):
-            rows = [r for i, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if m is not None for r in _clip_rows(i, m)]
-            columns = list(zip(*rows)) or [[]] * 6
-            kinds = [pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "clip", "start_s", "end_s", "frames", "error"])
+        for batch in slices(batches):
+            pairs = ((i, m.as_py()) for i, m in zip(batch.column(0).to_pylist(), batch.column(1)) if m.is_valid)
+            for some in _grouped(pairs, lambda x: len(x[1]), HELD):
+                columns = list(zip(*_clip_rows(*map(list, zip(*some)))))
+                kinds = [pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "clip", "start_s", "end_s", "frames", "error"])
     return media.select("doc_id", "media").mapInArrow(work, CLIPS)
 
 

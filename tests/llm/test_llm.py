@@ -1011,3 +1011,14 @@ def test_quality_level_of_a_language_with_one_document(spark):
     labels = spark.createDataFrame([(k, 1) for k, _, lang in rows if lang != "xx" and k != 200], "doc_id long, quality int")
     got = {r["doc_id"]: r for r in quality.quality(docs_, labels).collect()}
     assert got[0]["threshold"] != got[100]["threshold"] and not got[200]["kept"] and not got[201]["kept"] and sum(got[k]["kept"] for k in range(60)) >= 57
+
+
+def test_clips_decode_the_frames_of_many_files_together(monkeypatch):
+    made = [media.encode(bytes([k % 7]) * 1000) for k in range(40)]
+    broken = made[3].replace(b"\xff\xc0", b"\xff\xc2", 1)  # a progressive frame
+    files, calls, plain = [*made, broken, b"no media"], [], media.decoded
+    monkeypatch.setattr(media, "decoded", lambda jpegs: calls.append(len(jpegs)) or plain(jpegs))
+    rows = media._clip_rows(list(range(len(files))), files)
+    assert len(calls) == 1 and sum(calls) == 41  # a call for each file before
+    assert [r[0] for r in rows] == list(range(42)) and all(r[5] is None and r[4] == 1 for r in rows[:40]) and all(r[5] for r in rows[40:])
+    assert [r[1:5] for r in rows[:40]] == [media.clips(m)[0] for m in made]
