@@ -13,11 +13,19 @@ from pyspark.sql import functions as F
 
 from .sinks import cut_lineage
 
+#: Rows that a range has at most (about), and at least where that leaves tasks without one.
+MOST, LEAST = 100_000, 10_000
+
 
 def ranged(rows: DataFrame, key: list[str], order: str, ranges: int | None = None) -> DataFrame:
-    """rows with mq_range, which grows with key and order; rows of one key and order are in one range."""
-    by = [*key, order]
-    dealt = rows.repartitionByRange(ranges, *by) if ranges else rows.repartitionByRange(*by)
+    """rows with mq_range, which grows with key and order; rows of one key and order are in one range.
+
+    If their number is not given, there are so many ranges that each has about MOST rows at most, however many rows there are.
+    """
+    if not ranges:
+        n = rows.select(*key, order).count()
+        ranges = max(1, -(-n // MOST), min(rows.sparkSession.sparkContext.defaultParallelism, -(-n // LEAST)))
+    dealt = rows.repartitionByRange(ranges, *key, order)
     return cut_lineage(dealt.withColumn("mq_range", F.spark_partition_id()))
 
 

@@ -164,22 +164,31 @@ def _piece(key: list[str], names: list[str]):
     return work
 
 
+def chained(v: np.ndarray, w: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Two unknowns of each range, where y is them plus v times the last one before and w times the first one behind: two sweeps over the ranges."""
+    n, left, right = len(y), np.eye(2), []
+    for p in range(n):
+        block, rest = np.eye(2), y[p].copy()
+        if p:
+            got = np.linalg.solve(left, np.column_stack([[w[p - 1, 0], w[p - 1, 1]], right[-1][1]]))
+            block[:, 0] -= v[p] * got[1, 0]
+            rest -= v[p] * got[1, 1]
+        left = block
+        right.append((block, rest))
+    out = np.zeros(2 * n)
+    for p in range(n - 1, -1, -1):
+        block, rest = right[p]
+        out[2 * p : 2 * p + 2] = np.linalg.solve(block, rest - (w[p] * out[2 * p + 2] if p < n - 1 else 0.0))
+    return out
+
+
 def _joints(key: list[str]):
     """The unknowns before and after each range of a key, from the first and last row of its ranges: two equations a range."""
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["mq_range", "mq_pos"])
         ranges = pdf["mq_range"].drop_duplicates().to_numpy()
         ends = pdf.groupby("mq_range", sort=True)[["mq_y", "mq_v", "mq_w"]].agg(["first", "last"])
-        n = len(ranges)
-        a, right = np.eye(2 * n), np.zeros(2 * n)
-        for p in range(n):
-            for k, end in enumerate(("first", "last")):
-                right[2 * p + k] = ends["mq_y", end].iloc[p]
-                if p:
-                    a[2 * p + k, 2 * p - 1] = ends["mq_v", end].iloc[p]
-                if p < n - 1:
-                    a[2 * p + k, 2 * p + 2] = ends["mq_w", end].iloc[p]
-        m = np.linalg.solve(a, right)
+        n, m = len(ranges), chained(*(np.column_stack([ends[c, "first"], ends[c, "last"]]) for c in ("mq_v", "mq_w", "mq_y")))
         return pd.DataFrame({**{c: [pdf[c].iloc[0]] * n for c in key}, "mq_range": ranges, "mq_before": [m[2 * p - 1] if p else 0.0 for p in range(n)], "mq_behind": [m[2 * p + 2] if p < n - 1 else 0.0 for p in range(n)]})
 
     return work
@@ -210,7 +219,7 @@ def spline(series: DataFrame, key: list[str], t: str, x: str, points: int | None
     inner = rows.where((pos > 0) & (pos < size - 1)).select(*key, "mq_range", "mq_pos", "t", "x", "mq_prev", "mq_next", "mq_size", "mq_from", "mq_to", *(c.alias(n) for n, c in system.items()))
     named = [*key, "mq_range", "mq_pos"]
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.select(*named).schema)
-    solved = scans.cut_lineage(inner.groupBy("mq_range").applyInPandas(_piece(key, named), f"{kind}, mq_y double, mq_v double, mq_w double"))
+    solved = scans.cut_lineage(inner.select(*named, *system).groupBy("mq_range").applyInPandas(_piece(key, named), f"{kind}, mq_y double, mq_v double, mq_w double"))
     at_ends = Window.partitionBy(*key, "mq_range")
     ends = solved.withColumns({"mq_lo": F.min("mq_pos").over(at_ends), "mq_hi": F.max("mq_pos").over(at_ends)}).where("mq_pos = mq_lo or mq_pos = mq_hi")
     several = F.min("mq_range").over(whole) < F.max("mq_range").over(whole)

@@ -346,3 +346,46 @@ def test_tree_takes_the_kernels_of_sinks(spark, kernel):
     want = {r["tag"]: r for r in sinks.gravity(s.select("tag", "x", "y", "z"), s, 0.8, kernel=kernel).collect()}
     for r in tree.tree_gravity(s.select("tag", "x", "y", "z"), s, (0.0,) * 3, 4.0, 0.8, angle=0.0, depth=3, leaf=8, kernel=kernel).collect():
         assert all(abs(r[c] - want[r["tag"]][c]) < 1e-9 for c in ("ax", "ay", "az", "phi"))
+
+
+def test_an_angle_of_zero_opens_no_tree(spark, monkeypatch):
+    rng = random.Random(8)
+    s = spark.createDataFrame([(k, rng.uniform(1, 2), *(rng.uniform(0, 4) for _ in range(3))) for k in range(50)], "tag int, mass double, x double, y double, z double")
+    monkeypatch.setattr(tree, "tree", None)  # would be called before
+    twice = s.unionAll(s.withColumn("tag", F.col("tag") + 100))  # points at one place are summed once, and all have rows
+    got = {r["tag"]: r["phi"] for r in tree.tree_gravity(twice.select("tag", "x", "y", "z"), s, (0.0,) * 3, 4.0, 0.5, angle=0.0).collect()}
+    rows = s.collect()
+    want = {a["tag"]: -sum(b["mass"] / math.sqrt(sum((a[c] - b[c]) ** 2 for c in "xyz") + 0.25) for b in rows) for a in rows}
+    assert len(got) == 100 and all(abs(got[k] - want[k % 100]) < 1e-9 for k in got)
+
+
+def test_joints_of_many_ranges_need_no_square_matrix(monkeypatch):
+    rng = np.random.default_rng(4)
+    v, w, y = rng.uniform(-0.3, 0.3, (50, 2)), rng.uniform(-0.3, 0.3, (50, 2)), rng.normal(size=(50, 2))
+    a = np.eye(100)
+    for p in range(50):
+        for k in range(2):
+            if p:
+                a[2 * p + k, 2 * p - 1] = v[p, k]
+            if p < 49:
+                a[2 * p + k, 2 * p + 2] = w[p, k]
+    assert np.abs(series.chained(v, w, y) - np.linalg.solve(a, y.ravel())).max() < 1e-12
+
+
+def test_ranges_grow_in_number_not_in_size(spark, monkeypatch):
+    monkeypatch.setattr(scans, "MOST", 500)
+    sizes = [r["count"] for r in scans.ranged(spark.range(20_000).withColumn("key", F.col("id") % 3), ["key"], "id").groupBy("mq_range").count().collect()]
+    assert len(sizes) > 30 and max(sizes) < 1500  # as many as shuffle partitions before
+    sent, plain = [], series._piece
+    monkeypatch.setattr(series, "_piece", lambda key, names: sent.append(1) or plain(key, names))
+    df = spark.range(3000).select((F.col("id") % 2).alias("k"), F.col("id").cast("double").alias("t"), F.sin("id").alias("x"))
+    frame = series.spline(df, ["k"], "t", "x")
+    assert sent and frame.count() == 3000
+
+
+def test_neighbours_are_found_in_one_join(spark):
+    b = spark.createDataFrame([(n, *(2.0 * (n // 2**k % 2) for k in range(3)), *(2.0 * (n // 2**k % 2) + 2 for k in range(3))) for n in range(8)], "block int, lo_x double, lo_y double, lo_z double, hi_x double, hi_y double, hi_z double")
+    out = geometry.neighbours(b, (0.0, 0.0, 0.0), (4.0, 4.0, 4.0), 2.0, 2.0, (True, False, True))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # 18 before
+    got = {(r["block"], r["face"]): r["neighbour"] for r in out.collect()}
+    assert len(got) == 48 and got[0, "x-"] == got[0, "x+"] == 1 and got[0, "y-"] == geometry.MISSING and got[0, "y+"] == 2 and got[5, "z-"] == 1
