@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sinks import cut_lineage
+
 AXES = ("x", "y", "z")
 
 
@@ -213,28 +215,29 @@ def neighbours(blocks: DataFrame, low: tuple[float, float, float], lengths: tupl
     """block, face (x-, x+, y-, ...), neighbour: the leaf blocks that share a face, one row each (finer ones are several); MISSING at an edge.
 
     blocks: leaves with lo_ and hi_ bounds, whose sides are finest to coarsest and which are nested in cubes of the coarsest. Blocks on both sides of a
-    face lie in one plane and, across it, in one column of coarsest cubes, so they meet in an equi-join.
+    face lie in one plane and, across it, in one column of coarsest cubes, so all faces meet in one equi-join. Blocks are worked out once.
     """
-    out = None
+    b = cut_lineage(blocks.select("block", *(f"{e}_{c}" for e in ("lo", "hi") for c in AXES)))
+    ours, theirs = [], []
     for a, c in enumerate(AXES):
         others = [x for x in range(3) if x != a]
         plane = lambda end, a=a, c=c: F.round((F.col(f"{end}_{c}") - low[a]) / finest).cast("long")
-        planes, column = round(lengths[a] / finest), [F.floor(((F.col(f"lo_{AXES[x]}") + F.col(f"hi_{AXES[x]}")) / 2 - low[x]) / coarsest).cast("long").alias(f"q{x}") for x in others]
-        bounds = lambda p, others=others: [F.col(f"{e}_{AXES[x]}").alias(f"{p}{e}{x}") for x in others for e in ("lo", "hi")]
+        planes = round(lengths[a] / finest)
+        column = [F.floor(((F.col(f"lo_{AXES[x]}") + F.col(f"hi_{AXES[x]}")) / 2 - low[x]) / coarsest).cast("long").alias(f"q{k}") for k, x in enumerate(others)]
+        bounds = lambda p, others=others: [F.col(f"{e}_{AXES[x]}").alias(f"{p}{e}{k}") for k, x in enumerate(others) for e in ("lo", "hi")]
         for face, near, far in ((f"{c}-", "lo", "hi"), (f"{c}+", "hi", "lo")):
             at = plane(near)
             wrapped = F.when((at == 0) & F.lit(near == "lo"), F.lit(planes)).when((at == planes) & F.lit(near == "hi"), F.lit(0)).otherwise(at) if periodic[a] else at
-            one = blocks.select("block", wrapped.cast("long").alias("plane"), *column, *bounds("a"))
-            other = blocks.select(F.col("block").alias("neighbour"), plane(far).alias("plane"), *column, *bounds("b"))
-            met = one.join(other, ["plane", *(f"q{x}" for x in others)])
-            touch = F.lit(True)
-            for x in others:
-                touch = touch & (F.least(F.col(f"ahi{x}"), F.col(f"bhi{x}")) - F.greatest(F.col(f"alo{x}"), F.col(f"blo{x}")) > 1e-9 * finest)
-            found = met.where(touch).select("block", F.lit(face).alias("face"), F.col("neighbour").cast("long").alias("neighbour"))
-            lonely = one.select("block").join(found.select("block"), "block", "left_anti").select("block", F.lit(face).alias("face"), F.lit(MISSING).cast("long").alias("neighbour"))
-            found = found.unionAll(lonely)
-            out = found if out is None else out.unionAll(found)
-    return out
+            ours.append(F.struct(F.lit(face).alias("face"), wrapped.cast("long").alias("plane"), *column, *bounds("a")))
+            theirs.append(F.struct(F.lit(face).alias("face"), plane(far).alias("plane"), *column, *bounds("b")))
+    one = b.select("block", F.inline(F.array(*ours)))
+    other = b.select(F.col("block").cast("long").alias("neighbour"), F.inline(F.array(*theirs)))
+    touch = F.lit(True)
+    for x in range(2):
+        touch = touch & (F.least(F.col(f"ahi{x}"), F.col(f"bhi{x}")) - F.greatest(F.col(f"alo{x}"), F.col(f"blo{x}")) > 1e-9 * finest)
+    found = cut_lineage(one.join(other, ["face", "plane", "q0", "q1"]).where(touch).select("block", "face", "neighbour"))
+    lonely = one.select("block", "face").join(found, ["block", "face"], "left_anti").withColumn("neighbour", F.lit(MISSING).cast("long"))
+    return found.unionAll(lonely)
 
 
 def inward(t: Column, size: Column, length: float, boundary: str) -> Column:
