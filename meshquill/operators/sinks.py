@@ -130,16 +130,14 @@ def merged_all(sinks: DataFrame, radius: float, g: float = 1.0, passes: int = 64
     raise RuntimeError("merging did not end")
 
 
-def clusters(points: DataFrame, radius: float, rounds: int = 1000) -> DataFrame:
-    """tag, cluster (smallest tag reachable by steps within the radius): sinks made in one step that become one sink.
+def connected(nodes: DataFrame, links: DataFrame, rounds: int = 1000) -> DataFrame:
+    """tag, cluster (smallest tag reachable by links): nodes (tag), links (a_tag, b_tag, both ways).
 
-    Each round a point takes the least label of its neighbours, and the label of its label; lineage is cut each round.
+    Each round a node takes the least label of its neighbours, and the label of its label; lineage is cut each round.
     """
-    p = points.select("tag", *POSITION)
-    near = cut_lineage(within(p, p, radius).where("a_tag <> b_tag").select("a_tag", "b_tag"))
-    labels = p.select("tag", F.col("tag").alias("cluster"))
+    labels = nodes.select("tag", F.col("tag").alias("cluster"))
     for _ in range(rounds):
-        least = near.join(labels, F.col("b_tag") == F.col("tag")).groupBy("a_tag").agg(F.min("cluster").alias("low"))
+        least = links.join(labels, F.col("b_tag") == F.col("tag")).groupBy("a_tag").agg(F.min("cluster").alias("low"))
         step = labels.join(least, F.col("tag") == F.col("a_tag"), "left").select("tag", F.col("cluster").alias("was"), F.least("cluster", F.coalesce("low", "cluster")).alias("cluster"))
         hop = step.select(F.col("tag").alias("cluster"), F.col("cluster").alias("next"))
         step = cut_lineage(step.join(hop, "cluster").select("tag", "was", F.least("cluster", "next").alias("cluster")))
@@ -149,6 +147,51 @@ def clusters(points: DataFrame, radius: float, rounds: int = 1000) -> DataFrame:
     raise RuntimeError("clusters did not settle")
 
 
+CELL = ("mq_i", "mq_j", "mq_k")
+
+
+def clusters(points: DataFrame, radius: float, rounds: int = 1000) -> DataFrame:
+    """tag, cluster (smallest tag reachable by steps within the radius): sinks made in one step that become one sink.
+
+    Points of one cell, whose diagonal is just below the radius, are all linked, so cells stand for them: no list of all near pairs is made.
+    Cells whose central points are within the radius are linked first. Of cells that this leaves apart, points meet only where they are within
+    the radius of the other cell's bounds; that finds the links that are left, so the result is exact. A point without a finite place is alone.
+    """
+    side = radius / math.sqrt(3) * (1 - 1e-9)
+    finite = " and ".join(f"abs({c}) < double('infinity')" for c in POSITION)
+    given = points.select("tag", *(F.col(c).cast("double").alias(c) for c in POSITION))
+    p = given.where(finite).withColumns({n: F.floor(F.col(c) / side).cast("long") for n, c in zip(CELL, POSITION)})
+    off = [F.col(c) - (F.col(n) + 0.5) * side for n, c in zip(CELL, POSITION)]
+    bounds = [f(c).alias(f"{e}_{c}") for e, f in (("lo", F.min), ("hi", F.max)) for c in POSITION]
+    cells = cut_lineage(p.groupBy(*CELL).agg(F.min("tag").alias("tag"), F.min(F.struct(dot(off, off).alias("o"), *POSITION)).alias("mid"), *bounds))
+    steps = [(i, j, k) for i in range(-2, 3) for j in range(-2, 3) for k in range(-2, 3) if (i, j, k) > (0, 0, 0)]
+    step = F.explode(F.array(*(F.struct(*(F.lit(x).alias(n) for x, n in zip(d, "ijk"))) for d in steps)))
+    named = lambda df, q: df.select(*(F.col(c).alias(f"{q}_{c}") for c in ("tag", "mid", *(f"{e}_{c}" for e in ("lo", "hi") for c in POSITION))), *CELL)
+    one = named(cells, "a").withColumn("step", step).withColumns({n: F.col(n) + F.col(f"step.{x}") for n, x in zip(CELL, "ijk")}).drop("step")
+    gap = [F.greatest(F.lit(0.0), F.col(f"a_lo_{c}") - F.col(f"b_hi_{c}"), F.col(f"b_lo_{c}") - F.col(f"a_hi_{c}")) for c in POSITION]
+    reach = radius * radius * (1 + 1e-9)
+    near = cut_lineage(one.join(named(cells, "b"), list(CELL)).where(dot(gap, gap) <= reach).drop(*CELL))
+    apart = [F.col(f"a_mid.{c}") - F.col(f"b_mid.{c}") for c in POSITION]
+    both = lambda df: df.select("a_tag", "b_tag").unionAll(df.select(F.col("b_tag").alias("a_tag"), F.col("a_tag").alias("b_tag")))
+    first = connected(cells, both(near.where(F.sqrt(dot(apart, apart)) <= radius)), rounds)
+    of = lambda q, labels: labels.select(F.col("tag").alias(f"{q}_tag"), F.col("cluster").alias(f"{q}_in"))
+    open_ = cut_lineage(near.join(of("a", first), "a_tag").join(of("b", first), "b_tag").where("a_in <> b_in").drop("a_mid", "b_mid"))
+    told = p.join(cells.select(*CELL, F.col("tag").alias("cell")), list(CELL)).select("cell", *POSITION).distinct()
+
+    def reaching(q: str, other: str) -> DataFrame:
+        beyond = [F.greatest(F.lit(0.0), F.col(f"{other}_lo_{c}") - F.col(c), F.col(c) - F.col(f"{other}_hi_{c}")) for c in POSITION]
+        met = open_.join(told.withColumnRenamed("cell", f"{q}_tag"), f"{q}_tag").where(dot(beyond, beyond) <= reach)
+        return met.select("a_tag", "b_tag", "a_in", "b_in", *(F.col(c).alias(f"{q}_{c}") for c in POSITION))
+
+    d = [difference(c) for c in POSITION]
+    met = reaching("a", "b").join(reaching("b", "a").drop("a_in", "b_in"), ["a_tag", "b_tag"]).where(F.sqrt(dot(d, d)) <= radius)
+    more = cut_lineage(met.select(F.col("a_in").alias("a_tag"), F.col("b_in").alias("b_tag")).distinct())
+    last = connected(first.select(F.col("cluster").alias("tag")).distinct(), both(more), rounds)
+    whole = first.join(last.select(F.col("tag").alias("cluster"), F.col("cluster").alias("whole")), "cluster").select(F.col("tag").alias("cell"), "whole")
+    found = p.join(cells.select(*CELL, F.col("tag").alias("cell")), list(CELL)).join(whole, "cell").select("tag", F.col("whole").alias("cluster"))
+    return found.unionAll(given.where(f"not coalesce({finite}, false)").select("tag", F.col("tag").alias("cluster")))
+
+
 def softened(r: Column, soft: float, kernel: str = "linear") -> Column:
     """Acceleration over mass and distance vector, for r > 0: that of a point beyond the softening length, within it linear or a spline."""
     free = 1 / (r * r * r)

@@ -389,3 +389,28 @@ def test_neighbours_are_found_in_one_join(spark):
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # 18 before
     got = {(r["block"], r["face"]): r["neighbour"] for r in out.collect()}
     assert len(got) == 48 and got[0, "x-"] == got[0, "x+"] == 1 and got[0, "y-"] == geometry.MISSING and got[0, "y+"] == 2 and got[5, "z-"] == 1
+
+
+def test_clusters_of_a_clump_make_no_list_of_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    m = np.concatenate([0.3 * rng.standard_normal((260, 3)), [2, 2, 2] + 0.001 * rng.standard_normal((400, 3)), [[2.05, 2.05, 2.09]] * 9, [[-1.0, 0.1, 0.0]]])
+    df = spark.createDataFrame([(k + 5, *map(float, x)) for k, x in enumerate(m)] + [(1, None, 0.0, 0.0), (2, float("nan"), 0.0, 0.0)], "tag int, x double, y double, z double")
+    written, plain = [], sinks.cut_lineage
+
+    def cut(frame):
+        out = plain(frame)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(sinks, "cut_lineage", cut)
+    got = {r["tag"]: r["cluster"] for r in sinks.clusters(df, 0.12).collect()}
+    assert max(written) < 10_000  # some 160,000 before
+    label = np.arange(len(m))
+    near = np.sqrt(((m[:, None] - m[None]) ** 2).sum(-1)) <= 0.12
+    while True:
+        new = np.where(near, label[None], len(m)).min(1)
+        if (new == label).all():
+            break
+        label = new
+    assert len(set(label)) > 20
+    assert got == {k + 5: int(x) + 5 for k, x in enumerate(label)} | {1: 1, 2: 2}
