@@ -107,12 +107,76 @@ def bound_pairs(sinks: DataFrame, radius: float, g: float = 1.0) -> DataFrame:
     return met.where((dot(d, v) < 0) & (0.5 * dot(v, v) * F.col("r") < g * (F.col("a_mass") + F.col("b_mass"))))
 
 
+CELL = ("mq_i", "mq_j", "mq_k")
+#: Sinks of a list at most (about) that meets another.
+CHUNK = 1024
+
+
+def _heaviest(radius: float, g: float, batches):
+    """For each sink of a list the heaviest (of equal ones the smallest tag) it is bound to, of the lists that list meets one after the other."""
+    now = at = tags = mass = best = None
+
+    def told():
+        got = best[0] > -np.inf
+        return pa.RecordBatch.from_arrays([pa.array(tags[got]), pa.array(best[0][got]), pa.array(best[1][got])], ["a_tag", "b_mass", "b_tag"])
+
+    def parts(column):
+        flat, ends = column.flatten(), np.cumsum(column.value_lengths().to_numpy())[:-1]
+        fields = [x.to_numpy(zero_copy_only=False) for x in flat.flatten()]
+        return zip(np.split(fields[1], ends), np.split(-fields[0], ends), np.split(np.column_stack(fields[2:]), ends))
+
+    for batch in batches:
+        for (a_tags, a_mass, a), (b_tags, b_mass, b) in zip(parts(batch.column(0)), parts(batch.column(1))):
+            if now != a_tags[0]:
+                if now is not None:
+                    yield told()
+                now, tags, mass, at = a_tags[0], a_tags.copy(), a_mass.copy(), a.copy()
+                best = [np.full(len(tags), -np.inf), np.zeros(len(tags), np.int64)]
+            for t in range(0, len(b), 64):  # heaviest first, so what follows is no better than the tile's first one
+                m, tag = b_mass[t : t + 64], b_tags[t : t + 64]
+                live = np.flatnonzero((mass <= m[0]) & ((best[0] < m[0]) | ((best[0] == m[0]) & (best[1] > tag[0]))))
+                if not len(live):
+                    break
+                d, v = ([at[live, k, None] - b[None, t : t + 64, k] for k in r] for r in (range(3), range(3, 6)))
+                r = np.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
+                own, vv = mass[live, None], v[0] * v[0] + v[1] * v[1] + v[2] * v[2]
+                good = (r <= radius) & ((own < m) | ((own == m) & (tags[live, None] > tag)))
+                good &= (d[0] * v[0] + d[1] * v[1] + d[2] * v[2] < 0) & (0.5 * vv * r < g * (own + m))
+                hit = np.flatnonzero(good.any(axis=1))
+                first, who = good[hit].argmax(axis=1), live[hit]
+                more = (m[first] > best[0][who]) | ((m[first] == best[0][who]) & (tag[first] < best[1][who]))
+                best[0][who[more]], best[1][who[more]] = m[first][more], tag[first][more]
+    if now is not None:
+        yield told()
+
+
+def heaviest_bound(sinks: DataFrame, radius: float, g: float = 1.0) -> DataFrame:
+    """tag, into: for each sink of bound_pairs' lighter ones the heaviest it is bound to (of equal ones the smallest tag).
+
+    Sinks of a cell are dealt to lists of about CHUNK by a hash; lists of neighbouring cells meet, and a worker looks at a tile of pairs at
+    a time, heaviest first, until all are settled: no row for a pair. Tags are whole numbers and unique.
+    """
+    known = " and ".join(f"abs({c}) < double('infinity')" for c in ("mass", *POSITION, *VELOCITY))
+    s = sinks.select(F.col("tag").cast("long").alias("tag"), *(F.col(c).cast("double").alias(c) for c in ("mass", *POSITION, *VELOCITY))).where(known)
+    s = s.withColumns({n: F.floor(F.col(c) / radius).cast("long") for n, c in zip(CELL, POSITION)})
+    dealt = s.join(s.groupBy(*CELL).agg(F.ceil(F.count("*") / CHUNK).alias("mq_n")), list(CELL)).withColumn("mq_chunk", F.pmod(F.xxhash64("tag"), "mq_n"))
+    row = F.struct((-F.col("mass")).alias("o"), "tag", *POSITION, *VELOCITY)
+    lists_ = cut_lineage(dealt.groupBy(*CELL, "mq_chunk").agg(F.sort_array(F.collect_list(row)).alias("rows")))
+    steps = F.explode(F.array(*(F.struct(*(F.lit(x).alias(n) for x, n in zip((i, j, k), "ijk"))) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1))))
+    right = lists_.select(*CELL, F.col("rows").alias("b_rows")).withColumn("step", steps).withColumns({n: F.col(n) + F.col(f"step.{x}") for n, x in zip(CELL, "ijk")})
+    met = lists_.select(*CELL, F.col("rows").alias("a_rows")).join(right, list(CELL)).select("a_rows", "b_rows")
+    found = met.mapInArrow(partial(_heaviest, radius, g), "a_tag long, b_mass double, b_tag long")
+    best = found.groupBy("a_tag").agg(F.max(F.struct("b_mass", (-F.col("b_tag")).alias("o"), "b_tag")).alias("to"))
+    kind = sinks.schema["tag"].dataType
+    return cut_lineage(best.select(F.col("a_tag").cast(kind).alias("tag"), F.col("to.b_tag").cast(kind).alias("into")))
+
+
 def merged(sinks: DataFrame, radius: float, g: float = 1.0) -> DataFrame:
     """One pass of merging: a sink goes into the heaviest sink it is bound to, if that one does not go into another in this pass.
 
     Mass, momentum and centre of mass are conserved. Chains take several passes, as they take several steps of a run.
     """
-    best = bound_pairs(sinks, radius, g).groupBy("a_tag").agg(F.max(F.struct("b_mass", (-F.col("b_tag")).alias("o"), "b_tag")).alias("to")).select(F.col("a_tag").alias("tag"), F.col("to.b_tag").alias("into"))
+    best = heaviest_bound(sinks, radius, g)
     goes = best.join(best.select(F.col("tag").alias("into")), "into", "left_anti")
     to = sinks.join(goes, "tag", "left").withColumn("into", F.coalesce("into", "tag"))
     mean = [(F.sum(F.col("mass") * F.col(c)) / F.sum("mass")).alias(c) for c in (*POSITION, *VELOCITY)]
@@ -147,9 +211,6 @@ def connected(nodes: DataFrame, links: DataFrame, rounds: int = 1000) -> DataFra
     raise RuntimeError("clusters did not settle")
 
 
-CELL = ("mq_i", "mq_j", "mq_k")
-
-
 def clusters(points: DataFrame, radius: float, rounds: int = 1000) -> DataFrame:
     """tag, cluster (smallest tag reachable by steps within the radius): sinks made in one step that become one sink.
 

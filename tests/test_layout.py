@@ -414,3 +414,14 @@ def test_clusters_of_a_clump_make_no_list_of_pairs(spark, monkeypatch):
         label = new
     assert len(set(label)) > 20
     assert got == {k + 5: int(x) + 5 for k, x in enumerate(label)} | {1: 1, 2: 2}
+
+
+def test_merging_looks_at_tiles_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(sinks, "CHUNK", 50)
+    rng = np.random.default_rng(9)
+    rows = [(k + 1, float(rng.integers(1, 4)), *map(float, 0.15 * rng.standard_normal(6))) for k in range(400)]
+    df = spark.createDataFrame([*rows, (900, None, *[0.0] * 6)], "tag int, mass double, x double, y double, z double, vx double, vy double, vz double")
+    want = {}
+    for r in sinks.bound_pairs(df, 0.1, 1e-3).collect():
+        want[r["a_tag"]] = max(want.get(r["a_tag"], (0, 0)), (r["b_mass"], -r["b_tag"]))
+    assert len(want) > 50 and {r["tag"]: r["into"] for r in sinks.heaviest_bound(df, 0.1, 1e-3).collect()} == {k: -v[1] for k, v in want.items()}
