@@ -270,52 +270,248 @@ def well(r: Column, soft: float) -> Column:
     return F.when(r < soft, r * r / (2 * soft**3) - 3 / (2 * soft)).otherwise(-1 / F.greatest(r, F.lit(float(soft))))
 
 
-#: Points and sinks of a pack; points at a time in a worker; how many shares the work of one sum has at least, and tasks at most.
-PACK, TILE, SHARES, TASKS = 1024, 16, 256, 2000
+#: Points and sinks of a pack at most and, where shares are few, points at least (about); places of a tile and sinks at a time in a worker;
+#: how many shares the work of one sum has at least, and tasks at most.
+PACK, LEAST, TILE, ROW, SHARES, TASKS = 8192, 1024, 32, 256, 96, 2000
 PULLS = ("ax", "ay", "az", "phi")
 
 
-def _weights(r2: np.ndarray, soft: float, kernel: str) -> tuple[np.ndarray, np.ndarray]:
-    """Acceleration over mass and distance vector, and potential over mass, at squared distances."""
-    if kernel == "plummer":
-        far = np.sqrt(r2 + soft * soft)
-        weight, deep = 1 / (far * far * far), -1 / far
-        if soft == 0:
-            weight[r2 == 0], deep[r2 == 0] = 0.0, 0.0
-        return weight, deep
+# Parts of kernels: for squared distances the acceleration over mass and distance vector and, if that is asked for, the depth (potential over
+# mass without its sign). They work in place where they can, for an array is passed over many times.
+def _lack(r: np.ndarray, end: float) -> np.ndarray:
+    """What a distance lacks to an end, 0 beyond it."""
+    left = end - r
+    left += np.abs(left)
+    left *= 0.5
+    return left
+
+
+def _depth(r: np.ndarray, left: np.ndarray, soft: float) -> np.ndarray:
+    more = 2 * soft - left
+    more *= left
+    more *= 1 / (2 * soft**3)
+    more += 1 / (r + left)
+    return more
+
+
+def _inside(r2: np.ndarray, soft: float) -> np.ndarray:
+    depth = r2 * (-1 / (2 * soft**3))
+    depth += 3 / (2 * soft)
+    return depth
+
+
+def _far(r2: np.ndarray, soft: float, deep: bool):
+    """Beyond the softening length."""
+    if not deep:
+        cube = np.sqrt(r2)
+        cube *= r2
+        return np.divide(1, cube, out=cube), None
+    depth = np.sqrt(r2)
+    np.divide(1, depth, out=depth)
+    weight = depth * depth
+    weight *= depth
+    return weight, depth
+
+
+def _plummer(r2: np.ndarray, soft: float, deep: bool):
+    return _far(r2 + soft * soft, soft, deep)
+
+
+def _point(r2: np.ndarray, soft: float, deep: bool):
+    """Without softening, 0 at the very place."""
+    weight, depth = _far(r2, soft, True)
+    weight[r2 == 0], depth[r2 == 0] = 0.0, 0.0
+    return weight, depth
+
+
+def _linear(r2: np.ndarray, soft: float, deep: bool):
+    """The linear kernel at any distance."""
+    r = np.sqrt(r2)
+    left = _lack(r, soft)
+    far = r + left
+    return 1 / (far * far * far), _depth(r, left, soft) if deep else None
+
+
+def _hard(r2: np.ndarray, soft: float, deep: bool):
+    """The linear kernel where distances may be infinite."""
+    r = np.sqrt(r2)
+    depth = 1 / np.maximum(r, soft)
+    return depth * depth * depth, np.where(r < soft, _inside(r2, soft), depth)
+
+
+def _outer(r2: np.ndarray, soft: float, deep: bool):
+    """The spline from a half to the whole of the softening length."""
+    h = 2 / soft
     r = np.sqrt(r2)
-    far = np.maximum(r, soft)
-    deep = -1 / far
+    weight = r * (-(h**6) / 6)
+    weight += 1.2 * h**5
+    weight *= r
+    weight -= 3 * h**4
+    weight *= r
+    weight += 8 / 3 * h**3
+    r *= r2
+    weight -= np.divide(1 / 15, r, out=r)
+    return weight, _inside(r2, soft) if deep else None
+
+
+def _core(r2: np.ndarray, soft: float, deep: bool):
+    """The spline within a half of the softening length, but for its very middle."""
+    h = 2 / soft
+    weight = np.sqrt(r2)
+    weight *= 0.5 * h**6
+    weight -= 1.2 * h**5
+    weight *= r2
+    weight += 4 / 3 * h**3
+    return weight, _inside(r2, soft) if deep else None
+
+
+def _heart(r2: np.ndarray, soft: float, deep: bool):
+    weight, depth = _core(r2, soft, deep)
+    weight *= r2 > (5e-6 * soft) ** 2
+    return weight, depth
+
+
+def _rim(r: np.ndarray, left: np.ndarray, a: float, b: float, c: float) -> np.ndarray:
+    """left**4 * (a + b r + c r**2)"""
+    out = left * left
+    out *= out
+    factor = r * c
+    factor += b
+    factor *= r
+    factor += a
+    out *= factor
+    return out
+
+
+def _edge(r2: np.ndarray, soft: float, deep: bool, core: bool = False):
+    """The spline from a half of the softening length on: the share of the mass within r, over r**3, without a choice by pair."""
+    h = 2 / soft
+    r = np.sqrt(r2)
+    left = _lack(r, soft)
+    depth = _depth(r, left, soft) if deep else None
+    share = _rim(r, left, h**4 / 15, h**5 * 2 / 15, h**6 / 6)
+    if core:
+        share -= _rim(r, _lack(r, soft / 2), h**4 / 15, h**5 * 4 / 15, h**6 * 2 / 3)
+    np.subtract(1, share, out=share)
+    r *= r2
+    share /= r
+    return share, depth
+
+
+def _spline(r2: np.ndarray, soft: float, deep: bool):
+    """The spline at any distance that is not far below the softening length."""
+    return _edge(r2, soft, deep, True)
+
+
+def _close(r2: np.ndarray, soft: float, deep: bool):
+    """The spline at any distance, 0 included."""
+    r = np.sqrt(r2)
+    depth = 1 / np.maximum(r, soft)
+    weight = depth * depth * depth
     inside = np.nonzero(r < soft)
-    deep[inside] = r2[inside] / (2 * soft**3) - 3 / (2 * soft) if soft else 0.0
-    weight = 1 / (far * far * far)
-    if kernel == "spline":
-        near = r[inside]
-        h = 2 / soft
-        q = near * h
-        inner = h * h * (4 / 3 * q - 1.2 * q * q * q + 0.5 * q * q * q * q) / near
-        outer = h * h * (8 / 3 * q - 3 * q * q + 1.2 * q * q * q - q * q * q * q / 6 - 1 / (15 * q * q)) / near
-        weight[inside] = np.where(q >= 1, outer, np.where(q > 1e-5, inner, 0.0))
-    if soft == 0:
-        weight[r == 0], deep[r == 0] = 0.0, 0.0
-    return weight, deep
+    near = r[inside]
+    h = 2 / soft
+    q = near * h
+    inner = h * h * (4 / 3 * q - 1.2 * q * q * q + 0.5 * q * q * q * q) / near
+    outer = h * h * (8 / 3 * q - 3 * q * q + 1.2 * q * q * q - q * q * q * q / 6 - 1 / (15 * q * q)) / near
+    weight[inside] = np.where(q >= 1, outer, np.where(q > 1e-5, inner, 0.0))
+    depth[inside] = 3 / (2 * soft) - r2[inside] / (2 * soft**3)
+    return weight, depth
+
+
+def tiles(at: np.ndarray) -> list[np.ndarray]:
+    """Row numbers of TILE places that are near each other; one tile has the rest."""
+    open_, done = [np.arange(len(at))], []
+    while open_:
+        rows = open_.pop()
+        if len(rows) <= TILE:
+            done.append(rows)
+            continue
+        half = -(-len(rows) // TILE) // 2 * TILE
+        order = np.argpartition(at[rows, np.argmax(np.ptp(at[rows], axis=0))], half)
+        open_ += [rows[order[:half]], rows[order[half:]]]
+    return done
+
+
+def _direct(at: np.ndarray, x: np.ndarray, mass: np.ndarray, soft: float, lengths, kind, deep: bool) -> np.ndarray:
+    """The sums of a tile from the differences of all pairs."""
+    out = np.zeros((len(at), 4))
+    for i in range(0, len(mass), ROW):
+        d, m = [x[k, i : i + ROW] - at[:, k, None] for k in range(3)], mass[i : i + ROW]
+        for c, length in zip(d, lengths or ()):
+            c -= length * np.rint(c / length)
+        weight, depth = kind(d[0] * d[0] + d[1] * d[1] + d[2] * d[2], soft, deep)
+        weight *= m
+        for k in range(3):
+            out[:, k] += np.einsum("ij,ij->i", weight, d[k])
+        if deep:
+            out[:, 3] -= depth @ m
+    return out
+
 
+def pulls(at: np.ndarray, held: np.ndarray, soft: float, g: float, kernel: str, lengths, deep: bool = True, cut: list[np.ndarray] | None = None) -> np.ndarray:
+    """ax, ay, az, phi (0 unless deep) at places (rows of x, y, z) due to masses (rows of x, y, z, mass), a tile of places at a time.
 
-def pulls(at: np.ndarray, held: np.ndarray, soft: float, g: float, kernel: str, lengths) -> np.ndarray:
-    """ax, ay, az, phi at places (rows of x, y, z) due to masses (rows of x, y, z, mass), a tile of pairs at a time."""
+    By their distance from the middle of a tile, masses are sorted into those of which all pairs lie in one part of the kernel and those
+    on an edge of it. Squared distances and the sums are products of matrices about that middle, exact to rounding. Differences of pairs are
+    taken where a mass is about as near as the tile is large, or has not the same periodic image for the whole tile.
+    """
     out = np.empty((len(at), 4))
     x, mass = np.ascontiguousarray(held[:, :3].T), g * held[:, 3]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        for i in range(0, len(at), TILE):
-            d = [x[k] - at[i : i + TILE, k, None] for k in range(3)]
-            if lengths:
-                for c, length in zip(d, lengths):
-                    c -= length * np.rint(c / length)
-            weight, deep = _weights(d[0] * d[0] + d[1] * d[1] + d[2] * d[2], soft, kernel)
-            weight *= mass
-            for k in range(3):
-                out[i : i + TILE, k] = np.einsum("ij,ij->i", weight, d[k])
-            out[i : i + TILE, 3] = deep @ mass
+    box = None if lengths is None else np.array(lengths, float)[:, None]
+    finite = np.isfinite(mass)
+    tame = bool(np.isfinite(held).all() and np.isfinite(at).all())
+    if soft == 0:
+        kinds, close = [_far], _point
+    else:
+        kinds, close = {"plummer": ([_plummer], _plummer), "linear": ([_linear, _far], _linear), "spline": ([_spline, _far, _outer, _core, _edge], _close)}[kernel]
+    if not tame and close is _linear:
+        close = _hard
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        for rows in tiles(at) if cut is None else cut:
+            middle = (at[rows].min(axis=0) + at[rows].max(axis=0)) / 2
+            a, b = at[rows] - middle, x - middle[:, None]
+            reach = math.sqrt((a * a).sum(axis=1).max()) * (1 + 1e-9)
+            if not reach < math.inf:
+                out[rows] = _direct(at[rows], x, mass, soft, lengths, close, deep)
+                continue
+            way = np.zeros(len(mass), np.int8)
+            if box is not None:
+                b -= box * np.rint(b / box)
+                way[(np.abs(b) >= box / 2 - np.abs(a).max(axis=0)[:, None] - 1e-9 * box).any(axis=0)] = len(kinds)  # several images
+            b2 = b[0] * b[0] + b[1] * b[1] + b[2] * b[2]
+            dist = np.sqrt(b2)
+            same, apart = way == 0, dist > 1.5 * reach
+            if len(kinds) > 1:
+                way[dist >= soft + reach] += 1
+            if len(kinds) > 2:
+                way[same & (dist >= soft / 2 + reach) & (dist < soft + reach)] = 4
+                way[same & (dist >= soft / 2 + reach) & (dist <= soft - reach)] = 2
+                core = same & (dist <= soft / 2 - reach)
+                way[core] = 3
+                apart |= core & (dist > reach + 1e-5 * soft)
+            way[~(apart & finite & (dist < np.inf))] = len(kinds) + 2
+            ways = [*kinds, kinds[0], kinds[1] if len(kinds) > 1 else None, _heart if tame and close is _close and 5 * reach <= soft else close]
+            order = np.argsort(way, kind="stable")
+            ends = np.cumsum(np.bincount(way, minlength=len(ways)))
+            m = mass[order]
+            b = np.take(b, order, axis=1)
+            left = np.column_stack([-2 * a, (a * a).sum(axis=1), np.ones(len(a))])
+            right = np.vstack([b, np.ones(len(m)), b2[order]])
+            moments = np.vstack([b * m, m]).T
+            sums, total = np.zeros((len(a), 4)), np.zeros((len(a), 4))
+            for n, (kind, lo, hi) in enumerate(zip(ways, [0, *ends], ends)):
+                if n >= len(kinds) and hi > lo:
+                    total += _direct(at[rows], x[:, order[lo:hi]], m[lo:hi], soft, lengths, kind, deep)
+                    continue
+                for i in range(lo, hi, ROW):
+                    part = slice(i, min(i + ROW, hi))
+                    weight, depth = kind(left @ right[:, part], soft, deep)
+                    sums += weight @ moments[part]
+                    if deep:
+                        total[:, 3] -= depth @ m[part]
+            total[:, :3] += sums[:, :3] - a * sums[:, 3:]
+            out[rows] = total
     return out
 
 
@@ -325,12 +521,12 @@ def lists(column: pa.ListArray) -> list[np.ndarray]:
     return np.split(np.column_stack([f.to_numpy(zero_copy_only=False) for f in flat.flatten()]), ends[:-1])
 
 
-def _summed(soft, g, kernel, lengths, batches):
+def _summed(soft, g, kernel, lengths, names, batches):
     """The sums of each pack of points over the packs of sinks it meets one after the other."""
-    now, at, total = None, None, None
+    now, at, cut, total, deep = None, None, None, None, "phi" in names
 
     def told():
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in (*at.T, *total.T)], [*(f"mq_{c}" for c in POSITION), *PULLS])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (*at.T, *total.T[: len(names)])], [*(f"mq_{c}" for c in POSITION), *names])
 
     for batch in batches:
         for pack, places, held in zip(batch.column(0).to_pylist(), lists(batch.column(1)), lists(batch.column(2))):
@@ -338,41 +534,56 @@ def _summed(soft, g, kernel, lengths, batches):
                 if now is not None:
                     yield told()
                 now, at, total = pack, places.copy(), np.zeros((len(places), 4))
-            total += pulls(places, held, soft, g, kernel, lengths)
+                cut = tiles(at)
+            total += pulls(at, held, soft, g, kernel, lengths, deep, cut)
     if now is not None:
         yield told()
 
 
-def gravity(points: DataFrame, sinks: DataFrame, soft: float, g: float = 1.0, kernel: str = "linear", lengths: tuple[float, float, float] | None = None) -> DataFrame:
-    """points with ax, ay, az, phi due to sinks (mass, position); within the softening length the kernel is linear or a spline, or it is Plummer's.
+def packs_of_near(places: DataFrame, n: int) -> DataFrame:
+    """mq_p (from 0), mq_p_rows: places dealt to about n lists by ranges along a Morton curve."""
+    from .tree import morton_number  # noqa: PLC0415  (the tree imports this module)
 
-    Every pair counts, so the work grows with the product of both; points at one place are summed once, sinks at one place are one mass. Both
-    are packed by a hash into lists of about PACK; a pack of points meets the packs of sinks in an equi-join that deals pairs of packs to at least
-    SHARES keys, and a worker sums over a tile of pairs at a time: no broadcast, and no row for a pair. With lengths the nearest periodic image pulls.
-    A sink exerts nothing on a point at its own place; phi is that of the linear kernel (constant terms make it continuous), or Plummer's.
-    Sinks with a null are left out; a point with a null place has null sums.
+    known = {c: F.when(F.abs(c) < float("inf"), F.col(c)) for c in POSITION}
+    ends = places.agg(*(f(v).alias(f"{e}_{c}") for c, v in known.items() for e, f in (("lo", F.min), ("hi", F.max)))).first()
+    cells = [F.coalesce(F.floor((v - F.lit(ends[f"lo_{c}"])) / max((ends[f"hi_{c}"] or 0.0) - (ends[f"lo_{c}"] or 0.0), 1e-300) * 1023), F.lit(0)) for c, v in known.items()]
+    ranged = places.repartitionByRange(n, morton_number(cells, 10), *POSITION).withColumn("mq_p", F.spark_partition_id().cast("long"))
+    return cut_lineage(ranged.groupBy("mq_p").agg(F.collect_list(F.struct(*POSITION)).alias("mq_p_rows")))
+
+
+def gravity(points: DataFrame, sinks: DataFrame, soft: float, g: float = 1.0, kernel: str = "linear", lengths: tuple[float, float, float] | None = None, potential: bool = True) -> DataFrame:
+    """points with ax, ay, az and, with potential, phi due to sinks (mass, position); within the softening length the kernel is linear or a spline, or
+    it is Plummer's.
+
+    Every pair counts, so the work grows with the product of both; points at one place are summed once, sinks at one place are one mass. Sinks
+    are packed by a hash into lists of about PACK, points by ranges along a Morton curve, so that near points share a list; a pack of points meets the
+    packs of sinks in an equi-join that deals pairs of packs to about SHARES keys at least, and a worker sums over a tile of pairs at a time: no
+    broadcast, and no row for a pair. With lengths the nearest periodic image pulls. A sink exerts nothing on a point at its own place; phi is that
+    of the linear kernel (constant terms make it continuous), or Plummer's. Sinks with a null are left out; a point with a null place has null sums.
     """
+    names = PULLS if potential else PULLS[:3]
     where = [F.col(c).cast("double").alias(c) for c in POSITION]
     places = cut_lineage(points.select(*where).where(" and ".join(f"{c} is not null" for c in POSITION)).distinct())
     held = sinks.select(*where, F.col("mass").cast("double").alias("mass")).where(" and ".join(f"{c} is not null" for c in (*POSITION, "mass")))
     held = cut_lineage(held.groupBy(*POSITION).agg(F.sum("mass").alias("mass")))
-    across, along = (-(-df.count() // PACK) for df in (places, held))
+    along = -(-held.count() // PACK)
     if not along:
-        return points.withColumns({n: F.lit(0.0) for n in PULLS})
-    across = max(1, across)
+        return points.withColumns({n: F.lit(0.0) for n in names})
+    n = places.count()
+    across = max(1, -(-n // PACK), min(-(-n // min(PACK, LEAST)), -(-SHARES // along)))
+    left = packs_of_near(places, across)
+    across = (left.agg(F.max("mq_p")).first()[0] or 0) + 1
     slots = min(along, -(-SHARES // across))
-
-    def packs(df: DataFrame, n: int, name: str) -> DataFrame:
-        return df.groupBy(F.pmod(F.xxhash64(*POSITION), F.lit(n)).alias(name)).agg(F.collect_list(F.struct(*df.columns)).alias(f"{name}_rows"))
-
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    right = held.groupBy(F.pmod(F.xxhash64(*POSITION), F.lit(along)).alias("mq_s")).agg(F.collect_list(F.struct(*POSITION, "mass")).alias("mq_s_rows"))
+    right = right.select("mq_s_rows", F.pmod("mq_s", F.lit(slots)).cast("long").alias("mq_slot"), numbers(across).alias("mq_p"))
     tasks = min(across * slots, TASKS)
-    left = packs(places, across, "mq_p").withColumn("mq_slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
-    right = packs(held, along, "mq_s").withColumns({"mq_slot": F.pmod("mq_s", F.lit(slots)).cast("long"), "mq_p": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long")))})
-    met = left.repartition(tasks, "mq_p", "mq_slot").join(right.repartition(tasks, "mq_p", "mq_slot"), ["mq_p", "mq_slot"]).select("mq_p", "mq_p_rows", "mq_s_rows")
-    kind = ", ".join(f"{n} double" for n in (*(f"mq_{c}" for c in POSITION), *PULLS))
-    sums = met.mapInArrow(partial(_summed, soft, g, kernel, lengths), kind).groupBy(*(f"mq_{c}" for c in POSITION)).agg(*(F.sum(n).alias(n) for n in PULLS))
+    dealt = (df.repartition(tasks, "mq_p", "mq_slot") for df in (left.withColumn("mq_slot", numbers(slots)), right))
+    met = next(dealt).join(next(dealt), ["mq_p", "mq_slot"]).select("mq_p", "mq_p_rows", "mq_s_rows")
+    kind = ", ".join(f"{n} double" for n in (*(f"mq_{c}" for c in POSITION), *names))
+    sums = met.mapInArrow(partial(_summed, soft, g, kernel, lengths, names), kind).groupBy(*(f"mq_{c}" for c in POSITION)).agg(*(F.sum(n).alias(n) for n in names))
     same = [points[c].cast("double") == F.col(f"mq_{c}") for c in POSITION]
-    return points.join(sums, same, "left").select(*(points[c] for c in points.columns), *PULLS)
+    return points.join(sums, same, "left").select(*(points[c] for c in points.columns), *names)
 
 
 def control_volume_checks(cells: DataFrame, candidates: DataFrame, radius: float) -> DataFrame:

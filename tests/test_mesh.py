@@ -260,3 +260,62 @@ def test_gravity_sums_tiles_of_pairs_without_a_row_of_all_sinks(spark, monkeypat
     phi = np.where(r < 0.3, r * r / (2 * 0.3**3) - 3 / (2 * 0.3), -1 / np.where(r > 0, r, 1))
     want = np.concatenate([(w[None, :, None] * f[..., None] * d).sum(1), (phi * w).sum(1)[:, None]], axis=1)
     assert np.abs(np.array([got[k] for k in range(len(at))]) - want).max() < 1e-8 * np.abs(want).max()
+
+
+@pytest.mark.parametrize(("kernel", "soft", "lengths"), [("spline", 0.3, (1.0, 1.0, 1.0)), ("spline", 0.02, None), ("spline", 0.9, (0.8, 1.0, 1.2)), ("linear", 0.1, (1.0, 1.0, 1.0)), ("plummer", 0.1, None), ("plummer", 0.0, None), ("linear", 0.0, (1.0, 1.0, 1.0))])
+def test_gravity_takes_few_pairs_one_by_one(monkeypatch, kernel, soft, lengths):
+    """Most masses lie in one part of the kernel for a whole tile of near places; what is left is what differences are for."""
+    rng = np.random.default_rng(5)
+    held = np.column_stack([rng.normal(0, 0.12, (3000, 3)), rng.uniform(1, 2, 3000)])
+    at = np.concatenate([rng.normal(0, 0.06, (2000, 3)), held[:40, :3], held[:5, :3] + 1e-7, held[5:9, :3] + 1e-3])
+    alone, count = sinks._direct, []
+    monkeypatch.setattr(sinks, "_direct", lambda a, x, m, *more: count.append(len(a) * len(m)) or alone(a, x, m, *more))
+    got = sinks.pulls(at, held, soft, 2.0, kernel, lengths)
+    assert sum(count) < 0.25 * len(at) * len(held)
+    want = np.zeros((len(at), 4))
+    for k in range(0, len(at), 100):
+        d = held[None, :, :3] - at[k : k + 100, None]
+        d -= np.array(lengths) * np.round(d / np.array(lengths)) if lengths else 0
+        r = np.sqrt((d * d).sum(-1))
+        far = np.sqrt(r * r + soft * soft) if kernel == "plummer" else np.maximum(r, soft)
+        one = np.where(far > 0, far, 1)
+        w, phi = np.where(far > 0, 1 / one**3, 0), np.where(far > 0, -1 / one, 0)
+        if soft and kernel != "plummer":
+            phi = np.where(r < soft, r * r / (2 * soft**3) - 3 / (2 * soft), phi)
+        if kernel == "spline":
+            h, q = 2 / soft, np.maximum(r * 2 / soft, 1e-9)
+            outer, inner = 8 / 3 * q - 3 * q**2 + 1.2 * q**3 - q**4 / 6 - 1 / (15 * q**2), 4 / 3 * q - 1.2 * q**3 + 0.5 * q**4
+            w = np.where(r >= soft, w, np.where(q >= 1, outer, np.where(q > 1e-5, inner, 0)) * h**3 / q)
+        want[k : k + 100] = np.concatenate([(2 * held[None, :, 3:] * w[..., None] * d).sum(1), (2 * held[None, :, 3] * phi).sum(1)[:, None]], axis=1)
+    assert (np.abs(got - want) < 1e-11 * np.abs(want).max(axis=0)).all()
+    flat = sinks.pulls(at, held, soft, 2.0, kernel, lengths, False)
+    assert (np.abs(flat[:, :3] - want[:, :3]) < 1e-11 * np.abs(want[:, :3]).max(axis=0)).all()
+
+
+def test_gravity_with_places_and_masses_that_are_not_finite():
+    rng = np.random.default_rng(6)
+    held = np.column_stack([rng.normal(0, 0.2, (300, 3)), rng.uniform(1, 2, 300)])
+    at = rng.normal(0, 0.2, (200, 3))
+    for kernel in ("linear", "spline", "plummer"):
+        plain = sinks.pulls(at, held, 0.1, 1.0, kernel, None)
+        lost = np.concatenate([at, [[np.nan, 0.0, 0.0], [np.inf, 0.0, 0.0]]])
+        some = sinks.pulls(lost, held, 0.1, 1.0, kernel, None)
+        assert np.allclose(some[:200], plain, rtol=1e-11, atol=1e-9) and np.isnan(some[200]).all() and np.isnan(some[201, 0]) and some[201, 1] == 0
+        off = sinks.pulls(at, np.concatenate([held, [[np.inf, 0.0, 0.0, 1.0]]]), 0.1, 1.0, kernel, None)
+        assert np.isnan(off[:, 0]).all() and np.allclose(off[:, 1:], plain[:, 1:], rtol=1e-11, atol=1e-9)
+
+
+def test_gravity_packs_near_points_and_may_leave_the_potential_out(spark, monkeypatch):
+    monkeypatch.setattr(sinks, "PACK", 50)
+    rng = np.random.default_rng(7)
+    points = spark.createDataFrame([(k, *map(float, x)) for k, x in enumerate(rng.uniform(0, 1, (400, 3)))] + [(900, float("nan"), 0.0, 0.0)], "tag int, x double, y double, z double")
+    held = spark.createDataFrame([(float(m), *map(float, x)) for m, x in zip(rng.uniform(1, 2, 120), rng.uniform(0, 1, (120, 3)))], "mass double, x double, y double, z double")
+    whole = {r["tag"]: r for r in sinks.gravity(points, held, 0.2, kernel="spline", lengths=(1.0, 1.0, 1.0)).collect()}
+    out = sinks.gravity(points, held, 0.2, kernel="spline", lengths=(1.0, 1.0, 1.0), potential=False)
+    assert out.columns == ["tag", "x", "y", "z", "ax", "ay", "az"]
+    rows = out.collect()
+    assert len(rows) == 401 and all(abs(r[c] - whole[r["tag"]][c]) < 1e-9 for r in rows for c in ("ax", "ay", "az") if r["tag"] != 900)
+    packed = sinks.packs_of_near(points.where("tag < 900").select("x", "y", "z"), 8).collect()
+    assert sum(len(r["mq_p_rows"]) for r in packed) == 400 and len(packed) > 4
+    spread = [np.prod(np.ptp(np.array([list(x) for x in r["mq_p_rows"]]), axis=0)) for r in packed]
+    assert np.mean(spread) < 0.5  # a hash spreads each over the whole box
